@@ -44,3 +44,9 @@ def word_count(text: Column) -> Column:
 def crc32_of(key: Column) -> Column:
     """Unsigned crc32 of a key as text."""
     return F.crc32(key.cast("string").cast("binary"))
+
+
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows an Arrow batch, so that batches of long texts fit a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

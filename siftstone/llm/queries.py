@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from siftstone.llm import chat_format, vector_topk
+from siftstone.llm import chat_format, secret_scan, token_file, vector_topk
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_query,
+    "op3_secret_scan": secret_scan.op3_query,
     "op7_exact_topk": vector_topk.op7_query,
+    "op8_token_file": token_file.op8_query,
 }
 ORACLE_SQL = {
     "op1_chat_formatting": chat_format.OP1_SQL,
