@@ -30,6 +30,7 @@ RESOLUTIONS = (4, 16)
 QUERY_BLOCK = 1024
 GROUP_ROWS = 16_384
 ROW_BLOCK = 2048
+SURVIVORS = 1 << 16
 
 
 def quantised(df: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -90,16 +91,21 @@ class _Best:
 
 def _search_block(q_ids, q, q_sums, best: _Best, ids: np.ndarray, x: np.ndarray) -> None:
     """Meets one row block with all queries of a cell."""
-    floor = best.floor()
     x_sums = [_summary(x, r) for r in RESOLUTIONS]
-    rows, cols = np.nonzero(q_sums[0] @ x_sums[0].T >= floor[:, None])
-    for a, b in zip(q_sums[1:], x_sums[1:]):
-        keep = np.einsum("ij,ij->i", a[rows], b[cols]) >= floor[rows]
-        rows, cols = rows[keep], cols[keep]
-    keep = q_ids[rows] != ids[cols]
-    rows, cols = rows[keep], cols[keep]
-    if len(rows):
-        best.add(rows, ids[cols], np.einsum("ij,ij->i", q[rows].astype(np.int64), x[cols].astype(np.int64)))
+    # The first rows set the bar for the rest; survivors are taken in slices of bounded size.
+    cuts = [0, *(c for c in (16, 128) if c < len(x)), len(x)] if (best.score[:, -1] == _Best.NONE).any() else [0, len(x)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        all_rows, all_cols = np.nonzero(q_sums[0] @ x_sums[0][lo:hi].T >= best.floor()[:, None])
+        for i in range(0, len(all_rows), SURVIVORS):
+            rows, cols = all_rows[i : i + SURVIVORS], all_cols[i : i + SURVIVORS] + lo
+            floor = best.floor()
+            for a, b in zip(q_sums[1:], x_sums[1:]):
+                keep = np.einsum("ij,ij->i", a[rows], b[cols]) >= floor[rows]
+                rows, cols = rows[keep], cols[keep]
+            keep = q_ids[rows] != ids[cols]
+            rows, cols = rows[keep], cols[keep]
+            if len(rows):
+                best.add(rows, ids[cols], np.einsum("ij,ij->i", q[rows].astype(np.int64), x[cols].astype(np.int64)))
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray, pa.Array]]:
