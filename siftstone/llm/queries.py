@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from siftstone.llm import chat_format, secret_scan, token_file, vector_topk
+from siftstone.llm import (
+    chat_format,
+    quality_zstd,
+    secret_scan,
+    token_file,
+    toxicity,
+    vector_topk,
+)
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_query,
     "op3_secret_scan": secret_scan.op3_query,
+    "op5_toxicity": toxicity.op5_query,
     "op7_exact_topk": vector_topk.op7_query,
     "op8_token_file": token_file.op8_query,
+    "op9_quality": quality_zstd.op9_query,
 }
 ORACLE_SQL = {
     "op1_chat_formatting": chat_format.OP1_SQL,
