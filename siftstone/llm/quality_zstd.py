@@ -124,6 +124,22 @@ def score_quality(df: DataFrame, model: QualityModel, text: str = "text") -> Dat
     return kept.mapInArrow(score, schema).select(*[F.col("_kept").getField(c).alias(c) for c in names if c != text], "score")
 
 
+def keep_good(df: DataFrame, model: QualityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df that score at least threshold, with all their columns."""
+    arrow_rows(df.sparkSession)
+    if model.good is None:
+        return df.where(F.lit(model.share) >= threshold)
+    weights, share = model.weights, model.share
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = PairCompressor(model.good, model.bad)
+        for batch in batches:
+            scores = [float(logistic(weights, np.array(compressor(t)))) if t else share for t in batch[text].cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
+
+    return df.mapInArrow(keep, df.schema)
+
+
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(F.pmod(crc32_of(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from siftstone.llm import (
     chat_format,
+    extendible_shards,
+    ngram_join,
     quality_zstd,
     secret_scan,
+    source_mix,
+    template_leaks,
     token_file,
     toxicity,
     vector_topk,
@@ -13,12 +17,17 @@ from siftstone.llm import (
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_query,
+    "op2_sharding": extendible_shards.op2_query,
     "op3_secret_scan": secret_scan.op3_query,
+    "op4_source_mix": source_mix.op4_query,
     "op5_toxicity": toxicity.op5_query,
+    "op6_decontamination": template_leaks.op6_query,
     "op7_exact_topk": vector_topk.op7_query,
     "op8_token_file": token_file.op8_query,
     "op9_quality": quality_zstd.op9_query,
+    "op10_ngram_join": ngram_join.op10_query,
 }
 ORACLE_SQL = {
     "op1_chat_formatting": chat_format.OP1_SQL,
+    "op2_sharding": extendible_shards.op2_sql(),
 }
