@@ -5,8 +5,8 @@
 2. A global order of n-grams: frequent ones last, else by hash. Counted are, over all documents, the n-grams with
    low hashes, as only these come early. Similar sets must share one of their first n - ceil(t n) + 1 n-grams.
 3. Classes that share such an n-gram are candidates. First only each class with its neighbour in size and with the
-   smallest class of that n-gram: a number of pairs that is linear in the entries. These are compared exactly and their
-   links joined to components.
+   smallest class of that n-gram: a number of pairs that is linear in the entries. Those that their ordered
+   beginnings don't rule out are compared exactly, and their links joined to components.
 4. What is left are n-grams whose classes lie in several components. The ordered beginnings of these classes go into a
    prefix tree; each class traverses it, shares the overlap of common paths, and leaves a subtree when the n-grams
    that remain can't bring the overlap up to t. Surviving pairs of different components are compared exactly. Groups
@@ -155,6 +155,30 @@ def _comparer(percent: int):
     return compare
 
 
+def _pruner(percent: int):
+    """Keeps pairs whose ordered beginnings allow similarity: what only one side has there can't be in the overlap."""
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            sides = [(np.asarray(batch[c].values), np.asarray(batch[c].offsets)) for c in ("x", "y")]
+            for i, (n, m) in enumerate(zip(batch["n"].to_pylist(), batch["m"].to_pylist())):
+                x, y = (v[o[i] : o[i + 1]] for v, o in sides)
+                end = min(x[-1], y[-1])
+                x, y = x[: np.searchsorted(x, end, "right")], y[: np.searchsorted(y, end, "right")]
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                at_most = min(n - len(x), m - len(y)) + both
+                keep.append(100 * at_most >= percent * (n + m - at_most))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return prune
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    side = lambda cid, size, prefix: classes.select(F.col("cid").alias(cid), F.col("n").alias(size), F.col("prefix").alias(prefix))
+    return pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_pruner(percent), "a long, b long")
+
+
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar, from the texts of the classes' first documents."""
     nodes = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).distinct()
@@ -301,7 +325,7 @@ def ngram_components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: s
         near = shared.where(f"{side}.cid <> cid AND 100 * {side}.n >= {percent} * n")
         return near.select(F.least("cid", f"{side}.cid").alias("a"), F.greatest("cid", f"{side}.cid").alias("b"))
 
-    pairs = written(pairs_with("before").unionAll(pairs_with("first")).distinct(), "pairs")
+    pairs = written(_plausible(pairs_with("before").unionAll(pairs_with("first")).distinct(), classes, percent), "pairs")
     links = _similar(pairs, classes, docs, words, percent)
     labels = connected_components(links)
     more = written(_across(shared, labels, classes, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-across")

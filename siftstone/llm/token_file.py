@@ -10,9 +10,10 @@ lengths of its documents, its start within the partition, and a payload:
     blocks        128 ids less the minimum, packed at the width that holds PERCENTILE of them, lowest bit first;
                   then of each outlier its position (8-bit) and its bits above the width (32-bit)
 
-Tokenisation is memoised by unit: a text is cut before each single space or line feed that a non-space follows. The
-byte-level pattern always has a boundary there, so a unit's ids do not depend on its surroundings. Texts that hold
-a special token's string are encoded whole.
+Tokenisation is memoised by unit: a text is cut before each space and line feed. The byte-level pattern splits a run of
+white space before its last character, or nowhere at the end of a text, so where runs are of two characters at most (one at
+the end) the cuts are boundaries of the pattern, and a unit's ids do not depend on its surroundings. Other texts, and
+texts that hold a special token's string, are encoded whole.
 
 A null text is an empty one and gives only the end id. Null ids sort first; rows of the same id are ordered by text.
 Every row gives one row; an empty table gives none.
@@ -24,6 +25,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,9 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import arrow_rows, table, written
 
-BLOCK, PERCENTILE, FRAME_IDS, MEMO_UNITS = 128, 0.9, 1 << 16, 300_000
-_UNITS = re.compile(r"(?=[ \n]\S)").split
+BLOCK, PERCENTILE, FRAME_IDS, MEMO_UNITS = 128, 0.9, 1 << 16, 1_000_000
+#: White space in which a cut would change the ids, or that the cut into units would confuse.
+_UNSAFE = re.compile(r"\s\s\s|\s\s\Z| \n").search
 
 
 # --- the codec -------------------------------------------------------------------------------------------------
@@ -117,22 +120,28 @@ class UnitEncoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def one(self, text: str) -> bytes:
+        if _UNSAFE(text) or any(s in text for s in self.special):
+            return self._encoded([text])[0]
+        first, *units = text.replace("\n", " \n").split(" ")
+        head = self._encoded([first])[0]
+        try:
+            return head + b"".join(map(self.memo.__getitem__, units))
+        except KeyError:
+            if len(self.memo) > MEMO_UNITS:
+                self.memo.clear()
+            new = list({u for u in units if u not in self.memo})
+            self.memo.update(zip(new, self._encoded([u if u[:1] == "\n" else " " + u for u in new])))
+            return head + b"".join(map(self.memo.__getitem__, units))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                out += self._encoded([text])
-                continue
-            units = _UNITS(text)
-            try:
-                out.append(b"".join(map(self.memo.__getitem__, units)))
-            except KeyError:
-                if len(self.memo) > MEMO_UNITS:
-                    self.memo.clear()
-                new = list({u for u in units if u not in self.memo})
-                self.memo.update(zip(new, self._encoded(new)))
-                out.append(b"".join(map(self.memo.__getitem__, units)))
-        return out
+        return [self.one(t) for t in texts]
+
+
+@cache
+def _encoder(tokenizer_file: str) -> UnitEncoder:
+    """One for each Python worker, so that later tasks find the memo filled."""
+    return UnitEncoder(tokenizer_file)
 
 
 _FRAME = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int32())), ("payload", pa.binary())])
@@ -141,7 +150,7 @@ _FRAME_DDL = "part int, start long, n_ids long, doc_ids array<long>, doc_lens ar
 
 def _writer(tokenizer_file: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = UnitEncoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        encode, end = _encoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         ids, lens, stream, held = [], [], [], 0
 
