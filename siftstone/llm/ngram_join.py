@@ -2,19 +2,20 @@
 
 1. Each text becomes its set of distinct n-gram hashes (64 bit). Documents of equal sets form a class (128-bit hash
    of the set); from here on there is one set a class, so copies cost nothing.
-2. A global order of n-grams: frequent ones last, else by hash. Counted are, over all documents, the n-grams with
-   low hashes, as only these come early. Similar sets must share one of their first n - ceil(t n) + 1 n-grams.
-3. Classes that share such an n-gram are candidates. First only each class with its neighbour in size and with the
-   smallest class of that n-gram: a number of pairs that is linear in the entries. Those that their ordered
-   beginnings don't rule out are compared exactly, and their links joined to components.
+2. A global order of n-grams: those with low hashes first, and of these the rare ones (by number of classes) first; the
+   others by hash. Similar sets must share one of their first n - ceil(t n) + 1 n-grams. N-grams of one class only
+   meet nothing, so a class enters with the shared ones of its beginning; most classes have none and are done.
+3. Classes that share such an n-gram are candidates. In a few rounds each class meets only its neighbour and the first
+   class of each n-gram, in another order each round: a number of pairs that is linear in the entries. Those
+   that their beginnings don't rule out are compared exactly; links are joined to components.
 4. What is left are n-grams whose classes lie in several components. The ordered beginnings of these classes go into a
    prefix tree; each class traverses it, shares the overlap of common paths, and leaves a subtree when the n-grams
-   that remain can't bring the overlap up to t. Surviving pairs of different components are compared exactly. Groups
-   are dealt in blocks of BLOCK classes, so that no task holds an unbounded one, and groups of the same classes count once.
+   that remain can't bring the overlap up to t, or when a smaller common n-gram has the pair in its own group. Surviving pairs of different
+   components are compared exactly. Groups are dealt in blocks of BLOCK classes, so that no task holds an unbounded
+   one, and groups of the same classes count once.
 
-All links between different components are found, as every similar pair shares an entry of step 3. Pairs within a
-component are not enumerated: copies and clusters cost what a spanning tree costs. The order of step 2 changes the
-cost only, never the result.
+All links between different components are found, as every similar pair shares an entry of step 2. Pairs within a
+component are not enumerated: copies and clusters cost what a spanning tree costs.
 
 A null or blank text has an empty set, links with nothing and is its own component. A text of fewer than n words has
 one n-gram, the whole sequence. Documents without an id have no component. Rows that share an id are documents of their
@@ -23,6 +24,7 @@ own with the same id. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +36,10 @@ from pyspark.sql import functions as F
 from siftstone.llm.common import arrow_rows, table, written
 from siftstone.llm.components import connected_components
 
-#: An n-gram of so many documents is frequent; the share of hashes that is counted; bound of the broadcast list.
-FREQUENT, LOW_SHARE, LIST_ROWS = 64, 0.25, 2_000_000
-BUCKET_BITS = 20
+#: Share of the hashes that count as low; rounds of linear candidates before the trees.
+LOW_SHARE, ROUNDS = 0.25, 3
+#: An order key is the number of classes (the largest value: a hash that isn't low) and the lowest bits of the hash.
+KEY_BITS, NOT_LOW = 43, (1 << 20) - 1
 BLOCK, MEMO_WORDS = 512, 500_000
 
 
@@ -77,56 +80,45 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch["text"].cast(pa.binary()).to_pylist()
 
 
-def _low_counter(words: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, limit = NgramHasher(words), np.uint64(int(LOW_SHARE * 2.0**64))
-        for batch in batches:
-            low = [s[: np.searchsorted(s, limit)] >> np.uint64(BUCKET_BITS) for s in map(hasher, _texts(batch))]
-            bucket, n = np.unique(np.concatenate(low) if low else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(n.astype(np.int32))], ["bucket", "n"])
-
-    return count
-
+def _beginning(n, percent: int):
+    """Number of n-grams of which similar sets share one."""
+    return n - (n * percent + 99) // 100 + 1
 
-def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Sorted buckets of frequent n-grams, at most LIST_ROWS: with more, only the more frequent ones."""
-    counts = written(docs.mapInArrow(_low_counter(words), "bucket long, n int").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "frequent")
-    least = FREQUENT
-    while counts.where(F.col("n") >= least).count() > LIST_ROWS:
-        least *= 2
-    return np.sort(counts.where(F.col("n") >= least).select("bucket").toPandas()["bucket"].to_numpy(np.int64))
 
-
-def _signer(words: int, percent: int, frequent):
-    """(doc_id, n, fp, prefix): the set's size, its 128-bit hash and its first n-grams, as order keys."""
+def _signer(words: int, percent: int):
+    """(doc_id, n, n_low, fp, tokens): the set's size, its low hashes' number, its 128-bit hash, and the low hashes with as many others as a beginning needs."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, often = NgramHasher(words), frequent.value.astype(np.uint64)
-        maybe = np.zeros(1 << 22, bool)
-        maybe[often >> np.uint64(64 - BUCKET_BITS - 22)] = True
+        hasher, limit = NgramHasher(words), np.uint64(int(LOW_SHARE * 2.0**64))
         for batch in batches:
-            size, fp, keys, lens = [], [], [], []
+            size, low, fp, tokens, lens = [], [], [], [], [0]
             for s in map(hasher, _texts(batch)):
                 n = len(s)
-                bucket = s >> np.uint64(BUCKET_BITS)
-                high = maybe[bucket >> np.uint64(64 - BUCKET_BITS - 22)]
-                if high.any():
-                    at = np.searchsorted(often, bucket[high])
-                    high[high] = often[np.minimum(at, len(often) - 1)] == bucket[high]
-                first = n - -(-percent * n // 100) + 1 if n else 0
-                key = (s >> np.uint64(1)).astype(np.int64)
-                # order keys ascend: rare ones below zero, frequent ones from zero
-                ordered = np.concatenate([key[~high] - (1 << 62) - (1 << 62), key[high]])[:first]
                 size.append(n)
+                low.append(int(np.searchsorted(s, limit)))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
-                keys.append(ordered)
-                lens.append(first)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(size, pa.int32()), pa.array(fp, pa.binary()), prefix], ["doc_id", "n", "fp", "prefix"])
+                tokens.append((s[: max(low[-1], _beginning(n, percent) if n else 0)] >> np.uint64(1)).astype(np.int64))
+                lens.append(len(tokens[-1]))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lens), pa.int32()), pa.array(np.concatenate(tokens) if tokens else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(size, pa.int32()), pa.array(low, pa.int32()), pa.array(fp, pa.binary()), lists], ["doc_id", "n", "n_low", "fp", "tokens"])
 
     return sign
 
 
+def _beginnings(classes: DataFrame, percent: int) -> DataFrame:
+    """(cid, n, own, keys): of classes with shared n-grams in their beginning, these in order, and the number of n-grams that are surely theirs alone."""
+    limit = int(LOW_SHARE * 2.0**64) >> 1
+    met = classes.select("cid", F.explode("tokens").alias("token")).withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    rarity = F.when(F.col("token") < limit, F.least("df", F.lit(NOT_LOW - 1))).otherwise(F.lit(NOT_LOW)).cast("long")
+    key = F.shiftleft(rarity, KEY_BITS).bitwiseOR(F.col("token").bitwiseAND((1 << KEY_BITS) - 1))
+    by_class = met.select("cid", key.alias("key")).groupBy("cid").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    shared_low = F.size(F.filter("keys", lambda k: k < (NOT_LOW << KEY_BITS)))
+    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
+    sized = by_class.join(classes.select("cid", "n", "n_low"), "cid").withColumn("own", F.col("n_low") - shared_low)
+    taken = F.when(F.col("n_low") < first, F.col("keys")).otherwise(F.slice("keys", F.lit(1), F.greatest(F.lit(0), first - F.col("own"))))
+    return sized.select("cid", "n", "own", taken.alias("keys")).where(F.size("keys") > 0)
+
+
 # --- exact comparison ------------------------------------------------------------------------------------------
 
 
@@ -156,27 +148,28 @@ def _comparer(percent: int):
 
 
 def _pruner(percent: int):
-    """Keeps pairs whose ordered beginnings allow similarity: what only one side has there can't be in the overlap."""
+    """Keeps pairs whose beginnings allow similarity: what only one side has there can't be in the overlap."""
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             sides = [(np.asarray(batch[c].values), np.asarray(batch[c].offsets)) for c in ("x", "y")]
-            for i, (n, m) in enumerate(zip(batch["n"].to_pylist(), batch["m"].to_pylist())):
+            for i, (n, m, own, own_too) in enumerate(zip(*(batch[c].to_pylist() for c in ("n", "m", "own", "own_too")))):
                 x, y = (v[o[i] : o[i + 1]] for v, o in sides)
                 end = min(x[-1], y[-1])
                 x, y = x[: np.searchsorted(x, end, "right")], y[: np.searchsorted(y, end, "right")]
                 both = len(x) + len(y) - len(np.union1d(x, y))
-                at_most = min(n - len(x), m - len(y)) + both
+                at_most = min(n - own - len(x), m - own_too - len(y)) + both
                 keep.append(100 * at_most >= percent * (n + m - at_most))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return prune
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    side = lambda cid, size, prefix: classes.select(F.col("cid").alias(cid), F.col("n").alias(size), F.col("prefix").alias(prefix))
-    return pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_pruner(percent), "a long, b long")
+def _plausible(pairs: DataFrame, begun: DataFrame, percent: int) -> DataFrame:
+    side = lambda *names: begun.select(*[F.col(c).alias(a) for c, a in zip(("cid", "n", "own", "keys"), names)])
+    both = pairs.join(side("a", "n", "own", "x"), "a").join(side("b", "m", "own_too", "y"), "b")
+    return both.select("a", "b", "n", "m", "own", "own_too", "x", "y").mapInArrow(_pruner(percent), "a long, b long")
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -195,12 +188,12 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 
 
 class PrefixTree:
-    """Ordered beginnings of sets, edges holding runs of n-grams. Nodes: [edge, children, leaves, smallest and largest set size below]."""
+    """Ordered beginnings of sets, edges holding runs of n-grams. Nodes: [edge, children, leaves, least size, most n-grams that aren't a row's own]."""
 
-    def __init__(self, prefixes: list[np.ndarray], sizes: np.ndarray, percent: int):
-        self.sizes, self.percent = sizes, percent
-        order = sorted(range(len(prefixes)), key=lambda i: prefixes[i].astype(">i8").tobytes())
-        self.root = self._build([(i, prefixes[i]) for i in order], 0)
+    def __init__(self, beginnings: list[np.ndarray], sizes: np.ndarray, own: np.ndarray, percent: int):
+        self.sizes, self.left, self.percent = sizes, sizes - own, percent
+        order = sorted(range(len(beginnings)), key=lambda i: beginnings[i].astype(">i8").tobytes())
+        self.root = self._build([(i, beginnings[i]) for i in order], 0)
 
     def _build(self, rows: list[tuple[int, np.ndarray]], depth: int) -> list:
         first, last = rows[0][1][depth:], rows[-1][1][depth:]
@@ -215,43 +208,46 @@ class PrefixTree:
             if k == len(rest) or rest[k][1][end] != rest[start][1][end]:
                 children.append(self._build(rest[start:k], end))
                 start = k
-        sizes = self.sizes[[i for i, _ in rows]]
-        return [first[:shared], children, leaves, int(sizes.min()), int(sizes.max())]
+        ids = [i for i, _ in rows]
+        return [first[:shared], children, leaves, int(self.sizes[ids].min()), int(self.left[ids].max())]
 
-    def partners(self, x: np.ndarray, n: int) -> list[int]:
-        """Rows of the tree that may be similar to a set of n n-grams with the ordered beginning x."""
+    def partners(self, x: np.ndarray, n: int, own: int, token: int) -> list[int]:
+        """Rows of the tree that may be similar to a set of n n-grams, own of them its alone, with the ordered beginning x, and whose first common n-gram is token."""
         out: list[int] = []
-        last, t = x[-1], self.percent
+        last, t, free = x[-1], self.percent, n - own
         stack = [(self.root, 0, 0)]
         while stack:
             (edge, children, leaves, least, most), overlap, path = stack.pop()
             only_x = only_y = 0
             if len(edge):
                 at = np.searchsorted(x, edge)
-                overlap += int((x[np.minimum(at, len(x) - 1)] == edge).sum())
-                seen_x = int(at[-1]) + int(at[-1] < len(x) and x[at[-1]] == edge[-1])
+                common = x[np.minimum(at, len(x) - 1)] == edge
+                n_common = int(common.sum())
+                if n_common and not overlap and edge[common.argmax()] != token:
+                    continue
+                overlap += n_common
+                seen_x = int(at[-1]) + int(common[-1])
                 seen_y = path + (len(edge) if edge[-1] <= last else int(np.searchsorted(edge, last, "right")))
                 path += len(edge)
                 only_x, only_y = seen_x - overlap, seen_y - overlap
-            at_most = min(n - only_x, most - only_y)
+            at_most = min(free - only_x, most - only_y)
             if 100 * at_most < t * (n + least - at_most):
                 continue
             for i in leaves:
-                size = int(self.sizes[i])
-                both = min(n - only_x, size - only_y)
-                if 100 * both >= t * (n + size - both):
+                both = min(free - only_x, int(self.left[i]) - only_y)
+                if 100 * both >= t * (n + int(self.sizes[i]) - both):
                     out.append(i)
             stack += [(c, overlap, path) for c in children]
         return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(left flags, cids, sizes, labels, prefixes) of each run of rows with the same (token, low, high)."""
+    """(token, low, high) and the rows (block, cid, n, own, label, keys) of each run of rows with that key."""
     held, key = [], None
     for batch in batches:
         keys = list(zip(*(batch[c].to_pylist() for c in ("token", "low", "high"))))
-        cols = [np.asarray(batch[c]) for c in ("block", "cid", "n", "label")]
-        flat, ends = np.asarray(batch["prefix"].values), np.asarray(batch["prefix"].offsets)
+        cols = [np.asarray(batch[c]) for c in ("block", "cid", "n", "own", "label")]
+        flat, ends = np.asarray(batch["keys"].values), np.asarray(batch["keys"].offsets)
         for r, k in enumerate(keys):
             if k != key and held:
                 yield key, held
@@ -264,17 +260,20 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _tree_join(percent: int):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, low, high), rows in _groups(batches):
+        for (token, low, high), rows in _groups(batches):
             left = [r for r in rows if r[0] == low]
             right = left if low == high else [r for r in rows if r[0] == high]
             if not left or not right:
                 continue
-            tree = PrefixTree([r[4] for r in right], np.array([r[2] for r in right]), percent)
+            # Within a block, two of the commonest component needn't meet: its members only wait in the tree.
+            usual = Counter(r[4] for r in left).most_common(1)[0][0] if low == high else None
+            tree = PrefixTree([r[5] for r in right], np.array([r[2] for r in right]), np.array([r[3] for r in right]), percent)
             found = set()
-            for _, cid, n, label, prefix in left:
-                for i in tree.partners(prefix, n):
-                    if right[i][3] != label:
-                        found.add((min(cid, right[i][1]), max(cid, right[i][1])))
+            for _, cid, n, own, label, keys in left:
+                if label != usual:
+                    for i in tree.partners(keys, n, own, token):
+                        if right[i][4] != label:
+                            found.add((min(cid, right[i][1]), max(cid, right[i][1])))
             if found:
                 a, b = zip(*sorted(found))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -282,17 +281,33 @@ def _tree_join(percent: int):
     return join
 
 
-def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return entries.withColumn("label", F.col("cid"))
+    return entries.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+
+def _in_line(entries: DataFrame, number: int, percent: int) -> DataFrame:
+    """Pairs of different components: each class with the one before it and with the first of the n-gram; by size in the first round."""
+    order = ["n", "cid"] if not number else [F.xxhash64("cid", F.lit(number)), "cid"]
+    by_token = Window.partitionBy("token").orderBy(*order)
+    row = F.struct("cid", "n", "label")
+    met = entries.select("cid", "n", "label", F.lag(row).over(by_token).alias("before"), F.first(row).over(by_token.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"))
+    sides = met.select("cid", "n", "label", F.explode(F.array("before", "first")).alias("o")).where("o.label <> label")
+    near = sides.where(100 * F.least("n", "o.n") >= percent * F.greatest("n", "o.n"))
+    return near.select(F.least("cid", "o.cid").alias("a"), F.greatest("cid", "o.cid").alias("b")).distinct()
+
+
+def _across(entries: DataFrame, begun: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different components that the prefix trees can't rule out."""
-    labelled = shared.select("token", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    groups = labelled.groupBy("token").agg(
+    groups = entries.groupBy("token").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("of"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("of_too")
     )
     open_groups = groups.where("low < high").groupBy("members", "of", "of_too").agg(F.min("token").alias("token")).select("token", "members")
-    open_rows = labelled.join(open_groups, "token")
+    open_rows = entries.join(open_groups, "token")
     block = F.floor((F.row_number().over(Window.partitionBy("token").orderBy("cid")) - 1) / BLOCK).cast("int")
     rows = open_rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("members") - 1) / BLOCK).cast("int"))))
-    dealt = rows.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "label").join(classes.select("cid", "n", "prefix"), "cid")
+    dealt = rows.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "label").join(begun, "cid")
     keys = ["token", "low", "high"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_join(percent), "a long, b long").distinct()
 
@@ -306,32 +321,30 @@ def ngram_components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     arrow_rows(spark)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    frequent = spark.sparkContext.broadcast(_frequent(docs.select("text"), words))
-    signed = written(docs.mapInArrow(_signer(words, percent, frequent), f"doc_id {id_type}, n int, fp binary, prefix array<long>"), "signed")
-    # Rows of the same fp have the same n and prefix.
-    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    signed = written(docs.mapInArrow(_signer(words, percent), f"doc_id {id_type}, n int, n_low int, fp binary, tokens array<long>"), "signed")
+    # Rows of the same fp have the same n, n_low and tokens.
+    same = [F.first(c).alias(c) for c in ("n", "n_low", "tokens")]
+    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), *same)
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-
-    by_token = Window.partitionBy("token").orderBy("n", "cid")
-    entries = classes.select("cid", "n", F.explode("prefix").alias("token"))
-    so_far = by_token.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = F.lag(F.struct("cid", "n")).over(by_token)
-    shared = entries.select(
-        "token", "cid", "n", met.alias("before"), F.lead("cid").over(by_token).alias("after"), F.first(F.struct("cid", "n")).over(so_far).alias("first")
-    ).where("before IS NOT NULL OR after IS NOT NULL")
-    shared = written(shared.select("token", "cid", "n", "before", "first"), "shared")
-
-    def pairs_with(side: str) -> DataFrame:
-        near = shared.where(f"{side}.cid <> cid AND 100 * {side}.n >= {percent} * n")
-        return near.select(F.least("cid", f"{side}.cid").alias("a"), F.greatest("cid", f"{side}.cid").alias("b"))
-
-    pairs = written(_plausible(pairs_with("before").unionAll(pairs_with("first")).distinct(), classes, percent), "pairs")
-    links = _similar(pairs, classes, docs, words, percent)
-    labels = connected_components(links)
-    more = written(_across(shared, labels, classes, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-across")
-    if more.limit(1).count():
-        links = links.unionAll(_similar(more, classes, docs, words, percent))
-        labels = connected_components(links)
+    begun = written(_beginnings(classes, percent), "beginnings")
+    entries = begun.select("cid", "n", F.explode("keys").alias("token"))
+
+    links = spark.createDataFrame([], "a long, b long")
+    tried, labels = links, None
+    for number in range(ROUNDS + 1):
+        now = _labelled(entries, labels)
+        pairs = _in_line(now, number, percent) if number < ROUNDS else _across(now, begun, percent)
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        maybe = written(_plausible(pairs, begun, percent), "plausible") if number < ROUNDS else pairs
+        if number < ROUNDS:
+            tried = tried.unionAll(pairs)
+        if maybe.limit(1).count():
+            found = _similar(maybe, classes, docs, words, percent)
+            if found.limit(1).count():
+                links = links.unionAll(found)
+                labels = connected_components(links)
+    if labels is None:
+        labels = spark.createDataFrame([], "node long, label long")
     named = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = named.join(smallest, "label").select(F.col("node").alias("cid"), "component_id")
