@@ -11,7 +11,7 @@
 4. What is left are n-grams whose classes lie in several components. The ordered beginnings of these classes go into a
    prefix tree; each class traverses it, shares the overlap of common paths, and leaves a subtree when the n-grams
    that remain can't bring the overlap up to t, or when a smaller common n-gram has the pair in its own group. Surviving pairs of different
-   components are compared exactly. Groups are dealt in blocks of BLOCK classes, so that no task holds an unbounded
+   components are compared exactly, and join components as they are found. Groups are dealt in blocks of BLOCK classes, so that no task holds an unbounded
    one, and groups of the same classes count once.
 
 All links between different components are found, as every similar pair shares an entry of step 2. Pairs within a
@@ -40,7 +40,7 @@ from siftstone.llm.components import connected_components
 LOW_SHARE, ROUNDS = 0.25, 3
 #: An order key is the number of classes (the largest value: a hash that isn't low) and the lowest bits of the hash.
 KEY_BITS, NOT_LOW = 43, (1 << 20) - 1
-BLOCK, MEMO_WORDS = 512, 500_000
+BLOCK, MEMO_WORDS, BROADCAST_IDS = 512, 500_000, 1_000_000
 
 
 class NgramHasher:
@@ -132,16 +132,20 @@ def _setter(words: int):
     return sets
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * overlap >= percent * union, of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _comparer(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+                keep.append(similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return compare
@@ -172,16 +176,21 @@ def _plausible(pairs: DataFrame, begun: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n", "m", "own", "own_too", "x", "y").mapInArrow(_pruner(percent), "a long, b long")
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar, from the texts of the classes' first documents."""
-    nodes = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).distinct()
-    wanted = nodes.join(classes.select("cid", "fp", "rep"), "cid")
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(_setter(words), "fp binary, grams binary").join(wanted, "fp").dropDuplicates(["cid"]).select("cid", "grams")
-    sets = written(sets, "sets")
-    with_x = pairs.join(sets.select(F.col("cid").alias("a"), F.col("grams").alias("x")), "a")
-    with_y = with_x.join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("y")), "b")
-    return written(with_y.select("a", "b", "x", "y").mapInArrow(_comparer(percent), "a long, b long"), "similar")
+def _with_sets(begun: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """begun with grams, the whole set of each class, from the text of its first document."""
+    wanted = begun.select("cid").join(classes.select("cid", "fp", "rep"), "cid")
+    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if begun.count() <= BROADCAST_IDS else ids
+    texts = docs.join(ids, "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(_setter(words), "fp binary, grams binary").join(wanted, "fp").dropDuplicates(["cid"])
+    return begun.join(sets.select("cid", "grams"), "cid")
+
+
+def _similar(pairs: DataFrame, begun: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar."""
+    side = lambda cid, grams: begun.select(F.col("cid").alias(cid), F.col("grams").alias(grams))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return written(both.select("a", "b", "x", "y").mapInArrow(_comparer(percent), "a long, b long"), "similar")
 
 
 # --- the prefix tree -------------------------------------------------------------------------------------------
@@ -242,18 +251,18 @@ class PrefixTree:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(token, low, high) and the rows (block, cid, n, own, label, keys) of each run of rows with that key."""
+    """(token, low, high) and the rows (block, cid, n, own, label, keys, grams) of each run of rows with that key."""
     held, key = [], None
     for batch in batches:
         keys = list(zip(*(batch[c].to_pylist() for c in ("token", "low", "high"))))
         cols = [np.asarray(batch[c]) for c in ("block", "cid", "n", "own", "label")]
-        flat, ends = np.asarray(batch["keys"].values), np.asarray(batch["keys"].offsets)
+        flat, ends, grams = np.asarray(batch["keys"].values), np.asarray(batch["keys"].offsets), batch["grams"]
         for r, k in enumerate(keys):
             if k != key and held:
                 yield key, held
                 held = []
             key = k
-            held.append((*(int(c[r]) for c in cols), flat[ends[r] : ends[r + 1]].copy()))
+            held.append((*(int(c[r]) for c in cols), flat[ends[r] : ends[r + 1]].copy(), np.frombuffer(grams[r].as_py(), np.uint64)))
     if held:
         yield key, held
 
@@ -265,17 +274,27 @@ def _tree_join(percent: int):
             right = left if low == high else [r for r in rows if r[0] == high]
             if not left or not right:
                 continue
+            # Components grow with the links of this block; pairs within one aren't compared.
+            root = {r[4]: r[4] for r in rows}
+
+            def of(label: int) -> int:
+                while root[label] != label:
+                    root[label] = label = root[root[label]]
+                return label
+
             # Within a block, two of the commonest component needn't meet: its members only wait in the tree.
             usual = Counter(r[4] for r in left).most_common(1)[0][0] if low == high else None
             tree = PrefixTree([r[5] for r in right], np.array([r[2] for r in right]), np.array([r[3] for r in right]), percent)
-            found = set()
-            for _, cid, n, own, label, keys in left:
+            found = []
+            for _, cid, n, own, label, keys, grams in left:
                 if label != usual:
                     for i in tree.partners(keys, n, own, token):
-                        if right[i][4] != label:
-                            found.add((min(cid, right[i][1]), max(cid, right[i][1])))
+                        at, there = of(label), of(right[i][4])
+                        if at != there and similar(grams, right[i][6], percent):
+                            root[at] = there
+                            found.append((min(cid, right[i][1]), max(cid, right[i][1])))
             if found:
-                a, b = zip(*sorted(found))
+                a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return join
@@ -299,7 +318,7 @@ def _in_line(entries: DataFrame, number: int, percent: int) -> DataFrame:
 
 
 def _across(entries: DataFrame, begun: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that the prefix trees can't rule out."""
+    """Links between components, from the prefix trees: of each block as many as join what is similar in it."""
     groups = entries.groupBy("token").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("of"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("of_too")
     )
@@ -309,7 +328,7 @@ def _across(entries: DataFrame, begun: DataFrame, percent: int) -> DataFrame:
     rows = open_rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("members") - 1) / BLOCK).cast("int"))))
     dealt = rows.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "label").join(begun, "cid")
     keys = ["token", "low", "high"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_join(percent), "a long, b long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_join(percent), "a long, b long")
 
 
 # --- all together ----------------------------------------------------------------------------------------------
@@ -326,23 +345,22 @@ def ngram_components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     same = [F.first(c).alias(c) for c in ("n", "n_low", "tokens")]
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), *same)
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    begun = written(_beginnings(classes, percent), "beginnings")
+    begun = written(_with_sets(written(_beginnings(classes, percent), "beginnings"), classes, docs, words), "begun")
     entries = begun.select("cid", "n", F.explode("keys").alias("token"))
 
-    links = spark.createDataFrame([], "a long, b long")
-    tried, labels = links, None
+    links = tried = spark.createDataFrame([], "a long, b long")
+    labels = None
     for number in range(ROUNDS + 1):
         now = _labelled(entries, labels)
-        pairs = _in_line(now, number, percent) if number < ROUNDS else _across(now, begun, percent)
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        maybe = written(_plausible(pairs, begun, percent), "plausible") if number < ROUNDS else pairs
         if number < ROUNDS:
+            pairs = written(_in_line(now, number, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
             tried = tried.unionAll(pairs)
-        if maybe.limit(1).count():
-            found = _similar(maybe, classes, docs, words, percent)
-            if found.limit(1).count():
-                links = links.unionAll(found)
-                labels = connected_components(links)
+            found = _similar(written(_plausible(pairs, begun, percent), "plausible"), begun, percent)
+        else:
+            found = written(_across(now, begun, percent), "similar")
+        if found.limit(1).count():
+            links = links.unionAll(found)
+            labels = connected_components(links)
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
     named = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
