@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import arrow_rows, table, written
+from siftstone.llm.common import arrow_rows, discard, table, written
 from siftstone.llm.components import connected_components
 
 #: Share of the hashes that count as low; rounds of linear candidates before the trees.
@@ -251,30 +251,60 @@ class PrefixTree:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(token, low, high) and the rows (block, cid, n, own, label, keys, grams) of each run of rows with that key."""
+    """(token, low, high) and the rows (block, cid, n, own, label, keys[, grams]) of each run of rows with that key."""
     held, key = [], None
     for batch in batches:
         keys = list(zip(*(batch[c].to_pylist() for c in ("token", "low", "high"))))
         cols = [np.asarray(batch[c]) for c in ("block", "cid", "n", "own", "label")]
-        flat, ends, grams = np.asarray(batch["keys"].values), np.asarray(batch["keys"].offsets), batch["grams"]
+        flat, ends = np.asarray(batch["keys"].values), np.asarray(batch["keys"].offsets)
+        grams = batch["grams"] if "grams" in batch.schema.names else None
         for r, k in enumerate(keys):
             if k != key and held:
                 yield key, held
                 held = []
             key = k
-            held.append((*(int(c[r]) for c in cols), flat[ends[r] : ends[r + 1]].copy(), np.frombuffer(grams[r].as_py(), np.uint64)))
+            whole = () if grams is None else (np.frombuffer(grams[r].as_py(), np.uint64),)
+            held.append((*(int(c[r]) for c in cols), flat[ends[r] : ends[r + 1]].copy(), *whole))
     if held:
         yield key, held
 
 
+def _meetings(rows: list[tuple], token: int, low: int, high: int, percent: int) -> Iterator[tuple[tuple, tuple]]:
+    """Pairs of rows in different components that the tree can't rule out."""
+    left = [r for r in rows if r[0] == low]
+    right = left if low == high else [r for r in rows if r[0] == high]
+    if not left or not right:
+        return
+    # Within a block, two of the commonest component needn't meet: its members only wait in the tree.
+    usual = Counter(r[4] for r in left).most_common(1)[0][0] if low == high else None
+    tree = PrefixTree([r[5] for r in right], np.array([r[2] for r in right]), np.array([r[3] for r in right]), percent)
+    for row in left:
+        if row[4] != usual:
+            for i in tree.partners(row[5], row[2], row[3], token):
+                if right[i][4] != row[4]:
+                    yield row, right[i]
+
+
+def _tree_members(percent: int):
+    """The rows that have a partner: as many at most as came."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ("token", "low", "high", "block", "cid", "label"), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        for (token, low, high), rows in _groups(batches):
+            kept = {(r[0], r[1], r[4]) for pair in _meetings(rows, token, low, high, percent) for r in pair}
+            if kept:
+                block, cid, label = zip(*sorted(kept))
+                n = len(cid)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([token] * n, [low] * n, [high] * n, block, cid, label), types)], list(names))
+
+    return members
+
+
 def _tree_join(percent: int):
+    """Exact links. Components grow with the links of a block; pairs within one aren't compared."""
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (token, low, high), rows in _groups(batches):
-            left = [r for r in rows if r[0] == low]
-            right = left if low == high else [r for r in rows if r[0] == high]
-            if not left or not right:
-                continue
-            # Components grow with the links of this block; pairs within one aren't compared.
             root = {r[4]: r[4] for r in rows}
 
             def of(label: int) -> int:
@@ -282,17 +312,12 @@ def _tree_join(percent: int):
                     root[label] = label = root[root[label]]
                 return label
 
-            # Within a block, two of the commonest component needn't meet: its members only wait in the tree.
-            usual = Counter(r[4] for r in left).most_common(1)[0][0] if low == high else None
-            tree = PrefixTree([r[5] for r in right], np.array([r[2] for r in right]), np.array([r[3] for r in right]), percent)
             found = []
-            for _, cid, n, own, label, keys, grams in left:
-                if label != usual:
-                    for i in tree.partners(keys, n, own, token):
-                        at, there = of(label), of(right[i][4])
-                        if at != there and similar(grams, right[i][6], percent):
-                            root[at] = there
-                            found.append((min(cid, right[i][1]), max(cid, right[i][1])))
+            for x, y in _meetings(rows, token, low, high, percent):
+                at, there = of(x[4]), of(y[4])
+                if at != there and similar(x[6], y[6], percent):
+                    root[at] = there
+                    found.append((min(x[1], y[1]), max(x[1], y[1])))
             if found:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -326,9 +351,12 @@ def _across(entries: DataFrame, begun: DataFrame, percent: int) -> DataFrame:
     open_rows = entries.join(open_groups, "token")
     block = F.floor((F.row_number().over(Window.partitionBy("token").orderBy("cid")) - 1) / BLOCK).cast("int")
     rows = open_rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("members") - 1) / BLOCK).cast("int"))))
-    dealt = rows.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "label").join(begun, "cid")
+    dealt = rows.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "label")
     keys = ["token", "low", "high"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tree_join(percent), "a long, b long")
+    together = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
+    # The whole sets travel only to where beginnings alone don't decide.
+    members = together(dealt.join(begun.drop("grams"), "cid")).mapInArrow(_tree_members(percent), "token long, low int, high int, block int, cid long, label long")
+    return together(written(members, "members").join(begun, "cid")).mapInArrow(_tree_join(percent), "a long, b long")
 
 
 # --- all together ----------------------------------------------------------------------------------------------
@@ -344,8 +372,13 @@ def ngram_components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     # Rows of the same fp have the same n, n_low and tokens.
     same = [F.first(c).alias(c) for c in ("n", "n_low", "tokens")]
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), *same)
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    begun = written(_with_sets(written(_beginnings(classes, percent), "beginnings"), classes, docs, words), "begun")
+    sets = written(classes.withColumn("cid", F.monotonically_increasing_id()), "sets")
+    ids = written(signed.select("doc_id", "n", "fp"), "ids")
+    discard(signed)
+    beginnings = written(_beginnings(sets, percent), "beginnings")
+    classes = written(sets.select("cid", "fp", "rep"), "classes")
+    discard(sets)
+    begun = written(_with_sets(beginnings, classes, docs, words), "begun")
     entries = begun.select("cid", "n", F.explode("keys").alias("token"))
 
     links = tried = spark.createDataFrame([], "a long, b long")
@@ -367,17 +400,22 @@ def ngram_components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: s
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = named.join(smallest, "label").select(F.col("node").alias("cid"), "component_id")
     by_fp = classes.select("fp", "cid", "rep").join(of_class, "cid", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "fp").join(by_fp, "fp", "left")
+    out = ids.join(by_fp, "fp", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df whose id is the smallest of its component, one row an id; rows without an id stay as they are."""
-    found = ngram_components(df, words, percent, doc_id, text)
-    kept = found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    same = df.join(kept, df[doc_id] == kept["_kept_id"], "left_semi").dropDuplicates([doc_id])
-    return same.unionByName(df.where(F.col(doc_id).isNull()))
+    found = written(ngram_components(df, words, percent, doc_id, text), "components")
+    stays = F.col("component_id") == F.col("doc_id")
+    goes = found.where(~stays).select(F.col("doc_id").alias("_gone")).distinct()
+    n_gone, n_stay, ids_stay = goes.count(), *found.where(stays).agg(F.count("*"), F.countDistinct("doc_id")).first()
+    # Ids are few enough to broadcast, or both sides are dealt by id.
+    kept = df.join(F.broadcast(goes) if n_gone <= BROADCAST_IDS else goes, df[doc_id] == goes["_gone"], "left_anti")
+    if n_stay == ids_stay:
+        return kept
+    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
