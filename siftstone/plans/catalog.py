@@ -370,7 +370,7 @@ ORACLE_SQL = {
     "bm25_filtered": "WITH " + _bm25_sql(5, "lang = 'en'") + " SELECT * FROM top",
     "term_statistics": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY term",
     "field_statistics": f"SELECT 'text' AS field, count(*) AS n_docs, round(avg(n), 6) AS avgdl FROM (SELECT len({_WORDS}) AS n FROM documents) WHERE n > 0",
-    "dense_cosine_topk": f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id)::INT AS rank, c.vec_id, {_COS.format(a='q.e', b='c.e')} AS score FROM v q, v c WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10",
+    "dense_cosine_topk": f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, {_COS.format(a='q.e', b='c.e')} AS score FROM v q, v c WHERE q.vec_id % 100 = 0) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10",
     "weighted_rrf": f"WITH {_POOL}, {_rrf_sql(0.8, 20)} SELECT * FROM t",
     "plain_rrf": f"WITH {_POOL}, {_rrf_sql(1.0, 20)} SELECT * FROM t",
     "candidate_counts": f"WITH {_POOL} SELECT r AS retriever_id, count(*) AS n FROM l GROUP BY r UNION ALL SELECT 'third', 0",
