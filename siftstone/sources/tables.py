@@ -14,11 +14,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
-ORIGINALS = StructType.fromDDL("doc_id string, raw_text string, business_type string, source_metadata map<string,string>, stored_at timestamp")
-FAILURES = StructType.fromDDL("id string, chunk_id string, doc_id string, failure_mode string, error_msg string, attempt_count int, created_at timestamp, last_attempt timestamp, resolved boolean")
-REVIEWS = StructType.fromDDL("review_id string, doc_id string, audited_at timestamp, total_groups int, ok int, should_merge int, should_split int, unclear int, audit_failed int, skipped int, groups array<struct<group_key:string,grouping_type:string,verdict:string,confidence:string,reason:string,affected:array<string>>>")
+_TEXT, _TIME, _INT = T.StringType(), T.TimestampType(), T.IntegerType()
+
+
+def _struct(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+ORIGINALS = _struct(doc_id=_TEXT, raw_text=_TEXT, business_type=_TEXT, source_metadata=T.MapType(_TEXT, _TEXT), stored_at=_TIME)
+FAILURES = _struct(id=_TEXT, chunk_id=_TEXT, doc_id=_TEXT, failure_mode=_TEXT, error_msg=_TEXT, attempt_count=_INT, created_at=_TIME, last_attempt=_TIME, resolved=T.BooleanType())
+REVIEWS = _struct(
+    review_id=_TEXT, doc_id=_TEXT, audited_at=_TIME, total_groups=_INT, ok=_INT, should_merge=_INT, should_split=_INT, unclear=_INT, audit_failed=_INT, skipped=_INT,
+    groups=T.ArrayType(_struct(group_key=_TEXT, grouping_type=_TEXT, verdict=_TEXT, confidence=_TEXT, reason=_TEXT, affected=T.ArrayType(_TEXT))),
+)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,7 +50,7 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
 
 def read_json_originals(spark: SparkSession, path: str) -> DataFrame:
     """Originals from a folder of JSON files, one a document; files that don't parse are left out. The id is the file's stem where the record has none."""
-    schema = StructType.fromDDL("doc_id string, raw_text string, business_type string, source_metadata map<string,string>, stored_at timestamp, _corrupt string")
+    schema = T.StructType([*ORIGINALS.fields, T.StructField("_corrupt", _TEXT)])
     raw = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     return raw.select("*", stem.alias("_stem")).where("_corrupt IS NULL").withColumn("doc_id", F.coalesce("doc_id", "_stem")).select(*ORIGINALS.names)
@@ -91,7 +101,7 @@ class Store:
     def exists(self) -> bool:
         return self.live() is not None
 
-    def read(self, schema: StructType | None = None) -> DataFrame:
+    def read(self, schema: T.StructType | None = None) -> DataFrame:
         version = self.live()
         if version is None:
             if schema is None:

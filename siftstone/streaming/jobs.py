@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,14 +28,13 @@ def ingest_stream(engine: Engine, source: str, checkpoint: str, available_now: b
 
 def audit(chunks: DataFrame, model: Callable, now=None) -> DataFrame:
     """The review rows of all documents of chunks. model(prompts) gives replies; a failing model gives audit_failed."""
-    import pandas as pd
-
     @F.pandas_udf("string")
-    def ask(prompts: pd.Series) -> pd.Series:
-        try:
-            return pd.Series(model(list(prompts)))
-        except Exception:  # noqa: BLE001  the report counts it
-            return pd.Series([None] * len(prompts), dtype="object")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in batches:
+            try:
+                yield pd.Series(model(list(prompts)))
+            except Exception:  # noqa: BLE001  the report counts it
+                yield pd.Series([None] * len(prompts), dtype="object")
 
     groups = bookkeeping.audit_groups(chunks)
     audited = bookkeeping.verdicts(groups.withColumn("reply", ask("prompt"))).drop("reply")
