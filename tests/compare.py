@@ -22,7 +22,7 @@ def oracle(sf_dir: str = DATA) -> duckdb.DuckDBPyConnection:
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v is pd.NaT or v != v else str(v) if isinstance(v, pd.Timestamp) else int(v) if isinstance(v, bool) else v.item() if hasattr(v, "item") else v
+    plain = lambda v: None if v is None or v is pd.NaT or v is pd.NA or v != v else str(v) if isinstance(v, pd.Timestamp) else int(v) if isinstance(v, bool) else v.item() if hasattr(v, "item") else v
     return sorted((tuple(plain(v) for v in r) for r in df.itertuples(index=False)), key=repr)
 
 
