@@ -83,7 +83,8 @@ def scan_secrets(df: DataFrame, text: str = "text", scope: int = SCOPE) -> DataF
     )
     order = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
     every = F.concat(p["assign"], p["access"], p["hex"], linked)
-    return parts.select(*[F.col("_kept").getField(c).alias(c) for c in names], order(every).alias("secrets"))
+    found = parts.select("_kept", order(every).alias("_found"))
+    return found.select(*[F.col("_kept").getField(c).alias(c) for c in names], F.col("_found").alias("secrets"))
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
