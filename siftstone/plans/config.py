@@ -10,7 +10,11 @@ from pyspark.sql import types as T
 from siftstone.operators.chunking import Budget
 
 TYPES = {"keyword": T.StringType(), "text": T.StringType(), "date": T.TimestampType(), "integer": T.IntegerType(), "float": T.FloatType(), "boolean": T.BooleanType()}
-SYSTEM_FIELDS = "chunk_id string, doc_id string, parent_id string, hierarchy_level int, position int, business_type string, config_version string, embedding_model_versions string, enhanced boolean"
+#: Columns that every chunk table has.
+SYSTEM_FIELDS = {
+    **dict.fromkeys(("chunk_id", "doc_id", "parent_id"), T.StringType()), **dict.fromkeys(("hierarchy_level", "position"), T.IntegerType()),
+    **dict.fromkeys(("business_type", "config_version", "embedding_model_versions"), T.StringType()), "enhanced": T.BooleanType(),
+}
 
 
 class ConfigError(ValueError):
@@ -52,12 +56,8 @@ class Config:
 
     def chunk_schema(self) -> T.StructType:
         """System columns, then the declared ones."""
-        schema = T.StructType.fromDDL(SYSTEM_FIELDS)
-        have = set(schema.names)
-        for f in self.fields:
-            if f["name"] not in have:
-                schema.add(f["name"], TYPES[f["type"]])
-        return schema
+        declared = {f["name"]: TYPES[f["type"]] for f in self.fields if f["name"] not in SYSTEM_FIELDS}
+        return T.StructType([T.StructField(name, kind) for name, kind in (SYSTEM_FIELDS | declared).items()])
 
     def weights(self) -> dict[str, float] | None:
         """By retriever; plain fusion has none."""
