@@ -27,10 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors and is computed once."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     # Spark drops the shuffle files of steps that are done when the driver collects its garbage; small heaps seldom do.
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()

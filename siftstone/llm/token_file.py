@@ -13,7 +13,8 @@ lengths of its documents, its start within the partition, and a payload:
 Tokenisation is memoised by unit: a text is cut before each space and line feed. The byte-level pattern splits a run of
 white space before its last character, or nowhere at the end of a text, so where runs are of two characters at most (one at
 the end) the cuts are boundaries of the pattern, and a unit's ids do not depend on its surroundings. Other texts, and
-texts that hold a special token's string, are encoded whole.
+texts that hold a special token's string, are encoded whole. Of a unit that is letters, or letters and a mark, the pattern
+can't cut the letters, so they go to the tokenizer's model directly.
 
 A null text is an empty one and gives only the end id. Null ids sort first; rows of the same id are ordered by text.
 Every row gives one row; an empty table gives none.
@@ -21,9 +22,11 @@ Every row gives one row; an empty table gives none.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,14 +38,42 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import arrow_rows, table, written
 
-BLOCK, PERCENTILE, FRAME_IDS, MEMO_UNITS = 128, 0.9, 1 << 16, 1_000_000
+BLOCK, PERCENTILE, FRAME_IDS, MEMO_UNITS = 128, 0.99, 1 << 16, 700_000
 #: White space in which a cut would change the ids, or that the cut into units would confuse.
-_UNSAFE = re.compile(r"\s\s\s|\s\s\Z| \n").search
+_RUNS = re.compile(r"\s\s\s|\s\s\Z| \n").search
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+def _unsafe(text: str) -> bool:
+    if any(c in text for c in _OTHER_SPACE):
+        return bool(_RUNS(text))
+    return "  " in text or " \n" in text or "\n\n\n" in text or "\n\n " in text or text.endswith(("\n\n", "\n "))
 
 
 # --- the codec -------------------------------------------------------------------------------------------------
 
 
+def _to_bits(v: np.ndarray, w: int) -> np.ndarray:
+    """Rows of values to rows of bytes with w bits a value."""
+    kind = "u1" if w <= 8 else "<u2" if w <= 16 else "<u4"
+    size = np.dtype(kind).itemsize
+    raw = v.astype(kind).view(np.uint8).reshape(len(v), BLOCK, size)
+    if w == 8 * size:
+        return raw.reshape(len(v), -1)
+    bits = np.unpackbits(raw, axis=2, bitorder="little")[:, :, :w]
+    return np.packbits(bits.reshape(len(v), -1), axis=1, bitorder="little")
+
+
+def _from_bits(packed: np.ndarray, w: int) -> np.ndarray:
+    kind = "u1" if w <= 8 else "<u2" if w <= 16 else "<u4"
+    size = np.dtype(kind).itemsize
+    if w < 8 * size:
+        wide = np.zeros((len(packed), BLOCK, 8 * size), np.uint8)
+        wide[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(packed), BLOCK, w)
+        packed = np.packbits(wide, axis=2, bitorder="little").reshape(len(packed), -1)
+    return np.ascontiguousarray(packed).view(kind).astype(np.uint32)
+
+
 def pack(ids: np.ndarray) -> bytes:
     """Ids (unsigned 32-bit) to a payload."""
     n = len(ids)
@@ -66,8 +97,7 @@ def pack(ids: np.ndarray) -> bytes:
     for w in np.unique(width):
         if w:
             sel = np.flatnonzero(width == w)
-            bits = ((v[sel][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(sel), -1)
-            body[start[sel][:, None] + np.arange(16 * int(w))] = np.packbits(bits, axis=1, bitorder="little")
+            body[start[sel][:, None] + np.arange(16 * int(w))] = _to_bits(v[sel], int(w))
     if len(rows):
         nth = np.arange(len(rows)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
         at = (start + 16 * width.astype(np.int64))[rows]
@@ -89,11 +119,7 @@ def unpack(payload: bytes) -> np.ndarray:
     for w in np.unique(width):
         if w:
             sel = np.flatnonzero(width == w)
-            bits = np.unpackbits(body[start[sel][:, None] + np.arange(16 * int(w))], axis=1, bitorder="little").reshape(len(sel), BLOCK, int(w))
-            out = np.zeros((len(sel), BLOCK), np.uint32)
-            for b in range(int(w)):
-                out |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
-            v[sel] = out
+            v[sel] = _from_bits(body[start[sel][:, None] + np.arange(16 * int(w))], int(w))
     rows = np.repeat(np.arange(blocks), n_over)
     if len(rows):
         nth = np.arange(len(rows)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
@@ -106,8 +132,14 @@ def unpack(payload: bytes) -> np.ndarray:
 # --- tokenising ------------------------------------------------------------------------------------------------
 
 
+#: How byte-level vocabularies write bytes: printable Latin-1 characters stand for themselves, the others follow from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_AS_WRITTEN = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_MARKS = frozenset(",.;:!?")
+
+
 class UnitEncoder:
-    """Texts to ids as little-endian bytes, memoised by unit."""
+    """Texts to ids as little-endian bytes, memoised by unit in two generations: what the older one holds and is used again moves to the younger."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -115,24 +147,51 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = json.loads(self.tokenizer.to_str())
+        split = parts["pre_tokenizer"] or {}
+        #: A run of letters is one piece of this pattern, so the model alone gives its ids.
+        self.direct = parts["normalizer"] is None and parts["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.model = self.tokenizer.model
+        self.fixed = {c: self._encoded(c) for c in ("\n", *_MARKS)}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        written = word if word.isascii() and word[:1] != " " else word.encode().decode("latin-1").translate(_AS_WRITTEN)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        """Of a unit as it stands in the memo: without its space, or with its line feed."""
+        if not self.direct:
+            return self._encoded(unit if unit[:1] == "\n" else " " + unit)
+        in_line = unit[:1] != "\n"
+        bare = unit if in_line else unit[1:]
+        if bare.isalpha():
+            return self._letters(" " + bare) if in_line else self.fixed["\n"] + self._letters(bare)
+        stem, mark = bare[:-1], self.fixed.get(bare[-1:])
+        if mark and stem.isalpha():
+            if in_line and stem not in self.young:
+                self.young[stem] = self.old.get(stem) or self._letters(" " + stem)
+            return self.young[stem] + mark if in_line else self.fixed["\n"] + self._letters(stem) + mark
+        return self._encoded(" " + unit if in_line else unit)
 
     def one(self, text: str) -> bytes:
-        if _UNSAFE(text) or any(s in text for s in self.special):
-            return self._encoded([text])[0]
+        if _unsafe(text) or any(s in text for s in self.special):
+            return self._encoded(text)
         first, *units = text.replace("\n", " \n").split(" ")
-        head = self._encoded([first])[0]
+        head = self._encoded(first)
         try:
-            return head + b"".join(map(self.memo.__getitem__, units))
+            return head + b"".join(map(self.young.__getitem__, units))
         except KeyError:
-            if len(self.memo) > MEMO_UNITS:
-                self.memo.clear()
-            new = list({u for u in units if u not in self.memo})
-            self.memo.update(zip(new, self._encoded([u if u[:1] == "\n" else " " + u for u in new])))
-            return head + b"".join(map(self.memo.__getitem__, units))
+            if len(self.young) > MEMO_UNITS:
+                self.old, self.young = self.young, {}
+            for u in units:
+                if u not in self.young:
+                    self.young[u] = self.old.get(u) or self._unit(u)
+            return head + b"".join(map(self.young.__getitem__, units))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return [self.one(t) for t in texts]
@@ -178,7 +237,7 @@ def write_token_file(df: DataFrame, tokenizer_file: str, doc_id: str = "doc_id",
     arrow_rows(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(rows.mapInArrow(_writer(tokenizer_file, end_id), _FRAME_DDL), "token-frames")
+    return written(rows.mapInArrow(_writer(tokenizer_file, end_id), _FRAME_DDL), "token-frames", compression="zstd")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
