@@ -19,7 +19,7 @@ def asked(spark, *texts):
     return spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "query_id int, query string")
 
 
-def test_filters_are_ands_of_what_is_set():
+def test_filters_are_ands_of_what_is_set(spark):
     assert Filters().is_empty and Filters().predicates() == [] and Filters(business_type="").predicates() == []
     full = Filters("a", "b", "c", "2024-01-01", "2024-02-01", {"k": "v"})
     assert len(full.predicates()) == 6
