@@ -38,7 +38,8 @@ from siftstone.llm.components import connected_components
 
 #: Share of the hashes that count as low; rounds of linear candidates before the trees.
 LOW_SHARE, ROUNDS = 0.25, 3
-#: An order key is the number of classes (the largest value: a hash that isn't low) and the lowest bits of the hash.
+#: An order key is the number of classes and the lowest bits of the hash. For a hash that isn't low it is the largest value and the highest
+#: bits, as these n-grams are chosen by hash: keys have to sort as beginnings are chosen, or bounds on what lies beyond them don't hold.
 KEY_BITS, NOT_LOW = 43, (1 << 20) - 1
 BLOCK, MEMO_WORDS, BROADCAST_IDS = 512, 500_000, 1_000_000
 
@@ -109,8 +110,10 @@ def _beginnings(classes: DataFrame, percent: int) -> DataFrame:
     """(cid, n, own, keys): of classes with shared n-grams in their beginning, these in order, and the number of n-grams that are surely theirs alone."""
     limit = int(LOW_SHARE * 2.0**64) >> 1
     met = classes.select("cid", F.explode("tokens").alias("token")).withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
-    rarity = F.when(F.col("token") < limit, F.least("df", F.lit(NOT_LOW - 1))).otherwise(F.lit(NOT_LOW)).cast("long")
-    key = F.shiftleft(rarity, KEY_BITS).bitwiseOR(F.col("token").bitwiseAND((1 << KEY_BITS) - 1))
+    low = F.col("token") < limit
+    rarity = F.when(low, F.least("df", F.lit(NOT_LOW - 1))).otherwise(F.lit(NOT_LOW)).cast("long")
+    bits = F.when(low, F.col("token").bitwiseAND((1 << KEY_BITS) - 1)).otherwise(F.shiftright("token", 63 - KEY_BITS))
+    key = F.shiftleft(rarity, KEY_BITS).bitwiseOR(bits)
     by_class = met.select("cid", key.alias("key")).groupBy("cid").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     shared_low = F.size(F.filter("keys", lambda k: k < (NOT_LOW << KEY_BITS)))
     first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1

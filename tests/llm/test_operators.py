@@ -232,6 +232,27 @@ def test_components_equal_brute_force(spark, docs, monkeypatch, block):
     assert len({c for _, c in got.values()}) < len(rows) - 60
 
 
+@pytest.mark.parametrize("words, percent", [(1, 60), (4, 85)])
+def test_contained_pairs_at_the_threshold(spark, docs, words, percent):
+    """Sets of which few hashes are low, a text and the same with a passage added, and texts that share some of their n-grams."""
+    rng, rows = random.Random(3), []
+    hasher = J.NgramHasher(words)
+    for family in range(150):
+        n = rng.randint(9, 40)
+        both = n * 100 // percent
+        text = [f"f{family}w{i}" for i in range(both + words - 1)]
+        short = text[: n + words - 1]
+        low = int((hasher(" ".join(short).encode()) < np.uint64(int(J.LOW_SHARE * 2.0**64))).sum())
+        if low < J._beginning(n, percent):
+            rows += [" ".join(short), " ".join(text)]
+            for k in range(8):
+                at = rng.randrange(both)
+                rows.append(" ".join(text[at : at + rng.randint(words, 2 * words + 2)] + [f"f{family}x{k}y{i}" for i in range(rng.randint(3, 30))]))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.ngram_components(docs(*rows), words, percent).collect()}
+    assert got == brute_components(list(enumerate(rows)), words, percent)
+
+
 def test_join_edges(spark, docs):
     df = docs((None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (4, "q r s t u"), (2, "a b c d e"))
     rows = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in J.ngram_components(df, 4, 85).collect() if r.doc_id is not None)
