@@ -5,8 +5,9 @@ become typed placeholders, other tokens their lower case. Windows of WINDOW cano
 hash table and joined with the windows of each document. Hits of an item on the same diagonal (document position less item
 position) are merged to stretches. A stretch must be consistent in its slots: a value of the item's slot stands for one
 value of the document, and different values for different ones. So a question with other numbers and names still matches,
-and a text that merely has the same shape doesn't. A document leaks an item if consistent stretches cover RUN tokens in
-one piece, or SHARE of the item's tokens in all.
+and a text that merely has the same shape doesn't. A stretch that isn't consistent is cut at the slots in conflict (a pair of values
+stays where it is the commonest of both its values); pieces of a window's width count, and so do runs of equal tokens of that width.
+A document leaks an item if consistent stretches and pieces cover RUN tokens in one piece, or SHARE of the item's tokens in all.
 
 Windows with fewer than LITERALS other tokens are too vague to be looked up; items shorter than WINDOW are one window;
 items with fewer than LITERALS literal tokens take no part. The benchmark is taken in slices of SLICE_BYTES of text, each
@@ -18,7 +19,7 @@ Null and empty texts match nothing. Repeated rows are documents of their own. Ti
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,6 +42,11 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _MEASURE = re.compile(r"([+-]?\d[\d.,]*)([A-Za-z]+)")
 
 
+def plain(token: str) -> str:
+    """A token in lower case without punctuation, if that leaves something."""
+    return (_EDGE.sub("", token) or token).lower()
+
+
 def canonical(token: str) -> str:
     """The canonical form of a token; a placeholder begins with a null character."""
     bare = _EDGE.sub("", token)
@@ -126,8 +132,9 @@ class TemplateIndex:
             item, covered, longest, spans, verbatim = self.items[k], set(), 0, [], True
             width = min(WINDOW, len(item))
             for shift, starts in diagonals.items():
-                for a, b in _stretches(sorted(starts), width):
-                    if self._consistent(item[a:b], tokens[shift + a : shift + b]):
+                for start, end in _stretches(sorted(starts), width):
+                    for a, b in self._pieces(item[start:end], tokens[shift + start : shift + end], width):
+                        a, b = start + a, start + b
                         covered.update(range(a, b))
                         longest = max(longest, b - a)
                         spans.append((shift + a, shift + b - 1))
@@ -136,6 +143,22 @@ class TemplateIndex:
                 out.append((k, len(covered), min(s for s, _ in spans), max(e for _, e in spans), verbatim))
         return out
 
+    @classmethod
+    def _pieces(cls, item: list[str], doc: list[str], width: int) -> list[tuple[int, int]]:
+        """The whole stretch if it is consistent, else what of it is, in pieces of at least so many tokens."""
+        if cls._consistent(item, doc):
+            return [(0, len(item))]
+        pairs = [(_EDGE.sub("", a), _EDGE.sub("", b)) if canonical(a).startswith("\x00") else None for a, b in zip(item, doc)]
+        times = Counter(p for p in pairs if p)
+        rivals = [defaultdict(list), defaultdict(list)]
+        for pair, n in times.items():
+            for side, value in zip(rivals, pair):
+                side[value].append(n)
+        stays = {p for p, n in times.items() if all(max(r) == n and r.count(n) == 1 for r in (rivals[0][p[0]], rivals[1][p[1]]))}
+        kept = [p is None or p in stays for p in pairs]
+        same = [plain(a) == plain(b) for a, b in zip(item, doc)]
+        return [r for flags in (kept, same) for r in _runs(flags) if r[1] - r[0] >= width]
+
     @staticmethod
     def _consistent(item: list[str], doc: list[str]) -> bool:
         there, back = {}, {}
@@ -147,6 +170,12 @@ class TemplateIndex:
         return True
 
 
+def _runs(flags: list[bool]) -> list[tuple[int, int]]:
+    """Maximal runs of true flags."""
+    edges = np.flatnonzero(np.diff(np.array([False, *flags, False], np.int8)))
+    return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
+
+
 def _stretches(starts: list[int], width: int) -> list[tuple[int, int]]:
     """Unions of overlapping or touching windows."""
     out: list[list[int]] = []

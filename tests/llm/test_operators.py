@@ -84,6 +84,18 @@ def test_leaks(spark, docs):
     assert L.find_leaks(df.limit(0), bench).count() == 0 and L.find_leaks(df, bench.limit(0)).count() == 0 and L.drop_leaks(df, bench.limit(0)).count() == 9
 
 
+def test_inconsistent_stretches_are_cut():
+    index, codes = L.TemplateIndex([(1, ITEM)]), L._Codes()
+    one_changed = ITEM.replace("12 of", "77 of")
+    covered_by = lambda t: [(f[1], f[4]) for f in index.leaks(codes, t.split())]
+    assert covered_by(one_changed) == [(21, True)]
+    assert covered_by(ITEM.replace("3.50", "12")) == [(14, True)]
+    assert not covered_by(one_changed.replace("Alice Smith", "Carol Jones").replace("12", "40"))
+    twice = L.TemplateIndex([(1, f"{ITEM} and then Alice meets Alice near the old mill where Alice lives now")])
+    renamed = " ".join(twice.items[0]).replace("Alice", "Carol").replace("Carol lives", "Dana lives")
+    assert [f[1] for f in twice.leaks(codes, renamed.split())] == [renamed.split().index("Dana")]
+
+
 def test_whole_passages_are_found(spark):
     want = set(compare.oracle().sql("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)").fetchall())
     assert {(r.doc_id, r.item_id) for r in QUERIES["op6_decontamination"](spark, compare.DATA).collect()} >= want
