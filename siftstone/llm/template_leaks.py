@@ -2,15 +2,16 @@
 
 Texts are cut at white space; each token is stripped of punctuation and canonicalised: numbers, units and names
 become typed placeholders, other tokens their lower case. Windows of WINDOW canonical tokens of the benchmark are kept in a
-hash table and joined with the windows of each document. Hits of an item on the same diagonal (document position less item
+hash table and joined with the windows of each document; so are windows of plain tokens (lower case, no punctuation), which find
+literal copies whatever they consist of and in any case. Hits of an item on the same diagonal (document position less item
 position) are merged to stretches. A stretch must be consistent in its slots: a value of the item's slot stands for one
 value of the document, and different values for different ones. So a question with other numbers and names still matches,
 and a text that merely has the same shape doesn't. A stretch that isn't consistent is cut at the slots in conflict (a pair of values
 stays where it is the commonest of both its values); pieces of a window's width count, and so do runs of equal tokens of that width.
 A document leaks an item if consistent stretches and pieces cover RUN tokens in one piece, or SHARE of the item's tokens in all.
 
-Windows with fewer than LITERALS other tokens are too vague to be looked up; items shorter than WINDOW are one window;
-items with fewer than LITERALS literal tokens take no part. The benchmark is taken in slices of SLICE_BYTES of text, each
+Template windows with fewer than LITERALS other tokens are too vague to be looked up; windows of plain tokens all are. Items shorter than
+WINDOW are one window. The benchmark is taken in slices of SLICE_BYTES of text, each
 broadcast as a hash table, so its size is bounded whatever the benchmark; documents are never shuffled.
 
 Null and empty texts match nothing. Repeated rows are documents of their own. Ties don't arise: all leaked items are reported.
@@ -19,6 +20,7 @@ Null and empty texts match nothing. Repeated rows are documents of their own. Ti
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -62,35 +64,45 @@ def canonical(token: str) -> str:
     return low
 
 
-class _Codes(dict):
-    """Token -> hash of its canonical form (odd for placeholders, even for literals)."""
+class _Codes:
+    """Tokens -> hashes of their canonical forms (odd for placeholders, even for literals), and of their plain forms."""
 
-    def __missing__(self, token: str) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        c = canonical(token)
-        code = self[token] = xxhash.xxh3_64_intdigest(c) & ~1 | c.startswith("\x00")
-        return code
+    def __init__(self):
+        self.number, self.forms = {}, (array("Q"), array("Q"))
+
+    def __call__(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.number) > MEMO_WORDS:
+            self.__init__()
+        try:
+            at = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        except KeyError:
+            for token in tokens:
+                if token not in self.number:
+                    c = canonical(token)
+                    self.forms[0].append(xxhash.xxh3_64_intdigest(c) & ~1 | c.startswith("\x00"))
+                    self.forms[1].append(xxhash.xxh3_64_intdigest(plain(token)))
+                    self.number[token] = len(self.number)
+            at = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        return tuple(np.frombuffer(f, np.uint64)[at] if len(at) else np.zeros(0, np.uint64) for f in self.forms)
 
 
 _MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(f"template {i}") | 1 for i in range(WINDOW)], np.uint64)
 
 
-def _windows(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and whether it has enough literals."""
-    n = len(codes) - width + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+def _windows(codes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each window."""
+    n = max(0, len(codes) - width + 1)
     h = np.full(n, width, np.uint64)
     for i in range(width):
         h += (codes[i : i + n] ^ (codes[i : i + n] >> np.uint64(29))) * _MULTIPLIERS[i]
     h ^= h >> np.uint64(32)
-    literal = np.concatenate([[0], np.cumsum((codes & np.uint64(1)) == 0)])
-    return h * np.uint64(0x9E3779B97F4A7C15), literal[width:] - literal[:-width] >= min(LITERALS, width)
+    return h * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _codes(codes: _Codes, tokens: list[str]) -> np.ndarray:
-    return np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
+def _clear(codes: np.ndarray, width: int) -> np.ndarray:
+    """Whether each window has enough literals."""
+    literal = np.concatenate([[0], np.cumsum((codes & np.uint64(1)) == 0)])
+    return literal[width:] - literal[:-width] >= LITERALS
 
 
 class TemplateIndex:
@@ -98,17 +110,18 @@ class TemplateIndex:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items: dict[int, list[str]] = {}
-        at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        at: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         codes = _Codes()
         for k, (_, text) in enumerate(items):
             tokens = text.split()
             width = min(WINDOW, len(tokens))
-            if width < LITERALS:
+            if not width:
                 continue
-            hashes, clear = _windows(_codes(codes, tokens), width)
             self.items[k] = tokens
-            for p in np.flatnonzero(clear):
-                at[width][int(hashes[p])].append((k, int(p)))
+            for form, coded in enumerate(codes(tokens)):
+                hashes = _windows(coded, width)
+                for p in range(len(hashes)) if form else np.flatnonzero(_clear(coded, width)):
+                    at[form, width][int(hashes[p])].append((k, int(p)))
         self.ids = [i for i, _ in items]
         self.at = {w: dict(d) for w, d in at.items()}
         self.sorted = {w: np.array(sorted(d), np.uint64) for w, d in self.at.items()}
@@ -119,13 +132,15 @@ class TemplateIndex:
 
     def leaks(self, codes: _Codes, tokens: list[str]) -> list[tuple[int, int, int, int, bool]]:
         """(item, covered tokens, first token, last token, verbatim) of each leaked item."""
-        coded = _codes(codes, tokens)
+        coded = codes(tokens)
         hits: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for width, hashes in self.sorted.items():
-            h, clear = _windows(coded, width)
-            where = np.flatnonzero(self.maybe[width][h >> np.uint64(42)] & clear) if len(h) else ()
+        for (form, width), maybe in self.maybe.items():
+            h = _windows(coded[form], width)
+            where = np.flatnonzero(maybe[h >> np.uint64(42)])
+            if not form and len(where):
+                where = where[_clear(coded[form], width)[where]]
             for p in where:
-                for k, i in self.at[width].get(int(h[p]), ()):
+                for k, i in self.at[form, width].get(int(h[p]), ()):
                     hits[k][int(p) - i].append(i)
         out = []
         for k, diagonals in hits.items():

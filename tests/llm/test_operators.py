@@ -96,6 +96,16 @@ def test_inconsistent_stretches_are_cut():
     assert [f[1] for f in twice.leaks(codes, renamed.split())] == [renamed.split().index("Dana")]
 
 
+def test_literal_copies_are_found_in_any_case():
+    dense = "Which Country Won The 1998 World Cup Final Against Brazil In Paris"
+    items = [ITEM, dense, "Paris 1998", "12 13 14 15 16 17 18 19 20 21"]
+    index, codes = L.TemplateIndex(list(enumerate(items))), L._Codes()
+    for k, item in enumerate(items):
+        for copy in (item, item.lower(), item.upper(), f"({item})!"):
+            assert k in {f[0] for f in index.leaks(codes, f"so it goes {copy} and on".split())}, copy
+    assert not index.leaks(codes, "In Paris in 1998 France Won The 2018 World Cup Final Against Croatia 12 13 14".split()) and not index.leaks(codes, [])
+
+
 def test_whole_passages_are_found(spark):
     want = set(compare.oracle().sql("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)").fetchall())
     assert {(r.doc_id, r.item_id) for r in QUERIES["op6_decontamination"](spark, compare.DATA).collect()} >= want
