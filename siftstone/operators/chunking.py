@@ -13,7 +13,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,8 @@ class Budget:
     semantic: bool = False
     min_trigger_tokens: int = 256
     levels: tuple[str, ...] = ("heading", "clause", "paragraph", "list_item", "table")
+    #: Nodes over text_tokens go to semantic_split() as a whole; without it they are cut to their beginning, as in the reference.
+    whole_nodes: bool = False
 
     @property
     def text_tokens(self) -> int:
@@ -119,7 +123,10 @@ def chunk(nodes: DataFrame, docs: DataFrame, budget: Budget = Budget(), config_v
     out = out.join(docs.select("doc_id", *known), "doc_id")
     blurb = F.col("context_padding") if "context_padding" in known else F.lit(None).cast("string")
     over = T.token_count(F.col("text")) > budget.text_tokens
-    out = out.withColumn("truncated", over).withColumn("text", T.truncate_tokens(F.col("text"), budget.text_tokens))
+    if budget.whole_nodes:
+        out = out.withColumn("truncated", F.lit(False))
+    else:
+        out = out.withColumn("truncated", over).withColumn("text", T.truncate_tokens(F.col("text"), budget.text_tokens))
     out = out.withColumn("context_text", T.with_prefix(T.context_prefix(blurb, F.col("heading_path"), budget.context_tokens), F.col("text")))
     siblings = Window.partitionBy("doc_id", "parent_id", "level").orderBy("number")
     group = F.when(~F.col("truncated"), F.coalesce("parent_id", F.col("doc_id").cast("string")))
@@ -127,15 +134,19 @@ def chunk(nodes: DataFrame, docs: DataFrame, budget: Budget = Budget(), config_v
     upto = Window.partitionBy("doc_id", "lc_group_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     start = F.when(F.col("lc_group_id").isNotNull(), F.coalesce(F.sum(F.length("text") + 1).over(upto), F.lit(0)).cast("int"))
     out = out.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length("text"))
-    split = F.lit(budget.semantic) & (T.token_count(F.col("text")) > budget.min_trigger_tokens)
+    split = F.lit(budget.semantic) & (T.token_count(F.col("text")) > budget.min_trigger_tokens) | F.lit(budget.whole_nodes) & over
     out = out.withColumn("needs_semantic_split", split).withColumn("token_count", T.token_count(F.col("context_text")))
     rest = [c for c in ("business_type", "source_metadata", "keywords", "entities", "potential_questions") if c in known]
     out = out.select("chunk_id", "doc_id", "number", "parent_id", F.col("level").alias("hierarchy_level"), "position", "node_type", "text", "context_text", "heading_path", F.lit(config_version).alias("config_version"), "needs_semantic_split", "token_count", "lc_group_id", "char_start", "char_end", *rest)
     return overlapped(out, budget) if budget.overlap_tokens > 0 else out
 
 
+def _is_cjk(c: str) -> bool:
+    return "一" <= c <= "鿿" or "㐀" <= c <= "䶿" or "豈" <= c <= "﫿" or "\U00020000" <= c <= "\U0002a6df"
+
+
 def _tokens(t: str) -> int:
-    cjk = sum("一" <= c <= "鿿" or "㐀" <= c <= "䶿" or "豈" <= c <= "﫿" or "\U00020000" <= c <= "\U0002a6df" for c in t)
+    cjk = sum(map(_is_cjk, t))
     return cjk + (len(t) - cjk + 2) // 3
 
 
@@ -217,12 +228,50 @@ def packed(text: Column, budget: int, least: int = MIN_PIECE) -> Column:
     return V.let(F.aggregate(sized, F.array().cast(f"array<{kind}>"), step), finished)
 
 
+def _pieces_of(text: str, ends: list[tuple[int, int]], budget: int, least: int) -> list[tuple[int, int]]:
+    """Places of pieces of at most budget tokens that hold all sentences: these packed in order, longer ones cut into consecutive pieces."""
+    cjk = np.concatenate([[0], np.cumsum([_is_cjk(c) for c in text])])
+    cost = lambda a, b: int(cjk[b] - cjk[a]) + (b - a - int(cjk[b] - cjk[a]) + 2) // 3
+    out: list[tuple[int, int]] = []
+    for a, b in ends:
+        if out and cost(out[-1][0], b) <= budget:
+            out[-1] = (out[-1][0], b)
+            continue
+        while cost(a, b) > budget:
+            low, high = a + 1, min(b, a + 3 * budget)
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if cost(a, mid) <= budget else (low, mid - 1)
+            out.append((a, low))
+            a = low
+        out.append((a, b))
+    if len(out) > 1 and cost(*out[-1]) < least and cost(out[-2][0], out[-1][1]) <= budget:
+        out[-2:] = [(out[-2][0], out[-1][1])]
+    return out
+
+
+def packed_whole(chunks: DataFrame, budget: int, least: int = MIN_PIECE) -> DataFrame:
+    """chunks with _pieces, an array<struct<start, end>>: as of packed(), but the pieces hold the whole text and fit."""
+    places = F.transform(sentences(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    found = chunks.withColumn("_pieces", places)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch["text"].to_pylist(), batch["_pieces"].to_pylist())
+            pieces = [[{"start": a, "end": b} for a, b in _pieces_of(t, [(s["start"], s["end"]) for s in found], budget, least)] for t, found in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pieces, batch.schema.field("_pieces").type)], schema=batch.schema)
+
+    return found.mapInArrow(pack, found.schema)
+
+
 def semantic_split(chunks: DataFrame, budget: Budget = Budget()) -> DataFrame:
     """Flagged chunks in pieces of whole sentences, a level deeper, with the chunk as parent; others, and those of one piece, stay with the flag cleared."""
-    pieces = chunks.where("needs_semantic_split").withColumn("_pieces", packed(F.col("text"), budget.text_tokens))
+    flagged = chunks.where("needs_semantic_split")
+    pieces = packed_whole(flagged, budget.text_tokens) if budget.whole_nodes else flagged.withColumn("_pieces", packed(F.col("text"), budget.text_tokens))
     rest = chunks.where("NOT needs_semantic_split").unionByName(pieces.where(F.size("_pieces") <= 1).drop("_pieces")).withColumn("needs_semantic_split", F.lit(False))
     many = pieces.where(F.size("_pieces") > 1).select("*", F.posexplode("_pieces").alias("_i", "_p"))
-    body = T.truncate_tokens(F.substr("text", F.col("_p.start") + 1, F.col("_p.end") - F.col("_p.start")), budget.text_tokens)
+    body = F.substr("text", F.col("_p.start") + 1, F.col("_p.end") - F.col("_p.start"))
+    body = body if budget.whole_nodes else T.truncate_tokens(body, budget.text_tokens)
     prefix = T.prefix_of(F.col("context_text"), F.col("text"), F.col("heading_path"))
     parts = many.withColumn("_prefix", prefix).withColumn("parent_id", F.col("chunk_id")).withColumn("chunk_id", V.sub_chunk_id(F.col("parent_id"), F.col("_i")))
     parts = parts.withColumn("text", body).withColumn("context_text", T.with_prefix(F.col("_prefix"), F.col("text"))).withColumn("hierarchy_level", F.col("hierarchy_level") + 1).withColumn("position", F.col("_i"))
@@ -237,8 +286,6 @@ def late_chunk_vectors(chunks: DataFrame, provider, dimension: int, max_seq_len:
     provider(texts) gives for each text (offsets [(start, end)], token vectors). A chunk falls back to a vector of its own context where it has no
     group, the group is longer than 4 * max_seq_len characters, or its tokens can't be found or pooled.
     """
-    import numpy as np
-
     def pool(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("position", kind="stable")
         group, out = "\n".join(pdf["text"]), []

@@ -202,7 +202,7 @@ def unit_vectors(spark, sf_dir):
 
 def _chunks(spark, sf_dir, overlap=0) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").alias("business_type"))
-    budget = chunking.Budget(overlap_tokens=overlap, semantic=True)
+    budget = chunking.Budget(overlap_tokens=overlap, semantic=True, whole_nodes=True)
     nodes = chunking.parse(docs.where(F.length(F.trim("text")) > 0), budget.levels)
     return chunking.semantic_split(chunking.chunk(materialised(nodes, "nodes"), docs, budget, "1"), budget)
 

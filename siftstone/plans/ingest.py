@@ -79,7 +79,7 @@ class Engine:
     spark: SparkSession
     root: str
     providers: dict
-    budget: Budget = Budget()
+    budget: Budget = Budget(whole_nodes=True)
     config_version: str = "1"
     model: Callable | None = None
     profile: T.CleaningProfile = T.CleaningProfile()

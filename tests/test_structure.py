@@ -95,6 +95,18 @@ def test_semantic_split_ids(spark):
     assert all(parent.text[r.char_start : r.char_end] == r.text and r.token_count <= 200 for r in rows)
 
 
+def test_long_nodes_keep_their_whole_text(spark):
+    long = " ".join(f"Sentence number {i} has some words in it." for i in range(400)) + " " + "x" * 5000 + "漢" * 700 + "ab c" * 300 + ". The end."
+    docs = spark.createDataFrame([("d", f"# H\n\n{long}\n\nshort"), ("e", "y " * 20_000)], "doc_id string, text string")
+    for semantic in (True, False):
+        b = Budget(overlap_tokens=0, semantic=semantic, whole_nodes=True)
+        rows = chunking.semantic_split(chunking.chunk(chunking.parse(docs), docs, b), b).collect()
+        for doc, text in (("d", long), ("e", ("y " * 20_000).strip())):
+            parts = sorted((r.position, r.char_start, r.char_end, r.text) for r in rows if r.doc_id == doc and (r.lc_group_id or "").startswith("sem:"))
+            assert "".join("".join(p[3] for p in parts).split()) == "".join(text.split()) and all(text[a:z] == t for _, a, z, t in parts)
+        assert {"# H", "short"} <= {r.text for r in rows} and max(chunking._tokens(r.text) for r in rows) == 320 and max(r.token_count for r in rows) <= 400
+
+
 def test_late_chunks_pool_and_fall_back(spark):
     def provider(texts):
         return [([(i, i + 1) for i in range(len(t))], [[float(ord(c)), 0.0] for c in t]) for t in texts]
