@@ -87,12 +87,12 @@ def record_failures(records: DataFrame, new: DataFrame, now: Column) -> DataFram
     return records.where("resolved").unionByName(merged).select(*FAILURES.names)
 
 
-def pending(records: DataFrame, limit: int = 500, max_attempts: int | None = None) -> DataFrame:
-    """Unresolved records under the attempt limit, oldest first."""
+def pending(records: DataFrame, limit: int | None = 500, max_attempts: int | None = None) -> DataFrame:
+    """Unresolved records under the attempt limit, oldest first; without a limit all of them, in no order."""
     open_ = records.where("NOT resolved")
     if max_attempts is not None:
         open_ = open_.where(F.col("attempt_count") < max_attempts)
-    return open_.orderBy("created_at", "id").limit(limit)
+    return open_ if limit is None else open_.orderBy("created_at", "id").limit(limit)
 
 
 def mark(records: DataFrame, outcome: DataFrame, now: Column) -> DataFrame:
@@ -107,7 +107,7 @@ def mark(records: DataFrame, outcome: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def retry(records: DataFrame, lexical: DataFrame, vectors: DataFrame, limit: int = 500, max_attempts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def retry(records: DataFrame, lexical: DataFrame, vectors: DataFrame, limit: int | None = 500, max_attempts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lexical rows to upsert, outcomes). A missing lexical row is restored from the vector row, with the columns that has; a missing vector can't be restored, its document must be ingested again."""
     due = pending(records, limit, max_attempts)
     cols = [c for c in RESTORABLE if c in vectors.columns]

@@ -21,6 +21,11 @@ def test_query_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, compare.DATA).count() > 0
 
 
+def test_retry_takes_all_records(spark):
+    df = catalog.QUERIES["retry_outcomes"](spark, compare.DATA)
+    assert "Limit" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_entry_imports():
     import __spark_entry__ as entry
 
