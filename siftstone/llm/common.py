@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 #: The words of a text are the maximal runs without space, tab, line feed, vertical tab, form feed and carriage
 #: return. bytes.split() cuts UTF-8 at just these.
 NO_WORD = r"[\x20\x09-\x0D]+"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none (tests), a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="siftstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -29,12 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors and is computed once."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    # Spark drops the shuffle files of steps that are done when the driver collects its garbage; small heaps seldom do.
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    # The shuffle files of this write aren't needed once the table is there.
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -59,6 +65,7 @@ def crc32_of(key: Column) -> Column:
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows an Arrow batch, so that batches of long texts fit a Python worker."""
+    """At most so many rows and about BATCH_BYTES an Arrow batch, so that batches of long texts fit a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -4,18 +4,20 @@
    of the set); from here on there is one set a class, so copies cost nothing.
 2. A global order of n-grams: those with low hashes first, and of these the rare ones (by number of classes) first; the
    others by hash. Similar sets must share one of their first n - ceil(t n) + 1 n-grams. N-grams of one class only
-   meet nothing, so a class enters with the shared ones of its beginning; most classes have none and are done.
-3. Classes that share such an n-gram are candidates. In a few rounds each class meets only its neighbour and the first
-   class of each n-gram, in another order each round: a number of pairs that is linear in the entries. Those
-   that their beginnings don't rule out are compared exactly; links are joined to components.
-4. What is left are n-grams whose classes lie in several components. The ordered beginnings of these classes go into a
-   prefix tree; each class traverses it, shares the overlap of common paths, and leaves a subtree when the n-grams
-   that remain can't bring the overlap up to t, or when a smaller common n-gram has the pair in its own group. Surviving pairs of different
-   components are compared exactly, and join components as they are found. Groups are dealt in blocks of BLOCK classes, so that no task holds an unbounded
-   one, and groups of the same classes count once.
-
-All links between different components are found, as every similar pair shares an entry of step 2. Pairs within a
-component are not enumerated: copies and clusters cost what a spanning tree costs.
+   meet nothing, so a class enters with the shared ones of its beginning; most classes have none and are done. The whole sets
+   of the others are fetched, and the same is done with all their n-grams, ordered by rarity among them, which leaves
+   beginnings that little but near copies share.
+3. Classes that share such an n-gram are a group; groups of the same classes count once. The ordered beginnings of a group
+   go into a prefix tree. Each class traverses it, shares the overlap of common paths, and leaves a subtree when the
+   n-grams that remain can't bring the overlap up to t, or when a smaller common n-gram has the pair in its own group.
+   A first pass finds the classes that have a partner; only they come with their whole sets to a second pass, which compares
+   exactly and joins components as it goes; a subtree that lies in one component with the traversing class is left.
+4. A group of more than BLOCK classes is dealt into blocks by size and hash, as similar sets are of similar size. Blocks are
+   joined in themselves, under two ways of dealing, and the links make components; what is left are pairs of blocks
+   of neighbouring sizes that still hold several components, and they meet in cells of two blocks. So no task holds an unbounded group,
+   and a cluster of near copies costs what its tree costs.
+
+All links between different components are found, as every similar pair shares an entry of step 2, and all come from the trees.
 
 A null or blank text has an empty set, links with nothing and is its own component. A text of fewer than n words has
 one n-gram, the whole sequence. Documents without an id have no component. Rows that share an id are documents of their
@@ -24,24 +26,28 @@ own with the same id. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.llm.common import arrow_rows, discard, table, written
 from siftstone.llm.components import connected_components
 
-#: Share of the hashes that count as low; rounds of linear candidates before the trees.
-LOW_SHARE, ROUNDS = 0.25, 3
+#: Share of the hashes that count as low.
+LOW_SHARE = 0.25
 #: An order key is the number of classes and the lowest bits of the hash. For a hash that isn't low it is the largest value and the highest
 #: bits, as these n-grams are chosen by hash: keys have to sort as beginnings are chosen, or bounds on what lies beyond them don't hold.
 KEY_BITS, NOT_LOW = 43, (1 << 20) - 1
-BLOCK, MEMO_WORDS, BROADCAST_IDS = 512, 500_000, 1_000_000
+#: Classes and n-grams of a block; words a worker remembers; rows of a broadcast.
+BLOCK, BLOCK_GRAMS, MEMO_WORDS, BROADCAST_ROWS = 512, 1 << 19, 100_000, 100_000
 
 
 class NgramHasher:
@@ -106,11 +112,20 @@ def _signer(words: int, percent: int):
     return sign
 
 
-def _beginnings(classes: DataFrame, percent: int) -> DataFrame:
-    """(cid, n, own, keys): of classes with shared n-grams in their beginning, these in order, and the number of n-grams that are surely theirs alone."""
-    limit = int(LOW_SHARE * 2.0**64) >> 1
-    met = classes.select("cid", F.explode("tokens").alias("token")).withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
-    low = F.col("token") < limit
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], members: str, total: int) -> DataFrame:
+    """rows joined with their groups (keys, members). Groups of more than 1 / BROADCAST_ROWS of all rows are fewer than that and are broadcast, so no group's rows meet in one task."""
+    big = max(BLOCK, total // BROADCAST_ROWS)
+    hot = groups.where(F.col(members) > big)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(members) <= big), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
+def _beginnings(classes: DataFrame, percent: int, share: float) -> DataFrame:
+    """(cid, n, own, keys) of classes (cid, n, n_low, tokens) with shared n-grams in their beginning: these in order, and the number of n-grams that are surely theirs alone."""
+    tokens = classes.select("cid", F.explode("tokens").alias("token"))
+    shared = written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    met = _joined(tokens, shared, ["token"], "df", classes.agg(F.sum(F.size("tokens"))).first()[0] or 0)
+    low = F.col("token") < (int(share * 2.0**64) >> 1) if share < 1 else F.lit(True)
     rarity = F.when(low, F.least("df", F.lit(NOT_LOW - 1))).otherwise(F.lit(NOT_LOW)).cast("long")
     bits = F.when(low, F.col("token").bitwiseAND((1 << KEY_BITS) - 1)).otherwise(F.shiftright("token", 63 - KEY_BITS))
     key = F.shiftleft(rarity, KEY_BITS).bitwiseOR(bits)
@@ -119,22 +134,36 @@ def _beginnings(classes: DataFrame, percent: int) -> DataFrame:
     first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
     sized = by_class.join(classes.select("cid", "n", "n_low"), "cid").withColumn("own", F.col("n_low") - shared_low)
     taken = F.when(F.col("n_low") < first, F.col("keys")).otherwise(F.slice("keys", F.lit(1), F.greatest(F.lit(0), first - F.col("own"))))
-    return sized.select("cid", "n", "own", taken.alias("keys")).where(F.size("keys") > 0)
+    begun = written(sized.select("cid", "n", "own", taken.alias("keys")).where(F.size("keys") > 0), "beginnings")
+    discard(shared)
+    return begun
 
 
-# --- exact comparison ------------------------------------------------------------------------------------------
+# --- whole sets ------------------------------------------------------------------------------------------------
 
 
 def _setter(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = NgramHasher(words)
         for batch in batches:
-            found = [s.tobytes() for s in map(hasher, _texts(batch))]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b) for b in found], pa.binary()), pa.array(found, pa.binary())], ["fp", "grams"])
+            found = list(map(hasher, _texts(batch)))
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            grams = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), grams], ["fp", "grams"])
 
     return sets
 
 
+def _whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(cid, grams) of each wanted class, from the texts of its first document's id."""
+    ids = written(wanted.select("cid").join(classes.select("cid", "fp", "rep"), "cid").select(F.col("rep").alias("doc_id"), "fp", "cid"), "wanted")
+    chosen = ids.select("doc_id").distinct()
+    texts = docs.join(F.broadcast(chosen) if ids.count() <= BROADCAST_ROWS else chosen, "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(_setter(words), "fp binary, grams array<long>")
+    # Rows that share an id give sets that weren't asked for, and copies the same set again.
+    return written(sets.join(ids.select("fp", "cid"), "fp").groupBy("cid").agg(F.first("grams").alias("grams")), "grams")
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * overlap >= percent * union, of two sorted sets."""
     if len(a) > len(b):
@@ -143,184 +172,184 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _comparer(percent: int):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
-                keep.append(similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return compare
-
-
-def _pruner(percent: int):
-    """Keeps pairs whose beginnings allow similarity: what only one side has there can't be in the overlap."""
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            sides = [(np.asarray(batch[c].values), np.asarray(batch[c].offsets)) for c in ("x", "y")]
-            for i, (n, m, own, own_too) in enumerate(zip(*(batch[c].to_pylist() for c in ("n", "m", "own", "own_too")))):
-                x, y = (v[o[i] : o[i + 1]] for v, o in sides)
-                end = min(x[-1], y[-1])
-                x, y = x[: np.searchsorted(x, end, "right")], y[: np.searchsorted(y, end, "right")]
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                at_most = min(n - own - len(x), m - own_too - len(y)) + both
-                keep.append(100 * at_most >= percent * (n + m - at_most))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return prune
-
-
-def _plausible(pairs: DataFrame, begun: DataFrame, percent: int) -> DataFrame:
-    side = lambda *names: begun.select(*[F.col(c).alias(a) for c, a in zip(("cid", "n", "own", "keys"), names)])
-    both = pairs.join(side("a", "n", "own", "x"), "a").join(side("b", "m", "own_too", "y"), "b")
-    return both.select("a", "b", "n", "m", "own", "own_too", "x", "y").mapInArrow(_pruner(percent), "a long, b long")
-
-
-def _with_sets(begun: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """begun with grams, the whole set of each class, from the text of its first document."""
-    wanted = begun.select("cid").join(classes.select("cid", "fp", "rep"), "cid")
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if begun.count() <= BROADCAST_IDS else ids
-    texts = docs.join(ids, "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_setter(words), "fp binary, grams binary").join(wanted, "fp").dropDuplicates(["cid"])
-    return begun.join(sets.select("cid", "grams"), "cid")
+# --- the prefix tree -------------------------------------------------------------------------------------------
 
 
-def _similar(pairs: DataFrame, begun: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar."""
-    side = lambda cid, grams: begun.select(F.col("cid").alias(cid), F.col("grams").alias(grams))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(_comparer(percent), "a long, b long"), "similar")
+class _Node:
+    """A run of n-grams, and of the rows below: the least size and the most n-grams that aren't a row's own."""
 
+    __slots__ = ("children", "edge", "leaves", "least", "most", "one")
 
-# --- the prefix tree -------------------------------------------------------------------------------------------
+    def __init__(self, edge: list[int], leaves: list[int], least: int, most: int):
+        self.edge, self.leaves, self.least, self.most = edge, leaves, least, most
+        self.children: list[_Node] = []
+        self.one = -1  # a row of the component of all rows below, once they are known to be of one
 
 
 class PrefixTree:
-    """Ordered beginnings of sets, edges holding runs of n-grams. Nodes: [edge, children, leaves, least size, most n-grams that aren't a row's own]."""
-
-    def __init__(self, beginnings: list[np.ndarray], sizes: np.ndarray, own: np.ndarray, percent: int):
-        self.sizes, self.left, self.percent = sizes, sizes - own, percent
-        order = sorted(range(len(beginnings)), key=lambda i: beginnings[i].astype(">i8").tobytes())
-        self.root = self._build([(i, beginnings[i]) for i in order], 0)
-
-    def _build(self, rows: list[tuple[int, np.ndarray]], depth: int) -> list:
-        first, last = rows[0][1][depth:], rows[-1][1][depth:]
-        m = min(len(first), len(last))
-        differ = np.flatnonzero(first[:m] != last[:m])
-        shared = int(differ[0]) if len(differ) else m
-        end = depth + shared
-        leaves = [i for i, p in rows if len(p) == end]
-        rest = rows[len(leaves) :]
-        children, start = [], 0
-        for k in range(1, len(rest) + 1):
-            if k == len(rest) or rest[k][1][end] != rest[start][1][end]:
-                children.append(self._build(rest[start:k], end))
-                start = k
-        ids = [i for i, _ in rows]
-        return [first[:shared], children, leaves, int(self.sizes[ids].min()), int(self.left[ids].max())]
-
-    def partners(self, x: np.ndarray, n: int, own: int, token: int) -> list[int]:
-        """Rows of the tree that may be similar to a set of n n-grams, own of them its alone, with the ordered beginning x, and whose first common n-gram is token."""
-        out: list[int] = []
-        last, t, free = x[-1], self.percent, n - own
+    """Ordered beginnings of sets."""
+
+    def __init__(self, beginnings: list[list[int]], sizes: list[int], own: list[int], percent: int):
+        self.beginnings, self.sizes, self.own, self.percent = beginnings, sizes, own, percent
+        self.left = [n - o for n, o in zip(sizes, own)]
+        order = sorted(range(len(beginnings)), key=beginnings.__getitem__)
+        self.root, todo = None, [(0, len(order), 0, None)]
+        while todo:
+            lo, hi, depth, parent = todo.pop()
+            first, last = beginnings[order[lo]], beginnings[order[hi - 1]]
+            end, most = depth, min(len(first), len(last))
+            while end < most and first[end] == last[end]:
+                end += 1
+            start = lo
+            while start < hi and len(beginnings[order[start]]) == end:
+                start += 1
+            below = order[lo:hi]
+            node = _Node(first[depth:end], order[lo:start], min(map(sizes.__getitem__, below)), max(map(self.left.__getitem__, below)))
+            if parent is None:
+                self.root = node
+            else:
+                parent.children.append(node)
+            for k in range(start + 1, hi + 1):
+                if k == hi or beginnings[order[k]][end] != beginnings[order[start]][end]:
+                    todo.append((start, k, end, node))
+                    start = k
+
+    def partners(self, row: int, token: int, done=None) -> Iterator[int]:
+        """Rows of the tree, this one too, that may be similar to a row, and whose first common n-gram is token. Subtrees for which done(node) holds are left."""
+        x, n, t = self.beginnings[row], self.sizes[row], self.percent
+        there, last, free = set(x), x[-1], n - self.own[row]
         stack = [(self.root, 0, 0)]
         while stack:
-            (edge, children, leaves, least, most), overlap, path = stack.pop()
+            node, overlap, path = stack.pop()
+            if done and done(node):
+                continue
             only_x = only_y = 0
-            if len(edge):
-                at = np.searchsorted(x, edge)
-                common = x[np.minimum(at, len(x) - 1)] == edge
-                n_common = int(common.sum())
-                if n_common and not overlap and edge[common.argmax()] != token:
+            edge = node.edge
+            if edge:
+                common = [k for k in edge if k in there]
+                if common and not overlap and common[0] != token:
                     continue
-                overlap += n_common
-                seen_x = int(at[-1]) + int(common[-1])
-                seen_y = path + (len(edge) if edge[-1] <= last else int(np.searchsorted(edge, last, "right")))
-                path += len(edge)
-                only_x, only_y = seen_x - overlap, seen_y - overlap
-            at_most = min(free - only_x, most - only_y)
-            if 100 * at_most < t * (n + least - at_most):
+                overlap += len(common)
+                path += len(edge) if edge[-1] <= last else bisect_right(edge, last)
+                # N-grams up to the end of the other's beginning that only one side shows aren't in the other set.
+                only_x, only_y = bisect_right(x, edge[-1]) - overlap, path - overlap
+            at_most = min(free - only_x, node.most - only_y)
+            if 100 * at_most < t * (n + node.least - at_most):
                 continue
-            for i in leaves:
-                both = min(free - only_x, int(self.left[i]) - only_y)
-                if 100 * both >= t * (n + int(self.sizes[i]) - both):
-                    out.append(i)
-            stack += [(c, overlap, path) for c in children]
-        return out
+            for i in node.leaves:
+                both = min(free - only_x, self.left[i] - only_y)
+                if 100 * both >= t * (n + self.sizes[i] - both):
+                    yield i
+            stack += [(c, overlap, path) for c in node.children]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(token, low, high) and the rows (block, cid, n, own, label, keys[, grams]) of each run of rows with that key."""
     held, key = [], None
     for batch in batches:
-        keys = list(zip(*(batch[c].to_pylist() for c in ("token", "low", "high"))))
-        cols = [np.asarray(batch[c]) for c in ("block", "cid", "n", "own", "label")]
-        flat, ends = np.asarray(batch["keys"].values), np.asarray(batch["keys"].offsets)
-        grams = batch["grams"] if "grams" in batch.schema.names else None
+        keys = zip(*(batch[c].to_pylist() for c in ("token", "low", "high")))
+        cols = [batch[c].to_pylist() for c in ("block", "cid", "n", "own", "label")]
+        lists, grams = batch["keys"], batch["grams"] if "grams" in batch.schema.names else None
         for r, k in enumerate(keys):
             if k != key and held:
                 yield key, held
                 held = []
             key = k
-            whole = () if grams is None else (np.frombuffer(grams[r].as_py(), np.uint64),)
-            held.append((*(int(c[r]) for c in cols), flat[ends[r] : ends[r + 1]].copy(), *whole))
+            whole = () if grams is None else (np.array(grams[r].values, np.int64).view(np.uint64),)
+            held.append((*(c[r] for c in cols), lists[r].as_py(), *whole))
     if held:
         yield key, held
 
 
-def _meetings(rows: list[tuple], token: int, low: int, high: int, percent: int) -> Iterator[tuple[tuple, tuple]]:
-    """Pairs of rows in different components that the tree can't rule out."""
-    left = [r for r in rows if r[0] == low]
-    right = left if low == high else [r for r in rows if r[0] == high]
-    if not left or not right:
-        return
-    # Within a block, two of the commonest component needn't meet: its members only wait in the tree.
-    usual = Counter(r[4] for r in left).most_common(1)[0][0] if low == high else None
-    tree = PrefixTree([r[5] for r in right], np.array([r[2] for r in right]), np.array([r[3] for r in right]), percent)
-    for row in left:
-        if row[4] != usual:
-            for i in tree.partners(row[5], row[2], row[3], token):
-                if right[i][4] != row[4]:
-                    yield row, right[i]
+def _tree(rows: list[tuple], percent: int) -> PrefixTree:
+    return PrefixTree([r[5] for r in rows], [r[2] for r in rows], [r[3] for r in rows], percent)
+
+
+def _meet(x: tuple, y: tuple, low: int, high: int) -> bool:
+    """Whether two rows of a cell are to be compared: rows of one block have met in that block's own cell."""
+    return low == high or x[0] != y[0]
+
+
+class _Union:
+    """Components of a cell's rows, by their labels."""
+
+    def __init__(self, rows: list[tuple]):
+        first: dict[int, int] = {}
+        self.root = [first.setdefault(r[4], i) for i, r in enumerate(rows)]
+        self.parts = len(first)
+
+    def of(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.root[j], self.parts = i, self.parts - 1
+
+    def done(self, i: int):
+        """Whether all rows below a node are known to be of row i's component: nodes learn it from their children, bottom up with each visit."""
+
+        def known(node: _Node) -> bool:
+            if node.one < 0:
+                below = {self.of(k) for k in node.leaves} | {self.of(c.one) if c.one >= 0 else -1 for c in node.children}
+                if len(below) == 1:
+                    node.one = below.pop()
+            return node.one >= 0 and self.of(node.one) == self.of(i)
+
+        return known
+
+
+_MEMBER = ("token", "low", "high", "block", "cid", "label")
 
 
 def _tree_members(percent: int):
-    """The rows that have a partner: as many at most as came."""
+    """The rows that have a possible partner in another component: as many at most as came."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ("token", "low", "high", "block", "cid", "label"), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        for (token, low, high), rows in _groups(batches):
-            kept = {(r[0], r[1], r[4]) for pair in _meetings(rows, token, low, high, percent) for r in pair}
-            if kept:
-                block, cid, label = zip(*sorted(kept))
-                n = len(cid)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([token] * n, [low] * n, [high] * n, block, cid, label), types)], list(names))
+        for (token, low, high), rows in _cells(batches):
+            parts = _Union(rows)
+            if parts.parts == 1:
+                continue
+            tree, found = _tree(rows, percent), set()
+            usual, times = Counter(r[4] for r in rows).most_common(1)[0]
+            waits = 2 * times > len(rows)
+            for i, row in enumerate(rows):
+                # The rows of a component that holds most of them wait to be found; others are content with one partner, or look for their own.
+                if row[4] == usual if waits else i in found:
+                    continue
+                for j in tree.partners(i, token, parts.done(i) if parts.parts < len(rows) else None):
+                    if rows[j][4] != row[4] and _meet(row, rows[j], low, high):
+                        found |= {i, j}
+                        if not waits:
+                            break
+            if found:
+                kept = [rows[i] for i in sorted(found)]
+                n = len(kept)
+                cols = [[token] * n, [low] * n, [high] * n, [r[0] for r in kept], [r[1] for r in kept], [r[4] for r in kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], list(_MEMBER))
 
     return members
 
 
 def _tree_join(percent: int):
-    """Exact links. Components grow with the links of a block; pairs within one aren't compared."""
+    """Exact links, as many as join what is similar in a cell. Components grow with the links; pairs within one aren't compared."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, low, high), rows in _groups(batches):
-            root = {r[4]: r[4] for r in rows}
-
-            def of(label: int) -> int:
-                while root[label] != label:
-                    root[label] = label = root[root[label]]
-                return label
-
-            found = []
-            for x, y in _meetings(rows, token, low, high, percent):
-                at, there = of(x[4]), of(y[4])
-                if at != there and similar(x[6], y[6], percent):
-                    root[at] = there
-                    found.append((min(x[1], y[1]), max(x[1], y[1])))
+        for (token, low, high), rows in _cells(batches):
+            parts, tree, found, tried = _Union(rows), _tree(rows, percent), [], set()
+            for i, row in enumerate(rows):
+                if parts.parts == 1:
+                    break
+                for j in tree.partners(i, token, parts.done(i)):
+                    here, there = parts.of(i), parts.of(j)
+                    if here == there or not _meet(row, rows[j], low, high) or (j, i) in tried:
+                        continue
+                    if similar(row[6], rows[j][6], percent):
+                        parts.join(here, there)
+                        found.append(sorted((row[1], rows[j][1])))
+                    else:
+                        tried.add((i, j))
             if found:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -328,97 +357,157 @@ def _tree_join(percent: int):
     return join
 
 
+# --- groups, blocks and cells ----------------------------------------------------------------------------------
+
+
 def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return entries.withColumn("label", F.col("cid"))
     return entries.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
 
-def _in_line(entries: DataFrame, number: int, percent: int) -> DataFrame:
-    """Pairs of different components: each class with the one before it and with the first of the n-gram; by size in the first round."""
-    order = ["n", "cid"] if not number else [F.xxhash64("cid", F.lit(number)), "cid"]
-    by_token = Window.partitionBy("token").orderBy(*order)
-    row = F.struct("cid", "n", "label")
-    met = entries.select("cid", "n", "label", F.lag(row).over(by_token).alias("before"), F.first(row).over(by_token.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"))
-    sides = met.select("cid", "n", "label", F.explode(F.array("before", "first")).alias("o")).where("o.label <> label")
-    near = sides.where(100 * F.least("n", "o.n") >= percent * F.greatest("n", "o.n"))
-    return near.select(F.least("cid", "o.cid").alias("a"), F.greatest("cid", "o.cid").alias("b")).distinct()
+def _kind(percent: int) -> Column:
+    """Number of a size class: sizes of similar sets are of the same or of neighbouring ones."""
+    ratio = max(100 / percent, 1.01) * (1 + 1e-9)
+    return F.floor(F.log("n") / math.log(ratio)).cast("long")
 
 
-def _across(entries: DataFrame, begun: DataFrame, percent: int) -> DataFrame:
-    """Links between components, from the prefix trees: of each block as many as join what is similar in it."""
-    groups = entries.groupBy("token").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("of"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("of_too")
-    )
-    open_groups = groups.where("low < high").groupBy("members", "of", "of_too").agg(F.min("token").alias("token")).select("token", "members")
-    open_rows = entries.join(open_groups, "token")
-    block = F.floor((F.row_number().over(Window.partitionBy("token").orderBy("cid")) - 1) / BLOCK).cast("int")
-    rows = open_rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("members") - 1) / BLOCK).cast("int"))))
-    dealt = rows.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "label")
+def _blocks(rows: DataFrame, percent: int, total: int) -> DataFrame:
+    """Rows (token, cid, n) of large groups with kind, and parts, the number of blocks of that kind."""
+    kinds = rows.withColumn("kind", _kind(percent))
+    sizes = kinds.groupBy("token", "kind").agg(F.count("*").alias("members"), F.sum("n").alias("grams"))
+    parts = F.greatest(F.ceil(F.col("members") / BLOCK), F.least("members", F.ceil(F.col("grams") / BLOCK_GRAMS)))
+    return _joined(kinds, sizes.select("token", "kind", "members", parts.alias("parts")), ["token", "kind"], "members", total).drop("members")
+
+
+def _block(deal: int) -> Column:
+    """Number of a row's block under the deal-th way of dealing; its upper bits are the kind."""
+    return F.shiftleft("kind", 40).bitwiseOR(F.pmod(F.xxhash64("cid", F.lit(deal)), F.col("parts")))
+
+
+def _open_cells(blocked: DataFrame) -> DataFrame:
+    """Rows (.., label, block) once for each pair of blocks of a group, of the same or neighbouring kinds, that hold several components."""
+    spans = blocked.groupBy("token", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    left = spans.select("token", F.col("block").alias("low"), F.col("least").alias("l1"), F.col("most").alias("m1"))
+    right = spans.select("token", F.col("block").alias("high"), F.col("least").alias("l2"), F.col("most").alias("m2"))
+    near = F.shiftright("high", 40) - F.shiftright("low", 40) <= 1
+    pairs = left.join(right, "token").where((F.col("low") < F.col("high")) & near & (F.least("l1", "l2") < F.greatest("m1", "m2")))
+    sides = pairs.select("token", "low", "high", F.explode(F.array("low", "high")).alias("block"))
+    return blocked.join(sides, ["token", "block"])
+
+
+def _links(cells: DataFrame, begun: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The links that the trees of cells (token, low, high, block, cid, label) give."""
     keys = ["token", "low", "high"]
     together = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
-    # The whole sets travel only to where beginnings alone don't decide.
-    members = together(dealt.join(begun.drop("grams"), "cid")).mapInArrow(_tree_members(percent), "token long, low int, high int, block int, cid long, label long")
-    return together(written(members, "members").join(begun, "cid")).mapInArrow(_tree_join(percent), "a long, b long")
+    rows = together(cells.select(*_MEMBER).join(begun, "cid"))
+    members = written(rows.mapInArrow(_tree_members(percent), ", ".join(f"{c} long" for c in _MEMBER)), "members")
+    whole = together(members.join(begun, "cid").join(grams, "cid"))
+    found = written(whole.mapInArrow(_tree_join(percent), "a long, b long"), "similar")
+    discard(members)
+    return found
+
+
+def _tree_links(begun: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all classes with similar sets."""
+    total = begun.agg(F.sum(F.size("keys"))).first()[0] or 0
+    entries = begun.select("cid", "n", F.explode("keys").alias("token"))
+    stats = entries.groupBy("token").agg(
+        F.count("*").alias("members"), F.sum("n").alias("grams"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("of"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("of_too")
+    )
+    groups = written(stats.where("members > 1").groupBy("members", "grams", "of", "of_too").agg(F.min("token").alias("token")).select("token", "members", "grams"), "groups")
+    rows = written(_joined(entries, groups, ["token"], "members", total), "entries")
+    large = (F.col("members") > BLOCK) | (F.col("grams") > BLOCK_GRAMS)
+    large_rows = rows.where(large).select("token", "cid", "n")
+    none = F.lit(0).cast("long")
+    cells = _labelled(rows.where(~large), None).select("token", none.alias("low"), none.alias("high"), none.alias("block"), "cid", "label")
+    if not groups.where(large).limit(1).count():
+        return _links(cells, begun, grams, percent)
+
+    blocked = written(_blocks(large_rows, percent, total), "blocks")
+    within = lambda deal, labels: _labelled(blocked, labels).withColumn("block", _block(deal)).select("token", F.col("block").alias("low"), F.col("block").alias("high"), "block", "cid", "label")
+    links = [_links(cells.unionByName(within(0, None)), begun, grams, percent)]
+    links.append(_links(within(1, connected_components(links[0])), begun, grams, percent))
+    labels = connected_components(reduce(DataFrame.unionAll, links))
+    across = _open_cells(written(_labelled(blocked, labels).withColumn("block", _block(0)).select("token", "cid", "label", "block"), "labelled"))
+    links.append(_links(across, begun, grams, percent))
+    return reduce(DataFrame.unionAll, links)
 
 
 # --- all together ----------------------------------------------------------------------------------------------
 
 
-def ngram_components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles long, component_id) of each row: component_id is the smallest id that similar sets connect it with."""
-    spark = df.sparkSession
-    arrow_rows(spark)
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, n, fp, component_id) of each row of (doc_id, text)."""
+    arrow_rows(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = written(docs.mapInArrow(_signer(words, percent), f"doc_id {id_type}, n int, n_low int, fp binary, tokens array<long>"), "signed")
     # Rows of the same fp have the same n, n_low and tokens.
     same = [F.first(c).alias(c) for c in ("n", "n_low", "tokens")]
-    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), *same)
+    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *same)
     sets = written(classes.withColumn("cid", F.monotonically_increasing_id()), "sets")
     ids = written(signed.select("doc_id", "n", "fp"), "ids")
     discard(signed)
-    beginnings = written(_beginnings(sets, percent), "beginnings")
-    classes = written(sets.select("cid", "fp", "rep"), "classes")
+    some = _beginnings(sets, percent, LOW_SHARE)
+    classes = written(sets.select("cid", "fp", "rep", "copies"), "classes")
     discard(sets)
-    begun = written(_with_sets(beginnings, classes, docs, words), "begun")
-    entries = begun.select("cid", "n", F.explode("keys").alias("token"))
-
-    links = tried = spark.createDataFrame([], "a long, b long")
-    labels = None
-    for number in range(ROUNDS + 1):
-        now = _labelled(entries, labels)
-        if number < ROUNDS:
-            pairs = written(_in_line(now, number, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-            tried = tried.unionAll(pairs)
-            found = _similar(written(_plausible(pairs, begun, percent), "plausible"), begun, percent)
-        else:
-            found = written(_across(now, begun, percent), "similar")
-        if found.limit(1).count():
-            links = links.unionAll(found)
-            labels = connected_components(links)
-    if labels is None:
-        labels = spark.createDataFrame([], "node long, label long")
+    grams = _whole_sets(some, classes, docs, words)
+    tokens = F.transform("grams", lambda g: F.shiftrightunsigned(g, 1))
+    begun = _beginnings(grams.select("cid", F.size("grams").alias("n"), F.size("grams").alias("n_low"), tokens.alias("tokens")), percent, 1.0)
+    labels = connected_components(_tree_links(begun, grams, percent))
     named = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(smallest, "label").select(F.col("node").alias("cid"), "component_id")
-    by_fp = classes.select("fp", "cid", "rep").join(of_class, "cid", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    out = ids.join(by_fp, "fp", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    linked = named.join(smallest, "label").select(F.col("node").alias("cid"), "component_id")
+    by_fp = classes.join(linked, "cid", "left").select("fp", "copies", F.coalesce("component_id", "rep").alias("component_id"))
+    there = F.col("n") > 0
+    known = there & F.col("doc_id").isNotNull()
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    of_sets = _joined(ids.where(known), by_fp, ["fp"], "copies", total).select("doc_id", "n", "fp", "component_id")
+    alone = ids.where(~known).select("doc_id", "n", "fp", F.col("doc_id").alias("component_id"))
+    return of_sets.unionByName(alone)
+
+
+def ngram_components(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles long, component_id) of each row: component_id is the smallest id that similar sets connect it with."""
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return _components(docs, words, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def one_of_each(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df whose id is the smallest of its component, one row an id; rows without an id stay as they are."""
-    found = written(ngram_components(df, words, percent, doc_id, text), "components")
-    stays = F.col("component_id") == F.col("doc_id")
-    goes = found.where(~stays).select(F.col("doc_id").alias("_gone")).distinct()
-    n_gone, n_stay, ids_stay = goes.count(), *found.where(stays).agg(F.count("*"), F.countDistinct("doc_id")).first()
+    """The rows of df whose id is the smallest of their component, one row an id; rows without an id stay as they are.
+
+    Rows that share an id are judged by their own sets: those whose component has a smaller id go. Of the rest of an id the row with the smallest text stays.
+    """
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = written(_components(docs, words, percent), "components")
+    known = found.where("doc_id IS NOT NULL")
     # Ids are few enough to broadcast, or both sides are dealt by id.
-    kept = df.join(F.broadcast(goes) if n_gone <= BROADCAST_IDS else goes, df[doc_id] == goes["_gone"], "left_anti")
-    if n_stay == ids_stay:
-        return kept
-    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
+    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    shared = written(known.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "shared-ids")
+    goes = written(known.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    if not shared.limit(1).count():
+        return df.join(small(goes), df[doc_id] == goes["_id"], "left_anti")
+    names = df.columns
+    several = df.join(small(shared), df[doc_id] == shared["_id"], "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    signed = several.mapInArrow(_row_signer(words), several.withColumn("fp", F.lit(b"")).schema)
+    stays = known.where("component_id = doc_id").select(F.col("doc_id").alias("_id"), F.coalesce("fp", F.lit(b"")).alias("_fp")).distinct()
+    kept = signed.join(small(stays), (F.col("doc_id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi")
+    one = kept.groupBy("doc_id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    judged = written(goes.unionAll(shared).distinct(), "judged")
+    single = df.join(small(judged), df[doc_id] == judged["_id"], "left_anti")
+    return single.unionByName(one)
+
+
+def _row_signer(words: int):
+    """Rows with the 128-bit hash of their set, empty for an empty one."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = NgramHasher(words)
+        for batch in batches:
+            sets = map(hasher, _texts(batch))
+            yield batch.append_column("fp", pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets], pa.binary()))
+
+    return sign
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:

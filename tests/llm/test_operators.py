@@ -236,9 +236,10 @@ def near_copies(rng, base, edits):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_components_equal_brute_force(spark, docs, monkeypatch, block):
+@pytest.mark.parametrize("block, grams", [(512, 1 << 19), (8, 1 << 19), (512, 600)])
+def test_components_equal_brute_force(spark, docs, monkeypatch, block, grams):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "BLOCK_GRAMS", grams)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(300)]
     passage = " ".join(rng.choice(vocabulary) for _ in range(40))
@@ -288,14 +289,25 @@ def test_tree_finds_all_partners():
     rng = random.Random(9)
     base = sorted(rng.sample(range(10_000), 120))
     sets = [np.array(sorted(set(rng.sample(base, 100)) | set(rng.sample(range(10_000), 8)))) for _ in range(40)]
-    first = [s[: len(s) - -(-80 * len(s) // 100) + 1] for s in sets]
-    sizes = np.array([len(s) for s in sets])
-    tree = J.PrefixTree(first, sizes, np.zeros(40, int), 80)
+    first = [s[: len(s) - -(-80 * len(s) // 100) + 1].tolist() for s in sets]
+    tree = J.PrefixTree(first, [len(s) for s in sets], [0] * 40, 80)
     for i, x in enumerate(sets):
         for j, y in enumerate(sets):
             common = np.intersect1d(first[i], first[j])
             if i != j and J.similar(x, y, 80):
-                assert len(common) and j in tree.partners(first[i], len(x), 0, common[0])
+                assert len(common) and j in tree.partners(i, common[0])
+
+
+def test_tree_of_a_long_chain():
+    rows = [list(range(k + 1)) for k in range(3000)]
+    tree = J.PrefixTree(rows, [3000] * 3000, [0] * 3000, 1)
+    assert set(tree.partners(10, 0)) == set(range(3000))
+
+
+def test_rows_that_share_an_id(spark, docs):
+    texts = [(1, "a b c d e f g"), (4, "a b c d e f g"), (4, "q r s t u v"), (4, "z z z z z z z"), (None, "q r s t u v"), (5, ""), (5, None), (6, "q r s t u v")]
+    kept = J.one_of_each(docs(*texts).withColumn("_id", F.lit(3))).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept) == [(-1, "q r s t u v"), (1, "a b c d e f g"), (4, "q r s t u v"), (5, "")]
 
 
 def test_components_of_chains(spark):
