@@ -30,4 +30,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_chat_formatting": chat_format.OP1_SQL,
     "op2_sharding": extendible_shards.op2_sql(),
+    "op7_exact_topk": vector_topk.OP7_SQL,
 }

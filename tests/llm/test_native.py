@@ -13,7 +13,7 @@ from siftstone.llm import secret_scan as S
 from siftstone.llm.queries import ORACLE_SQL, QUERIES
 
 
-@pytest.mark.parametrize("name", ["op1_chat_formatting", "op2_sharding"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     assert compare.differences(QUERIES[name](spark, compare.DATA).toPandas(), compare.oracle().sql(ORACLE_SQL[name]).df()) == ""
 
@@ -70,11 +70,23 @@ def test_shards_of_repeated_rows_and_none(spark, docs, tmp_path):
     same = docs(*[(1, "x" * 100)] * 40)
     rows = E.assign_shards(same, 500)
     assert rows.groupBy("depth", "prefix").agg(F.sum("bytes").alias("b")).agg(F.max("b")).first()[0] <= 500
-    E.write_shards(same, rows, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+    assert sorted(r.copy for r in rows.collect()) == list(range(1, 41))
+    E.write_shards(same.repartition(4).withColumn("id", F.lit("clash")).withColumn("copy", F.lit(0)), str(tmp_path / "out"), 500)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 40 and out.groupBy("depth", "prefix").count().agg(F.max("count")).first()[0] <= 5 and "id" in out.columns
     assert E.assign_shards(same.limit(0), 500).count() == 0
 
 
+def test_shards_of_the_query_have_several_depths(spark):
+    """Buckets of the smallest tables split too, and only those that are too large."""
+    rows = QUERIES["op2_sharding"](spark, compare.DATA).toPandas()
+    shards = rows.groupby(["depth", "prefix"]).bytes.sum()
+    assert len(shards) >= 10 and rows.depth.nunique() >= 2
+    for depth, prefix in shards.index:
+        parent = sum(b for (d, p), b in shards.items() if d >= depth and p >> (d - depth + 1) == prefix >> 1)
+        assert depth == 0 or parent > E.QUERY_BYTES
+
+
 BASE = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 KEY = "wJalrXUtnFEMIK7MDENGbPxRfiCYzzEXAMPLEKEY"
 TEXTS = [

@@ -56,10 +56,33 @@ def test_mix(spark, docs):
     assert sorted((r.doc_id or -1, r.size, r.n) for r in again) == sorted((r.doc_id or -1, r.size, r.n) for r in got)
     mixed = M.mix_documents(df.withColumn("draws", F.lit("clash")), M.plan_mix(sized))
     assert mixed.count() == sum(r.n for r in got) and mixed.columns[:6] == [*df.columns, "draws"]
+    order = M.shuffled(mixed).select("mix_shard", "mix_order").collect()
+    assert len(order) == mixed.count() and len({r.mix_shard for r in order}) <= M.SHARDS
     empty = M.sized_rows(df.limit(0))
     assert M.plan_mix(empty).copies(empty).count() == 0
 
 
+def test_mix_comes_through_the_tree(spark, docs, monkeypatch):
+    """Each shard takes as many slots of each source as the tree says, and nothing else is taken."""
+    monkeypatch.setattr(M, "BLOCK_DOCS", 10)
+    monkeypatch.setattr(M, "SPAN", 3)
+    sized = M.sized_rows(docs(*[(n, "w " * (1 + n % 9), f"s{n % 3}") for n in range(900)]))
+    split, seen = M.split_quotas, []
+    monkeypatch.setattr(M, "split_quotas", lambda *a: seen.append(split(*a)) or seen[-1])
+    rows = M.plan_mix(sized).copies(sized).collect()
+    blocks = {(r["_source_key"], d.shard) for r in rows for d in r.draws}
+    totals = seen[0].sum(axis=0)
+    assert np.ptp(totals) <= 1 and {s for _, s in blocks} == set(range(M.SHARDS))
+    for k, key in enumerate(sorted({r["_source_key"] for r in rows})):
+        assert all(((key, s) in blocks) == (seen[0][k, s] > 0) for s in range(M.SHARDS))
+    # A shard's run moved to another shard moves its documents; no run, no documents.
+    monkeypatch.setattr(M, "split_quotas", lambda *a: np.zeros_like(split(*a)))
+    assert M.plan_mix(sized).copies(sized).agg(F.sum(F.size("draws"))).first()[0] == 0
+    monkeypatch.setattr(M, "split_quotas", lambda *a: np.roll(split(*a), 1, axis=1))
+    moved = M.plan_mix(sized).copies(sized).agg(F.sum(F.size("draws"))).first()[0]
+    assert moved == sum(len(r.draws) for r in rows)
+
+
 # --- decontamination ---
 
 ITEM = "Alice Smith buys 12 red apples for 3.50 dollars and gives 12 of them to her brother before walking home again slowly"
@@ -113,6 +136,8 @@ def test_whole_passages_are_found(spark):
 
 # --- exact search ---
 
+LONG_MAX, LONG_MIN = (1 << 63) - 1, -(1 << 63)
+
 
 def brute_topk(ids, x, queries, k):
     out = []
@@ -145,6 +170,35 @@ def test_search_edges(spark, monkeypatch):
     assert V.exact_topk(v.limit(0), asked, 5).count() == 0 and V.exact_topk(v, asked.limit(0), 5).count() == 0 and V.exact_topk(v.where("vec_id < 3"), v.where("vec_id = 0"), 5).count() == 2
 
 
+def test_search_prunes(spark):
+    """Most pairs are ruled out before their exact score, also of vectors without structure."""
+    rng = np.random.default_rng(5)
+    x = np.floor(256 * rng.normal(size=(8192, 64)) / 8).astype(np.int64)
+    ids, axes = np.arange(len(x)), V.Axes(x[:2048], 64)
+    cell = V.Cell(ids[::50], x[::50], np.full(len(ids[::50]), -np.inf), axes, 5)
+    for i in range(0, len(x), 1024):
+        cell.meet(ids[i : i + 1024], x[i : i + 1024])
+    assert cell.compared < 0.45 * cell.met
+    decaying = np.floor(256 * rng.normal(size=(8192, 64)) * 0.9 ** np.arange(64) @ np.linalg.qr(rng.normal(size=(64, 64)))[0]).astype(np.int64)
+    cell = V.Cell(ids[::50], decaying[::50], np.full(len(ids[::50]), -np.inf), V.Axes(decaying[:2048], 64), 5)
+    for i in range(0, len(x), 1024):
+        cell.meet(ids[i : i + 1024], decaying[i : i + 1024])
+    assert cell.compared < 0.2 * cell.met
+
+
+def test_search_of_large_components(spark):
+    big = 1 << 40
+    rows = [(i, [v, 1]) for i, v in enumerate([big, big + 1, -big, 3, 1 << 62, LONG_MAX, LONG_MIN])]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted(map(tuple, V.exact_topk(v, v.where("vec_id in (0, 3, 5)"), 4).collect()))
+    clip = lambda s: max(LONG_MIN, min(LONG_MAX, s))
+    want = []
+    for q in (0, 3, 5):
+        best = sorted((-clip(rows[q][1][0] * rows[j][1][0] + 1), j) for j in range(len(rows)) if j != q)[:4]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 # --- token files ---
 
 
