@@ -3,7 +3,7 @@
 quality          documents that the compression classifier rejects go
 near_duplicates  of each component of similar five-word shingle sets (0.8 or more) the smallest id stays
 decontamination  documents that leak a benchmark item go
-mixing           rows are repeated or left out so that the sources reach their target weights
+mixing           rows are repeated or left out so that the sources reach their target weights, and lie in the order of their mixing shards
 sharding         a row for each remaining row: its shard by extendible hashing
 """
 
@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = written(source_mix.sized_rows(docs), "mix-rows")
-    return source_mix.mix_documents(docs, source_mix.plan_mix(rows)).select(*docs.columns)
+    return source_mix.shuffled(source_mix.mix_documents(docs, source_mix.plan_mix(rows))).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
