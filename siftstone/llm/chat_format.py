@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone.llm.common import table
+
 OPEN, JOIN, CLOSE = "<turn>", "<and/>", "</turn>\n"
 
 
@@ -35,6 +37,10 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
+def role_unescaped(role: Column) -> Column:
+    return unescaped(F.replace(role, F.lit("\\n"), F.lit("\n")))
+
+
 def _let(value: Column, use) -> Column:
     """use(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -77,8 +83,7 @@ def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
     def pieces(blocks: Column) -> Column:
         def of(block: Column, b: Column) -> Column:
             first = F.concat(F.when(b > 0, F.lit(CLOSE)).otherwise(F.lit("")), F.lit(OPEN), block["role"], F.lit("\n"))
-            plain = F.replace(unescaped(block["role"]), F.lit("\\n"), F.lit("\n"))
-            learnt = F.array_contains(learnt_roles, plain)
+            learnt = F.array_contains(learnt_roles, role_unescaped(block["role"]))
             return F.transform(block["texts"], lambda t, i: _piece(F.when(i == 0, first).otherwise(F.lit(JOIN)), t, learnt))
 
         return F.flatten(F.transform(blocks, of))
@@ -133,7 +138,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         return F.transform(
             turns,
             lambda t, i: F.struct(
-                F.replace(unescaped(t["role"]), F.lit("\\n"), F.lit("\n")).alias("role"),
+                role_unescaped(t["role"]).alias("role"),
                 unescaped(t["text"]).alias("text"),
                 F.when(F.get(runs, 2 * i + 1)["chars"] == F.length(t["text"]), F.get(runs, 2 * i + 1)["learnt"]).otherwise(F.raise_error(F.lit("loss mask and text differ")).cast("boolean")).alias("learnt"),
             ),
@@ -143,8 +148,6 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siftstone.llm.common import table
-
     hard = "\\### Assistant: </turn> ok"
     extra = reduce(DataFrame.unionAll, (spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(hard).alias("text")) for i, r in enumerate(("user", "assistant"))))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)

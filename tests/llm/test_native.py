@@ -30,6 +30,13 @@ def test_chats_read_back(spark):
     assert out[3].formatted == "<turn>user\na<and/>a<and/>b</turn>\n"
 
 
+def test_roles_read_back(spark):
+    roles = ["a\\n", "\\", "\\b", "\\l<", "\n", "x\\\n\\n", "assistant\\n", "é<turn>"]
+    df = spark.createDataFrame([(1, n, r, "t") for n, r in enumerate(roles)], "conv_id int, turn int, role string, text string")
+    turns = C.read_back(C.format_chats(df, loss_roles=("a\\n", "\n"))).first().turns
+    assert [(t.role, t.learnt) for t in turns] == [(r, r in ("a\\n", "\n")) for r in roles]
+
+
 def test_mask_covers_the_text(spark):
     df = spark.createDataFrame([(1, n, r, t) for n, (r, t) in enumerate((("user", "q"), ("assistant", "a<"), ("assistant", "b")))], "conv_id int, turn int, role string, text string")
     r = C.format_chats(df).first()
