@@ -34,7 +34,7 @@ from siftstone.llm.fitting import fit_logistic, labelled_sample, logistic
 SAMPLE, FEATURES, PRIOR, MIN_DOCS, MIN_ODDS, MIN_TEST, TOP_SCORE, SIGNIFICANT, THRESHOLD = 20_000, 50_000, 500.0, 3, 1.0, 6.0, 5.0, 0.05, 0.5
 #: No document counts more than so many times for a feature.
 PER_DOC = 3
-MEMO_WORDS = 500_000
+MEMO_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -48,7 +48,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times, docs, words = ({0: Counter(), 1: Counter()} for _ in range(3))
         for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
             seen: Counter = Counter()
-            for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            for word, n in Counter(w.lower() for w in _WORD.findall(text or "")).items():
                 words[label][""] += n
                 for f in _of_word(word):
                     seen[f] += n
@@ -91,7 +91,7 @@ class ToxicityModel:
         return self.__dict__ | {"_memo": {}}
 
     def _word(self, word: str) -> float:
-        best = max((self.features[f] for f in _of_word(word) if f in self.features), key=lambda v: v[1], default=None)
+        best = max((self.features[f] for f in _of_word(word.lower()) if f in self.features), key=lambda v: v[1], default=None)
         if len(self._memo) > MEMO_WORDS:
             self._memo.clear()
         value = self._memo[word] = best[0] if best else 0.0
@@ -99,7 +99,7 @@ class ToxicityModel:
 
     def scan(self, text: str) -> tuple[int, list[tuple[float, int, int]]]:
         """Number of words, and the segments in word positions."""
-        words = _WORD.findall(text.lower())
+        words = _WORD.findall(text)
         memo, of = self._memo, self._word
         hits = []
         for i, w in enumerate(words):
@@ -179,9 +179,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text") -> D
                 x.append(model.extremes(n, found))
                 told = [(s, a, b, p) for s, a, b in found if (p := model.p_value(n, s)) <= SIGNIFICANT]
                 at = [m.span() for m in _WORD.finditer(t)] if told else []
-                # lower() can change the number of words of a text in rare scripts; spans then end with the text
-                at_word = lambda i, side, at=at, t=t: at[i][side] if i < len(at) else len(t)
-                passages.append([{"start": at_word(a, 0), "end": at_word(b, 1), "segment_score": s, "p_value": p} for s, a, b, p in told])
+                passages.append([{"start": at[a][0], "end": at[b][1], "segment_score": s, "p_value": p} for s, a, b, p in told])
             s = logistic(model.weights, np.array(x).reshape(-1, 2))
             yield pa.RecordBatch.from_arrays([batch["_kept"], pa.array(s), pa.array(passages, pa.list_(passage))], ["_kept", "score", "passages"])
 
