@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.llm.common import written
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, rows: int) -> DataFrame:
     """(doc_id, text, label int, part double): the texts of at most `rows` labelled documents that aren't held out.
 
     The sample is the rows of the smallest hash, so it is the same in each run; part is uniform in [0, 1) and
     independent of that choice. Null ids, null labels and labels other than 0 and 1 are left out; a document with
-    both labels counts once with each. The sample's ids are broadcast: their number is bounded by `rows`.
+    both labels counts once with each. The sample's ids are broadcast: their number is bounded by `rows`. It is written once, as several passes read it.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out)
@@ -22,7 +24,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
         .limit(rows)
     )
     part = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(1 << 20)) / float(1 << 20)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", part.alias("part"))
+    return written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", part.alias("part")), "sample")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:

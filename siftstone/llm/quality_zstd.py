@@ -1,12 +1,12 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are trained, on good and on bad labelled text. A text is cut into pieces, so that the
-dictionary counts all along it, and compressed with each; the normalised difference of the compressed sizes
-    (bad - good) / (bad + good)
-and the logarithm of the mean compression ratio go through a logistic calibration, which is fitted on labelled
-documents that the dictionaries haven't seen. The ratio tells text that repeats itself, which both compress alike.
+dictionary counts all along it, and compressed with each; the difference of the compressed sizes, normalised by the size of the text,
+    (bad - good) / text
+goes through a logistic calibration, which is fitted on labelled documents that the dictionaries haven't seen. Text that repeats itself
+compresses alike under both, so it comes out near zero, between the classes.
 
-Lines that stand in several documents of the sample are left out of the dictionaries: they tell the copy, not the class.
+Lines that stand in several documents of the sample are left out of the dictionaries: they tell the copy, not the class (a document with both labels counts as two).
 Bounds, all parameters: SAMPLE labelled rows, DICT_PIECES pieces a class, DICT_BYTES a dictionary. Every text is scored whole.
 
 An empty or null text gets the sample's share of good documents. Where the sample has one class or none, every score
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from siftstone.llm.common import arrow_rows, crc32_of, table
 from siftstone.llm.fitting import fit_logistic, labelled_sample, logistic
 
-SAMPLE, DICT_PIECES, DICT_BYTES, PIECE, LEVEL, THRESHOLD = 8000, 4000, 65_536, 1024, 1, 0.7
+SAMPLE, DICT_PIECES, DICT_BYTES, PIECE, LEVEL, THRESHOLD = 8000, 4000, 112_640, 2048, 3, 0.7
 
 
 def _pieces(text: bytes) -> list[bytes]:
@@ -34,7 +34,7 @@ def _pieces(text: bytes) -> list[bytes]:
 
 
 class PairCompressor:
-    """Features of texts from two dictionaries."""
+    """Normalised size differences of texts from two dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.pair = []
@@ -43,19 +43,19 @@ class PairCompressor:
             d.precompute_compress(level=LEVEL)
             self.pair.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def __call__(self, text: bytes) -> tuple[float, float]:
+    def __call__(self, text: bytes) -> float:
         pieces = _pieces(text)
         good, bad = (sum(len(c.compress(p)) for p in pieces) for c in self.pair)
-        return 50 * (bad - good) / (bad + good), float(np.log((good + bad) / 2 / len(text) + 0.01))
+        return 50 * (bad - good) / len(text)
 
 
-def _features(good: bytes, bad: bytes):
+def _differences(good: bytes, bad: bytes):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = PairCompressor(good, bad)
         for batch in batches:
-            rows = [compressor(t) if t else (None, None) for t in batch["text"].cast(pa.binary()).to_pylist()]
             rest = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([batch[c] for c in rest] + [pa.array([r[i] for r in rows], pa.float64()) for i in (0, 1)], rest + ["difference", "ratio"])
+            found = [compressor(t) if t else None for t in batch["text"].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(found, pa.float64())], [*rest, "difference"])
 
     return of
 
@@ -77,13 +77,12 @@ class QualityModel:
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", sample: int = SAMPLE) -> QualityModel:
     arrow_rows(docs.sparkSession)
     rows = labelled_sample(docs, labels, label, held_out, sample)
-    lines = (
-        rows.where("part < 0.5")
-        .select("doc_id", "label", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    )
-    own = lines.groupBy("line").agg(F.countDistinct("doc_id").alias("n")).where("n = 1").select("line")
+    lines = rows.where("part < 0.5").select("doc_id", "label", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
+    # Each task hands on one row a line at most, however common the line.
+    by_doc = lines.groupBy("line", "doc_id", "label").agg(F.collect_list("at").alias("ats"))
+    own = by_doc.groupBy("line").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "label", "ats")]).where("n = 1")
     texts = (
-        lines.join(own, "line", "left_semi")
+        own.select("doc_id", "label", "line", F.explode("ats").alias("at"))
         .groupBy("doc_id", "label")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "\n").alias("text"))
     )
@@ -94,14 +93,13 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "qu
         order = F.xxhash64("doc_id", "piece")
         chosen = pieces.where(F.col("label") == of).orderBy(order, "doc_id", "piece").limit(DICT_PIECES).select("piece").collect()
         dictionaries.append(_dictionary([r.piece.encode() for r in chosen]) if chosen else None)
-    # The sample bounds what comes to the driver: two numbers and a label a row.
+    # The sample bounds what comes to the driver: a number and a label a row.
     if None in dictionaries:
         n, good = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-        return QualityModel(None, None, np.zeros(3), (good + 0.5) / (n + 1))
-    fitted = rows.where("part >= 0.5").select("label", "text").mapInArrow(_features(*dictionaries), "label int, difference double, ratio double").toPandas()
-    y = fitted["label"].to_numpy(float)
-    there = fitted["difference"].notna().to_numpy()
-    weights = fit_logistic(fitted.loc[there, ["difference", "ratio"]].to_numpy(), y[there])
+        return QualityModel(None, None, np.zeros(2), (good + 0.5) / (n + 1))
+    fitted = rows.where("part >= 0.5").select("label", "text").mapInArrow(_differences(*dictionaries), "label int, difference double").toPandas()
+    y, there = fitted["label"].to_numpy(float), fitted["difference"].notna().to_numpy()
+    weights = fit_logistic(fitted.loc[there, ["difference"]].to_numpy(), y[there])
     return QualityModel(*dictionaries, weights, (y.sum() + 0.5) / (len(y) + 1))
 
 
@@ -112,11 +110,11 @@ def score_quality(df: DataFrame, model: QualityModel, text: str = "text") -> Dat
         return df.withColumn("score", F.lit(model.share))
     names = [c for c in df.columns if c != "score"]
     kept = df.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("_kept"), F.col(text).alias("text"))
-    scorer, weights, share = _features(model.good, model.bad), model.weights, model.share
+    differences, weights, share = _differences(model.good, model.bad), model.weights, model.share
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scorer(batches):
-            x = np.column_stack([batch["difference"].to_numpy(zero_copy_only=False), batch["ratio"].to_numpy(zero_copy_only=False)])
+        for batch in differences(batches):
+            x = batch["difference"].to_numpy(zero_copy_only=False)[:, None]
             s = np.where(np.isnan(x[:, 0]), share, logistic(weights, np.nan_to_num(x)))
             yield pa.RecordBatch.from_arrays([batch["_kept"], pa.array(s)], ["_kept", "score"])
 
@@ -134,7 +132,7 @@ def keep_good(df: DataFrame, model: QualityModel, text: str = "text", threshold:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = PairCompressor(model.good, model.bad)
         for batch in batches:
-            scores = [float(logistic(weights, np.array(compressor(t)))) if t else share for t in batch[text].cast(pa.binary()).to_pylist()]
+            scores = [float(logistic(weights, np.array([compressor(t)]))) if t else share for t in batch[text].cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
 
     return df.mapInArrow(keep, df.schema)

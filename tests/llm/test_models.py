@@ -78,6 +78,46 @@ def test_toxic_passages(spark, labelled):
     assert rows[150].score == rows[151].score and len(rows) == 155
 
 
+def test_passages_after_letters_that_grow_in_lower_case(spark, labelled, docs):
+    df, labels = labelled
+    model = X.train(df, labels, F.lit(False))
+    text = "\u0130x a\u0130b \u0130\u0130 Vileword NASTYTERM vileword and more"
+    (p,) = X.score_toxicity(docs(text), model).first().passages
+    assert text[p.start : p.end] == "Vileword NASTYTERM vileword"
+
+
+def test_scores_equal_brute_force(spark, labelled):
+    """Given a model, scores are those of plain loops over words, segments and compressed pieces."""
+    df, labels = labelled
+    model = X.train(df, labels, F.lit(False))
+    scored = {r.doc_id: r.score for r in X.score_toxicity(df, model).collect()}
+    for r in df.collect():
+        values = []
+        for w in X._WORD.findall(r.text or ""):
+            best = max((model.features[f] for f in X._of_word(w.lower()) if f in model.features), key=lambda v: v[1], default=(0.0, 0))
+            values.append(best[0] or model.drift)
+        sums = []
+        while values and max(values) > 0 and len(values) < 500:
+            total, a, b = max((sum(values[i:j]), i, j) for i in range(len(values)) for j in range(i + 1, len(values) + 1)) if len(values) < 80 else (0, 0, len(values))
+            if not total:
+                sums = None
+                break
+            sums.append(total)
+            values[a:b] = [-1e9]
+        if sums is None or len(values) >= 500:
+            continue
+        n = len(X._WORD.findall(r.text or ""))
+        want = X.logistic(model.weights, np.array([model.extremes(n, [(s, 0, 0) for s in sums])]))[0]
+        assert abs(scored[r.doc_id] - want) < 1e-9
+    quality = Q.train(df, labels, F.lit(False))
+    one = {r.doc_id: r.score for r in Q.score_quality(df, quality).collect()}
+    pair = [Q.zstandard.ZstdCompressor(level=Q.LEVEL, dict_data=Q.zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (quality.good, quality.bad)]
+    for r in df.where("doc_id < 130").collect():
+        raw = r.text.encode()
+        good, bad = (sum(len(c.compress(raw[i : i + Q.PIECE])) for i in range(0, len(raw), Q.PIECE)) for c in pair)
+        assert abs(one[r.doc_id] - Q.logistic(quality.weights, np.array([[50 * (bad - good) / len(raw)]]))[0]) < 1e-6
+
+
 def test_segments_are_maximal():
     def brute(scores):
         """Repeatedly the best-scoring run of what is left, its first and shortest form."""
