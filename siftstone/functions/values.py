@@ -104,11 +104,22 @@ def token_range(char_start: Column, char_end: Column, offsets: Column) -> Column
 # --- model replies -------------------------------------------------------------------------------------------------
 
 
+def stripped(text: Column) -> Column:
+    """text without white space at both ends."""
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def unfenced(reply: Column, everywhere: bool = False) -> Column:
-    """A reply without its Markdown fence: without all fence lines, or only the first and last line where the first is one."""
+    """A reply that begins with a Markdown fence without all lines that begin with one, or without the first and a last line of it; others as they are, stripped."""
+    bare = stripped(reply)
+    lines = F.split(bare, r"\r\n|\r|\n", -1)
+    fence = lambda line: F.startswith(line, F.lit("```"))
     if everywhere:
-        return F.array_join(F.filter(F.split(F.trim(reply), "\n", -1), lambda line: ~F.startswith(F.ltrim(line), F.lit("```"))), "\n")
-    return F.regexp_replace(F.regexp_replace(F.trim(reply), r"\A```[^\n]*\n?", ""), r"\n?```[ \t]*\z", "")
+        rest = F.filter(lines, lambda line: ~fence(line))
+    else:
+        last = stripped(F.element_at(lines, -1)) == "```"
+        rest = F.filter(lines, lambda line, i: (i > 0) & ~((i == F.size(lines) - 1) & last))
+    return F.when(fence(bare), stripped(F.array_join(rest, "\n"))).otherwise(bare)
 
 
 # --- metrics over ranked lists -------------------------------------------------------------------------------------

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions import values as V
+from siftstone.operators import replies
 from siftstone.sources.tables import FAILURES
 
-#: Columns that a retry can restore from a vector row.
+#: Columns that a retry can restore from a vector row.
 RESTORABLE = ("chunk_id", "doc_id", "parent_id", "hierarchy_level", "position", "text", "business_type", "config_version", "embedding_model_versions", "enhanced")
-VERDICTS = ("ok", "should_merge", "should_split", "unclear")
 
 
 # --- serialising ---------------------------------------------------------------------------------------------------
@@ -34,7 +34,7 @@ def lexical_rows(chunks: DataFrame, metadata_keys: list[str] = ()) -> DataFrame:
     """Rows of the lexical table: text is the context, lists are joined by a space, and derived fields stay null where they are."""
     joined = lambda c: F.array_join(F.col(c), " ")
     derived = {"keywords": "derived_keywords", "entities": "derived_entities", "potential_questions": "derived_questions"}
-    plain = [c for c in ("chunk_id", "doc_id", "parent_id", "hierarchy_level", "position", "business_type", "config_version") if c in chunks.columns]
+    plain = [c for c in ("chunk_id", "doc_id", "parent_id", "hierarchy_level", "position", "business_type", "config_version", "lc_group_id") if c in chunks.columns]
     lists = [joined(c).alias(name) for c, name in derived.items() if c in chunks.columns] + [joined("heading_path").alias("heading_path")]
     enhanced = F.coalesce("enhanced", F.lit(False)) if "enhanced" in chunks.columns else F.lit(False)
     return chunks.select(*plain, F.col("context_text").alias("text"), *lists, _versions(chunks), enhanced.alias("enhanced"), *_flattened(chunks, list(metadata_keys)))
@@ -107,7 +107,7 @@ def mark(records: DataFrame, outcome: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def retry(records: DataFrame, lexical: DataFrame, vectors: DataFrame, limit: int | None = 500, max_attempts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def retry(records: DataFrame, vectors: DataFrame, limit: int | None = 500, max_attempts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lexical rows to upsert, outcomes). A missing lexical row is restored from the vector row, with the columns that has; a missing vector can't be restored, its document must be ingested again."""
     due = pending(records, limit, max_attempts)
     cols = [c for c in RESTORABLE if c in vectors.columns]
@@ -142,41 +142,45 @@ def reconcile(lexical: DataFrame, vectors: DataFrame, records: DataFrame) -> tup
 # --- reviews -------------------------------------------------------------------------------------------------------
 
 
+def _group_keys(chunks: DataFrame) -> DataFrame:
+    """chunks with grouping_type and group_key: lc_group_id if any chunk of the document has one, else the parent, or the chunk itself where it has none."""
+    grouped = chunks.where("lc_group_id IS NOT NULL").select("doc_id").distinct().withColumn("_lc", F.lit(True))
+    by_lc = F.coalesce("_lc", F.lit(False))
+    by_parent = F.coalesce("parent_id", F.concat(F.lit("root:"), F.col("chunk_id")))
+    keyed = chunks.join(grouped, "doc_id", "left").withColumn("grouping_type", F.when(by_lc, "lc_group_id").otherwise("parent_id_fallback"))
+    return keyed.withColumn("group_key", F.when(by_lc, F.col("lc_group_id")).otherwise(by_parent)).drop("_lc")
+
+
 def audit_groups(chunks: DataFrame, chars: int = 800, most: int = 4000) -> DataFrame:
-    """(doc_id, group_key, grouping_type, chunk_ids, prompt): the chunks of a document that belong together, in order.
+    """(doc_id, group_key, grouping_type, first, chunk_ids, prompt): the chunks of a document that belong together, in order; first is the place of the first of them.
 
-    Chunks group by lc_group_id if any of the document has one, else by parent. Those without that key can't be grouped and are left out.
+    Chunks without an lc_group_id in a document that has some can't be grouped and are left out.
     """
-    any_lc = F.max(F.col("lc_group_id").isNotNull().cast("int")).over(Window.partitionBy("doc_id")) == 1
-    keyed = chunks.withColumn("grouping_type", F.when(any_lc, "lc_group_id").otherwise("parent_id")).withColumn("group_key", F.when(F.col("grouping_type") == "lc_group_id", F.col("lc_group_id")).otherwise(F.col("parent_id")))
     part = F.struct("hierarchy_level", "position", "chunk_id", F.substring("text", 1, chars).alias("text"))
-    rows = keyed.where("group_key IS NOT NULL").groupBy("doc_id", "group_key", "grouping_type").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    rows = _group_keys(chunks).where("group_key IS NOT NULL").groupBy("doc_id", "group_key", "grouping_type").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     prompt = F.substring(F.array_join(F.transform("parts", lambda p: F.concat(F.lit("["), p["chunk_id"], F.lit("] "), p["text"])), "\n"), 1, most)
-    return rows.select("doc_id", "group_key", "grouping_type", F.transform("parts", lambda p: p["chunk_id"]).alias("chunk_ids"), prompt.alias("prompt"))
+    first = F.get("parts", F.lit(0))
+    place = F.struct(first["hierarchy_level"].alias("level"), first["position"].alias("position"))
+    return rows.select("doc_id", "group_key", "grouping_type", place.alias("first"), F.transform("parts", lambda p: p["chunk_id"]).alias("chunk_ids"), prompt.alias("prompt"))
 
 
 def ungroupable(chunks: DataFrame) -> DataFrame:
     """(doc_id, skipped): how many chunks audit_groups() leaves out."""
-    any_lc = F.max(F.col("lc_group_id").isNotNull().cast("int")).over(Window.partitionBy("doc_id")) == 1
-    lost = F.when(any_lc, F.col("lc_group_id").isNull()).otherwise(F.col("parent_id").isNull())
-    return chunks.withColumn("_lost", lost).groupBy("doc_id").agg(F.count_if("_lost").alias("skipped"))
+    return _group_keys(chunks).groupBy("doc_id").agg(F.count_if(F.col("group_key").isNull()).alias("skipped"))
 
 
 def verdicts(groups: DataFrame, reply: str = "reply") -> DataFrame:
-    """groups with verdict, confidence, reason and affected, read from a model's JSON reply; a reply that doesn't parse or an unknown verdict is audit_failed. Affected ids are those of the group."""
-    parsed = F.from_json(V.unfenced(F.coalesce(F.col(reply), F.lit(""))), "verdict string, confidence string, reason string, affected_chunk_ids array<string>")
-    known = F.coalesce(parsed["verdict"].isin(*VERDICTS), F.lit(False))
-    return groups.withColumn("_r", parsed).select(
-        *groups.columns, F.when(known, F.col("_r.verdict")).otherwise("audit_failed").alias("verdict"), F.col("_r.confidence").alias("confidence"),
-        F.coalesce("_r.reason", F.lit("")).alias("reason"), F.array_intersect(F.coalesce("_r.affected_chunk_ids", F.array().cast("array<string>")), "chunk_ids").alias("affected"),
-    )
+    """groups with verdict, confidence, reason and affected, read from a model's JSON reply."""
+    return groups.withColumn("_r", replies.verdict(F.col(reply), F.col("chunk_ids"))).select(*groups.columns, "_r.*")
 
 
 def review_report(audited: DataFrame, skipped: DataFrame, now: Column) -> DataFrame:
-    """A row for each document: counters by verdict and the groups."""
+    """A row for each document: counters by verdict and the groups in order of their first chunk."""
     count = lambda v: F.count_if(F.col("verdict") == v).cast("int").alias(v)
-    group = F.struct("group_key", "grouping_type", "verdict", "confidence", "reason", "affected")
-    rows = audited.groupBy("doc_id").agg(F.count("*").cast("int").alias("total_groups"), *[count(v) for v in (*VERDICTS, "audit_failed")], F.array_sort(F.collect_list(group)).alias("groups"))
+    fields = ("group_key", "grouping_type", "verdict", "confidence", "reason", "affected")
+    ordered = F.array_sort(F.collect_list(F.struct("first", *fields)))
+    groups = F.transform(ordered, lambda g: F.struct(*[g[c].alias(c) for c in fields]))
+    rows = audited.groupBy("doc_id").agg(F.count("*").cast("int").alias("total_groups"), *[count(v) for v in (*replies.VERDICTS, "audit_failed")], groups.alias("groups"))
     out = rows.join(skipped.select("doc_id", F.col("skipped").cast("int").alias("skipped")), "doc_id", "left").withColumn("skipped", F.coalesce("skipped", F.lit(0))).withColumn("audited_at", now)
     return out.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("review_id", V.review_id(F.col("doc_id"), F.col("audited_at")))
 
@@ -190,6 +194,17 @@ def reviews_of(reviews: DataFrame, doc_id: str, limit: int = 20) -> DataFrame:
     return reviews.where(F.col("doc_id") == doc_id).orderBy(F.desc("audited_at")).limit(limit)
 
 
+def reviewed(reviews: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """(doc_id, reviewed) for each of doc_ids."""
+    there = reviews.select("doc_id").distinct().withColumn("reviewed", F.lit(True))
+    return doc_ids.select("doc_id").join(there, "doc_id", "left").select("doc_id", F.coalesce("reviewed", F.lit(False)).alias("reviewed"))
+
+
+def pending_count(records: DataFrame) -> DataFrame:
+    """(records, chunks): unresolved failure records, and the distinct chunks that they are of."""
+    return records.where("NOT resolved").agg(F.count("*").alias("records"), F.count_distinct("chunk_id").alias("chunks"))
+
+
 def pending_reviews(chunks: DataFrame, reviews: DataFrame, limit: int = 100) -> DataFrame:
     """doc_ids without a review, of the 4 * limit documents with the most chunks, in order."""
     top = chunks.groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id").limit(4 * limit)

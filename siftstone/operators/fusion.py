@@ -38,6 +38,11 @@ def candidate_counts(pooled: DataFrame, retrievers: list[str]) -> DataFrame:
     return every.join(pooled.groupBy("retriever_id").agg(F.count("*").alias("n")), "retriever_id", "left").select("retriever_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def counts_over_rounds(*rounds: DataFrame) -> DataFrame:
+    """(retriever_id, n): sums of the rounds' candidate counts."""
+    return reduce(DataFrame.unionByName, rounds).groupBy("retriever_id").agg(F.sum("n").alias("n"))
+
+
 def fuse(pooled: DataFrame, k: int = 60, weights: dict[str, float] | None = None, pool_top_k: int = 200, digits: int | None = 9) -> DataFrame:
     """Weighted reciprocal-rank fusion: each chunk's sum of weight / (k + rank), 1 for retrievers without a weight.
 
@@ -64,8 +69,8 @@ def fuse(pooled: DataFrame, k: int = 60, weights: dict[str, float] | None = None
 def rerank(fused: DataFrame, scores: DataFrame | None, top_k: int = 50, enabled: bool = True) -> DataFrame:
     """fused with rerank_score, reranked, degradation_reason and pos in the new order.
 
-    scores: (query_id, pos, rerank_score) for the first top_k. Rows whose position is out of range are dropped. A query
-    whose scores are missing, or not as many as candidates, keeps the fusion order of its first top_k, flagged. Switched off, the whole pool stays.
+    scores: (query_id, pos, rerank_score) for the first top_k. A query whose scores are missing, not as many as candidates, or all out of
+    range keeps the fusion order of its first top_k, flagged; else scores out of range are dropped, and candidates that no score names with them. Switched off, the whole pool stays.
     """
     none = F.lit(None).cast("double")
     if not enabled:
@@ -74,12 +79,15 @@ def rerank(fused: DataFrame, scores: DataFrame | None, top_k: int = 50, enabled:
     if scores is None:
         return head.select("*", none.alias("rerank_score"), F.lit(False).alias("reranked"), F.lit("reranker failed").alias("degradation_reason"))
     per_query = Window.partitionBy("query_id")
-    joined = head.join(scores.select("query_id", "pos", "rerank_score"), ["query_id", "pos"], "left")
-    whole = F.count("rerank_score").over(per_query) == F.count("*").over(per_query)
-    joined = joined.withColumn("reranked", whole).withColumn("rerank_score", F.when(F.col("reranked"), F.col("rerank_score")))
+    given = scores.groupBy("query_id").agg(F.count("*").alias("_given"))
+    joined = head.join(scores.select("query_id", "pos", "rerank_score", F.lit(True).alias("_named")), ["query_id", "pos"], "left").join(given, "query_id", "left")
+    joined = joined.withColumn("_n", F.size(F.collect_set("pos").over(per_query))).withColumn("_some", F.max("_named").over(per_query))
+    as_many = F.coalesce(F.col("_given") == F.col("_n"), F.lit(False))
+    joined = joined.withColumn("reranked", as_many & F.coalesce("_some", F.lit(False))).withColumn("rerank_score", F.when(F.col("reranked"), F.col("rerank_score")))
+    reason = F.when(F.col("reranked"), F.lit(None).cast("string")).when(as_many, F.lit("no score in range")).otherwise(F.lit("score count mismatch"))
     order = per_query.orderBy(F.desc_nulls_last("rerank_score"), "pos")
-    reason = F.when(F.col("reranked"), F.lit(None).cast("string")).otherwise(F.lit("score count mismatch"))
-    return joined.withColumn("degradation_reason", reason).withColumn("pos", F.row_number().over(order))
+    kept = joined.withColumn("degradation_reason", reason).where(~F.col("reranked") | F.coalesce("_named", F.lit(False)))
+    return kept.withColumn("pos", F.row_number().over(order)).drop("_given", "_n", "_some", "_named")
 
 
 def at_least(candidates: DataFrame, min_score: float | None) -> DataFrame:
@@ -124,7 +132,8 @@ def build_context(candidates: DataFrame, queries: DataFrame, with_scores: bool =
         block = F.when(F.length(parts) > 0, F.concat(block, F.lit("\n("), parts, F.lit(")"))).otherwise(block)
     extras = F.map_filter(F.create_map(*[x for c in CITATION_EXTRAS if c in have for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: v.isNotNull())
     scores = [F.col(c) if c in have else F.lit(None).cast("double").alias(c) for c in ("bm25_score", "rrf_score", "rerank_score")]
-    citation = F.struct("index", "chunk_id", F.col("doc_id"), text_or("title").alias("title"), text_or("source").alias("source"), *scores, extras.alias("extra"))
+    highlight = (F.col("highlight") if "highlight" in have else F.lit(None).cast("array<string>")).alias("highlight")
+    citation = F.struct("index", "chunk_id", F.col("doc_id"), text_or("title").alias("title"), text_or("source").alias("source"), *scores, highlight, extras.alias("extra"))
     # At most top_k rows a query are collected.
     built = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", block.alias("block")))).alias("b"), F.array_sort(F.collect_list(F.struct("index", citation.alias("c"))), lambda x, y: x["index"] - y["index"]).alias("c"))
     built = built.select("query_id", F.array_join(F.transform("b", lambda x: x["block"]), BLOCK_DELIMITER).alias("context_text"), F.transform("c", lambda x: x["c"]).alias("citations"))
@@ -135,13 +144,15 @@ def build_context(candidates: DataFrame, queries: DataFrame, with_scores: bool =
 
 
 def citation_summary(citations: Column, most: int = 8) -> Column:
-    return F.array_join(F.transform(F.slice(citations, 1, most), lambda c: F.concat(F.format_string("[%d] ", c["index"]), F.coalesce(F.nullif(c["title"], F.lit("")), c["doc_id"].cast("string")))), "\n")
+    """A line for each of the first citations; "(no citations)" where there are none."""
+    line = lambda c: F.concat(F.format_string("[%d] ", c["index"]), F.coalesce(F.nullif(c["title"], F.lit("")), c["doc_id"].cast("string")), F.lit(" ("), c["doc_id"].cast("string"), F.lit(")"))
+    return F.when(F.coalesce(F.size(citations), F.lit(0)) > 0, F.array_join(F.transform(F.slice(citations, 1, most), line), "\n")).otherwise("(no citations)")
 
 
 def merge_rounds(first: DataFrame, second: DataFrame) -> DataFrame:
     """Candidates of two rounds, each chunk once as first met, ordered by (rerank, rrf, dense) with missing scores last."""
     both = first.withColumn("_round", F.lit(1)).unionByName(second.withColumn("_round", F.lit(2)), allowMissingColumns=True)
     once = keep_first(both, ["query_id", "chunk_id"], F.struct("_round", "pos"))
-    dense = F.array_max(F.map_values("dense_scores")) if "dense_scores" in once.columns else F.lit(None).cast("double")
+    dense = F.get(F.map_values("dense_scores"), F.lit(0)) if "dense_scores" in once.columns else F.lit(None).cast("double")
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), F.desc_nulls_last("rrf_score"), F.desc_nulls_last("_dense"), "_round", "pos")
     return once.withColumn("_dense", dense).withColumn("_new", F.row_number().over(w)).drop("pos", "_dense", "_round").withColumnRenamed("_new", "pos")

@@ -17,9 +17,11 @@ from siftstone.functions.text import lexical_tokens
 K1, B = 1.2, 0.75
 #: Field boosts of the multi-field search.
 BOOSTS = {"text": 1.0, "title": 3.0, "derived_questions": 2.0, "derived_keywords": 1.5, "derived_entities": 1.5}
-#: Columns that a lexical and a vector hit carry.
-LEXICAL_FIELDS = ("chunk_id", "doc_id", "parent_id", "hierarchy_level", "position", "text", "title", "source", "business_type", "category", "created_time", "updated_time", "author", "config_version", "embedding_model_versions", "derived_keywords", "derived_entities", "derived_questions")
-VECTOR_FIELDS = ("chunk_id", "doc_id", "parent_id", "hierarchy_level", "position", "text", "title", "source", "business_type", "category", "created_time", "updated_time", "author", "config_version", "embedding_model_versions", "enhanced")
+#: The fields that a hit carries, as far as the chunks have them.
+SOURCE_FIELDS = (
+    "chunk_id", "doc_id", "parent_id", "hierarchy_level", "position", "text", "business_type", "category", "config_version", "embedding_model_versions",
+    "title", "source", "created_time", "updated_time", "author", "derived_keywords", "derived_entities", "derived_questions",
+)
 BROADCAST_TERMS = 200_000
 
 
@@ -61,13 +63,13 @@ class Filters:
         return {k: v for k, v in {**self.__dict__, **self.extra}.items() if v and k != "extra"}
 
 
-def postings(chunks: DataFrame, chunk_id: str = "chunk_id", fields: dict[str, Column | str] | None = None) -> DataFrame:
-    """(field, chunk_id, term, tf, dl): an index to keep as a table. Terms are counted inside the row, so nothing is shuffled."""
+def postings(chunks: DataFrame, chunk_id: str = "chunk_id", fields: dict[str, Column | str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(field, chunk_id, term, tf, dl, and the columns to keep): an index to keep as a table. Fields that are null or without terms give no rows."""
     fields = fields or {"text": "text"}
     both = F.array(*[F.struct(F.lit(name).alias("field"), lexical_tokens(F.col(c) if isinstance(c, str) else c).alias("tokens")) for name, c in fields.items()])
-    tokens = chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(both).alias("f")).select("chunk_id", "f.*").where(F.size("tokens") > 0)
-    rows = tokens.select("field", "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return rows.groupBy("field", "chunk_id", "dl", "term").agg(F.count("*").alias("tf")).select("field", "chunk_id", "term", "tf", "dl")
+    tokens = chunks.select(F.col(chunk_id).alias("chunk_id"), *keep, F.explode(both).alias("f")).select("chunk_id", *keep, "f.*").where(F.size("tokens") > 0)
+    rows = tokens.select("field", "chunk_id", *keep, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return rows.groupBy("field", "chunk_id", *keep, "dl", "term").agg(F.count("*").alias("tf")).select("field", "chunk_id", "term", "tf", "dl", *keep)
 
 
 def field_stats(index: DataFrame) -> DataFrame:
@@ -123,6 +125,19 @@ def ranked(scored: DataFrame, k: int, order: tuple[Column, ...] = ()) -> DataFra
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
+def projected(chunks: DataFrame) -> DataFrame:
+    """chunks with the columns that hits carry."""
+    return chunks.select(*[c for c in SOURCE_FIELDS if c in chunks.columns])
+
+
+def with_highlights(hits: DataFrame, queries: DataFrame, chunks: DataFrame, text: str = "text") -> DataFrame:
+    """hits (query_id, chunk_id, ..) with highlight, the fragments of the chunk's text with the query's terms; null without hits in it."""
+    asked = queries.select("query_id", F.array_distinct(lexical_tokens(F.col("query"))).alias("_terms"))
+    bodies = chunks.select("chunk_id", F.col(text).alias("_body"))
+    found = hits.join(asked, "query_id", "left").join(bodies, "chunk_id", "left")
+    return found.withColumn("highlight", highlighted(F.col("_body"), F.coalesce("_terms", F.array().cast("array<string>")))).drop("_terms", "_body")
+
+
 def highlighted(text: Column, terms: Column, size: int = 150, most: int = 3) -> Column:
     """Up to three fragments of about 150 characters around the first hits, terms in <em>; null without hits."""
     pattern = F.concat(F.lit(r"(?iU)(?<![\p{L}\p{N}])("), F.array_join(F.transform(F.array_sort(terms), lambda t: F.concat(F.lit("\\Q"), t, F.lit("\\E"))), "|"), F.lit(r")(?![\p{L}\p{N}])"))

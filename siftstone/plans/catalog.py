@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
 from siftstone.functions import values as V
-from siftstone.operators import bookkeeping, chunking, dense, fusion, lexical
+from siftstone.operators import bookkeeping, chunking, dense, fusion, lexical, replies
 from siftstone.operators.lexical import Filters
 from siftstone.plans import evaluate
-from siftstone.sources.tables import FAILURES, materialised, upsert
+from siftstone.sources.tables import FAILURES, delete_where, materialised, upsert
 from siftstone.streaming.jobs import event_windows
 
 
@@ -45,7 +45,8 @@ def bm25_filtered(spark, sf_dir):
 
 def term_statistics(spark, sf_dir):
     index = lexical.postings(_t(spark, sf_dir, "documents"), "doc_id")
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    index = materialised(index, "postings")
+    return lexical.term_stats(index).join(index.groupBy("field", "term").agg(F.sum("tf").alias("cf")), ["field", "term"]).select("term", "df", "cf")
 
 
 def field_statistics(spark, sf_dir):
@@ -103,10 +104,10 @@ def rerank_min_score(spark, sf_dir):
 def context_blocks(spark, sf_dir):
     """The three best documents of each passage as a numbered context."""
     found = _bm25(spark, sf_dir, 3).withColumnRenamed("rank", "pos").withColumnRenamed("score", "rerank_score")
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id"), F.col("lang").alias("title"), F.substring("text", 1, 40).alias("text"), "source")
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id"), F.col("lang").alias("title"), "text", "source")
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     built = fusion.build_context(found.join(docs, "chunk_id"), asked)
-    return built.select(F.col("query_id").alias("item_id"), "context_text", "candidate_count", "is_empty")
+    return built.select(F.col("query_id").alias("item_id"), F.md5("context_text").alias("digest"), F.length("context_text").alias("chars"), "candidate_count", "is_empty")
 
 
 def parent_backfill(spark, sf_dir):
@@ -267,7 +268,7 @@ def retry_outcomes(spark, sf_dir):
     _, b = _sides(spark, sf_dir)
     drift = materialised(reconcile_drift(spark, sf_dir), "drift")
     records = bookkeeping.record_failures(spark.createDataFrame([], FAILURES), drift, F.to_timestamp(F.lit("2024-01-01")))
-    return bookkeeping.retry(records, b, b, limit=None)[1].groupBy("resolved").agg(F.count("*").alias("n"))
+    return bookkeeping.retry(records, b, limit=None)[1].groupBy("resolved").agg(F.count("*").alias("n"))
 
 
 def indexed_by_document(spark, sf_dir):
@@ -297,12 +298,13 @@ def latest_reviews(spark, sf_dir):
 
 def audit_prompts(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
-    chunks = c.select(F.col("role").alias("doc_id"), F.concat(F.lit("c"), "conv_id").alias("parent_id"), F.lit(None).cast("string").alias("lc_group_id"), F.lit(1).alias("hierarchy_level"), F.col("turn").alias("position"), F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), "text")
-    return bookkeeping.audit_groups(chunks).select("doc_id", "group_key", F.size("chunk_ids").alias("n"), F.md5("prompt").alias("digest"))
+    parent = F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("c"), "conv_id"))
+    chunks = c.select(F.col("role").alias("doc_id"), parent.alias("parent_id"), F.lit(None).cast("string").alias("lc_group_id"), F.lit(1).alias("hierarchy_level"), F.col("turn").alias("position"), F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), "text")
+    return bookkeeping.audit_groups(chunks).select("doc_id", "group_key", "grouping_type", "first.position", F.size("chunk_ids").alias("n"), F.md5("prompt").alias("digest"))
 
 
 def ungroupable_chunks(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "g").alias("lc_group_id"), F.lit("p").alias("parent_id"))
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("chunk_id"), F.when(F.col("o_orderstatus") == "F", "g").alias("lc_group_id"), F.lit(None).cast("string").alias("parent_id"))
     return bookkeeping.ungroupable(o)
 
 
@@ -318,14 +320,97 @@ def daily_events(spark, sf_dir):
 
 def deletion_counts(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
-    gone = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
-    return o.groupBy("o_orderpriority").agg(F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("kept"))
+    kept, gone = delete_where(o, F.col("o_orderstatus") == "F")
+    stays = kept.groupBy("o_orderpriority").agg(F.count("*").alias("kept"))
+    return o.groupBy("o_orderpriority").agg(gone.alias("deleted")).join(stays, "o_orderpriority", "left").select("o_orderpriority", "deleted", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
+# --- model replies -------------------------------------------------------------------------------------------------
+
+#: Replies of many shapes, in SQL that both engines read.
+_FENCE = "'```json' || chr(10) || {0} || chr(10) || '```'"
+_AUDIT_REPLY = f"""CASE c_custkey % 9 WHEN 0 THEN 'no json' WHEN 1 THEN '["ok"]' WHEN 2 THEN '{{"verdict": "unclear", "confidence": "high"}}'
+  WHEN 3 THEN {_FENCE.format("""'{"verdict": "boundary_issue", "confidence": "low", "reason": " cut ", "affected_chunk_ids": ["a", "zz", "b"]}'""")}
+  WHEN 4 THEN '{{"verdict": "ok", "confidence": "sure", "reason": "  "}}' WHEN 5 THEN '{{"verdict": "should_merge", "confidence": "medium", "reason": "r", "affected_chunk_ids": "a"}}'
+  WHEN 6 THEN chr(10) || ' {{"verdict": "should_split", "affected_chunk_ids": ["b", "b"]}} ' WHEN 7 THEN '{{"confidence": "high"}}' END"""
+_EVAL_REPLY = f"""CASE c_custkey % 13 WHEN 0 THEN 'no json' WHEN 1 THEN '[]' WHEN 2 THEN '{{"sufficient": false, "confidence": "high", "missing_aspects": "m", "sub_queries": [" a ", "", 7, "b", "c"]}}'
+  WHEN 3 THEN {_FENCE.format("""'{"sufficient": true, "confidence": "high", "missing_aspects": " TOPIC_ABSENT ", "sub_queries": []}'""")}
+  WHEN 4 THEN '{{"sufficient": true, "confidence": "low", "missing_aspects": "FACTUAL_NEGATION", "sub_queries": ["x"]}}' WHEN 5 THEN '{{"sufficient": false, "confidence": "high", "missing_aspects": "TOPIC_ABSENT", "sub_queries": ["x"]}}'
+  WHEN 6 THEN '{{"sufficient": "no", "confidence": "high", "missing_aspects": "", "sub_queries": ["x"]}}' WHEN 7 THEN '{{"sufficient": false, "confidence": 0.5, "missing_aspects": "", "sub_queries": ["x"]}}'
+  WHEN 8 THEN '{{"sufficient": false, "confidence": "sure", "missing_aspects": "", "sub_queries": ["x"]}}' WHEN 9 THEN '{{"sufficient": false, "confidence": "low", "missing_aspects": ["m"], "sub_queries": ["x"]}}'
+  WHEN 10 THEN '{{"sufficient": false, "confidence": "low", "missing_aspects": "", "sub_queries": "x"}}' WHEN 11 THEN '{{"sufficient": false, "confidence": "low", "missing_aspects": "", "sub_queries": [" "]}}' END"""
+_ENHANCED_REPLY = f"""CASE c_custkey % 9 WHEN 0 THEN 'no json' WHEN 1 THEN '7' WHEN 2 THEN '{{"summary": " s ", "keywords": ["k", 2]}}'
+  WHEN 3 THEN {_FENCE.format("""'{"summary": ["s1", "s2"], "keywords": []}'""")} WHEN 4 THEN '{{"summary": "s"}}' WHEN 5 THEN '{{"summary": "s", "keywords": "no list"}}'
+  WHEN 6 THEN '{{"summary": null, "keywords": ["k"]}}' WHEN 7 THEN '{{"summary": 5, "keywords": ["k"]}}' END"""
+
+
+def audit_verdicts(spark, sf_dir):
+    """Verdicts read from replies of many shapes, about the chunks a and b."""
+    said = _t(spark, sf_dir, "customer").select("c_custkey", F.expr(_AUDIT_REPLY).alias("reply"), F.array(F.lit("a"), F.lit("b")).alias("chunk_ids"))
+    return bookkeeping.verdicts(said).select("c_custkey", "verdict", "confidence", F.when(F.col("verdict") != "audit_failed", F.col("reason")).alias("reason"), F.array_join("affected", ",").alias("affected"))
+
+
+def self_evaluations(spark, sf_dir):
+    """Evaluations of a first round, read from replies of many shapes."""
+    said = _t(spark, sf_dir, "customer").select("c_custkey", replies.self_evaluation(F.expr(_EVAL_REPLY)).alias("e"))
+    says = lambda s: replies.says(F.col("e"), s)
+    return said.select("c_custkey", "e.sufficient", "e.confidence", "e.missing", F.array_join("e.sub_queries", "|").alias("sub_queries"), says(replies.TOPIC_ABSENT).alias("topic_absent"), says(replies.FACTUAL_NEGATION).alias("factual_negation"))
+
+
+def enhancement_replies(spark, sf_dir):
+    """Derived fields read from replies of many shapes."""
+    said = _t(spark, sf_dir, "customer").select("c_custkey", replies.enhancement(F.expr(_ENHANCED_REPLY), ("summary", "keywords")).alias("e"))
+    return said.select("c_custkey", F.col("e.error").isNull().alias("fine"), "e.summary", F.array_join("e.keywords", "|").alias("keywords"))
+
+
+def rerank_by_index(spark, sf_dir):
+    """Queries whose scores are whole, too few, or partly out of range: the last lose the candidates that no score names."""
+    fused = materialised(fusion.fuse(_two_models(spark, sf_dir), 60, None, 20), "fused")
+    q = F.floor(F.col("query_id") / 100) % 3
+    there = fused.where((q != 1) | (F.col("pos") <= 5)).where(F.col("pos") <= 10)
+    index = F.when((q == 2) & (F.col("pos") > 7), F.col("pos") + 90).otherwise(F.col("pos"))
+    scores = there.select("query_id", index.alias("pos"), F.round(F.col("rrf_score") * ((F.col("pos") * 7) % 11), 9).alias("rerank_score"))
+    return fusion.rerank(fused, scores, 10).select("query_id", "pos", F.col("chunk_id").alias("vec_id"), "reranked", "rerank_score")
+
+
+def round_merge(spark, sf_dir):
+    """The halves of the vectors as two rounds: each candidate once as first met, and candidate counts over both."""
+    pooled = _two_models(spark, sf_dir)
+    one, two = (materialised(fusion.fuse(pooled.where(F.col("retriever_id") == r), 60, None, 30).withColumn("rerank_score", F.lit(None).cast("double")), r) for r in ("first", "second"))
+    merged = fusion.merge_rounds(one, two)
+    counts = fusion.counts_over_rounds(*[fusion.candidate_counts(pooled.where(F.col("retriever_id") == r), ["first", "second"]) for r in ("first", "second")])
+    total = counts.agg(F.sum("n").alias("candidates"))
+    return merged.select("query_id", "pos", F.col("chunk_id").alias("vec_id"), "rrf_score").join(F.broadcast(total))
+
+
+# --- several fields ------------------------------------------------------------------------------------------------
+
+
+def _part_search(spark, sf_dir) -> DataFrame:
+    parts = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), "p_name", "p_type", "p_brand")
+    index = materialised(lexical.postings(parts, fields={"text": "p_type", "title": "p_name", "derived_keywords": "p_brand"}), "postings")
+    asked = parts.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("query"))
+    return lexical.bm25_topk(index, asked, 5, digits=6)
+
+
+def bm25_multi_field(spark, sf_dir):
+    """Parts by type, name and brand with their boosts: a hit's best field counts."""
+    return _part_search(spark, sf_dir).select("query_id", "rank", F.col("chunk_id").alias("p_partkey"), "score")
+
+
+def highlights(spark, sf_dir):
+    """The names of the parts found, with the query's terms marked."""
+    parts = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text"))
+    asked = parts.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"))
+    found = lexical.with_highlights(_part_search(spark, sf_dir), asked, parts)
+    return found.select("query_id", F.col("chunk_id").alias("p_partkey"), F.array_join("highlight", "|").alias("highlight"))
 
 
 QUERIES = {f.__name__: f for f in (
     hybrid_bm25_topk, bm25_filtered, term_statistics, field_statistics, dense_cosine_topk, weighted_rrf, plain_rrf, candidate_counts, rerank_min_score, context_blocks, parent_backfill,
     eval_items, eval_report, regression_gate, clean_documents, clean_log, strip_html, query_normalisation, token_budget, identities, versions_text, unit_vectors, structure_nodes, structural_chunks,
     upsert_orders, reconcile_counts, reconcile_drift, retry_outcomes, indexed_by_document, failure_modes, pending_documents, latest_reviews, audit_prompts, ungroupable_chunks, date_filter, daily_events, deletion_counts,
+    audit_verdicts, self_evaluations, enhancement_replies, rerank_by_index, round_merge, bm25_multi_field, highlights,
 )}
 
 
@@ -383,6 +468,31 @@ _PUNCT = f"regexp_replace(regexp_replace({_PUNCT}, '[.。]{{{{3,}}}}', '…', 'g
 _LINES = reduce(lambda s, p: f"regexp_replace({s}, '{p}', '', 'g')", [p.replace("(?mdUi)", "(?mi)").replace("(?mdU)", "(?m)").replace("{", "{{").replace("}", "}}") for p in T.BOILERPLATE], "{0}")
 _PRIORITY = "o_orderpriority <> '1-URGENT'"
 
+
+def _reply_sql(reply: str, everywhere: bool) -> str:
+    """b: the reply without fence; o: whether it is a JSON object."""
+    lines = "list_filter(l, lambda x: NOT starts_with(x, '```'))" if everywhere else "CASE WHEN trim(l[-1], ' ' || chr(10)) = '```' THEN l[2:-2] ELSE l[2:] END"
+    strip = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+    bare = strip.format("coalesce(reply, '')")
+    return f"""s AS (SELECT c_custkey, {bare} AS t, string_split({bare}, chr(10)) AS l FROM (SELECT c_custkey, {reply} AS reply FROM customer)),
+u AS (SELECT c_custkey, CASE WHEN starts_with(t, '```') THEN {strip.format(f"array_to_string({lines}, chr(10))")} ELSE t END AS b FROM s),
+j AS (SELECT c_custkey, CASE WHEN json_valid(b) AND json_type(CASE WHEN json_valid(b) THEN b ELSE '0' END) = 'OBJECT' THEN b::JSON ELSE '{{{{}}}}'::JSON END AS j, json_valid(b) AND json_type(CASE WHEN json_valid(b) THEN b ELSE '0' END) = 'OBJECT' AS o FROM u)""".replace("{{}}", "{}")
+
+
+def _field_sql(name: str, column: str, boost: float) -> str:
+    """Scores of one field of part."""
+    return f"""SELECT query_id, p_partkey, {boost} * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS s
+FROM q JOIN (SELECT p_partkey, term, count(*) AS tf, any_value(dl) AS dl, count(*) OVER (PARTITION BY term) AS df FROM (SELECT p_partkey, unnest(w) AS term, len(w) AS dl FROM (SELECT p_partkey, regexp_extract_all(lower({column}), '[a-z0-9]+') AS w FROM part)) GROUP BY p_partkey, term) USING (term),
+     (SELECT count(*) AS n, avg(len(regexp_extract_all(lower({column}), '[a-z0-9]+'))) AS avgdl FROM part) GROUP BY ALL"""
+
+
+_PART_TOP = (
+    "q AS (SELECT DISTINCT p_partkey AS query_id, unnest(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9]+')) AS term FROM part WHERE p_partkey % 20 = 0), "
+    f"f AS ({_field_sql('text', 'p_type', 1.0)} UNION ALL {_field_sql('title', 'p_name', 3.0)} UNION ALL {_field_sql('derived_keywords', 'p_brand', 1.5)}), "
+    "x AS (SELECT query_id, p_partkey, round(max(s), 6) AS score FROM f GROUP BY ALL), "
+    "top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey)::INT AS rank, p_partkey, score FROM x QUALIFY rank <= 5)"
+)
+
 ORACLE_SQL = {
     "hybrid_bm25_topk": f"WITH {_bm25_sql(10)} SELECT * FROM top",
     "bm25_filtered": "WITH " + _bm25_sql(5, "lang = 'en'") + " SELECT * FROM top",
@@ -393,7 +503,7 @@ ORACLE_SQL = {
     "plain_rrf": f"WITH {_POOL}, {_rrf_sql(1.0, 20)} SELECT * FROM t",
     "candidate_counts": f"WITH {_POOL} SELECT r AS retriever_id, count(*) AS n FROM l GROUP BY r UNION ALL SELECT 'third', 0",
     "rerank_min_score": f"WITH {_POOL}, {_rrf_sql(1.0, 200)}, z AS (SELECT query_id, t.vec_id, pos AS old, {_COS.format(a='a.e', b='b.e')} AS rerank_score FROM t JOIN v a ON a.vec_id = query_id JOIN v b ON b.vec_id = t.vec_id WHERE pos <= 30), y AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, old)::INT AS pos, vec_id, rerank_score FROM z) SELECT * FROM y WHERE rerank_score >= 0.3",
-    "context_blocks": f"WITH {_bm25_sql(3)} SELECT item_id, coalesce(string_agg('[' || rank || '] ' || lang || chr(10) || substr(text, 1, 40), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), '') AS context_text, count(doc_id)::INT AS candidate_count, count(doc_id) = 0 AS is_empty FROM (SELECT item_id FROM benchmark) b LEFT JOIN top USING (item_id) LEFT JOIN documents USING (doc_id) GROUP BY item_id",
+    "context_blocks": f"WITH {_bm25_sql(3)}, c AS (SELECT item_id, coalesce(string_agg('[' || rank || '] ' || lang || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), '') AS t, count(doc_id)::INT AS candidate_count, count(doc_id) = 0 AS is_empty FROM (SELECT item_id FROM benchmark) b LEFT JOIN top USING (item_id) LEFT JOIN documents USING (doc_id) GROUP BY item_id) SELECT item_id, md5(t) AS digest, length(t)::INT AS chars, candidate_count, is_empty FROM c",
     "parent_backfill": "WITH c AS (SELECT l_suppkey AS query_id, 'l-' || l_orderkey || '-' || l_linenumber AS chunk_id, 'o' || l_orderkey AS parent, max(l_extendedprice) AS s FROM lineitem GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::INT AS pos FROM c QUALIFY pos <= 8), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY pos) AS nth FROM h) SELECT query_id, pos, CASE WHEN nth = 1 AND o_orderkey IS NOT NULL THEN parent ELSE chunk_id END AS chunk_id, CASE WHEN nth = 1 AND o_orderkey IS NOT NULL THEN o_orderpriority ELSE 'line' END AS o_orderpriority FROM n LEFT JOIN orders ON 'o' || o_orderkey = parent",
     "eval_items": f"WITH {_bm25_sql(10)}, {_GOLD} SELECT id, expected_empty, " + ", ".join(f"round({c}, 6)::DOUBLE AS {c}" for c in ("recall_1", "recall_10", "precision_1", "precision_10", "ndcg_1", "ndcg_10", "mrr")) + " FROM x",
     "eval_report": f"WITH {_bm25_sql(10)}, {_GOLD} SELECT count(*) AS total_queries, count(*) FILTER (expected_empty) AS negative_total, count(*) FILTER (expected_empty AND n = 0) AS negative_correct_rejections, " + ", ".join(f"round(avg({c}) FILTER (NOT expected_empty), 6)::DOUBLE AS avg_{c}" for c in ("recall_10", "ndcg_10", "mrr")) + ", round(count(*) FILTER (expected_empty AND n = 0) / count(*) FILTER (expected_empty), 6)::DOUBLE AS negative_rejection_rate FROM x",
@@ -413,9 +523,16 @@ ORACLE_SQL = {
     "failure_modes": "SELECT CASE WHEN l_discount > 0.09 AND l_tax > 0.07 THEN 'both' WHEN l_discount > 0.09 THEN 'es_write' ELSE 'qdrant_write' END AS failure_mode, concat_ws('; ', CASE WHEN l_discount > 0.09 THEN 'lexical' END, CASE WHEN l_tax > 0.07 THEN 'vector' END) AS error_msg, count(*) AS n FROM lineitem WHERE l_discount > 0.09 OR l_tax > 0.07 GROUP BY ALL",
     "pending_documents": "WITH t AS (SELECT l_suppkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, doc_id LIMIT 80) SELECT doc_id FROM t WHERE doc_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) ORDER BY doc_id LIMIT 20",
     "latest_reviews": "SELECT o_custkey AS doc_id, o_orderkey AS review_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
-    "audit_prompts": "SELECT role AS doc_id, 'c' || conv_id AS group_key, count(*)::INT AS n, md5(left(string_agg('[' || conv_id || '-' || turn || '] ' || left(text, 800), chr(10) ORDER BY turn), 4000)) AS digest FROM conversations GROUP BY ALL",
+    "audit_prompts": "SELECT role AS doc_id, CASE WHEN conv_id % 3 > 0 THEN 'c' || conv_id ELSE 'root:' || conv_id || '-' || turn END AS group_key, 'parent_id_fallback' AS grouping_type, min(turn) AS position, count(*)::INT AS n, md5(left(string_agg('[' || conv_id || '-' || turn || '] ' || left(text, 800), chr(10) ORDER BY turn), 4000)) AS digest FROM conversations GROUP BY ALL",
     "ungroupable_chunks": "SELECT o_custkey AS doc_id, CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN count(*) FILTER (o_orderstatus <> 'F') ELSE 0 END AS skipped FROM orders GROUP BY 1",
     "date_filter": "SELECT event_id, event_type, round(value, 6) AS value FROM events WHERE event_type = 'click' AND ts BETWEEN '2024-01-05' AND '2024-01-12'",
     "daily_events": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "audit_verdicts": f"WITH {_reply_sql(_AUDIT_REPLY, True)}, v AS (SELECT c_custkey, j, o AND coalesce(j->>'verdict' IN ('ok', 'should_merge', 'should_split', 'boundary_issue'), false) AS k FROM j) SELECT c_custkey, CASE WHEN k THEN j->>'verdict' ELSE 'audit_failed' END AS verdict, CASE WHEN k AND j->>'confidence' IN ('high', 'medium', 'low') THEN j->>'confidence' END AS confidence, CASE WHEN k THEN coalesce(nullif(trim(j->>'reason'), ''), '（LLM 未提供 reason）') END AS reason, CASE WHEN k AND json_type(j->'affected_chunk_ids') = 'ARRAY' THEN array_to_string(list_filter((j->'affected_chunk_ids')::VARCHAR[], lambda x: x IN ('a', 'b')), ',') ELSE '' END AS affected FROM v",
+    "self_evaluations": f"WITH {_reply_sql(_EVAL_REPLY, False)}, p AS (SELECT *, CASE WHEN json_type(j->'sub_queries') = 'ARRAY' THEN list_filter([trim(x->>'$') for x in (j->'sub_queries')::JSON[] if json_type(x) = 'VARCHAR'], lambda x: x <> '')[1:2] ELSE [] END AS subs, coalesce(json_type(j->'sufficient') = 'BOOLEAN', false) AS b FROM j), e AS (SELECT *, b AND coalesce(json_type(j->'confidence') = 'VARCHAR' AND j->>'confidence' IN ('high', 'medium', 'low') AND json_type(j->'missing_aspects') = 'VARCHAR' AND json_type(j->'sub_queries') = 'ARRAY', false) AND (j->>'sufficient' = 'true' OR len(subs) > 0) AS k FROM p) SELECT c_custkey, NOT k OR j->>'sufficient' = 'true' AS sufficient, CASE WHEN k THEN j->>'confidence' ELSE 'low' END AS confidence, CASE WHEN k THEN j->>'missing_aspects' ELSE '' END AS missing, CASE WHEN k AND j->>'sufficient' = 'false' THEN array_to_string(subs, '|') ELSE '' END AS sub_queries, k AND j->>'sufficient' = 'true' AND trim(j->>'missing_aspects') = 'TOPIC_ABSENT' AS topic_absent, k AND j->>'sufficient' = 'true' AND trim(j->>'missing_aspects') = 'FACTUAL_NEGATION' AS factual_negation FROM e",
+    "enhancement_replies": f"WITH {_reply_sql(_ENHANCED_REPLY, True)}, k AS (SELECT *, o AND coalesce(json_type(j->'summary') IN ('VARCHAR', 'ARRAY') AND json_type(j->'keywords') = 'ARRAY', false) AS k FROM j) SELECT c_custkey, k AS fine, CASE WHEN k THEN trim(CASE WHEN json_type(j->'summary') = 'ARRAY' THEN array_to_string((j->'summary')::VARCHAR[], ' ') ELSE j->>'summary' END) END AS summary, CASE WHEN k THEN array_to_string((j->'keywords')::VARCHAR[], '|') END AS keywords FROM k",
+    "rerank_by_index": f"WITH {_POOL}, {_rrf_sql(1.0, 20)}, hd AS (SELECT *, query_id // 100 % 3 AS m, round(rrf * ((pos * 7) % 11), 9) AS z FROM t WHERE pos <= 10) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN m <> 1 THEN z END DESC NULLS LAST, pos)::INT AS pos, vec_id, m <> 1 AS reranked, CASE WHEN m <> 1 THEN z END AS rerank_score FROM hd WHERE m <> 2 OR pos <= 7",
+    "round_merge": f"WITH {_POOL}, one AS (SELECT query_id, vec_id, CASE r WHEN 'first' THEN 1 ELSE 2 END AS round, rank AS pos, round(1.0::DOUBLE / (60 + rank), 9) AS rrf, s FROM l WHERE rank <= 30), m AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY query_id, vec_id ORDER BY round) = 1) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, s DESC, round, pos)::INT AS pos, vec_id, rrf AS rrf_score, (SELECT count(*) FROM l)::BIGINT AS candidates FROM m",
+    "bm25_multi_field": f"WITH {_PART_TOP} SELECT * FROM top",
+    "highlights": f"WITH {_PART_TOP}, h AS (SELECT query_id, t.p_partkey, p.p_name, list_intersect(regexp_extract_all(lower(p.p_name), '[a-z0-9]+'), regexp_extract_all(lower(o.p_name), '[a-z0-9]+')) AS w FROM top t JOIN part p USING (p_partkey) JOIN part o ON o.p_partkey = query_id) SELECT query_id, p_partkey, CASE WHEN len(w) > 0 THEN regexp_replace(p_name, '(?i)\\b(' || array_to_string(w, '|') || ')\\b', '<em>\\1</em>', 'g') END AS highlight FROM h",
     "deletion_counts": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS deleted, count(*) FILTER (o_orderstatus <> 'F') AS kept FROM orders GROUP BY 1",
 }

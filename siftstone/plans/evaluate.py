@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions import values as V
+from siftstone.plans import query
+from siftstone.sources.tables import materialised
 
 K_VALUES = (1, 3, 5, 10)
 
@@ -53,3 +55,12 @@ def long_metrics(report_: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> Da
     named = [(m, k) for m in ("recall", "precision", "ndcg") for k in sorted(k_values)]
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.col(f"avg_{m}_{k}").alias("value")) for m, k in named], F.struct(F.lit("mrr").alias("metric"), F.lit(max(k_values)).alias("k"), F.col("avg_mrr").alias("value")))
     return report_.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def run_golden(golden: DataFrame, corpus: query.Corpus, retrievers: list, models: query.Models = query.Models(), k_values: tuple[int, ...] = K_VALUES, **options) -> tuple[DataFrame, DataFrame]:
+    """(item results, report) of a golden set (id, query, relevant_doc_ids, expected_empty) put to the query plan: an item's documents are those that its answer cites."""
+    asked = golden.select(F.col("id").alias("query_id"), "query")
+    answers = materialised(query.run(asked, corpus, retrievers, models, **options), "answers")
+    cited = answers.select(F.col("query_id").alias("id"), F.explode("citations").alias("c")).select("id", F.col("c.index").alias("rank"), F.col("c.doc_id").alias("doc_id"))
+    items = materialised(item_results(golden, cited, k_values), "items")
+    return items, report(items, k_values)

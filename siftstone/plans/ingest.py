@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,21 +11,20 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
 from siftstone.functions import values as V
-from siftstone.operators import bookkeeping, chunking, dense, lexical
+from siftstone.operators import bookkeeping, chunking, dense, lexical, replies
 from siftstone.operators.chunking import Budget
-from siftstone.sources.tables import FAILURES, ORIGINALS, Store, delete_where, materialised, upsert
+from siftstone.plans.query import Corpus
+from siftstone.sources.tables import FAILURES, ORIGINALS, REVIEWS, Store, delete_where, materialised, upsert
 
 ENHANCED_TEXT = 6000
-STRING_FIELDS, LIST_FIELDS = ("summary", "context_padding"), ("keywords", "entities", "potential_questions")
 
 
 def enhance(docs: DataFrame, model: Callable | None, wanted: tuple[str, ...] = ("summary", "keywords", "entities"), policy: str = "rules_only_and_flag") -> DataFrame:
     """docs with the derived fields from one model call a document (its first 6000 characters), enhanced and enhancement_error.
 
-    model(texts) gives JSON replies. A list for a text field is joined; a missing field is an error. On errors the fields stay
-    null under rules_only_and_flag, and the job fails under fail_fast.
+    model(texts) gives JSON replies, which replies.enhancement() reads. On errors the fields stay null under rules_only_and_flag, and the job fails under fail_fast.
     """
-    empty = {**dict.fromkeys(STRING_FIELDS, "string"), **dict.fromkeys(LIST_FIELDS, "array<string>")}
+    empty = {**dict.fromkeys(replies.STRING_FIELDS, "string"), **dict.fromkeys(replies.LIST_FIELDS, "array<string>")}
     if model is None:
         for name, kind in empty.items():
             docs = docs.withColumn(name, F.lit(None).cast(kind))
@@ -40,18 +39,14 @@ def enhance(docs: DataFrame, model: Callable | None, wanted: tuple[str, ...] = (
                 yield pd.DataFrame({"reply": None, "error": [str(e)] * len(s)})
 
     docs = docs.withColumn("_m", ask(F.substring("text", 1, ENHANCED_TEXT)))
-    bare = V.unfenced(F.coalesce("_m.reply", F.lit("")), everywhere=True)
-    docs = docs.withColumn("_v", F.try_parse_json(bare))
-    lacking = F.array_join(F.array_compact(F.array(*[F.when(F.try_variant_get("_v", f"$.{f}", "variant").isNull(), F.lit(f)) for f in wanted])), ", ")
-    error = F.when(F.col("_m.error").isNotNull(), F.col("_m.error")).when(F.col("_v").isNull(), "the reply is no JSON").when(F.length(lacking) > 0, F.concat(F.lit("missing fields: "), lacking))
+    docs = docs.withColumn("_v", replies.enhancement(F.col("_m.reply"), wanted))
+    error = F.coalesce("_m.error", "_v.error")
     if policy == "fail_fast":
         error = F.when(error.isNotNull(), F.raise_error(error).cast("string"))
     docs = docs.withColumn("enhancement_error", error)
     fine = F.col("enhancement_error").isNull()
     for name, kind in empty.items():
-        listed = F.try_variant_get("_v", f"$.{name}", "array<string>")
-        value = F.coalesce(F.array_join(listed, ", "), F.try_variant_get("_v", f"$.{name}", "string")) if name in STRING_FIELDS else listed
-        docs = docs.withColumn(name, F.when(fine, value) if name in wanted else F.lit(None).cast(kind))
+        docs = docs.withColumn(name, F.when(fine, F.col(f"_v.{name}")) if name in wanted else F.lit(None).cast(kind))
     return docs.withColumn("enhanced", fine).drop("_m", "_v")
 
 
@@ -74,7 +69,12 @@ def with_vectors(chunks: DataFrame, providers: dict[str, tuple[Callable, int, st
 
 @dataclass
 class Engine:
-    """The tables of one deployment below `root`, and the jobs on them."""
+    """The tables of one deployment below `root`, and the jobs on them.
+
+    Originals, lexical rows, vector rows and postings lie in `buckets` partitions by hash of the document, so that adding or deleting documents
+    replaces only the partitions of these documents; take thousands at scale. With a token provider (see chunking.late_chunk_vectors) the
+    vectors of `late` come from the chunks' groups. metadata_keys become columns of the lexical and vector rows.
+    """
 
     spark: SparkSession
     root: str
@@ -83,34 +83,72 @@ class Engine:
     config_version: str = "1"
     model: Callable | None = None
     profile: T.CleaningProfile = T.CleaningProfile()
+    buckets: int = 16
+    metadata_keys: tuple[str, ...] = ("title", "source", "author", "category", "created_time")
+    late: dict[str, tuple[Callable, int, str, int]] = field(default_factory=dict)
 
     def store(self, name: str) -> Store:
         return Store(self.spark, self.root, name)
 
     def table(self, name: str) -> DataFrame:
-        return self.store(name).read({"originals": ORIGINALS, "failures": FAILURES}.get(name))
+        return self.store(name).read({"originals": ORIGINALS, "failures": FAILURES, "reviews": REVIEWS}.get(name)).drop("bucket")
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(self.buckets)).cast("int"))
+
+    def _change(self, name: str, new: DataFrame, gone: DataFrame, keys: list[str], touched: list[int]) -> None:
+        """Within the touched buckets: rows that gone (some of the key columns or doc_id) names go, new rows replace those of the same keys."""
+        store, new = self.store(name), self._bucketed(new)
+        if not store.exists():
+            store.replace(new.dropDuplicates(keys), "bucket")
+            return
+        current = store.read().where(F.col("bucket").isin(touched))
+        store.put(upsert(current.join(gone, gone.columns, "left_anti"), new, keys), "bucket", touched)
 
-    def _write(self, docs: DataFrame, keep: DataFrame | None, keep_vectors: DataFrame | None) -> DataFrame:
-        chunks = materialised(with_vectors(build_chunks(docs, self.budget, self.config_version, self.profile, self.model), self.providers), "chunks")
-        bad_vector = F.when(F.size("named_vectors") < len(self.providers), F.lit("a vector is missing"))
+    def _index(self, touched: list[int] | None = None) -> None:
+        """Postings of all searched fields, of the touched buckets or of all."""
+        rows = self.store("lexical").read()
+        fields = {c: c for c in lexical.BOOSTS if c in rows.columns}
+        if touched is None or not self.store("postings").exists():
+            self.store("postings").replace(lexical.postings(rows, fields=fields, keep=("bucket",)), "bucket")
+        else:
+            self.store("postings").put(lexical.postings(rows.where(F.col("bucket").isin(touched)), fields=fields, keep=("bucket",)), "bucket", touched)
+
+    def _touched(self, doc_ids: DataFrame) -> list[int]:
+        return sorted(r[0] for r in self._bucketed(doc_ids.select("doc_id")).select("bucket").distinct().collect())
+
+    def _chunks(self, docs: DataFrame) -> DataFrame:
+        chunks = with_vectors(build_chunks(docs, self.budget, self.config_version, self.profile, self.model), self.providers)
+        if self.late:
+            chunks = materialised(chunks, "chunks")
+            for name, (provider, dimension, version, max_seq_len) in self.late.items():
+                late = chunking.late_chunk_vectors(chunks, provider, dimension, max_seq_len).select("chunk_id", F.col("vector").alias("_late"))
+                chunks = chunks.join(late, "chunk_id", "left")
+                chunks = chunks.withColumn("named_vectors", V.merged(F.col("named_vectors"), F.create_map(F.lit(name), F.col("_late")))).drop("_late")
+                chunks = chunks.withColumn("embedding_model_versions", V.merged(F.col("embedding_model_versions"), F.create_map(F.lit(name), F.lit(version))))
+        return materialised(chunks, "chunks")
+
+    def _write(self, docs: DataFrame, gone: DataFrame, touched: list[int]) -> DataFrame:
+        chunks = self._chunks(docs)
+        bad_vector = F.when(F.size("named_vectors") < len(self.providers) + len(self.late), F.lit("a vector is missing"))
         for_lexical, for_vectors, failed = bookkeeping.dual_write(chunks, F.when(F.length("chunk_id") == 0, F.lit("no id")), bad_vector)
-        lexical_new, vector_new = bookkeeping.lexical_rows(for_lexical), bookkeeping.vector_rows(for_vectors)
         failures = materialised(failed, "failed")
         if failures.limit(1).count():
             self.store("failures").replace(bookkeeping.record_failures(self.table("failures"), failures, F.current_timestamp()))
-        self.store("lexical").replace(lexical_new if keep is None else upsert(keep, lexical_new, ["chunk_id"]))
-        self.store("vectors").replace(vector_new if keep_vectors is None else upsert(keep_vectors, vector_new, ["chunk_id"]))
-        self.store("postings").replace(lexical.postings(self.table("lexical")))
+        self._change("lexical", bookkeeping.lexical_rows(for_lexical, self.metadata_keys), gone, ["chunk_id"], touched)
+        self._change("vectors", bookkeeping.vector_rows(for_vectors, self.metadata_keys), gone, ["chunk_id"], touched)
+        self._index(touched)
         return bookkeeping.index_result(chunks, failures)
 
     def add(self, docs: DataFrame, replace: bool = True) -> DataFrame:
         """Puts originals and indexes them; with replace, chunks of these documents that are no longer made go. Without it they stay, as a plain upsert leaves them."""
         docs = materialised(docs.select("doc_id", "raw_text", *[c for c in ("business_type", "source_metadata") if c in docs.columns]).withColumn("stored_at", F.current_timestamp()), "incoming")
-        self.store("originals").replace(upsert(self.table("originals"), docs, ["doc_id"]))
-        keep = [self.table(n) if self.store(n).exists() else None for n in ("lexical", "vectors")]
-        if replace:
-            keep = [None if t is None else t.join(docs.select("doc_id"), "doc_id", "left_anti") for t in keep]
-        return self._write(docs, *keep)
+        touched, none = self._touched(docs), docs.select("doc_id").limit(0)
+        if not self.store("originals").exists():
+            self.store("originals").replace(self._bucketed(self.spark.createDataFrame([], ORIGINALS)), "bucket")
+        full = docs.select(*[F.col(f.name) if f.name in docs.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in ORIGINALS])
+        self._change("originals", full, none, ["doc_id"], touched)
+        return self._write(docs, docs.select("doc_id").distinct() if replace else none, touched)
 
     def update(self, docs: DataFrame) -> DataFrame:
         """add() with the old metadata where a row brings none."""
@@ -121,27 +159,64 @@ class Engine:
     def get(self, doc_id: str) -> DataFrame:
         return self.table("originals").where(F.col("doc_id") == doc_id)
 
+    def list_ids(self) -> DataFrame:
+        return self.table("originals").select("doc_id").orderBy("doc_id")
+
+    def chunks_of(self, doc_id: str) -> DataFrame:
+        """A document's lexical rows in order."""
+        return self.table("lexical").where(F.col("doc_id") == doc_id).orderBy("hierarchy_level", "position", "chunk_id")
+
+    def _remove(self, gone: DataFrame, touched: list[int], names: tuple[str, ...]) -> dict[str, int]:
+        """Rows that gone names by its column go from the tables; their numbers."""
+        counts = {}
+        for name in names:
+            if self.store(name).exists():
+                current = self.store(name).read().where(F.col("bucket").isin(touched))
+                counts[name] = current.join(gone, gone.columns, "left_semi").count()
+                if counts[name]:
+                    self.store(name).put(current.join(gone, gone.columns, "left_anti"), "bucket", touched)
+        if counts.get("lexical"):
+            self._index(touched)
+        return counts
+
     def delete(self, doc_id: str) -> dict[str, int]:
         """Removes a document everywhere; the numbers of rows that went."""
-        gone = {}
-        for name in ("originals", "lexical", "vectors"):
-            if self.store(name).exists():
-                table = self.table(name)
-                kept, count = delete_where(table, F.col("doc_id") == doc_id)
-                gone[name] = table.agg(count).first()[0]
-                self.store(name).replace(kept)
-        self.store("postings").replace(lexical.postings(self.table("lexical")))
-        return gone
+        gone = self.spark.createDataFrame([(doc_id,)], "doc_id string")
+        return self._remove(gone, self._touched(gone), ("originals", "lexical", "vectors"))
+
+    def delete_chunks(self, chunk_ids: DataFrame) -> dict[str, int]:
+        """Removes chunks (chunk_id) from both tables; the numbers of rows that went."""
+        gone = materialised(chunk_ids.select("chunk_id").distinct(), "gone")
+        rows = self.table("lexical").select("chunk_id", "doc_id").unionByName(self.table("vectors").select("chunk_id", "doc_id"))
+        return self._remove(gone, self._touched(rows.join(gone, "chunk_id", "left_semi")), ("lexical", "vectors"))
+
+    def clear_reviews(self, doc_id: str) -> int:
+        """Removes a document's reviews, so that the next sweep takes it again; their number."""
+        reviews = self.table("reviews")
+        kept, count = delete_where(reviews, F.col("doc_id") == doc_id)
+        n = reviews.agg(count).first()[0]
+        if n:
+            self.store("reviews").replace(kept)
+        return n
+
+    def corpus(self) -> Corpus:
+        """The live tables as a query reads them."""
+        vectors = self.table("vectors")
+        named = {n: vectors.select("chunk_id", F.element_at("named_vectors", F.lit(n)).alias("vector")).where("vector IS NOT NULL") for n in (*self.providers, *self.late)}
+        return Corpus(self.table("lexical"), self.table("postings"), named)
 
     def rebuild(self) -> dict:
         """Chunks and indexes all originals anew, and switches only if no row failed; the old versions stay until then."""
-        chunks = materialised(with_vectors(build_chunks(self.table("originals"), self.budget, self.config_version, self.profile, self.model), self.providers), "chunks")
-        n, bad = chunks.agg(F.count("*"), F.count_if(F.size("named_vectors") < len(self.providers))).first()
+        originals = self.table("originals")
+        chunks = self._chunks(originals)
+        n, split, bad = chunks.agg(F.count("*"), F.count_if(F.startswith("lc_group_id", F.lit("sem:"))), F.count_if(F.size("named_vectors") < len(self.providers) + len(self.late))).first()
+        progress = {"documents": originals.count(), "indexed_documents": chunks.select("doc_id").distinct().count(), "chunks": n, "split_chunks": split, "failed": bad}
         if bad:
-            return {"switched": False, "chunks": n, "failed": bad}
-        new = {"lexical": bookkeeping.lexical_rows(chunks), "vectors": bookkeeping.vector_rows(chunks)}
-        versions = {name: self.store(name).write(df) for name, df in new.items()}
-        versions["postings"] = self.store("postings").write(lexical.postings(new["lexical"]))
+            return {"switched": False, **progress}
+        new = {"lexical": self._bucketed(bookkeeping.lexical_rows(chunks, self.metadata_keys)), "vectors": self._bucketed(bookkeeping.vector_rows(chunks, self.metadata_keys))}
+        fields = {c: c for c in lexical.BOOSTS if c in new["lexical"].columns}
+        new["postings"] = lexical.postings(new["lexical"], fields=fields, keep=("bucket",))
+        versions = {name: self.store(name).write(df, "bucket") for name, df in new.items()}
         before = {}
         try:
             for name, version in versions.items():
@@ -154,7 +229,7 @@ class Engine:
         for name, old in before.items():
             if old:
                 self.store(name).drop(old)
-        return {"switched": True, "chunks": n, "failed": 0}
+        return {"switched": True, **progress}
 
     def reconcile(self) -> dict:
         counters, drift = bookkeeping.reconcile(self.table("lexical"), self.table("vectors"), self.table("failures"))
@@ -164,9 +239,12 @@ class Engine:
         return out
 
     def retry(self, limit: int = 500, max_attempts: int | None = None) -> dict:
-        restored, outcome = bookkeeping.retry(self.table("failures"), self.table("lexical"), self.table("vectors"), limit, max_attempts)
-        outcome = materialised(outcome, "outcome")
-        self.store("lexical").replace(upsert(self.table("lexical"), restored, ["chunk_id"]))
+        restored, outcome = bookkeeping.retry(self.table("failures"), self.table("vectors"), limit, max_attempts)
+        outcome, restored = materialised(outcome, "outcome"), materialised(restored, "restored")
+        touched = self._touched(restored)
+        if touched:
+            self._change("lexical", restored, restored.select("chunk_id").limit(0), ["chunk_id"], touched)
+            self._index(touched)
         self.store("failures").replace(bookkeeping.mark(self.table("failures"), outcome, F.current_timestamp()))
         n, ok = outcome.agg(F.count("*"), F.count_if("resolved")).first()
         return {"attempted": n, "resolved": ok, "still_failing": n - ok}

@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
-from siftstone.functions import values as V
-from siftstone.operators import dense, fusion, lexical
+from siftstone.operators import dense, fusion, lexical, replies
 from siftstone.operators.lexical import Filters
 from siftstone.plans.config import Ladder
+from siftstone.sources.tables import materialised
 
 #: Fixed value: the answer where nothing was found.
-NO_ANSWER = "根据现有资料，未找到相关信息。"
+NO_ANSWER = "根据现有资料无法回答该问题"
 MAX_REWRITE = 500
 
 
@@ -64,6 +64,18 @@ def _model(function: Callable, kind: str):
     return run
 
 
+def _safe(function: Callable, kind: str):
+    """_model() that gives nulls for a batch on which the model fails."""
+
+    def run(a: list, b: list) -> list:
+        try:
+            return function(a, b)
+        except Exception:  # noqa: BLE001  a model may fail in any way; the rules for replies decide
+            return [None] * len(a)
+
+    return _model(run, kind)
+
+
 def preprocess(queries: DataFrame, rewrite: Callable | None = None, query: str = "query") -> DataFrame:
     """queries with normalized, rewritten, rewrite_used and effective. Blank queries and rewrites that fail, are blank, too long or equal are not used."""
     df = queries.withColumn("normalized", T.normalize_query(F.col(query)))
@@ -90,22 +102,24 @@ def retrieve(queries: DataFrame, corpus: Corpus, retrievers: list, models: Model
     allowed = None if filters.is_empty else filters.apply(corpus.chunks).select("chunk_id")
     lists = []
     for r in retrievers:
+        if r.type not in ("lexical", "elasticsearch", "dense", "qdrant"):
+            raise ValueError(f"retriever {r.id} has the unknown type {r.type!r}")
         k = top_k or r.top_k
         if r.type in ("lexical", "elasticsearch"):
             found = fusion.isolated(lambda k=k: lexical.bm25_topk(corpus.index, asked, k, allowed=allowed, digits=6))
             lists.append((r.id, "lexical", found))
-        elif r.type in ("dense", "qdrant"):
+        else:
 
             def search(r=r, k=k):
                 vectors = corpus.vectors[r.vector_name]
                 if allowed is not None:
                     vectors = vectors.join(allowed, "chunk_id", "left_semi")
+                if r.id not in models.embed:
+                    raise ValueError(f"retriever {r.id} has no embedding model; there are models for {sorted(models.embed)}")
                 provider, dimension = models.embed[r.id]
                 return dense.cosine_topk(vectors, dense.embed(asked, provider, dimension, "query"), k)
 
             lists.append((r.id, "dense", fusion.isolated(search)))
-    if not lists:
-        raise ValueError("no retriever of a known type")
     return fusion.pool(lists)
 
 
@@ -123,7 +137,10 @@ def search(queries: DataFrame, corpus: Corpus, retrievers: list, models: Models
     fused = fusion.fuse(pooled, fusion_k, weights, ladder.rrf_pool_k)
     head = fused.where(F.col("pos") <= ladder.rerank_top_k)
     ranked = fusion.rerank(fused, scored(head, queries, corpus.chunks, models.score) if rerank_enabled else None, ladder.rerank_top_k, rerank_enabled)
-    return fusion.at_least(ranked, min_score)
+    found = fusion.at_least(ranked, min_score)
+    marked = lexical.with_highlights(found, queries.select("query_id", F.col("effective").alias("query")), corpus.chunks)
+    # Only lexical hits have fragments.
+    return marked.withColumn("highlight", F.when(F.col("bm25_score").isNotNull(), F.col("highlight")))
 
 
 def answers(queries: DataFrame, context: DataFrame, answer: Callable, query: str = "effective") -> DataFrame:
@@ -139,50 +156,47 @@ def run(queries: DataFrame, corpus: Corpus, retrievers: list, models: Models = M
     asked = preprocess(queries, models.rewrite)
     ladder = options.get("ladder", Ladder())
     found = search(asked, corpus, retrievers, models, **options)
-    chosen = fusion.backfilled(found, corpus.chunks, ladder.context_top_k)
+    chosen = fusion.backfilled(found, lexical.projected(corpus.chunks), ladder.context_top_k)
     return answers(asked, fusion.build_context(chosen, asked), models.answer)
 
 
 # --- a second round ------------------------------------------------------------------------------------------------
 
 
-def self_evaluation(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """(query_id, sufficient, confidence, missing, sub_queries): a reply that doesn't parse, lacks a field or has one of another type counts as sufficient. Two sub-queries at most."""
-    bare = V.unfenced(F.coalesce(F.col(reply), F.lit("")))
-    typed = F.from_json(bare, "sufficient boolean, confidence double, missing_aspects array<string>, sub_queries array<string>")
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(F.try_parse_json(bare), path, "variant"))
-    fine = F.coalesce((kind("$.sufficient") == "BOOLEAN") & typed["sufficient"].isNotNull() & F.startswith(kind("$.sub_queries"), F.lit("ARRAY")), F.lit(False))
-    parsed = replies.withColumn("_t", typed).withColumn("_ok", fine)
-    subs = F.slice(F.filter("_t.sub_queries", lambda q: F.length(F.trim(q)) > 0), 1, 2)
-    return parsed.select(
-        "query_id", F.when(F.col("_ok"), F.col("_t.sufficient")).otherwise(F.lit(True)).alias("sufficient"), F.when(F.col("_ok"), F.col("_t.confidence")).alias("confidence"),
-        F.when(F.col("_ok"), F.array_join("_t.missing_aspects", "; ")).alias("missing"), F.when(F.col("_ok") & ~F.col("_t.sufficient"), subs).otherwise(F.array().cast("array<string>")).alias("sub_queries"),
-    )
+def self_evaluation(said: DataFrame, reply: str = "reply") -> DataFrame:
+    """(query_id, sufficient, confidence, missing, sub_queries, topic_absent, factual_negation) of each reply."""
+    read = said.select("query_id", replies.self_evaluation(F.col(reply)).alias("e"))
+    absent, negated = (replies.says(F.col("e"), s) for s in (replies.TOPIC_ABSENT, replies.FACTUAL_NEGATION))
+    return read.select("query_id", "e.sufficient", "e.confidence", "e.missing", "e.sub_queries", absent.alias("topic_absent"), negated.alias("factual_negation"))
 
 
 def iterate(queries: DataFrame, corpus: Corpus, retrievers: list, evaluate: Callable, models: Models = Models(), **options) -> DataFrame:
-    """run() with a second round for queries whose first context evaluate(queries, contexts) finds lacking: (query_id, answer, grounded, citations, context_text, iterations).
+    """run() with a second round for queries whose first answer evaluate(queries, answers with their citations) finds lacking:
+    (query_id, answer, grounded, citations, context_text, iterations, and what self_evaluation() gives).
 
     The sub-queries of all such queries are one batch; their candidates join those of the first round, each chunk once.
-    A reply naming the topic absent (missing = TOPIC_ABSENT or FACTUAL_NEGATION) clears the citations and gives the fixed answer.
+    A sufficient reply that names the topic absent, or the fact denied, clears the citations and gives the fixed answer. A model that fails leaves the first round.
     """
-    from siftstone.sources.tables import materialised
-
     asked = materialised(preprocess(queries, models.rewrite), "asked")
     ladder = options.get("ladder", Ladder())
     first = materialised(search(asked, corpus, retrievers, models, **options), "first-round")
-    context = fusion.build_context(fusion.backfilled(first, corpus.chunks, ladder.context_top_k), asked)
-    replies = asked.select("query_id", "effective").join(context, "query_id").select("query_id", _model(evaluate, "string")("effective", "context_text").alias("reply"))
-    verdict = materialised(self_evaluation(replies), "verdict")
+    answered = materialised(answers(asked, fusion.build_context(fusion.backfilled(first, lexical.projected(corpus.chunks), ladder.context_top_k), asked), models.answer), "first-answers")
+    shown = F.concat_ws("\n", "answer", fusion.citation_summary(F.coalesce("citations", F.array())))
+    said = answered.join(asked.select("query_id", "effective"), "query_id").select("query_id", _safe(evaluate, "string")("effective", shown).alias("reply"))
+    verdict = materialised(self_evaluation(said), "verdict")
     more = verdict.where("NOT sufficient").select("query_id", F.posexplode("sub_queries").alias("n", "query"))
     subs = preprocess(more.select(F.concat_ws("#", F.col("query_id").cast("string"), F.col("n").cast("string")).alias("query_id"), "query", F.col("query_id").alias("of")))
     second = search(subs, corpus, retrievers, models, **options).join(subs.select("query_id", "of"), "query_id").drop("query_id").withColumnRenamed("of", "query_id")
-    both = fusion.merge_rounds(first, second)
-    absent = verdict.where(F.col("missing").isin("TOPIC_ABSENT", "FACTUAL_NEGATION")).select("query_id")
-    kept = both.join(absent, "query_id", "left_anti")
-    out = answers(asked, fusion.build_context(fusion.backfilled(kept, corpus.chunks, ladder.context_top_k), asked), models.answer)
-    rounds = verdict.select("query_id", F.when(F.size("sub_queries") > 0, 2).otherwise(1).alias("iterations"))
-    return out.join(rounds, "query_id")
+    again = asked.join(verdict.where("NOT sufficient").select("query_id"), "query_id", "left_semi")
+    both = fusion.merge_rounds(first, second).join(again.select("query_id"), "query_id", "left_semi")
+    renewed = answers(again, fusion.build_context(fusion.backfilled(both, lexical.projected(corpus.chunks), ladder.context_top_k), again), models.answer)
+    kept = answered.join(verdict.where("sufficient").select("query_id"), "query_id", "left_semi")
+    out = kept.unionByName(renewed).join(verdict, "query_id")
+    cleared = F.col("topic_absent") | F.col("factual_negation")
+    return out.select(
+        "query_id", F.when(cleared, F.lit(NO_ANSWER)).otherwise(F.col("answer")).alias("answer"), (F.col("grounded") & ~cleared).alias("grounded"), F.when(~cleared, F.col("citations")).alias("citations"),
+        F.when(cleared, F.lit("")).otherwise(F.col("context_text")).alias("context_text"), F.when(F.col("sufficient"), 1).otherwise(2).alias("iterations"), *verdict.columns[1:],
+    )
 
 
 def with_ladder(ladder: Ladder, **top_k: int | None) -> Ladder:

@@ -6,7 +6,6 @@ names the live one. Readers that hold the old version keep it.
 
 from __future__ import annotations
 
-import gc
 import json
 import tempfile
 import uuid
@@ -26,15 +25,17 @@ def _struct(**columns: T.DataType) -> T.StructType:
 ORIGINALS = _struct(doc_id=_TEXT, raw_text=_TEXT, business_type=_TEXT, source_metadata=T.MapType(_TEXT, _TEXT), stored_at=_TIME)
 FAILURES = _struct(id=_TEXT, chunk_id=_TEXT, doc_id=_TEXT, failure_mode=_TEXT, error_msg=_TEXT, attempt_count=_INT, created_at=_TIME, last_attempt=_TIME, resolved=T.BooleanType())
 REVIEWS = _struct(
-    review_id=_TEXT, doc_id=_TEXT, audited_at=_TIME, total_groups=_INT, ok=_INT, should_merge=_INT, should_split=_INT, unclear=_INT, audit_failed=_INT, skipped=_INT,
+    review_id=_TEXT, doc_id=_TEXT, audited_at=_TIME, total_groups=_INT, ok=_INT, should_merge=_INT, should_split=_INT, boundary_issue=_INT, audit_failed=_INT, skipped=_INT,
     groups=T.ArrayType(_struct(group_key=_TEXT, grouping_type=_TEXT, verdict=_TEXT, confidence=_TEXT, reason=_TEXT, affected=T.ArrayType(_TEXT))),
 )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none (tests), a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="siftstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -44,7 +45,6 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, computed once."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -63,6 +63,11 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return items.withColumn("expected_empty", F.contains(F.coalesce("notes", F.lit("")), F.lit("expected_empty=true")))
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A report of write_report()."""
+    return spark.read.json(path)
+
+
 def upsert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """current with new's rows in place of those of the same keys. Of several new rows with a key one stays."""
     new = new.dropDuplicates(keys)
@@ -107,13 +112,22 @@ class Store:
             if schema is None:
                 raise ValueError(f"store {self.name} has no live version")
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.root}/{version}")
+        known = T.StructType.fromJson(json.loads(self.spark.read.text(f"{self.root}/{version}.schema").first()[0]))
+        return self.spark.read.schema(known).parquet(f"{self.root}/{version}")
+
+    def _note(self, path: str, text: str) -> None:
+        fs, p = self._fs(path)
+        out = fs.create(p, True)
+        out.write(bytearray(text.encode()))
+        out.close()
 
     def write(self, df: DataFrame, partition_by: str | None = None) -> str:
         """A new version, not yet live."""
         version = f"{self.name}-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(partition_by) if partition_by else df.write
         writer.parquet(f"{self.root}/{version}")
+        # A partitioned folder without rows has no file that would tell the columns.
+        self._note(f"{self.root}/{version}.schema", df.schema.json())
         return version
 
     def switch(self, version: str) -> str | None:
@@ -122,10 +136,7 @@ class Store:
         if not fs.exists(p):
             raise ValueError(f"no version {version}")
         old = self.live()
-        fs, p = self._fs(self.pointer)
-        out = fs.create(p, True)
-        out.write(bytearray(version.encode()))
-        out.close()
+        self._note(self.pointer, version)
         return old
 
     def drop(self, version: str) -> None:
@@ -137,6 +148,15 @@ class Store:
     def replace(self, df: DataFrame, partition_by: str | None = None) -> str | None:
         return self.switch(self.write(df, partition_by))
 
+    def put(self, df: DataFrame, partition_by: str, touched: list[int]) -> None:
+        """Puts df in place of the touched partitions of the live version, and no others; df may read them."""
+        rows, version = materialised(df, self.name), self.live()
+        rows.repartition(partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(f"{self.root}/{version}")
+        left = {r[0] for r in rows.select(partition_by).distinct().collect()}  # as many as were touched at most
+        for gone in set(touched) - left:
+            fs, p = self._fs(f"{self.root}/{version}/{partition_by}={gone}")
+            fs.delete(p, True)
+
 
 def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)

@@ -44,7 +44,7 @@ def audit(chunks: DataFrame, model: Callable, now=None) -> DataFrame:
 def audit_sweep(engine: Engine, model: Callable, limit: int = 20) -> int:
     """One tick of the audit loop: reviews up to `limit` documents that have none; returns their number."""
     reviews = engine.store("reviews").read(REVIEWS)
-    chunks = engine.table("vectors").withColumn("lc_group_id", F.lit(None).cast("string"))
+    chunks = engine.table("lexical")
     due = bookkeeping.pending_reviews(chunks, reviews, limit)
     n = due.count()
     if n:

@@ -1,8 +1,10 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from siftstone import __main__ as cli
 from siftstone.operators import bookkeeping, dense
 from siftstone.plans import config, ingest
 from siftstone.sources import tables
@@ -17,7 +19,7 @@ def docs(spark, *rows):
 
 @pytest.fixture
 def engine(spark, tmp_path):
-    return ingest.Engine(spark, str(tmp_path), PROVIDERS)
+    return ingest.Engine(spark, str(tmp_path), PROVIDERS, buckets=4)
 
 
 def ids(table, column="doc_id"):
@@ -32,11 +34,14 @@ def test_life_of_documents(spark, engine):
     assert sorted(map(tuple, engine.table("lexical").select("chunk_id", "text").collect())) == before
     engine.update(spark.createDataFrame([("a", "short")], "doc_id string, raw_text string"))
     assert engine.table("lexical").where("doc_id = 'a'").count() == 1 and engine.get("a").first().source_metadata == {"title": "a"}
-    assert engine.rebuild() == {"switched": True, "chunks": 2, "failed": 0}
+    assert engine.rebuild() == {"switched": True, "documents": 2, "indexed_documents": 2, "chunks": 2, "split_chunks": 0, "failed": 0}
     assert engine.delete("a") == {"originals": 1, "lexical": 1, "vectors": 1} and ids(engine.table("vectors")) == ["b"]
     assert engine.delete("a") == {"originals": 0, "lexical": 0, "vectors": 0}
     assert {r.name: r.rows for r in engine.status().collect()} == {"originals": 1, "lexical": 1, "vectors": 1, "failures": 0}
-    assert ids(engine.table("postings"), "term") == ["beta"]
+    assert ids(engine.table("postings").where("field = 'text'"), "term") == ["beta"] and ids(engine.table("postings").where("field = 'title'"), "term") == ["b"]
+    assert ids(engine.list_ids()) == ["b"]
+    chunk = engine.chunks_of("b").select("chunk_id")
+    assert engine.delete_chunks(chunk) == {"lexical": 1, "vectors": 1} and engine.table("postings").count() == 0
 
 
 def test_plain_upsert_leaves_orphans(spark, engine):
@@ -47,12 +52,12 @@ def test_plain_upsert_leaves_orphans(spark, engine):
 
 def test_reconcile_and_retry(spark, engine):
     engine.add(docs(spark, ("a", "alpha"), ("b", "beta")))
-    engine.store("lexical").replace(engine.table("lexical").where("doc_id <> 'a'"))
+    engine.store("lexical").replace(engine.store("lexical").read().where("doc_id <> 'a'"), "bucket")
     assert engine.reconcile() == {"lexical_only": 0, "vector_only": 1, "in_sync": 1, "newly_recorded": 1, "already_pending": 0}
     assert engine.reconcile()["already_pending"] == 1
     assert engine.retry() == {"attempted": 1, "resolved": 1, "still_failing": 0}
     assert ids(engine.table("lexical")) == ["a", "b"] and engine.purge_resolved() == 1
-    engine.store("vectors").replace(engine.table("vectors").where("doc_id <> 'a'"))
+    engine.store("vectors").replace(engine.store("vectors").read().where("doc_id <> 'a'"), "bucket")
     engine.reconcile()
     assert engine.retry(max_attempts=1) == {"attempted": 1, "resolved": 0, "still_failing": 1} and engine.retry(max_attempts=1)["attempted"] == 0
 
@@ -70,8 +75,8 @@ def test_enhancement_policies(spark):
     df = spark.createDataFrame([("a", "good"), ("b", "bad"), ("c", "half")], "doc_id string, text string")
     replies = {"good": '```json\n{"summary": ["s1", "s2"], "keywords": ["k"]}\n```', "bad": "?", "half": '{"summary": "s"}'}
     out = {r.doc_id: r for r in ingest.enhance(df, lambda t: [replies[x] for x in t], ("summary", "keywords")).collect()}
-    assert out["a"].enhanced and out["a"].summary == "s1, s2" and out["a"].keywords == ["k"]
-    assert not out["b"].enhanced and out["b"].enhancement_error and out["c"].enhancement_error == "missing fields: keywords" and out["c"].summary is None
+    assert out["a"].enhanced and out["a"].summary == "s1 s2" and out["a"].keywords == ["k"]
+    assert not out["b"].enhanced and out["b"].enhancement_error and out["c"].enhancement_error == "missing field keywords" and out["c"].summary is None
 
     def down(texts):
         raise RuntimeError("down")
@@ -92,7 +97,8 @@ def test_serialised_rows(spark):
 def test_audit(spark):
     rows = [("d", "g", "p", 1, 1, "c2", "two"), ("d", "g", "p", 1, 0, "c1", "one"), ("d", None, "p", 1, 2, "c3", "x"), ("e", None, None, 1, 0, "c4", "y")]
     c = spark.createDataFrame(rows, "doc_id string, lc_group_id string, parent_id string, hierarchy_level int, position int, chunk_id string, text string")
-    report = jobs.audit(c, lambda prompts: ['{"verdict": "should_merge", "confidence": "high", "reason": "r", "affected_chunk_ids": ["c1", "zz"]}'] * len(prompts)).first()
+    report, root = jobs.audit(c, lambda prompts: ['{"verdict": "should_merge", "confidence": "high", "reason": "r", "affected_chunk_ids": ["c1", "zz"]}'] * len(prompts)).orderBy("doc_id").collect()
+    assert (root.doc_id, root.total_groups, root.groups[0].group_key, root.groups[0].grouping_type, root.skipped) == ("e", 1, "root:c4", "parent_id_fallback", 0)
     assert (report.doc_id, report.total_groups, report.should_merge, report.skipped, report.groups[0].affected) == ("d", 1, 1, 1, ["c1"])
 
     def down(prompts):
@@ -108,11 +114,55 @@ def test_streams_equal_batches(spark, engine, tmp_path):
     assert ids(engine.table("lexical")) == ["a", "b"]
     good = lambda p: ['{"verdict": "ok", "affected_chunk_ids": []}'] * len(p)
     jobs.audit_stream(engine, good, source, str(tmp_path / "ck2")).awaitTermination()
-    assert ids(engine.table("reviews")) == ["a"]
+    assert ids(engine.table("reviews")) == ["a", "b"] and engine.clear_reviews("a") == 1 and ids(engine.table("reviews")) == ["b"]
     jobs.ingest_stream(engine, source, str(tmp_path / "ck")).awaitTermination()
     assert engine.table("lexical").count() == 3
 
 
+def test_only_touched_partitions_change(spark, engine):
+    engine.add(docs(spark, *[(f"d{n}", f"text {n}") for n in range(40)]))
+    files = lambda: set(engine.store("lexical").read().inputFiles())
+    before = files()
+    engine.add(docs(spark, ("d1", "other words")))
+    assert len(before - files()) == len(files() - before) == 1 and engine.table("lexical").count() == 40
+    assert ids(engine.table("postings").where("term = 'other'"), "chunk_id") == ids(engine.chunks_of("d1"), "chunk_id")
+
+
+def test_late_chunks(spark, tmp_path):
+    def tokens(texts):
+        """A token a word, its vector by the word's length."""
+        out = []
+        for t in texts:
+            spans = [m.span() for m in re.finditer(r"\S+", t)]
+            out.append((spans, [[float(b - a), 1.0] for a, b in spans]))
+        return out
+
+    engine = ingest.Engine(spark, str(tmp_path), PROVIDERS, buckets=2, late={"late": (tokens, 2, "7", 512)})
+    engine.add(docs(spark, ("a", "# T\nalpha one\n\nbeta gamma two")))
+    rows = engine.table("vectors").collect()
+    assert all(len(r.named_vectors["late"]) == 2 and abs(sum(x * x for x in r.named_vectors["late"]) - 1) < 1e-9 and r.embedding_model_versions == "late=7,v=1" for r in rows)
+    assert set(engine.corpus().vectors) == {"v", "late"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    for name, text in (("a", "red apple pie"), ("b", "blue sky")):
+        (tmp_path / "in" / f"{name}.json").write_text(json.dumps({"doc_id": name, "raw_text": text, "business_type": "n", "source_metadata": {"title": name}}))
+    (tmp_path / "c.json").write_text(json.dumps(base()))
+    items = [{"id": "1", "query": "apple", "relevant_doc_ids": ["a"], "relevant_chunk_ids": [], "notes": ""}, {"id": "2", "query": "", "relevant_doc_ids": [], "relevant_chunk_ids": [], "notes": "expected_empty=true"}]
+    (tmp_path / "g.json").write_text(json.dumps({"version": "1", "business_type": "n", "items": items}))
+    where = ["--root", str(tmp_path / "t"), "--config", str(tmp_path / "c.json")]
+    assert cli.main(["ingest", *where, "--source", str(tmp_path / "in")]) == 0
+    assert cli.main(["evaluate", *where, "--golden", str(tmp_path / "g.json"), "--report", str(tmp_path / "r")]) == 0
+    said = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert said["avg_recall_5"] == 1.0 and said["negative_rejection_rate"] == 1.0 and said["total_queries"] == 2
+    worse = tables.read_report(spark, str(tmp_path / "r")).withColumn("avg_recall_5", F.lit(0.5))
+    tables.write_report(worse, str(tmp_path / "w"))
+    same = ["compare", "--baseline", str(tmp_path / "r"), "--current"]
+    assert cli.main([*same, str(tmp_path / "r")]) == 0 and cli.main([*same, str(tmp_path / "w")]) == 1
+    assert "recall@5 dropped from 1.0000 to 0.5000" in capsys.readouterr().out
+
+
 def test_golden_and_originals(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps({"version": "1", "business_type": "n", "items": [{"id": "1", "query": "q", "relevant_doc_ids": ["a"], "relevant_chunk_ids": [], "notes": ""}, {"id": "2", "query": "r", "relevant_doc_ids": [], "relevant_chunk_ids": [], "notes": "x=1; expected_empty=true"}]}))
     assert [r.expected_empty for r in tables.read_golden(spark, str(tmp_path / "g.json")).orderBy("id").collect()] == [False, True]

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,11 +81,15 @@ def test_fusion_sums_and_merges(spark):
 
 def test_rerank_degrades(spark):
     fused = fusion.fuse(fusion.pool([("lex", "lexical", hits(spark, (1, 1, "x", 3.0), (1, 2, "y", 2.0), (2, 1, "z", 1.0)))]))
-    scores = spark.createDataFrame([(1, 1, 0.0), (1, 2, 0.4), (1, 9, 1.0)], "query_id int, pos int, rerank_score double")
+    scores = spark.createDataFrame([(1, 1, 0.0), (1, 2, 0.4)], "query_id int, pos int, rerank_score double")
     rows = {(r.query_id, r.chunk_id): r for r in fusion.rerank(fused, scores).collect()}
     assert rows[1, "y"].pos == 1 and rows[1, "x"].rerank_score == 0.0 and rows[1, "x"].reranked
     assert not rows[2, "z"].reranked and rows[2, "z"].degradation_reason
     assert fusion.rerank(fused, None, 1).count() == 2 and fusion.rerank(fused, None, 1, enabled=False).count() == 3
+    odd = spark.createDataFrame([(1, 2, 0.0), (1, 9, 0.4), (2, 5, 0.1)], "query_id int, pos int, rerank_score double")
+    rows = {(r.query_id, r.chunk_id): (r.pos, r.rerank_score, r.reranked) for r in fusion.rerank(fused, odd).collect()}
+    assert rows == {(1, "y"): (1, 0.0, True), (2, "z"): (1, None, False)}
+    assert not any(r.reranked for r in fusion.rerank(fused, odd.unionAll(scores)).collect())
     kept = fusion.at_least(fusion.rerank(fused, scores), 0.1)
     assert {(r.query_id, r.chunk_id) for r in kept.collect()} == {(1, "y"), (2, "z")}
 
@@ -111,19 +117,38 @@ def test_whole_pipeline(spark, corpus):
     assert out[0].grounded and out[0].answer.startswith("[1]") and not out[1].grounded and "red apple pie" in out[2].answer
 
 
+def evaluation(**changes):
+    return json.dumps({"sufficient": False, "confidence": "low", "missing_aspects": "m", "sub_queries": ["a"]} | changes)
+
+
 def test_self_evaluation_is_strict(spark):
-    replies = ['{"sufficient": false, "confidence": 0.2, "missing_aspects": ["x"], "sub_queries": ["a", "b", "c"]}', "```json\n{\"sufficient\": true, \"confidence\": 1, \"missing_aspects\": [], \"sub_queries\": []}\n```", "no json", '{"sufficient": "no", "sub_queries": ["a"]}', None]
-    rows = query.self_evaluation(spark.createDataFrame([(n, r) for n, r in enumerate(replies)], "query_id int, reply string")).orderBy("query_id").collect()
-    assert [r.sufficient for r in rows] == [False, True, True, True, True] and rows[0].sub_queries == ["a", "b"] and rows[3].sub_queries == []
+    said = [evaluation(sub_queries=[" a ", 3, "", "b", "c"]), f"```json\n{evaluation(sufficient=True, missing_aspects=' TOPIC_ABSENT ')}\n```", "no json", evaluation(sufficient="no"), None, evaluation(confidence=0.9), evaluation(missing_aspects=["m"]), evaluation(sub_queries="a"), evaluation(sub_queries=[]), evaluation(missing_aspects="TOPIC_ABSENT")]
+    rows = query.self_evaluation(spark.createDataFrame([(n, r) for n, r in enumerate(said)], "query_id int, reply string")).orderBy("query_id").collect()
+    assert [r.sufficient for r in rows] == [False, *[True] * 8, False] and rows[0].sub_queries == ["a", "b"] and rows[1].sub_queries == []
+    assert [r.query_id for r in rows if r.topic_absent] == [1] and rows[2].confidence == "low" and rows[0].missing == "m"
 
 
 def test_second_round(spark, corpus):
-    def judge(queries, contexts):
-        return ['{"sufficient": false, "confidence": 0.1, "missing_aspects": ["TOPIC_ABSENT"], "sub_queries": []}' if "sky" in q else '{"sufficient": false, "confidence": 0.1, "missing_aspects": ["more"], "sub_queries": ["blue sky"]}' for q in queries]
+    absent, more, fine = evaluation(sufficient=True, missing_aspects="TOPIC_ABSENT"), evaluation(sub_queries=["blue sky"]), evaluation(sufficient=True)
+
+    def judge(queries, shown):
+        return [absent if "sky" in q else more if "pie" in q else fine for q in queries]
+
+    asked_ = asked(spark, "pie", "sky", "green")
+    out = {r.query_id: r for r in query.iterate(asked_, corpus, [Retriever("lex", "lexical")], judge).collect()}
+    assert out[0].iterations == 2 and {c.chunk_id for c in out[0].citations} == {"c1", "c3"} and out[0].confidence == "low"
+    assert out[1].answer == query.NO_ANSWER and out[1].citations is None and out[1].topic_absent and not out[1].grounded and out[1].iterations == 1
+    assert out[2].iterations == 1 and out[2].grounded and out[2].citations[0].highlight == ["<em>green</em> apple"]
+
+    def down(queries, shown):
+        raise RuntimeError("down")
+
+    assert all(r.iterations == 1 and r.grounded for r in query.iterate(asked_, corpus, [Retriever("lex", "lexical")], down).collect())
+
 
-    out = {r.query_id: r for r in query.iterate(asked(spark, "pie", "sky"), corpus, [Retriever("lex", "lexical")], judge).collect()}
-    assert out[0].iterations == 2 and {c.chunk_id for c in out[0].citations} == {"c1", "c3"}
-    assert out[1].answer == query.NO_ANSWER and out[1].citations is None
+def test_unknown_retrievers_are_errors(spark, corpus):
+    with pytest.raises(ValueError, match="unknown type"):
+        query.run(asked(spark, "pie"), corpus, [Retriever("odd", "magic")])
 
 
 def test_evaluation(spark):
