@@ -88,50 +88,120 @@ def test_mix_comes_through_the_tree(spark, docs, monkeypatch):
 ITEM = "Alice Smith buys 12 red apples for 3.50 dollars and gives 12 of them to her brother before walking home again slowly"
 
 
+def leaked(item, text):
+    """What leak() says of all windows that item and text share."""
+    forms, hits = L.Forms(), []
+    sides = [[(template, min(L.WINDOW, len(c)), c) for template, c in ((False, f[0]), (True, f[1]))] for f in (forms(item.split()), forms(text.split()))]
+    for (template, width, of_item), (_, _, of_doc) in zip(*sides):
+        if not width:
+            continue
+        places = defaultdict(list)
+        for at, h in enumerate(L._windows(of_doc, width, template)):
+            places[h].append(at)
+        use = L._clear(of_item, width) if template else np.ones(len(of_item) - width + 1, bool)
+        hits += [(template, width, n, at) for n, h in enumerate(L._windows(of_item, width, template)) if use[n] for at in places[h]]
+    return L.leak(L.Sample(item, forms), L.Sample(text, forms), hits)
+
+
 def test_templates():
-    assert [L.canonical(w) for w in ("12", "3.5%", "five", "Alice", "The", "(apples)", "km", "5kg", "ABC", "")] == [L.NUM, L.NUM, L.NUM, L.NAME, "the", "apples", L.UNIT, L.NUM + L.UNIT, "abc", ""]
+    assert [L.kind(w) for w in ("12", "3.5%", "five", "twenty-five", "Alice", "The", "(apples)", "km", "5kg", "ABC", "")] == [L.NUM, L.NUM, L.WORD_NUM, L.WORD_NUM, L.NAME, L.LITERAL, L.LITERAL, L.UNIT, L.MEASURE, L.LITERAL, L.LITERAL]
+    forms = L.Forms()
+    same = lambda a, b: forms(a.split())[1].tolist() == forms(b.split())[1].tolist()
+    assert same("he ran 5 km with Alice Smith", "he ran 7km with Bob") and same("he has twenty five apples", "he has 25 apples") and same("Yesterday it rained. Today it snows", "yesterday it rained. today it snows")
+    assert not same("he ran 5 km", "he ran 5 apples") and not same("12 13", "12") and not same("we met Alice", "we met alice")
+    doc = L.Sample("he ran 7km with Alice Smith .", forms)
+    assert [doc.value(k) for k in range(7)] == [None, None, "7", "km", None, "Alice Smith", None]
 
 
 def test_leaks(spark, docs):
     other = ITEM.replace("Alice", "Carol").replace("Smith", "Jones").replace("12", "40").replace("3.50", "9")
     broken = other.replace("40 of", "77 of")
     filler = "nothing of this stands in any question at all and goes on for a while longer"
-    bench = spark.createDataFrame([(1, ITEM), (2, "too short"), (3, None), (4, ""), (5, "a question of seven words is this")], "item_id long, text string")
-    df = docs(f"{filler} {ITEM} {filler}", f"{filler}\n{other}.", f"{broken} {filler}", filler, None, "", "A question of seven words is this!", " ".join(ITEM.split()[3:]), f"{filler} " * 5000 + ITEM).withColumn("item_id", F.lit(0))
-    got = {(r.doc_id, r.item_id): r for r in L.find_leaks(df, bench).collect()}
-    assert {k for k in got} == {(0, 1), (1, 1), (6, 5), (7, 1), (8, 1)}
-    assert got[0, 1].verbatim and not got[1, 1].verbatim and got[0, 1].covered == len(ITEM.split())
+    bench = spark.createDataFrame([(1, ITEM), (9, ITEM), (2, "too short"), (3, None), (4, ""), (5, "a question of seven words is this")], "item_id long, text string")
+    df = docs(f"{filler} {ITEM} {filler}", f"{filler}\n{other}.", f"{broken} {filler}", filler, None, "", "A question of seven words is this!", " ".join(ITEM.split()[3:]), f"{filler} " * 5000 + ITEM, (0, f"{filler} {ITEM} {filler}")).withColumn("item_id", F.lit(0)).withColumn("k1", F.lit("clash"))
+    rows = L.find_leaks(df, bench).collect()
+    got = {(r.doc_id, r.item_id): r for r in rows}
+    assert {k for k in got} == {(0, 1), (1, 1), (6, 5), (7, 1), (8, 1)} and len(rows) == 6
+    assert got[0, 1].verbatim and not got[1, 1].verbatim and got[0, 1].covered == len(ITEM.split()) and got[0, 1].items == 2 and got[6, 5].items == 1
     text = df.where("doc_id = 0").first().text
     assert text[got[0, 1].start : got[0, 1].end] == ITEM
-    assert {r.doc_id for r in L.drop_leaks(df, bench).collect()} == {2, 3, 4, 5}
-    assert L.find_leaks(df.limit(0), bench).count() == 0 and L.find_leaks(df, bench.limit(0)).count() == 0 and L.drop_leaks(df, bench.limit(0)).count() == 9
+    kept = L.drop_leaks(df, bench)
+    assert {r.doc_id for r in kept.collect()} == {2, 3, 4, 5} and kept.columns == df.columns
+    assert L.find_leaks(df.limit(0), bench).count() == 0 and L.find_leaks(df, bench.limit(0)).count() == 0 and L.drop_leaks(df, bench.limit(0)).count() == 10
 
 
 def test_inconsistent_stretches_are_cut():
-    index, codes = L.TemplateIndex([(1, ITEM)]), L._Codes()
     one_changed = ITEM.replace("12 of", "77 of")
-    covered_by = lambda t: [(f[1], f[4]) for f in index.leaks(codes, t.split())]
-    assert covered_by(one_changed) == [(21, True)]
-    assert covered_by(ITEM.replace("3.50", "12")) == [(14, True)]
+    covered_by = lambda t: (lambda f: f and (f[0], f[3]))(leaked(ITEM, t))
+    assert covered_by(one_changed) == (21, True)
+    assert covered_by(ITEM.replace("3.50", "12")) == (14, True)
     assert not covered_by(one_changed.replace("Alice Smith", "Carol Jones").replace("12", "40"))
-    twice = L.TemplateIndex([(1, f"{ITEM} and then Alice meets Alice near the old mill where Alice lives now")])
-    renamed = " ".join(twice.items[0]).replace("Alice", "Carol").replace("Carol lives", "Dana lives")
-    assert [f[1] for f in twice.leaks(codes, renamed.split())] == [renamed.split().index("Dana")]
+    twice = f"{ITEM} and then Alice meets Alice near the old mill where Alice lives now"
+    renamed = twice.replace("Alice", "Carol").replace("Carol lives", "Dana lives")
+    assert leaked(twice, renamed)[0] == renamed.split().index("Dana")
+
+
+def test_slots_agree_across_stretches():
+    """The second half is a stretch of its own, behind a literal that differs, and has to agree with the first."""
+    item = "a farmer sells 12 baskets of ripe pears to the old baker and later today the baker returns 12 baskets of them to a quiet farmer near the river"
+    moved = item.replace("later", "somewhat later").replace("12", "40")
+    assert leaked(item, moved)[0] >= 24
+    assert leaked(item, moved.replace("returns 40", "returns 50"))[0] < leaked(item, moved)[0]
+
+
+def test_values_of_several_tokens_align():
+    item = "how many days does Anna Maria Lopez need to walk 300 km if she walks twenty five km each day and rests on every third day"
+    assert leaked(item, "how many days does Bob need to walk 7km if she walks 3 km each day and rests on every third day")
+    assert not leaked(item, "how many days does Bob need to paint 7 doors if he paints 3 walls each week and rests on every fourth night")
 
 
 def test_literal_copies_are_found_in_any_case():
     dense = "Which Country Won The 1998 World Cup Final Against Brazil In Paris"
     items = [ITEM, dense, "Paris 1998", "12 13 14 15 16 17 18 19 20 21"]
-    index, codes = L.TemplateIndex(list(enumerate(items))), L._Codes()
-    for k, item in enumerate(items):
+    for item in items:
         for copy in (item, item.lower(), item.upper(), f"({item})!"):
-            assert k in {f[0] for f in index.leaks(codes, f"so it goes {copy} and on".split())}, copy
-    assert not index.leaks(codes, "In Paris in 1998 France Won The 2018 World Cup Final Against Croatia 12 13 14".split()) and not index.leaks(codes, [])
-
-
-def test_whole_passages_are_found(spark):
-    want = set(compare.oracle().sql("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)").fetchall())
-    assert {(r.doc_id, r.item_id) for r in QUERIES["op6_decontamination"](spark, compare.DATA).collect()} >= want
+            assert leaked(item, f"so it goes {copy} and on"), copy
+        assert not leaked(item, "In Paris in 1998 France Won The 2018 World Cup Final Against Croatia 12 13 14") and not leaked(item, "")
+
+
+def test_leaks_of_the_query_on_both_sides(spark, docs):
+    """Planted: literal, re-parameterised and half copies are found; same shapes, other questions and the query's own documents are held against all windows."""
+    con = compare.oracle()
+    want = set(con.sql("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)").fetchall())
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op6_decontamination"](spark, compare.DATA).collect()}
+    texts, items = dict(con.sql("SELECT doc_id, text FROM documents").fetchall()), con.sql("SELECT item_id, text FROM benchmark").fetchall()
+    grams = lambda t: {tuple(w[k : k + 8]) for w in [[L.plain(x) for x in t.split()]] for k in range(max(1, len(w) - 7))}
+    of_items = {i: grams(t) for i, t in items}
+    brute = set()
+    for d, t in texts.items():
+        g = grams(t or "")
+        for i, item in items:
+            if leaked_fast(item, t or "", g & of_items[i]):
+                brute.add((d, i))
+    assert want <= got and got == brute
+    rng, rows = random.Random(11), []
+    word = lambda: "".join(rng.choice("abdegiklmnorstu") for _ in range(6))
+    bench = []
+    for n in range(40):
+        w = [word() for _ in range(12)]
+        bench.append((n, f"{rng.choice(['Alice', 'Boris'])} {rng.choice(['Smith', 'Jones'])} {w[0]} {rng.randint(10, 99)} {w[1]} {w[2]} {w[3]} {rng.randint(100, 999)} {w[4]} {w[5]} {w[6]} Dora {w[7]} {w[8]} {w[9]} {w[10]} {w[11]} {w[0]}"))
+    for n, t in bench:
+        words = t.split()
+        rows += [(10 * n, f"look here {t} end"), (10 * n + 1, t.replace(words[0], "Zoe").replace(words[1], "Quist").replace(words[3], "7").replace(words[7], "2000").replace(words[11], "Uwe"))]
+        rows += [(10 * n + 2, " ".join(rng.sample(words, len(words)))), (10 * n + 3, f"{words[0]} {words[1]} bought {words[3]} books and kept all of them in the cellar for the winter {n}")]
+        rows.append((10 * n + 4, " ".join(words[:6] + [word() for _ in words[6:]])))
+    found = {(r.doc_id, r.item_id) for r in L.find_leaks(docs(*rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert found == {(10 * n + k, n) for n, _ in bench for k in (0, 1)}
+
+
+def leaked_fast(item, text, shared):
+    """leaked(), but for texts that share neither a plain nor a template window."""
+    forms = L.Forms()
+    a, b = forms(item.split()), forms(text.split())
+    width = min(L.WINDOW, len(a[1]))
+    if not shared and not np.intersect1d(L._windows(a[1], width, True), L._windows(b[1], width, True)).size:
+        return None
+    return leaked(item, text)
 
 
 # --- exact search ---
