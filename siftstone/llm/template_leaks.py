@@ -36,7 +36,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from siftstone.llm.common import arrow_rows, table, written
 
-WINDOW, LITERALS, RUN, SHARE, MEMO_WORDS = 8, 4, 13, 0.5, 100_000
+WINDOW, LITERALS, RUN, SHARE, MEMO_WORDS = 8, 4, 13, 0.5, 300_000
 #: Bits of the map of window hashes, as a power of 2, and rows of a broadcast.
 MAP_BITS, BROADCAST_ROWS = 27, 500_000
 #: Unit words, number words, and capitalised words that are no names.
@@ -49,8 +49,11 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _MEASURE = re.compile(r"([+-]?\d[\d.,]*)([A-Za-z]+)")
 
 
+_WORDS = dict.fromkeys(NO_NAMES, LITERAL) | dict.fromkeys(UNITS, UNIT) | dict.fromkeys(NUMBERS, WORD_NUM)
+
+
 def bare(token: str) -> str:
-    return _EDGE.sub("", token)
+    return token if token.isalpha() else _EDGE.sub("", token)
 
 
 def plain(token: str) -> str:
@@ -58,19 +61,23 @@ def plain(token: str) -> str:
     return (bare(token) or token).lower()
 
 
+def _kind(b: str, low: str) -> int:
+    if (k := _WORDS.get(low)) is not None:
+        return k
+    if not b.isalpha():
+        if _NUMBER.fullmatch(b):
+            return NUM
+        if (m := _MEASURE.fullmatch(b)) and m[2].lower() in UNITS:
+            return MEASURE
+        if "-" in low and all(w in NUMBERS for w in low.split("-")):
+            return WORD_NUM
+    return NAME if b[:1].isupper() and b[1:].islower() else LITERAL
+
+
 def kind(token: str) -> int:
     """What a token is, seen alone."""
     b = bare(token)
-    low = b.lower()
-    if _NUMBER.fullmatch(b):
-        return NUM
-    if low in NUMBERS or ("-" in low and all(w in NUMBERS for w in low.split("-"))):
-        return WORD_NUM
-    if low in UNITS:
-        return UNIT
-    if (m := _MEASURE.fullmatch(b)) and m[2].lower() in UNITS:
-        return MEASURE
-    return NAME if b[:1].isupper() and b[1:].islower() and low not in NO_NAMES else LITERAL
+    return _kind(b, b.lower())
 
 
 def _placeholder(k: int) -> int:
@@ -88,9 +95,11 @@ class Forms:
         self.number, self.codes, self.kinds, self.ends = {}, array("Q"), array("b"), array("b")
 
     def _add(self, token: str) -> None:
-        self.codes.append(xxhash.xxh3_64_intdigest(plain(token)) & ~1)
-        self.kinds.append(kind(token))
-        self.ends.append(token[-1] in ".!?:" or token[-2:-1] in (".", "!", "?"))
+        b = bare(token)
+        low = b.lower()
+        self.codes.append(xxhash.xxh3_64_intdigest(low or token.lower()) & ~1)
+        self.kinds.append(_kind(b, low))
+        self.ends.append(b is not token and (token[-1] in ".!?:" or token[-2:-1] in (".", "!", "?")))
         self.number[token] = len(self.number)
 
     def __call__(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
