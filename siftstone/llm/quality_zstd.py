@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from siftstone.llm.common import arrow_rows, crc32_of, table
 from siftstone.llm.fitting import fit_logistic, labelled_sample, logistic
 
+#: Share of the sample that the dictionaries see; the calibration has the rest.
+SEEN = 0.7
 SAMPLE, DICT_PIECES, DICT_BYTES, PIECE, LEVEL, THRESHOLD = 8000, 4000, 112_640, 2048, 3, 0.7
 
 
@@ -77,7 +79,7 @@ class QualityModel:
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", sample: int = SAMPLE) -> QualityModel:
     arrow_rows(docs.sparkSession)
     rows = labelled_sample(docs, labels, label, held_out, sample)
-    lines = rows.where("part < 0.5").select("doc_id", "label", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
+    lines = rows.where(F.col("part") < SEEN).select("doc_id", "label", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
     # Each task hands on one row a line at most, however common the line.
     by_doc = lines.groupBy("line", "doc_id", "label").agg(F.collect_list("at").alias("ats"))
     own = by_doc.groupBy("line").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "label", "ats")]).where("n = 1")
@@ -97,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "qu
     if None in dictionaries:
         n, good = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
         return QualityModel(None, None, np.zeros(2), (good + 0.5) / (n + 1))
-    fitted = rows.where("part >= 0.5").select("label", "text").mapInArrow(_differences(*dictionaries), "label int, difference double").toPandas()
+    fitted = rows.where(F.col("part") >= SEEN).select("label", "text").mapInArrow(_differences(*dictionaries), "label int, difference double").toPandas()
     y, there = fitted["label"].to_numpy(float), fitted["difference"].notna().to_numpy()
     weights = fit_logistic(fitted.loc[there, ["difference"]].to_numpy(), y[there])
     return QualityModel(*dictionaries, weights, (y.sum() + 0.5) / (len(y) + 1))

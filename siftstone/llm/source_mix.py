@@ -187,19 +187,26 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int
     return Mix(small(spark.createDataFrame(rows_, schema), len(rows_)), small(picks, picks.count()), seed)
 
 
-def mix_documents(df: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of df as often as they are drawn, with mix_shard and mix_order: shards in order of mix_order are shuffled."""
-    names = df.columns
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_kept"), F.col(doc_id).alias("doc_id"), _source_key(F.col(source)).alias("_source_key"), word_count(F.col(text)).alias("size"))
+def _drawn(df: DataFrame, mix: Mix, doc_id: str, text: str, source: str) -> DataFrame:
+    """(row struct, mix_shard, mix_order) for each draw of each row of df."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_kept")
+    rows = df.select(kept, F.col(doc_id).alias("doc_id"), _source_key(F.col(source)).alias("_source_key"), word_count(F.col(text)).alias("size"))
     drawn = mix.copies(rows).select("_kept", "doc_id", F.explode("draws").alias("d"))
     order = F.xxhash64(F.lit(mix.seed + 2), "d.shard", "doc_id", "d.copy")
-    return drawn.select(*[F.col("_kept").getField(c).alias(c) for c in names], F.col("d.shard").alias("mix_shard"), order.alias("mix_order"))
+    return drawn.select("_kept", F.col("d.shard").alias("mix_shard"), order.alias("mix_order"))
+
+
+def mix_documents(df: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of df as often as they are drawn, with mix_shard and mix_order: shards in order of mix_order are shuffled. Columns of df with these names give way."""
+    drawn = _drawn(df, mix, doc_id, text, source)
+    return drawn.select(*[F.col("_kept").getField(c).alias(c) for c in df.columns if c not in ("mix_shard", "mix_order")], "mix_shard", "mix_order")
 
 
-def shuffled(mixed: DataFrame) -> DataFrame:
-    """Rows of mix_documents() in order of shard and, within it, of mix_order; each shard lies in PARTS partitions, which split its order evenly."""
+def shuffled_mix(df: DataFrame, mix: Mix, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The drawn rows of df, with its columns, in order of shard and, within it, shuffled; each shard lies in PARTS partitions, which split its order evenly."""
     part = F.shiftrightunsigned(F.col("mix_order").bitwiseXOR(-(1 << 63)), 64 - PARTS.bit_length() + 1)
-    return mixed.repartition("mix_shard", part).sortWithinPartitions("mix_shard", "mix_order")
+    ordered = _drawn(df, mix, doc_id, text, source).repartition("mix_shard", part).sortWithinPartitions("mix_shard", "mix_order")
+    return ordered.select(*[F.col("_kept").getField(c).alias(c) for c in df.columns])
 
 
 def sized_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -56,8 +56,9 @@ def test_mix(spark, docs):
     assert sorted((r.doc_id or -1, r.size, r.n) for r in again) == sorted((r.doc_id or -1, r.size, r.n) for r in got)
     mixed = M.mix_documents(df.withColumn("draws", F.lit("clash")), M.plan_mix(sized))
     assert mixed.count() == sum(r.n for r in got) and mixed.columns[:6] == [*df.columns, "draws"]
-    order = M.shuffled(mixed).select("mix_shard", "mix_order").collect()
-    assert len(order) == mixed.count() and len({r.mix_shard for r in order}) <= M.SHARDS
+    clash = df.withColumns({"mix_shard": F.lit("clash"), "_kept": F.lit("clash")})
+    order = M.shuffled_mix(clash, M.plan_mix(sized))
+    assert order.columns == clash.columns and order.count() == mixed.count() == M.mix_documents(clash, M.plan_mix(sized)).where("mix_shard >= 0").count()
     empty = M.sized_rows(df.limit(0))
     assert M.plan_mix(empty).copies(empty).count() == 0
 
