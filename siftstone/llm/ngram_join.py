@@ -512,3 +512,20 @@ def _row_signer(words: int):
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+#: All pairs that share an n-gram, compared; components by the closure of the links.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS s FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS t FROM g
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), c AS (
+  SELECT doc_id, doc_id AS r FROM g UNION SELECT p.b, c.r FROM c JOIN p ON p.a = c.doc_id
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM g JOIN (SELECT doc_id, min(r) AS component_id FROM c GROUP BY doc_id) USING (doc_id)
+"""

@@ -31,4 +31,5 @@ ORACLE_SQL = {
     "op1_chat_formatting": chat_format.OP1_SQL,
     "op2_sharding": extendible_shards.op2_sql(),
     "op7_exact_topk": vector_topk.OP7_SQL,
+    "op10_ngram_join": ngram_join.OP10_SQL,
 }
