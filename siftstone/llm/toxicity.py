@@ -34,7 +34,7 @@ from siftstone.llm.fitting import fit_logistic, labelled_sample, logistic
 SAMPLE, FEATURES, PRIOR, MIN_DOCS, MIN_ODDS, MIN_TEST, TOP_SCORE, SIGNIFICANT, THRESHOLD = 20_000, 50_000, 500.0, 3, 1.0, 6.0, 5.0, 0.05, 0.5
 #: No document counts more than so many times for a feature.
 PER_DOC = 3
-MEMO_WORDS = 100_000
+MEMO_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
