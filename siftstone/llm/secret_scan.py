@@ -7,6 +7,8 @@ scope, SCOPE code points to either side:
     weak secret   an access identifier or account identifier
     account id    an endpoint and a secret (assigned or weak)
     endpoint      an identifier and a secret
+Each reported candidate is a link and names all its parts: the spans of the kinds that complete it, within its scope. A part
+may be a weak candidate that isn't reported itself. As spans of a kind don't overlap, the scope bounds the parts of a link.
 The parts of a text stay in its row, so the join needs no shuffle, meets no other document's parts and emits no pairs.
 
 Positions are code points, ends exclusive. A null text is an empty one; every row gives one row, repeated rows too.
@@ -15,6 +17,9 @@ Each kind's matches are leftmost and do not overlap; ties of start go by the ord
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +33,13 @@ WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])"
 ACCOUNT_ID = r"""(?i)(?<![a-z])(?:client|account|tenant|user|access)[_-]?(?:id|name|key[_-]?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}"""
 ENDPOINT = r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\x00-\x20"'<>]*)?"""
 
+#: What completes a weak candidate: a span of each of these sets of kinds.
+NEEDS = {
+    "weak_secret": (("access", "account_id"),),
+    "account_id": (("endpoint",), ("assign", "weak_secret")),
+    "endpoint": (("access", "account_id"), ("assign", "weak_secret")),
+}
+
 _SPANS = "array<struct<start:int,end:int,rank:int>>"
 
 
@@ -51,13 +63,19 @@ def _found(text: Column, kind: str, pattern: str, candidate: Column, keep=None)
     return F.when(candidate & F.rlike(text, regex), spans).otherwise(F.array().cast(_SPANS))
 
 
-def _near(spans: Column, at: Column, scope: int) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < at["end"] + scope) & (s["end"] > at["start"] - scope))
+def _meets(at: Column, scope: int):
+    return lambda s: (s["start"] < at["end"] + scope) & (s["end"] > at["start"] - scope)
+
+
+def _ordered(spans: Column) -> Column:
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
 
 
 def scan_secrets(df: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """df with `secrets`, an array<struct<start, end, rank>> sorted by start and kind; rank indexes KINDS."""
-    names = [c for c in df.columns if c != "secrets"]
+    """df with `secrets`, an array<struct<start, rank, end>> sorted by start and kind, and `links`, an array<struct<start, rank, end,
+    parts array<struct<start, rank, end>>>> of the weak candidates among them, sorted likewise; rank indexes KINDS. Columns of df
+    with these names give way."""
+    names = [c for c in df.columns if c not in ("secrets", "links")]
     t = F.coalesce(F.col("_row.text"), F.lit(""))
     has = lambda part: F.contains(t, F.lit(part))
     mixed = lambda m, _: F.rlike(m, F.lit("[A-Z]")) & F.rlike(m, F.lit("[a-z]")) & F.rlike(m, F.lit("[0-9]"))
@@ -74,17 +92,20 @@ def scan_secrets(df: DataFrame, text: str = "text", scope: int = SCOPE) -> DataF
         ).alias("_p"),
     )
     p = {k: F.col(f"_p.{k}") for k in KINDS}
-    near = lambda at, *kinds: _near(F.concat(*[p[k] for k in kinds]), at, scope)
-    apart = lambda at: ~_near(F.concat(p["assign"], p["access"], p["hex"]), at, 0)
-    linked = F.concat(
-        F.filter(p["weak_secret"], lambda x: apart(x) & near(x, "access", "account_id")),
-        F.filter(p["account_id"], lambda x: apart(x) & near(x, "endpoint") & near(x, "assign", "weak_secret")),
-        F.filter(p["endpoint"], lambda x: apart(x) & near(x, "access", "account_id") & near(x, "assign", "weak_secret")),
-    )
-    order = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
-    every = F.concat(p["assign"], p["access"], p["hex"], linked)
-    found = parts.select("_kept", order(every).alias("_found"))
-    return found.select(*[F.col("_kept").getField(c).alias(c) for c in names], F.col("_found").alias("secrets"))
+    joined = lambda kinds: F.concat(*[p[k] for k in kinds])
+    apart = lambda at: ~F.exists(joined(KINDS[:3]), _meets(at, 0))
+
+    def linked(kind: str) -> Column:
+        complete = lambda at: reduce(and_, [F.exists(joined(kinds), _meets(at, scope)) for kinds in NEEDS[kind]])
+        completing = joined([k for kinds in NEEDS[kind] for k in kinds])
+        return F.transform(
+            F.filter(p[kind], lambda at: apart(at) & complete(at)),
+            lambda at: F.struct(at["start"].alias("start"), at["rank"].alias("rank"), at["end"].alias("end"), _ordered(F.filter(completing, _meets(at, scope))).alias("parts")),
+        )
+
+    base = parts.select("_kept", joined(KINDS[:3]).alias("_base"), F.array_sort(F.concat(*[linked(k) for k in NEEDS])).alias("_links"))
+    found = base.select("_kept", "_links", F.array_sort(F.concat(_ordered(F.col("_base")), _ordered(F.col("_links")))).alias("_found"))
+    return found.select(*[F.col("_kept").getField(c).alias(c) for c in names], F.col("_found").alias("secrets"), F.col("_links").alias("links"))
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +113,13 @@ def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = F.array(*[F.lit(k) for k in KINDS])
-    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    told = lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))
+    listed = lambda spans: F.array_join(F.transform(spans, told), ",")
     count = lambda k: F.size(F.filter("secrets", lambda s: s["rank"] == KINDS.index(k))).cast("long")
     return found.select(
         "doc_id",
         *[count(k).alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(listed(F.filter("secrets", lambda s: s["rank"] < 3)).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("secrets")).alias("spans"),
+        F.array_join(F.transform("links", lambda x: F.concat(told(x), F.lit("="), F.array_join(F.transform(x["parts"], told), "+"))), ",").alias("links"),
     )
