@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from siftstone.llm.common import written
 
 
+LEAST_SLOPE = 1e-3
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, rows: int) -> DataFrame:
     """(doc_id, text, label int, part double): the texts of at most `rows` labelled documents that aren't held out.
 
@@ -28,22 +31,43 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights, the intercept first, by Newton steps. Of one class only: an intercept with a count of one half for the other."""
+    """Weights, the intercept first, of a logistic regression whose slopes are positive: a feature that would count against label 1 gets LEAST_SLOPE,
+    so that scores keep its order.
+
+    Newton steps, each halved until the loss falls. The ridge keeps the weights finite where a feature separates the classes, and a smaller
+    one the intercept. Of one class only: an intercept with a count of one half for the other.
+    """
+    w = np.zeros(x.shape[1] + 1)
     if len(y) == 0:
-        return np.zeros(x.shape[1] + 1)
+        return w
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    w = np.zeros(x.shape[1] + 1)
     w[0] = np.log(rate / (1 - rate))
     if y.min() == y.max():
         return w
-    a = np.column_stack([np.ones(len(x)), x])
-    keep = np.r_[0.0, np.full(x.shape[1], ridge)]
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(keep + 1e-9), a.T @ (y - p) - keep * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+    used = list(range(x.shape[1]))
+    while True:
+        found = _newton(np.column_stack([np.ones(len(x)), x[:, used]]), y, np.r_[w[0], np.zeros(len(used))], np.r_[ridge / 100, np.full(len(used), ridge)])
+        if not used or found[1:].min() >= 0:
+            break
+        used.pop(int(np.argmin(found[1:])))
+    out = np.full(x.shape[1] + 1, LEAST_SLOPE)
+    out[0], out[[1 + i for i in used]] = found[0], found[1:]
+    return out
+
+
+def _newton(a: np.ndarray, y: np.ndarray, w: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    centre = np.r_[w[0], np.zeros(len(w) - 1)]
+    loss = lambda v: np.logaddexp(0, a @ v).sum() - y @ (a @ v) + keep @ (v - centre) ** 2 / 2
+    now = loss(w)
+    for _ in range(100):
+        p = np.exp(-np.logaddexp(0, -(a @ w)))
+        slope = a.T @ (y - p) - keep * (w - centre)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(keep), slope)
+        while (new := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        if new > now or np.abs(step).max() <= 1e-9:
             break
+        w, now = w + step, new
     return w
 
 

@@ -2,7 +2,8 @@
 
 Training counts words and word beginnings of 4 to 8 letters in toxic and clean labelled documents. The log-odds of
 a feature is taken with a Dirichlet prior, whose pseudo-counts follow the feature's share of the sample; a feature counts if
-it stands in MIN_DOCS toxic documents, its log-odds exceed MIN_ODDS and the likelihood-ratio test is significant. A word
+it stands in two toxic documents, its log-odds exceed MIN_ODDS and the signed root of the likelihood ratio exceeds what the largest of
+so many standard normal variables reaches by chance, sqrt(2 ln(features)), a bar that follows the sample. A word
 scores as its most significant feature; all other words share the log-odds of what is left, slightly below zero.
 
 A text is then a sequence of scores. One linear scan (Ruzzo and Tompa) finds all its maximal-scoring segments. For
@@ -28,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from siftstone.llm.common import arrow_rows, crc32_of, table
+from siftstone.llm.common import arrow_rows, crc32_of, table, written
 from siftstone.llm.fitting import fit_logistic, labelled_sample, logistic
 
-SAMPLE, FEATURES, PRIOR, MIN_DOCS, MIN_ODDS, MIN_TEST, TOP_SCORE, SIGNIFICANT, THRESHOLD = 20_000, 50_000, 500.0, 3, 1.0, 6.0, 5.0, 0.05, 0.5
+SAMPLE, FEATURES, PRIOR, MIN_DOCS, MIN_ODDS, TOP_SCORE, SIGNIFICANT, THRESHOLD = 20_000, 50_000, 500.0, 2, 1.0, 5.0, 0.05, 0.5
 #: No document counts more than so many times for a feature.
 PER_DOC = 3
 MEMO_WORDS = 400_000
@@ -127,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "to
         rows.where("part < 0.67").select("text", "label").mapInArrow(_count, "feature string, clean long, toxic long, docs long")
         .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
     )
+    counts = written(counts, "features")
     total = counts.where("feature = ''").first()
     n0, n1 = (max(1, total.clean), max(1, total.toxic)) if total else (1, 1)
     both = F.col("clean") + F.col("toxic")
@@ -135,10 +137,11 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "to
     share = lambda n: both * n / (n0 + n1)
     part = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / share(n))).otherwise(0.0)
     test = F.sqrt(F.greatest(F.lit(0.0), 2 * (part("toxic", n1) + part("clean", n0))))
+    bar = math.sqrt(2 * math.log(max(2, counts.count())))
     kept = (
         counts.where((F.col("feature") != "") & (F.col("docs") >= MIN_DOCS))
         .select("feature", "clean", "toxic", odds.alias("odds"), test.alias("test"))
-        .where((F.col("odds") > MIN_ODDS) & (F.col("test") > MIN_TEST))
+        .where((F.col("odds") > MIN_ODDS) & (F.col("test") > bar))
         .orderBy(F.desc("test"), "feature").limit(FEATURES).collect()
     )
     whole = [r for r in kept if len(r.feature) == 4 or r.feature.endswith("$")]

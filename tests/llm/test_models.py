@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm import quality_zstd as Q
 from siftstone.llm import toxicity as X
+from siftstone.llm.fitting import fit_logistic, logistic
 from siftstone.llm.queries import QUERIES
 
 #: Large enough to learn from: 3,980 labels.
@@ -25,6 +26,38 @@ def held_out_accuracy(spark, name, label):
     return m.y.to_numpy(), m.predicted.to_numpy(), rows
 
 
+def auc(y, score):
+    """Share of pairs of both classes in the right order, ties counting half."""
+    a, b = score[y == 1][:, None], score[y == 0][None, :]
+    return ((a > b) + 0.5 * (a == b)).mean()
+
+
+@pytest.mark.parametrize(("name", "label"), [("op5_toxicity", "toxic"), ("op9_quality", "quality")])
+def test_order_of_held_out_scores_at_a_small_scale(spark, name, label):
+    """A few hundred labels are enough for scores that tell the classes apart."""
+    small = compare.DATA.replace("0.001", "0.01")
+    rows = QUERIES[name](spark, small).toPandas()
+    m = rows.merge(compare.oracle(small).sql(f"SELECT doc_id, {label} AS y FROM labels").df(), on="doc_id")
+    m = m[m.held_out]
+    assert auc(m.y.to_numpy(), m.score.to_numpy()) > 0.8 and rows.score.nunique() > 100
+
+
+def test_calibration_converges():
+    """Separable and nearly separable features, on any scale, and features that point the wrong way."""
+    rng = np.random.default_rng(1)
+    y = np.r_[np.zeros(105), np.ones(14)]
+    for gap, scale in ((80, 1), (3, 1), (0.1, 1), (3, 1000), (3, 0.001)):
+        x = rng.normal(0, scale, (119, 1)) + gap * scale * y[:, None]
+        for features in (x, np.c_[x, x], np.c_[x, -x], -x):
+            w = fit_logistic(features, y)
+            loss = lambda v: (np.logaddexp(0, v[0] + features @ v[1:]) - y * (v[0] + features @ v[1:])).sum()
+            start = np.r_[np.log(14.5 / 105.5), np.zeros(features.shape[1])]
+            assert np.isfinite(w).all() and (w[1:] > 0).all() and np.abs(w).max() < 1e6
+            if features is not x and features.shape[1] == 1:
+                continue
+            assert loss(w) < loss(start) and auc(y, logistic(w, features)) == pytest.approx(auc(y, x[:, 0]), abs=0.02)
+
+
 def test_quality_holds_out(spark):
     y, p, rows = held_out_accuracy(spark, "op9_quality", "quality")
     assert (rows.held_out == rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all() and (rows.predicted == (rows.score >= 0.7)).all()
