@@ -5,6 +5,7 @@ from __future__ import annotations
 from siftstone.llm import (
     chat_format,
     extendible_shards,
+    merkle_manifest,
     ngram_join,
     quality_zstd,
     secret_scan,
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_token_file": token_file.op8_query,
     "op9_quality": quality_zstd.op9_query,
     "op10_ngram_join": ngram_join.op10_query,
+    "op11_merkle_manifest": merkle_manifest.op11_query,
 }
 ORACLE_SQL = {
     "op1_chat_formatting": chat_format.OP1_SQL,
     "op2_sharding": extendible_shards.op2_sql(),
     "op7_exact_topk": vector_topk.OP7_SQL,
     "op10_ngram_join": ngram_join.OP10_SQL,
+    "op11_merkle_manifest": merkle_manifest.OP11_SQL,
 }
