@@ -7,6 +7,7 @@ from siftstone.llm import (
     extendible_shards,
     merkle_manifest,
     ngram_join,
+    ngram_ratio,
     quality_zstd,
     secret_scan,
     source_mix,
@@ -14,6 +15,7 @@ from siftstone.llm import (
     token_file,
     toxicity,
     vector_topk,
+    whitening,
 )
 
 QUERIES = {
@@ -28,6 +30,8 @@ QUERIES = {
     "op9_quality": quality_zstd.op9_query,
     "op10_ngram_join": ngram_join.op10_query,
     "op11_merkle_manifest": merkle_manifest.op11_query,
+    "op12_quality_rules": ngram_ratio.op12_query,
+    "op13_whitening": whitening.op13_query,
 }
 ORACLE_SQL = {
     "op1_chat_formatting": chat_format.OP1_SQL,
