@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import lexical_tokens
+from siftstone.operators import maxscore
+from siftstone.sources.tables import materialised
 
 K1, B = 1.2, 0.75
 #: Field boosts of the multi-field search.
@@ -63,18 +65,30 @@ class Filters:
         return {k: v for k, v in {**self.__dict__, **self.extra}.items() if v and k != "extra"}
 
 
-def postings(chunks: DataFrame, chunk_id: str = "chunk_id", fields: dict[str, Column | str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(field, chunk_id, term, tf, dl, and the columns to keep): an index to keep as a table. Fields that are null or without terms give no rows."""
+def tokenised(chunks: DataFrame, chunk_id: str = "chunk_id", fields: dict[str, Column | str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(field, chunk_id, tokens, and the columns to keep). Fields that are null or without terms give no rows."""
     fields = fields or {"text": "text"}
     both = F.array(*[F.struct(F.lit(name).alias("field"), lexical_tokens(F.col(c) if isinstance(c, str) else c).alias("tokens")) for name, c in fields.items()])
-    tokens = chunks.select(F.col(chunk_id).alias("chunk_id"), *keep, F.explode(both).alias("f")).select("chunk_id", *keep, "f.*").where(F.size("tokens") > 0)
+    return chunks.select(F.col(chunk_id).alias("chunk_id"), *keep, F.explode(both).alias("f")).select("f.field", "chunk_id", "f.tokens", *keep).where(F.size("tokens") > 0)
+
+
+def postings_of(tokens: DataFrame, keep: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
+    """(field, chunk_id, term, tf, dl, and the columns to keep) of tokenised(); with only (term), of these terms."""
     rows = tokens.select("field", "chunk_id", *keep, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if only is not None:
+        rows = rows.join(F.broadcast(only) if only.count() <= BROADCAST_TERMS else only, "term", "left_semi")
     return rows.groupBy("field", "chunk_id", *keep, "dl", "term").agg(F.count("*").alias("tf")).select("field", "chunk_id", "term", "tf", "dl", *keep)
 
 
+def postings(chunks: DataFrame, chunk_id: str = "chunk_id", fields: dict[str, Column | str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """postings_of() all terms: an index to keep as a table."""
+    return postings_of(tokenised(chunks, chunk_id, fields, keep), keep)
+
+
 def field_stats(index: DataFrame) -> DataFrame:
-    """(field, n_docs, avgdl): one row a field."""
-    return index.groupBy("field", "chunk_id").agg(F.first("dl").alias("dl")).groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    """(field, n_docs, avgdl) of an index or of tokenised(): one row a field."""
+    lengths = index.select("field", F.size("tokens").alias("dl")) if "tokens" in index.columns else index.groupBy("field", "chunk_id").agg(F.first("dl").alias("dl"))
+    return lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -87,29 +101,29 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "qu
     return queries.where(F.length(F.trim(query)) > 0).select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(lexical_tokens(F.col(query)))).alias("term"))
 
 
-def bm25_topk(index: DataFrame, queries: DataFrame, k: int, boosts: dict[str, float] | None = None, allowed: DataFrame | None = None, digits: int | None = None) -> DataFrame:
-    """(query_id, rank, chunk_id, score) of each query's k best chunks.
+def bm25_topk(index: DataFrame, queries: DataFrame, k: int, boosts: dict[str, float] | None = None, allowed: DataFrame | None = None, digits: int | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, chunk_id, score) of each query's k best chunks, exact (see maxscore).
 
-    queries: (query_id, query). allowed: the chunk ids that filters left. Only postings of query terms reach the
-    join; the term list is broadcast only when counted small. With digits, scores are rounded before ranking.
+    queries: (query_id, query). allowed: the chunk ids that filters left. stats: field_stats(), where they are known. Only postings of query terms reach the
+    joins; the term list is broadcast only when counted small. With digits, scores are rounded before ranking.
     """
     terms = query_terms(queries)
     asked = terms.select("term").distinct()
     wanted = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
     hits = index.join(wanted, "term", "left_semi")
-    df = term_stats(hits)
-    stats = F.broadcast(field_stats(index))  # a row a field
+    stats = F.broadcast(field_stats(index) if stats is None else stats)  # a row a field
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = hits.join(df, ["field", "term"]).join(stats, "field").select("field", "term", "chunk_id", part.alias("part"))
+    part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * _boost(boosts or BOOSTS)
+    weighed = hits.join(term_stats(hits), ["field", "term"]).join(stats, "field").select("field", "term", "chunk_id", maxscore.block_of("chunk_id", "n_docs").alias("blk"), part.alias("part"))
     if allowed is not None:
         weighed = weighed.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    boost = _boost(boosts or BOOSTS)
-    by_field = weighed.join(terms, "term").groupBy("query_id", "chunk_id", "field").agg(F.sum("part").alias("s"))
-    scored = by_field.groupBy("query_id", "chunk_id").agg(F.max(F.col("s") * boost).alias("score"))
-    if digits is not None:
-        scored = scored.withColumn("score", F.round("score", digits))
-    return ranked(scored, k)
+    return ranked(maxscore.topk(materialised(weighed, "impacts"), terms, k, digits), k)
+
+
+def search(tokens: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
+    """bm25_topk() over tokenised() text that has no index: only the postings of the queries' terms are made."""
+    asked = query_terms(queries).select("term").distinct()
+    return bm25_topk(postings_of(tokens, only=asked), queries, k, stats=field_stats(tokens), **options)
 
 
 def _boost(boosts: dict[str, float]) -> Column:

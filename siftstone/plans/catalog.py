@@ -27,11 +27,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- retrieval -----------------------------------------------------------------------------------------------------
 
 
-def _bm25(spark, sf_dir, k=10, allowed=None) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents")
-    index = materialised(lexical.postings(docs, "doc_id"), "postings")
+def _tokens(spark, sf_dir) -> DataFrame:
+    return materialised(lexical.tokenised(_t(spark, sf_dir, "documents"), "doc_id"), "tokens")
+
+
+def _bm25(spark, sf_dir, k=10, allowed=None, tokens=None) -> DataFrame:
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return lexical.bm25_topk(index, asked, k, allowed=allowed, digits=6)
+    return lexical.search(tokens or _tokens(spark, sf_dir), asked, k, allowed=allowed, digits=6)
 
 
 def hybrid_bm25_topk(spark, sf_dir):
@@ -388,9 +390,9 @@ def round_merge(spark, sf_dir):
 
 def _part_search(spark, sf_dir) -> DataFrame:
     parts = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), "p_name", "p_type", "p_brand")
-    index = materialised(lexical.postings(parts, fields={"text": "p_type", "title": "p_name", "derived_keywords": "p_brand"}), "postings")
+    tokens = materialised(lexical.tokenised(parts, fields={"text": "p_type", "title": "p_name", "derived_keywords": "p_brand"}), "tokens")
     asked = parts.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("query"))
-    return lexical.bm25_topk(index, asked, 5, digits=6)
+    return lexical.search(tokens, asked, 5, digits=6)
 
 
 def bm25_multi_field(spark, sf_dir):
