@@ -1,6 +1,6 @@
 """Dual writes with failure records, retry and reconciliation, and chunk reviews, as table functions.
 
-Each function takes the tables and gives the new ones; siftstone.sources.tables.Store makes a result live.
+Each function takes the tables and gives the new ones; siftstone.sources.tables.Warehouse makes results live.
 """
 
 from __future__ import annotations

@@ -73,14 +73,48 @@ def embed(df: DataFrame, provider, dimension: int, text: str = "context_text", o
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            vectors = provider([t or "" for t in s])
-            if len(vectors) != len(s) or any(len(v) != dimension for v in vectors):
-                raise ValueError(f"the provider gave {len(vectors)} vectors for {len(s)} texts, or not of {dimension} components")
-            yield pd.Series(list(vectors))
+            yield pd.Series(_vectors(provider, [t or "" for t in s], dimension))
 
     return df.withColumn(out, run(F.col(text)))
 
 
+def _vectors(provider, texts: list[str], dimension: int) -> list:
+    vectors = provider(texts)
+    if len(vectors) != len(texts) or any(len(v) != dimension for v in vectors):
+        raise ValueError(f"the provider gave {len(vectors)} vectors for {len(texts)} texts, or not of {dimension} components")
+    return list(vectors)
+
+
+def embed_each(df: DataFrame, provider, dimension: int, text: str = "context_text", out: str = "vector", error: str = "error", patience: int = 64) -> DataFrame:
+    """embed() that no text can fail: df with the vector, or null and what the provider said about that text.
+
+    A batch that fails is halved until the texts that fail are alone, so one bad text costs two calls for each halving. After `patience` failures of single texts
+    in a row with no success between, the rest of the batch counts as failed by the same error: the provider is down.
+    """
+
+    def each(texts: list[str], streak: list[int]) -> list[tuple]:
+        if streak[0] >= patience:
+            return [(None, streak[1])] * len(texts)
+        try:
+            found = [(v, None) for v in _vectors(provider, texts, dimension)]
+            streak[0] = 0
+            return found
+        except Exception as e:  # noqa: BLE001  a provider may fail in any way
+            if len(texts) == 1:
+                streak[:] = [streak[0] + 1, str(e) or type(e).__name__]
+                return [(None, streak[1])]
+        half = len(texts) // 2
+        return each(texts[:half], streak) + each(texts[half:], streak)
+
+    @F.pandas_udf("vector array<float>, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            found = each([t or "" for t in s], [0, ""]) if len(s) else []
+            yield pd.DataFrame({"vector": pd.Series([v for v, _ in found], dtype="object"), "error": pd.Series([e for _, e in found], dtype="object")})
+
+    return df.withColumn("_e", run(F.col(text))).withColumn(out, F.col("_e.vector")).withColumn(error, F.col("_e.error")).drop("_e")
+
+
 def hashing_provider(dimension: int):
     """A deterministic stand-in for a model: signed hashed word counts, normalised."""
     import xxhash

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
@@ -14,9 +15,11 @@ from siftstone.functions import values as V
 from siftstone.operators import bookkeeping, chunking, dense, lexical, replies
 from siftstone.operators.chunking import Budget
 from siftstone.plans.query import Corpus
-from siftstone.sources.tables import FAILURES, ORIGINALS, REVIEWS, Store, delete_where, materialised, upsert
+from siftstone.sources.tables import FAILURES, ORIGINALS, QUARANTINE, REVIEWS, Change, Store, Warehouse, delete_where, materialised, upsert
 
+#: The reference design's own limit of what an enhancement model is shown.
 ENHANCED_TEXT = 6000
+KNOWN = {"originals": ORIGINALS, "failures": FAILURES, "reviews": REVIEWS, "quarantine": QUARANTINE}
 
 
 def enhance(docs: DataFrame, model: Callable | None, wanted: tuple[str, ...] = ("summary", "keywords", "entities"), policy: str = "rules_only_and_flag") -> DataFrame:
@@ -59,21 +62,36 @@ def build_chunks(docs: DataFrame, budget: Budget = Budget(), config_version: str
 
 
 def with_vectors(chunks: DataFrame, providers: dict[str, tuple[Callable, int, str]]) -> DataFrame:
-    """chunks with named_vectors and embedding_model_versions from {vector_name: (provider, dimension, version)}."""
+    """chunks with named_vectors and embedding_model_versions from {vector_name: (provider, dimension, version)}, and error: what providers said of texts that they failed on."""
     for name, (provider, dimension, _) in providers.items():
-        chunks = dense.embed(chunks, provider, dimension, out=f"_v_{name}")
-    pairs = [x for n in providers for x in (F.lit(n), F.col(f"_v_{n}"))]
-    versions = [x for n, (_, _, v) in providers.items() for x in (F.lit(n), F.lit(v))]
-    return chunks.withColumn("named_vectors", F.create_map(*pairs)).withColumn("embedding_model_versions", F.create_map(*versions)).drop(*[f"_v_{n}" for n in providers])
+        chunks = dense.embed_each(chunks, provider, dimension, out=f"_v_{name}", error=f"_e_{name}")
+    there = F.map_filter(F.create_map(*[x for n in providers for x in (F.lit(n), F.col(f"_v_{n}"))]), lambda _, v: v.isNotNull())
+    versions = F.create_map(*[x for n, (_, _, v) in providers.items() for x in (F.lit(n), F.lit(v))])
+    said = F.concat_ws("; ", *[F.col(f"_e_{n}") for n in providers])
+    chunks = chunks.withColumn("named_vectors", there).withColumn("embedding_model_versions", versions).withColumn("error", F.nullif(said, F.lit("")))
+    return chunks.drop(*[f"_{k}_{n}" for n in providers for k in "ve"])
+
+
+def isolated_failures(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, stage, error_msg), a row a document that a stage failed on: documents without an id or a text, then those of whose chunks one has an error (the first one's is told)."""
+    bad = docs.where(invalid(docs)).select("doc_id", F.lit("validate").alias("stage"), F.lit("no id or no text").alias("error_msg"))
+    failed = chunks.where("error IS NOT NULL").groupBy("doc_id").agg(F.min_by("error", F.struct("hierarchy_level", "position", "chunk_id")).alias("error_msg"))
+    return bad.distinct().unionByName(failed.select("doc_id", F.lit("embed").alias("stage"), "error_msg"))
+
+
+def invalid(docs: DataFrame) -> Column:
+    return F.col("doc_id").isNull() | (F.length(F.trim(F.col("doc_id").cast("string"))) == 0) | F.col("raw_text").isNull()
 
 
 @dataclass
 class Engine:
     """The tables of one deployment below `root`, and the jobs on them.
 
-    Originals, lexical rows, vector rows and postings lie in `buckets` partitions by hash of the document, so that adding or deleting documents
-    replaces only the partitions of these documents; take thousands at scale. With a token provider (see chunking.late_chunk_vectors) the
-    vectors of `late` come from the chunks' groups. metadata_keys become columns of the lexical and vector rows.
+    All tables lie in `buckets` parts by hash of the document, so that a change replaces only the parts of the documents that it touches; take
+    thousands at scale. Every job changes its tables together, by one new version of the warehouse (sources.tables): readers keep the version that they
+    began with, and a job that fails leaves none. A document that a stage fails on goes to the quarantine table with its reason, and the
+    others of its batch go on. With a token provider (see chunking.late_chunk_vectors) the vectors of `late` come from the chunks' groups.
+    metadata_keys become columns of the lexical and vector rows.
     """
 
     spark: SparkSession
@@ -87,38 +105,61 @@ class Engine:
     metadata_keys: tuple[str, ...] = ("title", "source", "author", "category", "created_time")
     late: dict[str, tuple[Callable, int, str, int]] = field(default_factory=dict)
 
+    @property
+    def warehouse(self) -> Warehouse:
+        return Warehouse(self.spark, self.root)
+
     def store(self, name: str) -> Store:
-        return Store(self.spark, self.root, name)
+        return Store(self.warehouse, name)
 
-    def table(self, name: str) -> DataFrame:
-        return self.store(name).read({"originals": ORIGINALS, "failures": FAILURES, "reviews": REVIEWS}.get(name)).drop("bucket")
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        """A table of a version, the live one by default."""
+        return self.warehouse.read(name, KNOWN.get(name), version=version).drop("bucket")
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(self.buckets)).cast("int"))
 
-    def _change(self, name: str, new: DataFrame, gone: DataFrame, keys: list[str], touched: list[int]) -> None:
+    def _touched(self, doc_ids: DataFrame) -> list[int]:
+        """The buckets of some documents: as many as there are buckets at most."""
+        return sorted(r[0] for r in self._bucketed(doc_ids.select("doc_id")).select("bucket").distinct().collect())
+
+    def _upsert(self, change: Change, name: str, new: DataFrame, gone: DataFrame | None, keys: list[str], touched: list[int]) -> None:
         """Within the touched buckets: rows that gone (some of the key columns or doc_id) names go, new rows replace those of the same keys."""
-        store, new = self.store(name), self._bucketed(new)
-        if not store.exists():
-            store.replace(new.dropDuplicates(keys), "bucket")
-            return
-        current = store.read().where(F.col("bucket").isin(touched))
-        store.put(upsert(current.join(gone, gone.columns, "left_anti"), new, keys), "bucket", touched)
+        new = self._bucketed(new)
+        current = change.read(name, new.schema, touched)
+        current = current if gone is None else current.join(gone, gone.columns, "left_anti")
+        change.put(name, upsert(current, new, keys), "bucket", touched)
 
-    def _index(self, touched: list[int] | None = None) -> None:
+    def _index(self, change: Change, touched: list[int] | None = None) -> None:
         """Postings of all searched fields, of the touched buckets or of all."""
-        rows = self.store("lexical").read()
+        rows = change.read("lexical", buckets=touched)
         fields = {c: c for c in lexical.BOOSTS if c in rows.columns}
-        if touched is None or not self.store("postings").exists():
-            self.store("postings").replace(lexical.postings(rows, fields=fields, keep=("bucket",)), "bucket")
-        else:
-            self.store("postings").put(lexical.postings(rows.where(F.col("bucket").isin(touched)), fields=fields, keep=("bucket",)), "bucket", touched)
+        change.put("postings", lexical.postings(rows, fields=fields, keep=("bucket",)), "bucket", touched if "postings" in change.tables else None)
 
-    def _touched(self, doc_ids: DataFrame) -> list[int]:
-        return sorted(r[0] for r in self._bucketed(doc_ids.select("doc_id")).select("bucket").distinct().collect())
+    def _record(self, change: Change, failures: DataFrame) -> None:
+        """Failure records of chunks (chunk_id, doc_id, failure_mode, error_msg), in their documents' buckets."""
+        touched = self._touched(failures)
+        if touched:
+            records = change.read("failures", FAILURES, touched).drop("bucket")
+            change.put("failures", self._bucketed(bookkeeping.record_failures(records, failures, F.current_timestamp())), "bucket", touched)
+
+    def _quarantine(self, change: Change, docs: DataFrame, failed: DataFrame) -> None:
+        """Documents that failed are recorded, those that got through leave."""
+        touched = self._touched(docs)
+        old = change.read("quarantine", QUARANTINE, touched).drop("bucket")
+        if "quarantine" not in change.tables and not failed.limit(1).count():
+            return
+        now, before = F.current_timestamp(), old.select("doc_id", "attempts", "first_at")
+        new = failed.alias("f").join(before, F.col("f.doc_id").eqNullSafe(before["doc_id"]), "left").select(
+            "f.doc_id", "stage", "error_msg", (F.coalesce("attempts", F.lit(0)) + 1).cast("int").alias("attempts"), F.coalesce("first_at", now).alias("first_at"), now.alias("last_at")
+        )
+        tried = docs.select(F.col("doc_id").alias("_tried")).distinct()
+        stays = old.join(tried, F.col("doc_id").eqNullSafe(F.col("_tried")), "left_anti")
+        change.put("quarantine", self._bucketed(stays.unionByName(new)), "bucket", touched)
 
     def _chunks(self, docs: DataFrame) -> DataFrame:
-        chunks = with_vectors(build_chunks(docs, self.budget, self.config_version, self.profile, self.model), self.providers)
+        """The chunks of valid documents with their vectors, and error where a provider failed on one."""
+        chunks = with_vectors(build_chunks(docs.where(~invalid(docs)), self.budget, self.config_version, self.profile, self.model), self.providers)
         if self.late:
             chunks = materialised(chunks, "chunks")
             for name, (provider, dimension, version, max_seq_len) in self.late.items():
@@ -128,27 +169,39 @@ class Engine:
                 chunks = chunks.withColumn("embedding_model_versions", V.merged(F.col("embedding_model_versions"), F.create_map(F.lit(name), F.lit(version))))
         return materialised(chunks, "chunks")
 
-    def _write(self, docs: DataFrame, gone: DataFrame, touched: list[int]) -> DataFrame:
-        chunks = self._chunks(docs)
+    def _write(self, change: Change, docs: DataFrame, gone: DataFrame | None, touched: list[int]) -> DataFrame:
+        made = self._chunks(docs)
+        bad = materialised(isolated_failures(docs, made), "isolated")
+        self._quarantine(change, docs, bad)
+        chunks = made.join(bad.select("doc_id"), "doc_id", "left_anti").drop("error")
+        if gone is not None:
+            # What is indexed of a document that failed stays as it was.
+            gone = gone.join(bad.select("doc_id"), "doc_id", "left_anti")
         bad_vector = F.when(F.size("named_vectors") < len(self.providers) + len(self.late), F.lit("a vector is missing"))
         for_lexical, for_vectors, failed = bookkeeping.dual_write(chunks, F.when(F.length("chunk_id") == 0, F.lit("no id")), bad_vector)
         failures = materialised(failed, "failed")
-        if failures.limit(1).count():
-            self.store("failures").replace(bookkeeping.record_failures(self.table("failures"), failures, F.current_timestamp()))
-        self._change("lexical", bookkeeping.lexical_rows(for_lexical, self.metadata_keys), gone, ["chunk_id"], touched)
-        self._change("vectors", bookkeeping.vector_rows(for_vectors, self.metadata_keys), gone, ["chunk_id"], touched)
-        self._index(touched)
-        return bookkeeping.index_result(chunks, failures)
+        self._record(change, failures)
+        self._upsert(change, "lexical", bookkeeping.lexical_rows(for_lexical, self.metadata_keys), gone, ["chunk_id"], touched)
+        self._upsert(change, "vectors", bookkeeping.vector_rows(for_vectors, self.metadata_keys), gone, ["chunk_id"], touched)
+        self._index(change, touched)
+        result = bookkeeping.index_result(chunks, failures).withColumn("error_msg", F.lit(None).cast("string"))
+        lost = made.join(bad.drop("error_msg"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("chunk_id")).alias("ids"))
+        told = bad.join(lost, "doc_id", "left").select("doc_id", F.lit(0).cast("long").alias("indexed"), F.coalesce("n", F.lit(0)).alias("failed"), F.coalesce("ids", F.array().cast("array<string>")).alias("failed_ids"), F.concat_ws(": ", "stage", "error_msg").alias("error_msg"))
+        return result.unionByName(told)
 
     def add(self, docs: DataFrame, replace: bool = True) -> DataFrame:
-        """Puts originals and indexes them; with replace, chunks of these documents that are no longer made go. Without it they stay, as a plain upsert leaves them."""
+        """Puts originals and indexes them, as one change: (doc_id, indexed, failed, failed_ids, error_msg).
+
+        With replace, chunks of these documents that are no longer made go; without it they stay, as a plain upsert leaves them. A document that a
+        stage fails on has an error_msg, is in the table quarantine, and keeps what was indexed of it before.
+        """
         docs = materialised(docs.select("doc_id", "raw_text", *[c for c in ("business_type", "source_metadata") if c in docs.columns]).withColumn("stored_at", F.current_timestamp()), "incoming")
-        touched, none = self._touched(docs), docs.select("doc_id").limit(0)
-        if not self.store("originals").exists():
-            self.store("originals").replace(self._bucketed(self.spark.createDataFrame([], ORIGINALS)), "bucket")
-        full = docs.select(*[F.col(f.name) if f.name in docs.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in ORIGINALS])
-        self._change("originals", full, none, ["doc_id"], touched)
-        return self._write(docs, docs.select("doc_id").distinct() if replace else none, touched)
+        touched, change = self._touched(docs), self.warehouse.change()
+        full = docs.where(~invalid(docs)).select(*[F.col(f.name) if f.name in docs.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in ORIGINALS])
+        self._upsert(change, "originals", full, None, ["doc_id"], touched)
+        result = materialised(self._write(change, docs, docs.select("doc_id").distinct() if replace else None, touched), "result")
+        change.commit()
+        return result
 
     def update(self, docs: DataFrame) -> DataFrame:
         """add() with the old metadata where a row brings none."""
@@ -156,6 +209,10 @@ class Engine:
         meta = F.coalesce("source_metadata", "_old") if "source_metadata" in docs.columns else F.col("_old")
         return self.add(docs.join(old, "doc_id", "left").withColumn("source_metadata", meta).drop("_old"))
 
+    def retry_quarantined(self) -> DataFrame:
+        """add() for the documents in quarantine whose originals are there."""
+        return self.add(self.table("originals").join(self.table("quarantine").select("doc_id"), "doc_id", "left_semi"))
+
     def get(self, doc_id: str) -> DataFrame:
         return self.table("originals").where(F.col("doc_id") == doc_id)
 
@@ -167,16 +224,18 @@ class Engine:
         return self.table("lexical").where(F.col("doc_id") == doc_id).orderBy("hierarchy_level", "position", "chunk_id")
 
     def _remove(self, gone: DataFrame, touched: list[int], names: tuple[str, ...]) -> dict[str, int]:
-        """Rows that gone names by its column go from the tables; their numbers."""
-        counts = {}
+        """Rows that gone names by its column go from the tables, as one change; their numbers."""
+        counts, change = {}, self.warehouse.change()
         for name in names:
-            if self.store(name).exists():
-                current = self.store(name).read().where(F.col("bucket").isin(touched))
+            if name in change.tables:
+                current = change.read(name, buckets=touched)
                 counts[name] = current.join(gone, gone.columns, "left_semi").count()
                 if counts[name]:
-                    self.store(name).put(current.join(gone, gone.columns, "left_anti"), "bucket", touched)
+                    change.put(name, current.join(gone, gone.columns, "left_anti"), "bucket", touched)
         if counts.get("lexical"):
-            self._index(touched)
+            self._index(change, touched)
+        if any(counts.values()):
+            change.commit()
         return counts
 
     def delete(self, doc_id: str) -> dict[str, int]:
@@ -190,75 +249,111 @@ class Engine:
         rows = self.table("lexical").select("chunk_id", "doc_id").unionByName(self.table("vectors").select("chunk_id", "doc_id"))
         return self._remove(gone, self._touched(rows.join(gone, "chunk_id", "left_semi")), ("lexical", "vectors"))
 
+    def add_reviews(self, reviews: DataFrame) -> None:
+        """Puts review rows in their documents' buckets."""
+        reviews, change = materialised(reviews.select(*REVIEWS.names), "reviews"), self.warehouse.change()
+        self._upsert(change, "reviews", reviews, None, ["review_id"], self._touched(reviews))
+        change.commit()
+
     def clear_reviews(self, doc_id: str) -> int:
         """Removes a document's reviews, so that the next sweep takes it again; their number."""
-        reviews = self.table("reviews")
-        kept, count = delete_where(reviews, F.col("doc_id") == doc_id)
-        n = reviews.agg(count).first()[0]
-        if n:
-            self.store("reviews").replace(kept)
-        return n
+        gone = self.spark.createDataFrame([(doc_id,)], "doc_id string")
+        return self._remove(gone, self._touched(gone), ("reviews",)).get("reviews", 0)
 
-    def corpus(self) -> Corpus:
-        """The live tables as a query reads them."""
-        vectors = self.table("vectors")
+    def corpus(self, version: int | None = None) -> Corpus:
+        """The tables as a query reads them, all of one version."""
+        version = self.warehouse.live() if version is None else version
+        vectors = self.table("vectors", version)
         named = {n: vectors.select("chunk_id", F.element_at("named_vectors", F.lit(n)).alias("vector")).where("vector IS NOT NULL") for n in (*self.providers, *self.late)}
-        return Corpus(self.table("lexical"), self.table("postings"), named)
-
-    def rebuild(self) -> dict:
-        """Chunks and indexes all originals anew, and switches only if no row failed; the old versions stay until then."""
-        originals = self.table("originals")
-        chunks = self._chunks(originals)
-        n, split, bad = chunks.agg(F.count("*"), F.count_if(F.startswith("lc_group_id", F.lit("sem:"))), F.count_if(F.size("named_vectors") < len(self.providers) + len(self.late))).first()
-        progress = {"documents": originals.count(), "indexed_documents": chunks.select("doc_id").distinct().count(), "chunks": n, "split_chunks": split, "failed": bad}
-        if bad:
-            return {"switched": False, **progress}
-        new = {"lexical": self._bucketed(bookkeeping.lexical_rows(chunks, self.metadata_keys)), "vectors": self._bucketed(bookkeeping.vector_rows(chunks, self.metadata_keys))}
-        fields = {c: c for c in lexical.BOOSTS if c in new["lexical"].columns}
-        new["postings"] = lexical.postings(new["lexical"], fields=fields, keep=("bucket",))
-        versions = {name: self.store(name).write(df, "bucket") for name, df in new.items()}
-        before = {}
+        return Corpus(self.table("lexical", version), self.table("postings", version), named)
+
+    def rebuild(self, progress: Callable[[dict], None] | None = None, batches: int = 1, keep: int = 1) -> dict:
+        """Chunks and indexes all originals anew, and commits only if no row failed; the old version stays until then.
+
+        The originals go in `batches` groups of buckets. progress is told of the phases provision, index (after each batch, with counts so far), switch, cleanup and
+        done, or of error. Counts are observed while rows are written. Versions but the last `keep` are removed at the end.
+        """
+        tell = progress or (lambda _: None)
+        change = self.warehouse.change()
+        counts = {"documents": 0, "indexed_documents": 0, "chunks": 0, "split_chunks": 0, "failed": 0}
         try:
-            for name, version in versions.items():
-                before[name] = self.store(name).switch(version)
-        except Exception:
-            for name, old in before.items():
-                if old:
-                    self.store(name).switch(old)
+            tell({"phase": "provision", **counts})
+            for name in ("lexical", "vectors", "postings", "quarantine"):
+                change.tables = {n: t for n, t in change.tables.items() if n != name}
+            groups = [list(range(n, self.buckets, batches)) for n in range(min(batches, self.buckets))]
+            for touched in groups:
+                self._rebuilt(change, touched, counts)
+                tell({"phase": "index", **counts})
+            if counts["failed"]:
+                tell({"phase": "error", "error": f"{counts['failed']} chunks or documents failed", **counts})
+                return {"switched": False, **counts}
+            tell({"phase": "switch", **counts})
+            change.commit()
+            tell({"phase": "cleanup", **counts})
+            self.warehouse.expire(keep)
+            tell({"phase": "done", **counts})
+            return {"switched": True, **counts}
+        except Exception as e:
+            tell({"phase": "error", "error": str(e), **counts})
             raise
-        for name, old in before.items():
-            if old:
-                self.store(name).drop(old)
-        return {"switched": True, **progress}
+
+    def _rebuilt(self, change: Change, touched: list[int], counts: dict) -> None:
+        """Lexical, vector and posting rows of the originals of some buckets, and what was seen while they were written added to counts."""
+        read, made = Observation(), Observation()
+        docs = materialised(change.read("originals", self._bucketed(self.spark.createDataFrame([], ORIGINALS)).schema, touched).drop("bucket").observe(read, F.count("*").alias("n")), "originals")
+        chunks = self._chunks(docs)
+        short = F.size("named_vectors") < len(self.providers) + len(self.late)
+        rows = bookkeeping.lexical_rows(chunks, self.metadata_keys)
+        seen = chunks.observe(made, F.count("*").alias("n"), F.count_if(F.startswith("lc_group_id", F.lit("sem:"))).alias("split"), F.count_if(short | F.col("error").isNotNull()).alias("failed"))
+        self._put_new(change, "lexical", rows, touched)
+        self._put_new(change, "vectors", bookkeeping.vector_rows(seen, self.metadata_keys), touched)
+        self._index(change, touched)
+        found = made.get
+        for name, n in (("documents", read.get["n"]), ("indexed_documents", chunks.select("doc_id").distinct().count()), ("chunks", found["n"]), ("split_chunks", found["split"]), ("failed", found["failed"])):
+            counts[name] += n or 0
+
+    def _put_new(self, change: Change, name: str, rows: DataFrame, touched: list[int]) -> None:
+        change.put(name, self._bucketed(rows), "bucket", touched)
 
     def reconcile(self) -> dict:
-        counters, drift = bookkeeping.reconcile(self.table("lexical"), self.table("vectors"), self.table("failures"))
+        change = self.warehouse.change()
+        counters, drift = bookkeeping.reconcile(change.read("lexical"), change.read("vectors"), change.read("failures", FAILURES))
         out = counters.first().asDict()
         if out["newly_recorded"]:
-            self.store("failures").replace(bookkeeping.record_failures(self.table("failures"), drift, F.current_timestamp()))
+            self._record(change, materialised(drift, "drift"))
+            change.commit()
         return out
 
     def retry(self, limit: int = 500, max_attempts: int | None = None) -> dict:
-        restored, outcome = bookkeeping.retry(self.table("failures"), self.table("vectors"), limit, max_attempts)
-        outcome, restored = materialised(outcome, "outcome"), materialised(restored, "restored")
+        change = self.warehouse.change()
+        records = change.read("failures", FAILURES)
+        restored, outcome = bookkeeping.retry(records.drop("bucket"), change.read("vectors"), limit, max_attempts)
+        outcome, restored = materialised(outcome.join(records.select("id", "doc_id"), "id"), "outcome"), materialised(restored, "restored")
         touched = self._touched(restored)
         if touched:
-            self._change("lexical", restored, restored.select("chunk_id").limit(0), ["chunk_id"], touched)
-            self._index(touched)
-        self.store("failures").replace(bookkeeping.mark(self.table("failures"), outcome, F.current_timestamp()))
+            self._upsert(change, "lexical", restored, None, ["chunk_id"], touched)
+            self._index(change, touched)
+        marked = self._touched(outcome)
+        if marked:
+            change.put("failures", self._bucketed(bookkeeping.mark(change.read("failures", buckets=marked).drop("bucket"), outcome, F.current_timestamp())), "bucket", marked)
+            change.commit()
         n, ok = outcome.agg(F.count("*"), F.count_if("resolved")).first()
         return {"attempted": n, "resolved": ok, "still_failing": n - ok}
 
     def purge_resolved(self) -> int:
-        records = self.table("failures")
-        kept, count = delete_where(records, F.col("resolved"))
-        n = records.agg(count).first()[0]
-        self.store("failures").replace(kept)
+        change = self.warehouse.change()
+        records = change.read("failures", FAILURES)
+        done = self._touched(records.where("resolved"))
+        if not done:
+            return 0
+        kept, _ = delete_where(change.read("failures", buckets=done), F.col("resolved"))
+        n = records.agg(F.count_if("resolved")).first()[0]
+        change.put("failures", kept, "bucket", done)
+        change.commit()
         return n
 
     def status(self) -> DataFrame:
-        counts = [self.table(n).agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n in ("originals", "lexical", "vectors", "failures") if n in ("originals", "failures") or self.store(n).exists()]
-        out = counts[0]
-        for c in counts[1:]:
-            out = out.unionAll(c)
-        return out
+        """(name, rows) of the tables."""
+        there = self.warehouse.manifest()
+        counts = [self.table(n).agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n in ("originals", "lexical", "vectors", "failures") if n in ("originals", "failures") or n in there]
+        return reduce(DataFrame.unionAll, counts)

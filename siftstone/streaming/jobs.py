@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siftstone.operators import bookkeeping
 from siftstone.plans.ingest import Engine
-from siftstone.sources.tables import ORIGINALS, REVIEWS, upsert
+from siftstone.sources.tables import ORIGINALS
 
 
 def ingest_stream(engine: Engine, source: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -43,13 +43,11 @@ def audit(chunks: DataFrame, model: Callable, now=None) -> DataFrame:
 
 def audit_sweep(engine: Engine, model: Callable, limit: int = 20) -> int:
     """One tick of the audit loop: reviews up to `limit` documents that have none; returns their number."""
-    reviews = engine.store("reviews").read(REVIEWS)
-    chunks = engine.table("lexical")
+    reviews, chunks = engine.table("reviews"), engine.table("lexical")
     due = bookkeeping.pending_reviews(chunks, reviews, limit)
     n = due.count()
     if n:
-        new = audit(chunks.join(due, "doc_id", "left_semi"), model).select(*REVIEWS.names)
-        engine.store("reviews").replace(upsert(reviews, new, ["review_id"]))
+        engine.add_reviews(audit(chunks.join(due, "doc_id", "left_semi"), model))
     return n
 
 
