@@ -186,8 +186,8 @@ def review_report(audited: DataFrame, skipped: DataFrame, now: Column) -> DataFr
 
 
 def latest_reviews(reviews: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy(F.desc("audited_at"), F.desc("review_id"))
-    return reviews.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Each document's last review; partial sums leave one row a document and task, however many reviews it has."""
+    return reviews.groupBy("doc_id").agg(F.max_by(F.struct(*reviews.columns), F.struct("audited_at", "review_id")).alias("_r")).select("_r.*")
 
 
 def reviews_of(reviews: DataFrame, doc_id: str, limit: int = 20) -> DataFrame:
@@ -205,7 +205,9 @@ def pending_count(records: DataFrame) -> DataFrame:
     return records.where("NOT resolved").agg(F.count("*").alias("records"), F.count_distinct("chunk_id").alias("chunks"))
 
 
-def pending_reviews(chunks: DataFrame, reviews: DataFrame, limit: int = 100) -> DataFrame:
-    """doc_ids without a review, of the 4 * limit documents with the most chunks, in order."""
+def pending_reviews(chunks: DataFrame, reviews: DataFrame, limit: int | None = 100) -> DataFrame:
+    """doc_ids without a review, of the 4 * limit documents with the most chunks, in order; without a limit of all documents, in no order."""
+    if limit is None:
+        return chunks.select("doc_id").distinct().join(reviews.select("doc_id").distinct(), "doc_id", "left_anti")
     top = chunks.groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id").limit(4 * limit)
     return top.join(reviews.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id").orderBy("doc_id").limit(limit)

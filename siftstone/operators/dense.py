@@ -89,7 +89,7 @@ def embed_each(df: DataFrame, provider, dimension: int, text: str = "context_tex
     """embed() that no text can fail: df with the vector, or null and what the provider said about that text.
 
     A batch that fails is halved until the texts that fail are alone, so one bad text costs two calls for each halving. After `patience` failures of single texts
-    in a row with no success between, the rest of the batch counts as failed by the same error: the provider is down.
+    in a row with no success between, the rest of the task counts as failed by the same error: the provider is down.
     """
 
     def each(texts: list[str], streak: list[int]) -> list[tuple]:
@@ -108,8 +108,9 @@ def embed_each(df: DataFrame, provider, dimension: int, text: str = "context_tex
 
     @F.pandas_udf("vector array<float>, error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        streak = [0, ""]
         for s in batches:
-            found = each([t or "" for t in s], [0, ""]) if len(s) else []
+            found = each([t or "" for t in s], streak) if len(s) else []
             yield pd.DataFrame({"vector": pd.Series([v for v, _ in found], dtype="object"), "error": pd.Series([e for _, e in found], dtype="object")})
 
     return df.withColumn("_e", run(F.col(text))).withColumn(out, F.col("_e.vector")).withColumn(error, F.col("_e.error")).drop("_e")

@@ -7,18 +7,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_DELIMITER = "\n\n---\n\n"
 CITATION_EXTRAS = ("text", "category", "created_time", "author", "config_version", "hierarchy_level", "position", "parent_id")
 
 
-def pool(lists: list[tuple[str, str, DataFrame | None]], spark=None) -> DataFrame:
-    """The retrievers' lists [(retriever_id, kind, (query_id, rank, chunk_id, score))] in the order of configuration; a failed one is None and gives no rows."""
+def pool(lists: list[tuple[str, str, DataFrame | None]], like: DataFrame | None = None) -> DataFrame:
+    """The retrievers' lists [(retriever_id, kind, (query_id, rank, chunk_id, score))] in the order of configuration; a failed one is None and gives no rows.
+
+    Where all failed the pool is empty, with the columns' types of `like`. Only a configuration without retrievers is an error.
+    """
+    if not lists:
+        raise ValueError("there are no retrievers")
     there = [(n, r, kind, df) for n, (r, kind, df) in enumerate(lists) if df is not None]
     if not there:
-        raise ValueError("no retriever gave a list")
+        none = SparkSession.active().createDataFrame([], "query_id string, rank int, chunk_id string, score double") if like is None else like.limit(0)
+        there = [(n, r, kind, none) for n, (r, kind, _) in enumerate(lists)]
     return reduce(DataFrame.unionByName, [df.select("query_id", F.lit(r).alias("retriever_id"), F.lit(kind).alias("kind"), F.lit(n).alias("ord"), "rank", "chunk_id", "score") for n, r, kind, df in there])
 
 
@@ -150,9 +156,9 @@ def citation_summary(citations: Column, most: int = 8) -> Column:
 
 
 def merge_rounds(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Candidates of two rounds, each chunk once as first met, ordered by (rerank, rrf, dense) with missing scores last."""
+    """Candidates of two rounds, each chunk once as first met, ordered by (rerank, rrf, dense) with missing scores last. The dense score that decides ties is the last retriever's."""
     both = first.withColumn("_round", F.lit(1)).unionByName(second.withColumn("_round", F.lit(2)), allowMissingColumns=True)
     once = keep_first(both, ["query_id", "chunk_id"], F.struct("_round", "pos"))
-    dense = F.get(F.map_values("dense_scores"), F.lit(0)) if "dense_scores" in once.columns else F.lit(None).cast("double")
+    dense = F.try_element_at(F.map_values("dense_scores"), F.lit(-1)) if "dense_scores" in once.columns else F.lit(None).cast("double")
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), F.desc_nulls_last("rrf_score"), F.desc_nulls_last("_dense"), "_round", "pos")
     return once.withColumn("_dense", dense).withColumn("_new", F.row_number().over(w)).drop("pos", "_dense", "_round").withColumnRenamed("_new", "pos")

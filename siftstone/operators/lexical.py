@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import lexical_tokens
+from siftstone.functions.values import let
 from siftstone.operators import maxscore
 from siftstone.sources.tables import materialised
 
@@ -153,9 +154,34 @@ def with_highlights(hits: DataFrame, queries: DataFrame, chunks: DataFrame, text
 
 
 def highlighted(text: Column, terms: Column, size: int = 150, most: int = 3) -> Column:
-    """Up to three fragments of about 150 characters around the first hits, terms in <em>; null without hits."""
-    pattern = F.concat(F.lit(r"(?iU)(?<![\p{L}\p{N}])("), F.array_join(F.transform(F.array_sort(terms), lambda t: F.concat(F.lit("\\Q"), t, F.lit("\\E"))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))), lambda i: F.substr(text, i * size + 1, F.lit(size)))
-    hit = F.filter(pieces, lambda p: F.regexp_like(p, pattern))
-    tagged = F.transform(F.slice(hit, 1, most), lambda p: F.regexp_replace(p, pattern, F.lit("<em>$1</em>")))
-    return F.when((F.size(terms) > 0) & (F.size(hit) > 0), tagged)
+    """Up to three fragments around the first hits, terms in <em>; null without hits.
+
+    Hits are found in the whole text. A fragment begins at the multiple of `size` before its first hit, or where the fragment before ended, and has `size`
+    characters or as many as it takes to end with the word that it would cut; the next one starts from the first hit behind it.
+    """
+    any_term = F.array_join(F.transform(F.array_sort(terms), lambda t: F.concat(F.lit("\\Q"), t, F.lit("\\E"))), "|")
+    # The first character is only looked at, as what stands before the rest: a hit begins behind it.
+    pattern = F.concat(F.lit(r"(?iU)(?<!^)(?<![\p{L}\p{N}])("), any_term, F.lit(r")(?![\p{L}\p{N}])"))
+    body = F.concat(F.lit(" "), text)
+
+    def fragment(start: Column) -> Column:
+        """(from, to): the fragment of the first hit at `start` (from 0) or behind, ends exclusive; null without one."""
+        hit = F.regexp_instr(F.substr(body, start + 1, F.length(body)), pattern)
+
+        def placed(at: Column) -> Column:
+            begin = F.greatest(start, F.floor(at / size).cast("int") * size)
+            cut = F.regexp_extract(F.substr(text, begin + size, F.length(text)), r"^[\p{L}\p{N}]{2,}", 0)
+            return F.struct(begin.alias("from"), F.least(F.length(text), begin + size + F.greatest(F.lit(0), F.length(cut) - 1)).alias("to"))
+
+        return F.when(hit > 0, let(start + hit - 2, placed))
+
+    def further(n: int, found: Column) -> Column:
+        last = F.try_element_at(found, F.lit(-1))
+        return found if n == most else let(F.concat(found, F.array(fragment(last["to"]))), lambda more: further(n + 1, more))
+
+    def tagged(f: Column) -> Column:
+        return F.substr(F.regexp_replace(F.substr(body, f["from"] + 1, f["to"] - f["from"] + 1), pattern, F.lit("<em>$1</em>")), F.lit(2))
+
+    all_of = let(F.array(fragment(F.lit(0))), lambda found: further(1, found))
+    fragments = F.transform(F.filter(all_of, lambda f: f.isNotNull()), tagged)
+    return F.when((F.size(terms) > 0) & (F.size(fragments) > 0), fragments)

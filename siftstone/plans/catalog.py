@@ -125,35 +125,51 @@ def parent_backfill(spark, sf_dir):
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
 
-def _holders(items: DataFrame, docs: DataFrame) -> DataFrame:
+def _holders(items: DataFrame, docs: DataFrame, doc_tokens: DataFrame) -> DataFrame:
     """(item_id, doc_id): all pairs whose document may hold the passage, by its KEY_TERMS rarest terms.
 
-    The first and last term of a passage may be parts of longer ones in the document and don't count; passages without others meet all documents.
+    The first and last term of a passage may be parts of longer ones in the document and don't count. Passages without others meet the documents whose terms
+    hold their longest one: found among the distinct terms by its first three characters. Passages without terms meet the documents with their first character.
     """
     tokens = items.select("item_id", lexical.lexical_tokens(F.col("text")).alias("t"))
     terms = tokens.where("size(t) > 2").select("item_id", F.explode(F.array_distinct(F.expr("slice(t, 2, size(t) - 2)"))).alias("term"))
-    index = materialised(lexical.postings(docs, "doc_id"), "postings").select("term", F.col("chunk_id").alias("doc_id"))
+    index = materialised(lexical.postings_of(doc_tokens).select("term", F.col("chunk_id").alias("doc_id")), "postings")
     df = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rare = Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "term")
     keys = terms.join(df, "term", "left").withColumn("n", F.row_number().over(rare)).where(F.col("n") <= KEY_TERMS)
     keys = keys.select("item_id", "term", F.max("n").over(Window.partitionBy("item_id")).alias("n"))
     near = index.join(keys, "term").groupBy("item_id", "doc_id", "n").agg(F.count_distinct("term").alias("met")).where("met = n")
-    short = tokens.where("size(t) <= 2").select("item_id")
-    return near.select("item_id", "doc_id").unionByName(short.crossJoin(docs.select("doc_id").distinct()))
+    return near.select("item_id", "doc_id").unionByName(_short_holders(items, tokens, docs, index))
 
 
-def _golden(spark, sf_dir) -> DataFrame:
+def _short_holders(items: DataFrame, tokens: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
+    """_holders() of passages of two terms or fewer."""
+    longest = F.element_at(F.array_sort("t", lambda a, b: F.length(a) - F.length(b)), -1)
+    short = tokens.where("size(t) BETWEEN 1 AND 2").select("item_id", longest.alias("part")).withColumn("gram", F.substring("part", 1, 3))
+    size = short.select(F.length("gram").alias("size"), "gram").distinct()
+    # Of the vocabulary, not of the documents: each distinct term once with each of its parts of these sizes.
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("term")))
+    parts = index.select("term").distinct().select("term", F.explode(F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substr("term", i, n)))))).alias("gram"))
+    longer = parts.join(F.broadcast(size.select("gram").distinct()) if size.count() <= lexical.BROADCAST_TERMS else size.select("gram").distinct(), "gram", "left_semi").join(short, "gram").where(F.contains("term", F.col("part")))
+    by_part = longer.select("item_id", "term").join(index, "term").select("item_id", "doc_id").distinct()
+    bare = items.join(tokens.where("size(t) = 0").select("item_id"), "item_id").select("item_id", F.substring("text", 1, 1).alias("sign"))
+    signs = docs.select("doc_id", F.explode(F.array_append(F.array_distinct(F.split(F.regexp_replace("text", r"[\p{L}\p{N}]+", ""), "")), "")).alias("sign"))
+    return by_part.unionByName(signs.join(bare, "sign").select("item_id", "doc_id").distinct())
+
+
+def _golden(spark, sf_dir, tokens: DataFrame) -> DataFrame:
     """Relevant are the documents that hold a passage; passages that none holds are negatives."""
     items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
-    pairs = _holders(items, docs).join(items, "item_id").join(docs.select("doc_id", F.col("text").alias("body")), "doc_id")
+    pairs = _holders(items, docs, tokens).join(items, "item_id").join(docs.select("doc_id", F.col("text").alias("body")), "doc_id")
     held = pairs.where(F.contains("body", F.col("text"))).groupBy("item_id").agg(F.array_sort(F.collect_set("doc_id")).alias("relevant_doc_ids"))
     none = F.array().cast("array<bigint>")
     return items.select("item_id").join(held, "item_id", "left").select(F.col("item_id").alias("id"), F.coalesce("relevant_doc_ids", none).alias("relevant_doc_ids"), F.col("relevant_doc_ids").isNull().alias("expected_empty"))
 
 
 def _items(spark, sf_dir) -> DataFrame:
-    found = _bm25(spark, sf_dir).select(F.col("query_id").alias("id"), "rank", F.col("chunk_id").alias("doc_id"))
-    return evaluate.item_results(_golden(spark, sf_dir), found)
+    tokens = _tokens(spark, sf_dir)
+    found = _bm25(spark, sf_dir, tokens=tokens).select(F.col("query_id").alias("id"), "rank", F.col("chunk_id").alias("doc_id"))
+    return evaluate.item_results(_golden(spark, sf_dir, tokens), found)
 
 
 def eval_items(spark, sf_dir):

@@ -5,6 +5,7 @@ Models are callables on lists of texts, run in Arrow batches; each has a determi
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -97,13 +98,17 @@ def preprocess(queries: DataFrame, rewrite: Callable | None = None, query: str =
 
 
 def retrieve(queries: DataFrame, corpus: Corpus, retrievers: list, models: Models, filters: Filters, top_k: int | None) -> DataFrame:
-    """The pool of all retrievers' lists; top_k overrides theirs. One that fails gives no rows."""
+    """The pool of all retrievers' lists; top_k overrides theirs. One that fails gives no rows, one of an unsupported type is skipped with a warning."""
     asked = queries.select("query_id", F.col("effective").alias("query")).where(F.length("query") > 0)
     allowed = None if filters.is_empty else filters.apply(corpus.chunks).select("chunk_id")
-    lists = []
+    supported = [r for r in retrievers if r.type in ("lexical", "elasticsearch", "dense", "qdrant")]
     for r in retrievers:
-        if r.type not in ("lexical", "elasticsearch", "dense", "qdrant"):
-            raise ValueError(f"retriever {r.id} has the unknown type {r.type!r}")
+        if r not in supported:
+            logging.getLogger(__name__).warning("retriever %s is skipped: its type %r isn't supported", r.id, r.type)
+    if not supported:
+        raise ValueError("no retriever of a supported type is configured")
+    lists = []
+    for r in supported:
         k = top_k or r.top_k
         if r.type in ("lexical", "elasticsearch"):
             found = fusion.isolated(lambda k=k: lexical.bm25_topk(corpus.index, asked, k, allowed=allowed, digits=6))
@@ -120,7 +125,8 @@ def retrieve(queries: DataFrame, corpus: Corpus, retrievers: list, models: Model
                 return dense.cosine_topk(vectors, dense.embed(asked, provider, dimension, "query"), k)
 
             lists.append((r.id, "dense", fusion.isolated(search)))
-    return fusion.pool(lists)
+    none = corpus.chunks.select(F.lit(0).alias("rank"), "chunk_id", F.lit(0.0).alias("score")).limit(0)
+    return fusion.pool(lists, asked.select("query_id").limit(0).join(none, F.lit(True), "left"))
 
 
 def scored(head: DataFrame, queries: DataFrame, chunks: DataFrame, score: Callable | None) -> DataFrame | None:

@@ -44,6 +44,23 @@ def test_highlight(spark):
     assert [r.h for r in df.select(lexical.highlighted(F.col("t"), F.col("q")).alias("h")).collect()] == [["An <em>Apple</em> a <em>day</em>"], None]
 
 
+def test_highlights_at_the_ends_of_fragments(spark):
+    hit, parted, tail = "<em>apple</em>", "x " * 73 + "a apple pie", "b " * 100
+    rows = [
+        (parted + " rest", ["apple"], [f"{'x ' * 73}a {hit}"]),  # a hit over the end of the first 150 characters
+        ("x" * 147 + "apple " + tail + "apple", ["apple"], None),
+        ("apple " * 200, ["apple"], None),
+        (None, ["apple"], []),
+        ("apple", [], []),
+    ]
+    df = spark.createDataFrame([(n, t, q) for n, (t, q, _) in enumerate(rows)], "n int, t string, q array<string>")
+    got = {r.n: r.h for r in df.select("n", lexical.highlighted(F.col("t"), F.col("q")).alias("h")).collect()}
+    assert got[0] == rows[0][2] and got[3] is None and got[4] is None
+    # The first letters of a fragment may be the end of a word, which is no hit.
+    assert len(got[1]) == 1 and got[1][0].endswith("b " + hit) and got[1][0].count("<em>") == 1
+    assert len(got[2]) == 3 and all(f.replace("<em>", "").replace("</em>", "") == "apple " * 25 for f in got[2])
+
+
 def test_dense_ties_and_bad_vectors(spark):
     v = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("n", None), ("z", [0.0, 0.0]), ("w", [1.0, 0.0, 0.0]), ("h", [1.0, None])], "chunk_id string, vector array<double>")
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id int, vector array<double>")
@@ -66,8 +83,89 @@ def test_pool_keeps_order_and_isolates_failures(spark):
     a, b = hits(spark, (1, 1, "x", 3.0)), hits(spark, (1, 1, "y", 0.9))
     pooled = fusion.pool([("one", "lexical", a), ("two", "dense", fusion.isolated(fails)), ("three", "dense", b)])
     assert [(r.retriever_id, r.n) for r in fusion.candidate_counts(pooled, ["one", "two", "three"]).orderBy("retriever_id").collect()] == [("one", 1), ("three", 1), ("two", 0)]
+    empty = fusion.pool([("two", "dense", None)], a)
+    assert empty.count() == 0 and fusion.candidate_counts(empty, ["two"]).first().n == 0 and fusion.fuse(fusion.pool([("two", "dense", None)])).count() == 0
     with pytest.raises(ValueError):
-        fusion.pool([("two", "dense", None)])
+        fusion.pool([])
+
+
+def test_answers_where_all_retrievers_fail(spark, corpus):
+    lost = [Retriever("d", "dense", vector_name="none"), Retriever("e", "dense", vector_name="v")]
+    rows = query.run(asked(spark, "apple"), corpus, lost).collect()
+    assert [(r.answer, r.grounded, r.citations) for r in rows] == [(query.NO_ANSWER, False, None)]
+
+
+def test_unsupported_retrievers_are_skipped(spark, corpus, caplog):
+    some = [Retriever("odd", "graph"), Retriever("lex", "lexical")]
+    found = query.search(query.preprocess(asked(spark, "apple")), corpus, some)
+    assert found.count() > 0 and {i for r in found.collect() for i in r.source_retriever_ids} == {"lex"} and "odd" in caplog.text
+    with pytest.raises(ValueError, match="supported"):
+        query.search(query.preprocess(asked(spark, "apple")), corpus, some[:1])
+
+
+def test_the_last_dense_score_decides_ties_of_rounds(spark):
+    kind = "query_id int, pos int, chunk_id string, rerank_score double, rrf_score double, dense_scores map<string,double>"
+    one = spark.createDataFrame([(1, 1, "a", None, 0.5, {"x": 0.9, "y": 0.1}), (1, 2, "b", None, 0.5, {"x": 0.2, "y": 0.8}), (1, 3, "c", None, 0.5, {})], kind)
+    merged = fusion.merge_rounds(one, one.limit(0)).orderBy("pos").collect()
+    assert [r.chunk_id for r in merged] == ["b", "a", "c"]
+
+
+def test_pruned_search_equals_scoring_everything(spark):
+    """Queries of common and rare terms over documents of a few words, against sums over all postings."""
+    import math
+    import random
+
+    rng = random.Random(8)
+    vocabulary = ["common"] + [f"w{n}" for n in range(40)]
+    texts = [" ".join(["common"] + rng.choices(vocabulary, weights=[3] + [1 / (n + 1) for n in range(40)], k=rng.randint(1, 12))) for _ in range(600)]
+    titles = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 3))) for _ in texts]
+    chunks = spark.createDataFrame([(f"c{n:03d}", a, b) for n, (a, b) in enumerate(zip(texts, titles))], "chunk_id string, text string, title string")
+    queries = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 6))) + " common" for _ in range(40)] + ["common", "nowhere", "", "w39"]
+    want = {}
+    stats = {}
+    for f, values, boost in (("text", texts, 1.0), ("title", titles, 3.0)):
+        split = [v.split() for v in values]
+        there = [s for s in split if s]
+        stats[f] = (split, len(there), sum(map(len, there)) / len(there), boost)
+    for q, text in enumerate(queries):
+        best = {}
+        for split, n, avg, boost in stats.values():
+            for term in set(text.split()):
+                df = sum(term in s for s in split)
+                for i, s in enumerate(split):
+                    if (tf := s.count(term)):
+                        best.setdefault((i, boost), 0.0)
+                        best[i, boost] += boost * math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len(s) / avg))
+        score = {}
+        for (i, _), s in best.items():
+            score[i] = max(score.get(i, 0), s)
+        want[q] = [(f"c{i:03d}", pytest.approx(s, abs=2e-6)) for i, s in sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0]))[:7]]
+    for index in (lexical.postings(chunks, fields={"text": "text", "title": "title"}), None):
+        if index is None:
+            found = lexical.search(lexical.tokenised(chunks, fields={"text": "text", "title": "title"}), asked(spark, *queries), 7, digits=6)
+        else:
+            found = lexical.bm25_topk(index, asked(spark, *queries), 7, digits=6)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+        assert {q: v for q, v in want.items() if v} == got
+
+
+def test_pruning_opens_few_blocks(spark):
+    """A term that all documents and queries hold adds no candidates: rows grow with the queries, not with queries times documents."""
+    from siftstone.operators import maxscore
+
+    chunks = spark.range(20_000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("all of them hold own"), "id").alias("text"))
+    queries = spark.range(200).select(F.col("id").alias("query_id"), F.concat(F.lit("all hold own"), "id").alias("query"))
+    seen = []
+    kept = maxscore.materialised
+    try:
+        maxscore.materialised = lambda df, name: (seen.append((name, kept(df, name))), seen[-1][1])[1]
+        found = lexical.search(lexical.tokenised(chunks), queries, 1)
+    finally:
+        maxscore.materialised = kept
+    assert found.where("chunk_id = query_id").count() == 200
+    assert dict(seen)["candidates"].count() < 5_000 < 200 * 20_000
 
 
 def test_fusion_sums_and_merges(spark):
@@ -147,7 +245,7 @@ def test_second_round(spark, corpus):
 
 
 def test_unknown_retrievers_are_errors(spark, corpus):
-    with pytest.raises(ValueError, match="unknown type"):
+    with pytest.raises(ValueError, match="no retriever of a supported type"):
         query.run(asked(spark, "pie"), corpus, [Retriever("odd", "magic")])
 
 
