@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
 from siftstone.functions import values as V
-from siftstone.operators import bookkeeping, chunking, dense, fusion, lexical, replies
+from siftstone.operators import ann, bookkeeping, chunking, dense, fusion, lexical, replies
 from siftstone.operators.lexical import Filters
 from siftstone.plans import evaluate
-from siftstone.sources.tables import FAILURES, delete_where, materialised, upsert
+from siftstone.sources.tables import FAILURES, delete_where, materialised, shared_folder, upsert
 from siftstone.streaming.jobs import event_windows
 
 
@@ -69,6 +70,24 @@ def dense_cosine_topk(spark, sf_dir):
     return dense.cosine_topk(v, _asked(v), 10).select("query_id", "rank", F.col("chunk_id").alias("vec_id"), "score")
 
 
+def _ann(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(the approximate ten best, the exact ten best) of the stated queries."""
+    v = _vectors(spark, sf_dir).select("chunk_id", "vector")
+    index = ann.build(v, f"{shared_folder(spark)}/ann-{uuid.uuid4().hex}", ann.fit(v))
+    return ann.search(index, _asked(v), 10), dense.cosine_topk(v, _asked(v), 10)
+
+
+def ann_topk(spark, sf_dir):
+    """The ten most similar vectors by the index of inverted lists."""
+    return _ann(spark, sf_dir)[0].select("query_id", "rank", F.col("chunk_id").alias("vec_id"), "score")
+
+
+def ann_recall(spark, sf_dir):
+    """Of the exact ten best of all queries, how many there are, and whether the index finds nine tenths of them."""
+    found, exact = _ann(spark, sf_dir)
+    return ann.recall(found, exact).agg(F.count("*").alias("queries"), F.sum("wanted").alias("wanted"), (F.sum("found") >= 0.9 * F.sum("wanted")).alias("recall_reached"))
+
+
 def _two_models(spark, sf_dir, k=50) -> DataFrame:
     """Two 32-component halves of the vectors stand for two models."""
     lists = []
@@ -425,7 +444,7 @@ def highlights(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    hybrid_bm25_topk, bm25_filtered, term_statistics, field_statistics, dense_cosine_topk, weighted_rrf, plain_rrf, candidate_counts, rerank_min_score, context_blocks, parent_backfill,
+    hybrid_bm25_topk, bm25_filtered, term_statistics, field_statistics, dense_cosine_topk, ann_topk, ann_recall, weighted_rrf, plain_rrf, candidate_counts, rerank_min_score, context_blocks, parent_backfill,
     eval_items, eval_report, regression_gate, clean_documents, clean_log, strip_html, query_normalisation, token_budget, identities, versions_text, unit_vectors, structure_nodes, structural_chunks,
     upsert_orders, reconcile_counts, reconcile_drift, retry_outcomes, indexed_by_document, failure_modes, pending_documents, latest_reviews, audit_prompts, ungroupable_chunks, date_filter, daily_events, deletion_counts,
     audit_verdicts, self_evaluations, enhancement_replies, rerank_by_index, round_merge, bm25_multi_field, highlights,
@@ -517,6 +536,7 @@ ORACLE_SQL = {
     "term_statistics": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY term",
     "field_statistics": f"SELECT 'text' AS field, count(*) AS n_docs, round(avg(n), 6) AS avgdl FROM (SELECT len({_WORDS}) AS n FROM documents) WHERE n > 0",
     "dense_cosine_topk": f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, {_COS.format(a='q.e', b='c.e')} AS score FROM v q, v c WHERE q.vec_id % 100 = 0) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10",
+    "ann_recall": "WITH q AS (SELECT count(*) FILTER (vec_id % 100 = 0) AS queries, count(*) AS n FROM embeddings) SELECT queries, (queries * least(n, 10))::BIGINT AS wanted, true AS recall_reached FROM q",
     "weighted_rrf": f"WITH {_POOL}, {_rrf_sql(0.8, 20)} SELECT * FROM t",
     "plain_rrf": f"WITH {_POOL}, {_rrf_sql(1.0, 20)} SELECT * FROM t",
     "candidate_counts": f"WITH {_POOL} SELECT r AS retriever_id, count(*) AS n FROM l GROUP BY r UNION ALL SELECT 'third', 0",

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
-from siftstone.operators import dense, fusion, lexical, replies
+from siftstone.operators import ann, dense, fusion, lexical, replies
 from siftstone.operators.lexical import Filters
 from siftstone.plans.config import Ladder
 from siftstone.sources.tables import materialised
@@ -49,11 +49,12 @@ class Models:
 
 @dataclass(frozen=True)
 class Corpus:
-    """The tables that a query reads: chunks, the postings index, and by vector name (chunk_id, vector)."""
+    """The tables that a query reads: chunks, the postings index, by vector name (chunk_id, vector), and by vector name the index that retrievers of the engine "approximate" ask."""
 
     chunks: DataFrame
     index: DataFrame
     vectors: dict[str, DataFrame] = field(default_factory=dict)
+    approximate: dict[str, ann.AnnIndex] = field(default_factory=dict)
 
 
 def _model(function: Callable, kind: str):
@@ -122,6 +123,9 @@ def retrieve(queries: DataFrame, corpus: Corpus, retrievers: list, models: Model
                 if r.id not in models.embed:
                     raise ValueError(f"retriever {r.id} has no embedding model; there are models for {sorted(models.embed)}")
                 provider, dimension = models.embed[r.id]
+                # The index knows no filters: with filters the search is exact.
+                if r.engine == "approximate" and allowed is None and r.vector_name in corpus.approximate:
+                    return ann.search(corpus.approximate[r.vector_name], dense.embed(asked, provider, dimension, "query"), k)
                 return dense.cosine_topk(vectors, dense.embed(asked, provider, dimension, "query"), k)
 
             lists.append((r.id, "dense", fusion.isolated(search)))
