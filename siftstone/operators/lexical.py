@@ -7,6 +7,7 @@ largest boosted score counts. Filters restrict what is scored but not the statis
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,11 +67,12 @@ class Filters:
         return {k: v for k, v in {**self.__dict__, **self.extra}.items() if v and k != "extra"}
 
 
-def tokenised(chunks: DataFrame, chunk_id: str = "chunk_id", fields: dict[str, Column | str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(field, chunk_id, tokens, and the columns to keep). Fields that are null or without terms give no rows."""
+def tokenised(chunks: DataFrame, chunk_id: str = "chunk_id", fields: dict[str, Column | str] | None = None, keep: tuple[str, ...] = (), tokens: Callable[[Column], Column] = lexical_tokens) -> DataFrame:
+    """(field, chunk_id, tokens, and the columns to keep). Fields that are null or without terms give no rows. tokens cuts a text into its terms."""
     fields = fields or {"text": "text"}
-    both = F.array(*[F.struct(F.lit(name).alias("field"), lexical_tokens(F.col(c) if isinstance(c, str) else c).alias("tokens")) for name, c in fields.items()])
-    return chunks.select(F.col(chunk_id).alias("chunk_id"), *keep, F.explode(both).alias("f")).select("f.field", "chunk_id", "f.tokens", *keep).where(F.size("tokens") > 0)
+    cut = chunks.select(F.col(chunk_id).alias("chunk_id"), *keep, *[tokens(F.col(c) if isinstance(c, str) else c).alias(f"_t{n}") for n, c in enumerate(fields.values())])
+    both = F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"_t{n}").alias("tokens")) for n, name in enumerate(fields)])
+    return cut.select("chunk_id", *keep, F.explode(both).alias("f")).select("f.field", "chunk_id", "f.tokens", *keep).where(F.size("tokens") > 0)
 
 
 def postings_of(tokens: DataFrame, keep: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
@@ -81,9 +83,9 @@ def postings_of(tokens: DataFrame, keep: tuple[str, ...] = (), only: DataFrame |
     return rows.groupBy("field", "chunk_id", *keep, "dl", "term").agg(F.count("*").alias("tf")).select("field", "chunk_id", "term", "tf", "dl", *keep)
 
 
-def postings(chunks: DataFrame, chunk_id: str = "chunk_id", fields: dict[str, Column | str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def postings(chunks: DataFrame, chunk_id: str = "chunk_id", fields: dict[str, Column | str] | None = None, keep: tuple[str, ...] = (), tokens: Callable[[Column], Column] = lexical_tokens) -> DataFrame:
     """postings_of() all terms: an index to keep as a table."""
-    return postings_of(tokenised(chunks, chunk_id, fields, keep), keep)
+    return postings_of(tokenised(chunks, chunk_id, fields, keep, tokens), keep)
 
 
 def field_stats(index: DataFrame) -> DataFrame:
@@ -97,18 +99,18 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
-def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
+def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "query", tokens: Callable[[Column], Column] = lexical_tokens) -> DataFrame:
     """(query_id, term); blank queries give none."""
-    return queries.where(F.length(F.trim(query)) > 0).select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(lexical_tokens(F.col(query)))).alias("term"))
+    return queries.where(F.length(F.trim(query)) > 0).select(F.col(query_id).alias("query_id"), tokens(F.col(query)).alias("terms")).select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
 
 
-def bm25_topk(index: DataFrame, queries: DataFrame, k: int, boosts: dict[str, float] | None = None, allowed: DataFrame | None = None, digits: int | None = None, stats: DataFrame | None = None) -> DataFrame:
+def bm25_topk(index: DataFrame, queries: DataFrame, k: int, boosts: dict[str, float] | None = None, allowed: DataFrame | None = None, digits: int | None = None, stats: DataFrame | None = None, tokens: Callable[[Column], Column] = lexical_tokens) -> DataFrame:
     """(query_id, rank, chunk_id, score) of each query's k best chunks, exact (see maxscore).
 
-    queries: (query_id, query). allowed: the chunk ids that filters left. stats: field_stats(), where they are known. Only postings of query terms reach the
+    queries: (query_id, query). allowed: the chunk ids that filters left. stats: field_stats(), where they are known. tokens cuts the queries. Only postings of query terms reach the
     joins; the term list is broadcast only when counted small. With digits, scores are rounded before ranking.
     """
-    terms = query_terms(queries)
+    terms = materialised(query_terms(queries, tokens=tokens), "query-terms")
     asked = terms.select("term").distinct()
     wanted = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
     hits = index.join(wanted, "term", "left_semi")
@@ -121,10 +123,10 @@ def bm25_topk(index: DataFrame, queries: DataFrame, k: int, boosts: dict[str, fl
     return ranked(maxscore.topk(materialised(weighed, "impacts"), terms, k, digits), k)
 
 
-def search(tokens: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
+def search(text: DataFrame, queries: DataFrame, k: int, tokens: Callable[[Column], Column] = lexical_tokens, **options) -> DataFrame:
     """bm25_topk() over tokenised() text that has no index: only the postings of the queries' terms are made."""
-    asked = query_terms(queries).select("term").distinct()
-    return bm25_topk(postings_of(tokens, only=asked), queries, k, stats=field_stats(tokens), **options)
+    asked = query_terms(queries, tokens=tokens).select("term").distinct()
+    return bm25_topk(postings_of(text, only=asked), queries, k, stats=field_stats(text), tokens=tokens, **options)
 
 
 def _boost(boosts: dict[str, float]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
 from siftstone.functions import values as V
-from siftstone.operators import ann, bookkeeping, chunking, dense, fusion, lexical, replies
+from siftstone.operators import ann, bookkeeping, chunking, dense, fusion, lexical, replies, segment
 from siftstone.operators.lexical import Filters
 from siftstone.plans import evaluate
 from siftstone.sources.tables import FAILURES, delete_where, materialised, shared_folder, upsert
@@ -443,11 +443,37 @@ def highlights(spark, sf_dir):
     return found.select("query_id", F.col("chunk_id").alias("p_partkey"), F.array_join("highlight", "|").alias("highlight"))
 
 
+# --- text without spaces -------------------------------------------------------------------------------------------
+
+_LONGEST = 8
+
+
+def _unspaced(spark, sf_dir) -> DataFrame:
+    """Names and types of parts without the spaces."""
+    return _t(spark, sf_dir, "part").select("p_partkey", F.lower(F.regexp_replace(F.concat("p_name", "p_type"), " ", "")).alias("text"))
+
+
+def discovered_words(spark, sf_dir):
+    """Words of the parts' names and types, found in them without their spaces."""
+    counts = materialised(segment.grams(_unspaced(spark, sf_dir), _LONGEST + 1, run="[a-z]"), "grams")
+    found = segment.discover(counts, _LONGEST, least=5, cohesion=1.0, entropy=0.5)
+    return found.select("word", "n", F.round("cohesion", 6).alias("cohesion"), F.round("freedom", 6).alias("freedom"))
+
+
+def segmented_parts(spark, sf_dir):
+    """The same text cut by a dictionary of its words: the coarse path, and the number of fine terms."""
+    spaced = _t(spark, sf_dir, "part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("word"))
+    words = segment.Dictionary.of(spaced.groupBy("word").agg(F.count("*").alias("n")))
+    coarse, fine = (segment.tokens(words, grain, "[a-z]") for grain in ("coarse", "fine"))
+    cut = _unspaced(spark, sf_dir).select("p_partkey", coarse(F.col("text")).alias("coarse"), fine(F.col("text")).alias("fine"))
+    return cut.select("p_partkey", F.array_join("coarse", " ").alias("coarse"), F.size("fine").alias("n_fine"))
+
+
 QUERIES = {f.__name__: f for f in (
     hybrid_bm25_topk, bm25_filtered, term_statistics, field_statistics, dense_cosine_topk, ann_topk, ann_recall, weighted_rrf, plain_rrf, candidate_counts, rerank_min_score, context_blocks, parent_backfill,
     eval_items, eval_report, regression_gate, clean_documents, clean_log, strip_html, query_normalisation, token_budget, identities, versions_text, unit_vectors, structure_nodes, structural_chunks,
     upsert_orders, reconcile_counts, reconcile_drift, retry_outcomes, indexed_by_document, failure_modes, pending_documents, latest_reviews, audit_prompts, ungroupable_chunks, date_filter, daily_events, deletion_counts,
-    audit_verdicts, self_evaluations, enhancement_replies, rerank_by_index, round_merge, bm25_multi_field, highlights,
+    audit_verdicts, self_evaluations, enhancement_replies, rerank_by_index, round_merge, bm25_multi_field, highlights, discovered_words, segmented_parts,
 )}
 
 
@@ -570,6 +596,8 @@ ORACLE_SQL = {
     "enhancement_replies": f"WITH {_reply_sql(_ENHANCED_REPLY, True)}, k AS (SELECT *, o AND coalesce(json_type(j->'summary') IN ('VARCHAR', 'ARRAY') AND json_type(j->'keywords') = 'ARRAY', false) AS k FROM j) SELECT c_custkey, k AS fine, CASE WHEN k THEN trim(CASE WHEN json_type(j->'summary') = 'ARRAY' THEN array_to_string((j->'summary')::VARCHAR[], ' ') ELSE j->>'summary' END) END AS summary, CASE WHEN k THEN array_to_string((j->'keywords')::VARCHAR[], '|') END AS keywords FROM k",
     "rerank_by_index": f"WITH {_POOL}, {_rrf_sql(1.0, 20)}, hd AS (SELECT *, query_id // 100 % 3 AS m, round(rrf * ((pos * 7) % 11), 9) AS z FROM t WHERE pos <= 10) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN m <> 1 THEN z END DESC NULLS LAST, pos)::INT AS pos, vec_id, m <> 1 AS reranked, CASE WHEN m <> 1 THEN z END AS rerank_score FROM hd WHERE m <> 2 OR pos <= 7",
     "round_merge": f"WITH {_POOL}, one AS (SELECT query_id, vec_id, CASE r WHEN 'first' THEN 1 ELSE 2 END AS round, rank AS pos, round(1.0::DOUBLE / (60 + rank), 9) AS rrf, s FROM l WHERE rank <= 30), m AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY query_id, vec_id ORDER BY round) = 1) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, s DESC, round, pos)::INT AS pos, vec_id, rrf AS rrf_score, (SELECT count(*) FROM l)::BIGINT AS candidates FROM m",
+    "discovered_words": f"WITH r AS (SELECT lower(replace(p_name || p_type, ' ', '')) AS s FROM part), g AS (SELECT gram, count(*) AS n FROM (SELECT s[i:i + k - 1] AS gram FROM r, range(1, {_LONGEST + 2}) a(k), range(1, 100) b(i) WHERE i + k - 1 <= length(s)) GROUP BY gram), t AS (SELECT sum(n) AS total FROM g WHERE length(gram) = 1), w AS (SELECT gram AS word, n FROM g WHERE length(gram) BETWEEN 2 AND {_LONGEST} AND n >= 5), c AS (SELECT word, w.n, min(ln(w.n * total / a.n / b.n)) AS cohesion FROM w, range(1, {_LONGEST}) k(k), g a, g b, t WHERE k < length(word) AND a.gram = left(word, k) AND b.gram = substr(word, k + 1) GROUP BY word, w.n), f AS (SELECT word, c.n, cohesion, ln(c.n) - coalesce((SELECT sum(g.n * ln(g.n)) FROM g WHERE length(gram) >= 3 AND left(gram, length(gram) - 1) = word), 0) / c.n AS x, ln(c.n) - coalesce((SELECT sum(g.n * ln(g.n)) FROM g WHERE length(gram) >= 3 AND substr(gram, 2) = word), 0) / c.n AS y FROM c WHERE cohesion >= 1.0) SELECT word, n, round(cohesion, 6) AS cohesion, round(least(x, y), 6) AS freedom FROM f WHERE least(x, y) >= 0.5",
+    "segmented_parts": "WITH d AS (SELECT DISTINCT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part), p AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS coarse, lower(replace(p_name || p_type, ' ', '')) AS s FROM part) SELECT p_partkey, coarse, sum(len(list_filter(range(1, length(s) + 1), lambda i: s[i:i + length(w) - 1] = w)))::INT AS n_fine FROM p, d GROUP BY ALL",
     "bm25_multi_field": f"WITH {_PART_TOP} SELECT * FROM top",
     "highlights": f"WITH {_PART_TOP}, h AS (SELECT query_id, t.p_partkey, p.p_name, list_intersect(regexp_extract_all(lower(p.p_name), '[a-z0-9]+'), regexp_extract_all(lower(o.p_name), '[a-z0-9]+')) AS w FROM top t JOIN part p USING (p_partkey) JOIN part o ON o.p_partkey = query_id) SELECT query_id, p_partkey, CASE WHEN len(w) > 0 THEN regexp_replace(p_name, '(?i)\\b(' || array_to_string(w, '|') || ')\\b', '<em>\\1</em>', 'g') END AS highlight FROM h",
     "deletion_counts": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS deleted, count(*) FILTER (o_orderstatus <> 'F') AS kept FROM orders GROUP BY 1",

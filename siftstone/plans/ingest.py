@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
 from siftstone.functions import values as V
-from siftstone.operators import bookkeeping, chunking, dense, lexical, replies
+from siftstone.operators import bookkeeping, chunking, dense, lexical, replies, segment
 from siftstone.operators.chunking import Budget
 from siftstone.plans.query import Corpus
 from siftstone.sources.tables import FAILURES, ORIGINALS, QUARANTINE, REVIEWS, Change, Store, Warehouse, delete_where, materialised, upsert
@@ -91,7 +91,7 @@ class Engine:
     thousands at scale. Every job changes its tables together, by one new version of the warehouse (sources.tables): readers keep the version that they
     began with, and a job that fails leaves none. A document that a stage fails on goes to the quarantine table with its reason, and the
     others of its batch go on. With a token provider (see chunking.late_chunk_vectors) the vectors of `late` come from the chunks' groups.
-    metadata_keys become columns of the lexical and vector rows.
+    metadata_keys become columns of the lexical and vector rows. With a dictionary, text without spaces is indexed in its fine and queried in its coarse grain.
     """
 
     spark: SparkSession
@@ -104,6 +104,7 @@ class Engine:
     buckets: int = 16
     metadata_keys: tuple[str, ...] = ("title", "source", "author", "category", "created_time")
     late: dict[str, tuple[Callable, int, str, int]] = field(default_factory=dict)
+    dictionary: segment.Dictionary | None = None
 
     @property
     def warehouse(self) -> Warehouse:
@@ -134,7 +135,10 @@ class Engine:
         """Postings of all searched fields, of the touched buckets or of all."""
         rows = change.read("lexical", buckets=touched)
         fields = {c: c for c in lexical.BOOSTS if c in rows.columns}
-        change.put("postings", lexical.postings(rows, fields=fields, keep=("bucket",)), "bucket", touched if "postings" in change.tables else None)
+        change.put("postings", lexical.postings(rows, fields=fields, keep=("bucket",), tokens=self._tokens("fine")), "bucket", touched if "postings" in change.tables else None)
+
+    def _tokens(self, grain: str) -> Callable:
+        return segment.tokens(self.dictionary, grain) if self.dictionary else T.lexical_tokens
 
     def _record(self, change: Change, failures: DataFrame) -> None:
         """Failure records of chunks (chunk_id, doc_id, failure_mode, error_msg), in their documents' buckets."""
@@ -265,7 +269,7 @@ class Engine:
         version = self.warehouse.live() if version is None else version
         vectors = self.table("vectors", version)
         named = {n: vectors.select("chunk_id", F.element_at("named_vectors", F.lit(n)).alias("vector")).where("vector IS NOT NULL") for n in (*self.providers, *self.late)}
-        return Corpus(self.table("lexical", version), self.table("postings", version), named)
+        return Corpus(self.table("lexical", version), self.table("postings", version), named, query_tokens=self._tokens("coarse"))
 
     def rebuild(self, progress: Callable[[dict], None] | None = None, batches: int = 1, keep: int = 1) -> dict:
         """Chunks and indexes all originals anew, and commits only if no row failed; the old version stays until then.

@@ -55,6 +55,8 @@ class Corpus:
     index: DataFrame
     vectors: dict[str, DataFrame] = field(default_factory=dict)
     approximate: dict[str, ann.AnnIndex] = field(default_factory=dict)
+    #: What cuts queries into terms as the postings were cut, or more coarsely.
+    query_tokens: Callable = T.lexical_tokens
 
 
 def _model(function: Callable, kind: str):
@@ -112,7 +114,7 @@ def retrieve(queries: DataFrame, corpus: Corpus, retrievers: list, models: Model
     for r in supported:
         k = top_k or r.top_k
         if r.type in ("lexical", "elasticsearch"):
-            found = fusion.isolated(lambda k=k: lexical.bm25_topk(corpus.index, asked, k, allowed=allowed, digits=6))
+            found = fusion.isolated(lambda k=k: lexical.bm25_topk(corpus.index, asked, k, allowed=allowed, digits=6, tokens=corpus.query_tokens))
             lists.append((r.id, "lexical", found))
         else:
 
