@@ -70,6 +70,36 @@ def index_result(chunks: DataFrame, failed: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count_if(~F.col("_bad")).alias("indexed"), F.count_if("_bad").alias("failed"), F.array_sort(F.collect_list(F.when(F.col("_bad"), F.col("chunk_id")))).alias("failed_ids"))
 
 
+# --- digests -------------------------------------------------------------------------------------------------------
+
+#: Parts of a bucket that have a digest of their own.
+SUB_BUCKETS = 64
+
+
+def _sub() -> Column:
+    return F.pmod(F.xxhash64("chunk_id", F.lit(3)), F.lit(SUB_BUCKETS)).cast("int")
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """(bucket, sub, n, total, crossed): what tells the sets of chunk ids of rows (bucket, chunk_id) apart, summed in each task; the order of rows doesn't count."""
+    total = F.sum(F.xxhash64("chunk_id").cast("decimal(38, 0)")).alias("total")
+    return rows.groupBy("bucket", _sub().alias("sub")).agg(F.count("*").alias("n"), total, F.bit_xor(F.xxhash64("chunk_id", F.lit(4))).alias("crossed"))
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(bucket, sub, same, n): the sub-buckets of two tables' digests, whether they agree, and the rows of those that do."""
+    keys, told = ["bucket", "sub"], ("n", "total", "crossed")
+    other = b.select(*keys, *[F.col(c).alias(f"_{c}") for c in told])
+    both = a.join(other, keys, "full_outer")
+    same = F.col("n").eqNullSafe(F.col("_n")) & F.col("total").eqNullSafe(F.col("_total")) & F.col("crossed").eqNullSafe(F.col("_crossed"))
+    return both.select(*keys, same.alias("same"), "n")
+
+
+def of_differing(rows: DataFrame, apart: DataFrame) -> DataFrame:
+    """Those of rows (bucket, chunk_id, ..) that lie in sub-buckets of apart (bucket, sub), of which there are as many as buckets times SUB_BUCKETS at most."""
+    return rows.withColumn("sub", _sub()).join(apart.select("bucket", "sub"), ["bucket", "sub"], "left_semi").drop("sub")
+
+
 # --- failure records -----------------------------------------------------------------------------------------------
 
 

@@ -75,7 +75,8 @@ def embed(df: DataFrame, provider, dimension: int, text: str = "context_text", o
         for s in batches:
             yield pd.Series(_vectors(provider, [t or "" for t in s], dimension))
 
-    return df.withColumn(out, run(F.col(text)))
+    # A model is called once a text: a filter on what it gives mustn't be moved before it with a call of its own.
+    return df.withColumn(out, run.asNondeterministic()(F.col(text)))
 
 
 def _vectors(provider, texts: list[str], dimension: int) -> list:
@@ -113,7 +114,7 @@ def embed_each(df: DataFrame, provider, dimension: int, text: str = "context_tex
             found = each([t or "" for t in s], streak) if len(s) else []
             yield pd.DataFrame({"vector": pd.Series([v for v, _ in found], dtype="object"), "error": pd.Series([e for _, e in found], dtype="object")})
 
-    return df.withColumn("_e", run(F.col(text))).withColumn(out, F.col("_e.vector")).withColumn(error, F.col("_e.error")).drop("_e")
+    return df.withColumn("_e", run.asNondeterministic()(F.col(text))).withColumn(out, F.col("_e.vector")).withColumn(error, F.col("_e.error")).drop("_e")
 
 
 def hashing_provider(dimension: int):

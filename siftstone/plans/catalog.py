@@ -12,7 +12,7 @@ from siftstone.functions import text as T
 from siftstone.functions import values as V
 from siftstone.operators import ann, bookkeeping, chunking, dense, fusion, lexical, replies, segment
 from siftstone.operators.lexical import Filters
-from siftstone.plans import evaluate
+from siftstone.plans import evaluate, ingest
 from siftstone.sources.tables import FAILURES, delete_where, materialised, shared_folder, upsert
 from siftstone.streaming.jobs import event_windows
 
@@ -301,6 +301,36 @@ def reconcile_drift(spark, sf_dir):
     return bookkeeping.reconcile(*_sides(spark, sf_dir), _waiting(spark, sf_dir))[1]
 
 
+def digest_drift(spark, sf_dir):
+    """reconcile_drift, but digests of both sides' buckets say which rows have to be compared at all."""
+    bucketed = lambda df: materialised(df.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(64)).cast("int")), "side")
+    a, b = map(bucketed, _sides(spark, sf_dir))
+    apart = materialised(bookkeeping.differing(bookkeeping.digests(a), bookkeeping.digests(b)).where("NOT same"), "apart")
+    return bookkeeping.reconcile(bookkeeping.of_differing(a, apart), bookkeeping.of_differing(b, apart), _waiting(spark, sf_dir))[1]
+
+
+def quarantine_outcomes(spark, sf_dir):
+    """Documents by source as an ingestion leaves them, where the model refuses texts with an access identifier: what is indexed, and what is set aside and why."""
+    docs = _t(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("raw_text"))
+    made = dense.embed_each(docs.where(~ingest.invalid(docs)), _refusing(8), 8, text="raw_text")
+    chunks = materialised(made.select("doc_id", F.col("doc_id").alias("chunk_id"), F.lit(1).alias("hierarchy_level"), F.lit(0).alias("position"), "error"), "embedded")
+    bad = ingest.isolated_failures(docs, chunks)
+    joined = docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left")
+    return joined.groupBy("source", "stage", "error_msg").agg(F.count("*").alias("n"))
+
+
+def _refusing(dimension: int):
+    """A model that fails on any batch with an access identifier."""
+    plain = dense.hashing_provider(dimension)
+
+    def provider(texts: list[str]) -> list[list[float]]:
+        if any("AKIA" in t for t in texts):
+            raise ValueError("refused")
+        return plain(texts)
+
+    return provider
+
+
 def retry_outcomes(spark, sf_dir):
     _, b = _sides(spark, sf_dir)
     drift = materialised(reconcile_drift(spark, sf_dir), "drift")
@@ -472,7 +502,7 @@ def segmented_parts(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     hybrid_bm25_topk, bm25_filtered, term_statistics, field_statistics, dense_cosine_topk, ann_topk, ann_recall, weighted_rrf, plain_rrf, candidate_counts, rerank_min_score, context_blocks, parent_backfill,
     eval_items, eval_report, regression_gate, clean_documents, clean_log, strip_html, query_normalisation, token_budget, identities, versions_text, unit_vectors, structure_nodes, structural_chunks,
-    upsert_orders, reconcile_counts, reconcile_drift, retry_outcomes, indexed_by_document, failure_modes, pending_documents, latest_reviews, audit_prompts, ungroupable_chunks, date_filter, daily_events, deletion_counts,
+    upsert_orders, reconcile_counts, reconcile_drift, digest_drift, quarantine_outcomes, retry_outcomes, indexed_by_document, failure_modes, pending_documents, latest_reviews, audit_prompts, ungroupable_chunks, date_filter, daily_events, deletion_counts,
     audit_verdicts, self_evaluations, enhancement_replies, rerank_by_index, round_merge, bm25_multi_field, highlights, discovered_words, segmented_parts,
 )}
 
@@ -600,5 +630,7 @@ ORACLE_SQL = {
     "segmented_parts": "WITH d AS (SELECT DISTINCT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part), p AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS coarse, lower(replace(p_name || p_type, ' ', '')) AS s FROM part) SELECT p_partkey, coarse, sum(len(list_filter(range(1, length(s) + 1), lambda i: s[i:i + length(w) - 1] = w)))::INT AS n_fine FROM p, d GROUP BY ALL",
     "bm25_multi_field": f"WITH {_PART_TOP} SELECT * FROM top",
     "highlights": f"WITH {_PART_TOP}, h AS (SELECT query_id, t.p_partkey, p.p_name, list_intersect(regexp_extract_all(lower(p.p_name), '[a-z0-9]+'), regexp_extract_all(lower(o.p_name), '[a-z0-9]+')) AS w FROM top t JOIN part p USING (p_partkey) JOIN part o ON o.p_partkey = query_id) SELECT query_id, p_partkey, CASE WHEN len(w) > 0 THEN regexp_replace(p_name, '(?i)\\b(' || array_to_string(w, '|') || ')\\b', '<em>\\1</em>', 'g') END AS highlight FROM h",
+    "quarantine_outcomes": "SELECT source, CASE WHEN text IS NULL OR doc_id IS NULL THEN 'validate' WHEN contains(text, 'AKIA') THEN 'embed' END AS stage, CASE WHEN text IS NULL OR doc_id IS NULL THEN 'no id or no text' WHEN contains(text, 'AKIA') THEN 'refused' END AS error_msg, count(*) AS n FROM documents GROUP BY ALL",
     "deletion_counts": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS deleted, count(*) FILTER (o_orderstatus <> 'F') AS kept FROM orders GROUP BY 1",
 }
+ORACLE_SQL["digest_drift"] = ORACLE_SQL["reconcile_drift"]

@@ -105,6 +105,8 @@ class Engine:
     metadata_keys: tuple[str, ...] = ("title", "source", "author", "category", "created_time")
     late: dict[str, tuple[Callable, int, str, int]] = field(default_factory=dict)
     dictionary: segment.Dictionary | None = None
+    #: Buckets that the last reconcile() read.
+    scanned: int | None = None
 
     @property
     def warehouse(self) -> Warehouse:
@@ -130,6 +132,27 @@ class Engine:
         current = change.read(name, new.schema, touched)
         current = current if gone is None else current.join(gone, gone.columns, "left_anti")
         change.put(name, upsert(current, new, keys), "bucket", touched)
+        self._digest(change, name, touched)
+
+    def _digest(self, change: Change, name: str, touched: list[int] | None) -> None:
+        """Digests of the touched buckets of a table that reconcile() compares, each with the folder that it is of."""
+        if name in ("lexical", "vectors"):
+            change.put(f"{name}_digests", self._digests_of(change, name, touched), "bucket", touched if f"{name}_digests" in change.tables else None)
+
+    def _digests_of(self, change: Change, name: str, buckets: list[int] | None) -> DataFrame:
+        folders = [(int(b), f) for b, f in change.tables[name]["parts"].items() if b and (buckets is None or int(b) in buckets)]
+        of = self.spark.createDataFrame(folders, "bucket int, part string")
+        return bookkeeping.digests(change.read(name, buckets=buckets).select("bucket", "chunk_id")).join(F.broadcast(of), "bucket")
+
+    def _known_digests(self, change: Change, name: str) -> DataFrame:
+        """The digests of a table's live folders; where a folder has none, as after a write that went round the engine, they are made now."""
+        now = self.spark.createDataFrame([(int(b), f) for b, f in change.tables[name]["parts"].items() if b], "bucket int, part string")
+        kept = f"{name}_digests"
+        if kept not in change.tables:
+            return self._digests_of(change, name, None)
+        there = change.read(kept).join(F.broadcast(now), ["bucket", "part"], "left_semi")
+        lacking = [r[0] for r in now.join(there.select("bucket", "part").distinct(), ["bucket", "part"], "left_anti").select("bucket").collect()]  # as many as buckets at most
+        return there.unionByName(self._digests_of(change, name, lacking)) if lacking else there
 
     def _index(self, change: Change, touched: list[int] | None = None) -> None:
         """Postings of all searched fields, of the touched buckets or of all."""
@@ -236,6 +259,7 @@ class Engine:
                 counts[name] = current.join(gone, gone.columns, "left_semi").count()
                 if counts[name]:
                     change.put(name, current.join(gone, gone.columns, "left_anti"), "bucket", touched)
+                    self._digest(change, name, touched)
         if counts.get("lexical"):
             self._index(change, touched)
         if any(counts.values()):
@@ -282,7 +306,7 @@ class Engine:
         counts = {"documents": 0, "indexed_documents": 0, "chunks": 0, "split_chunks": 0, "failed": 0}
         try:
             tell({"phase": "provision", **counts})
-            for name in ("lexical", "vectors", "postings", "quarantine"):
+            for name in ("lexical", "vectors", "postings", "quarantine", "lexical_digests", "vectors_digests"):
                 change.tables = {n: t for n, t in change.tables.items() if n != name}
             groups = [list(range(n, self.buckets, batches)) for n in range(min(batches, self.buckets))]
             for touched in groups:
@@ -318,11 +342,19 @@ class Engine:
 
     def _put_new(self, change: Change, name: str, rows: DataFrame, touched: list[int]) -> None:
         change.put(name, self._bucketed(rows), "bucket", touched)
+        self._digest(change, name, touched)
 
     def reconcile(self) -> dict:
+        """Records chunks that only one of the two tables has. Digests are compared first: only buckets that differ are read, and of these only the sub-buckets that do."""
         change = self.warehouse.change()
-        counters, drift = bookkeeping.reconcile(change.read("lexical"), change.read("vectors"), change.read("failures", FAILURES))
+        told = materialised(bookkeeping.differing(*(self._known_digests(change, n) for n in ("lexical", "vectors"))), "differing")
+        apart = told.where("NOT same")
+        buckets = sorted(r[0] for r in apart.select("bucket").distinct().collect())  # as many as buckets at most
+        sides = (bookkeeping.of_differing(change.read(n, buckets=buckets), F.broadcast(apart)) for n in ("lexical", "vectors"))
+        counters, drift = bookkeeping.reconcile(*sides, change.read("failures", FAILURES))
         out = counters.first().asDict()
+        out["in_sync"] += told.where("same").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        self.scanned = len(buckets)
         if out["newly_recorded"]:
             self._record(change, materialised(drift, "drift"))
             change.commit()
@@ -332,7 +364,20 @@ class Engine:
         change = self.warehouse.change()
         records = change.read("failures", FAILURES)
         restored, outcome = bookkeeping.retry(records.drop("bucket"), change.read("vectors"), limit, max_attempts)
-        outcome, restored = materialised(outcome.join(records.select("id", "doc_id"), "id"), "outcome"), materialised(restored, "restored")
+        return self._settle(change, materialised(restored, "restored"), materialised(outcome.join(records.select("id", "doc_id"), "id"), "outcome"))
+
+    def settle(self, outcomes: DataFrame) -> dict:
+        """What a retry queue (streaming.retries) found, (chunk_id, resolved, error_msg), for the open failure records of these chunks: rows that can be restored are, and the records marked."""
+        change = self.warehouse.change()
+        told = outcomes.groupBy("chunk_id").agg(F.max("resolved").alias("resolved"), F.max("error_msg").alias("error_msg"))
+        records = change.read("failures", FAILURES).where("NOT resolved").drop("error_msg", "resolved")
+        outcome = materialised(records.join(told, "chunk_id").select("id", "chunk_id", "doc_id", "failure_mode", "resolved", "error_msg"), "outcome")
+        vectors = change.read("vectors")
+        there = vectors.select(*[c for c in bookkeeping.RESTORABLE if c in vectors.columns])
+        restored = materialised(there.join(outcome.where("resolved AND failure_mode = 'es_write'").select("chunk_id").distinct(), "chunk_id", "left_semi"), "restored")
+        return self._settle(change, restored, outcome)
+
+    def _settle(self, change: Change, restored: DataFrame, outcome: DataFrame) -> dict:
         touched = self._touched(restored)
         if touched:
             self._upsert(change, "lexical", restored, None, ["chunk_id"], touched)

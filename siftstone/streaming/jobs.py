@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from siftstone.operators import bookkeeping
 from siftstone.plans.ingest import Engine
 from siftstone.sources.tables import ORIGINALS
+from siftstone.streaming import retries
 
 
 def ingest_stream(engine: Engine, source: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -57,6 +58,19 @@ def audit_stream(engine: Engine, model: Callable, source: str, checkpoint: str,
     return docs.writeStream.foreachBatch(lambda df, _: audit_sweep(engine, model, limit) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def retry_stream(engine: Engine, source: str, checkpoint: str, base: int = 60, most: int = 5, available_now: bool = True) -> StreamingQuery:
+    """The retry queue over Parquet files of retries.EVENTS below source; outcomes settle the engine's failure records. A batch that is run again settles nothing twice."""
+    engine.spark.conf.set(retries.STATE_STORE, retries.ROCKS)
+    events = engine.spark.readStream.schema(retries.EVENTS).parquet(source)
+
+    def batch(df: DataFrame, _: int) -> None:
+        if df.limit(1).count():
+            engine.settle(df)
+
+    writer = retries.retried(events, base, most).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
+
+
 def event_windows(spark: SparkSession, events: DataFrame, size: str = "1 day", late: str = "1 day") -> DataFrame:
     """Extension: counts and sums of events by window and type, with a watermark; works on a stream and on a table alike."""
     marked = events.withWatermark("ts", late) if events.isStreaming else events
