@@ -35,11 +35,12 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     # The shuffle files of this write aren't needed once the table is there.
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
         df.write.parquet(path, compression=compression)
     finally:
-        spark.conf.unset(SHUFFLE_CLEANUP)
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,7 +66,8 @@ def crc32_of(key: Column) -> Column:
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows and about BATCH_BYTES an Arrow batch, so that batches of long texts fit a Python worker."""
+    """At most so many rows and about BATCH_BYTES an Arrow batch, so that batches of long texts fit a Python worker. What is planned here may run later, so the session keeps these settings; smaller ones of its own stay."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "-1")) < BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

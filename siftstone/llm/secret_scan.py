@@ -9,7 +9,8 @@ scope, SCOPE code points to either side:
     endpoint      an identifier and a secret
 Each reported candidate is a link and names all its parts: the spans of the kinds that complete it, within its scope. A part
 may be a weak candidate that isn't reported itself. As spans of a kind don't overlap, the scope bounds the parts of a link.
-The parts of a text stay in its row, so the join needs no shuffle, meets no other document's parts and emits no pairs.
+The parts of a text stay in its row, so the join needs no shuffle and meets no other document's parts. The spans of a kind are in order and apart, so
+those in a scope are one interval of them, whose ends two halving searches find: n candidates among m parts take n log m steps, and what is emitted is links.
 
 Positions are code points, ends exclusive. A null text is an empty one; every row gives one row, repeated rows too.
 Each kind's matches are leftmost and do not overlap; ties of start go by the order of KINDS.
@@ -18,7 +19,7 @@ Each kind's matches are leftmost and do not overlap; ties of start go by the ord
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,8 +64,23 @@ def _found(text: Column, kind: str, pattern: str, candidate: Column, keep=None)
     return F.when(candidate & F.rlike(text, regex), spans).otherwise(F.array().cast(_SPANS))
 
 
-def _meets(at: Column, scope: int):
-    return lambda s: (s["start"] < at["end"] + scope) & (s["end"] > at["start"] - scope)
+def _first(spans: Column, reached) -> Column:
+    """The place of the first span for which reached() holds, by halving: it holds for all spans behind one for which it does. The number of spans where it holds for none."""
+
+    def halved(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        there = F.coalesce(reached(F.get(spans, middle)), F.lit(True))
+        return F.struct(F.when(there, acc["low"]).otherwise(F.least(middle + 1, acc["high"])).alias("low"), F.when(there, middle).otherwise(acc["high"]).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(spans).cast("long")))), start, halved, lambda acc: acc["low"])
+
+
+def _within(spans: Column, at: Column, scope: int) -> Column:
+    """Those of a kind's spans, which follow one another, that meet the scope of `at`: one interval of the array."""
+    low = _first(spans, lambda s: s["end"] > at["start"] - scope)
+    high = _first(spans, lambda s: s["start"] >= at["end"] + scope)
+    return F.slice(spans, low + 1, F.greatest(F.lit(0), high - low))
 
 
 def _ordered(spans: Column) -> Column:
@@ -93,14 +109,14 @@ def scan_secrets(df: DataFrame, text: str = "text", scope: int = SCOPE) -> DataF
     )
     p = {k: F.col(f"_p.{k}") for k in KINDS}
     joined = lambda kinds: F.concat(*[p[k] for k in kinds])
-    apart = lambda at: ~F.exists(joined(KINDS[:3]), _meets(at, 0))
-
     def linked(kind: str) -> Column:
-        complete = lambda at: reduce(and_, [F.exists(joined(kinds), _meets(at, scope)) for kinds in NEEDS[kind]])
-        completing = joined([k for kinds in NEEDS[kind] for k in kinds])
+        completing = [k for kinds in NEEDS[kind] for k in kinds]
+        near = F.transform(p[kind], lambda at: F.struct(at.alias("at"), *[_within(p[k], at, scope).alias(k) for k in completing], *[F.size(_within(p[k], at, 0)).alias(f"on_{k}") for k in KINDS[:3]]))
+        whole = lambda c: reduce(and_, [reduce(or_, [F.size(c[k]) > 0 for k in kinds]) for kinds in NEEDS[kind]])
+        apart = lambda c: reduce(and_, [c[f"on_{k}"] == 0 for k in KINDS[:3]])
         return F.transform(
-            F.filter(p[kind], lambda at: apart(at) & complete(at)),
-            lambda at: F.struct(at["start"].alias("start"), at["rank"].alias("rank"), at["end"].alias("end"), _ordered(F.filter(completing, _meets(at, scope))).alias("parts")),
+            F.filter(near, lambda c: whole(c) & apart(c)),
+            lambda c: F.struct(c["at"]["start"].alias("start"), c["at"]["rank"].alias("rank"), c["at"]["end"].alias("end"), _ordered(F.concat(*[c[k] for k in completing])).alias("parts")),
         )
 
     base = parts.select("_kept", joined(KINDS[:3]).alias("_base"), F.array_sort(F.concat(*[linked(k) for k in NEEDS])).alias("_links"))

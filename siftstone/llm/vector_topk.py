@@ -210,7 +210,8 @@ def _barrer(k: int, width: int, ids: np.ndarray, sample: np.ndarray):
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors with the highest inner product for each row of queries.
 
-    Both tables are (vec_id long, v array<long>), see quantised(). Repeated query ids count once.
+    Both tables are (vec_id long, v array<long>), see quantised(). Of query rows that share an id the one of the
+    smallest vector counts; rows that share the query's id are its own, whatever their vectors, and aren't met.
     """
     n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     n_queries, q_width = queries.agg(F.count("*"), F.max(F.size("v"))).first()
@@ -224,7 +225,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows = vectors.select(
         F.explode(F.sequence(dealt * blocks, dealt * blocks + (blocks - 1))).alias("cell"), F.lit(False).alias("is_query"), "vec_id", "v", F.lit(0.0).alias("bar")
     )
-    barred = queries.dropDuplicates(["vec_id"]).mapInArrow(_barrer(k, width, np.asarray(taken["vec_id"]), sample), "vec_id long, v array<long>, bar double")
+    barred = queries.groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(_barrer(k, width, np.asarray(taken["vec_id"]), sample), "vec_id long, v array<long>, bar double")
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     asked = barred.select(
         F.explode(F.sequence(block, block + (groups - 1) * blocks, F.lit(blocks).cast("long"))).alias("cell"), F.lit(True).alias("is_query"), "vec_id", "v", "bar"

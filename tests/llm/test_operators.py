@@ -261,6 +261,10 @@ def test_search_of_large_components(spark):
     big = 1 << 40
     rows = [(i, [v, 1]) for i, v in enumerate([big, big + 1, -big, 3, 1 << 62, LONG_MAX, LONG_MIN])]
     v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    # Query rows that share an id: the one of the smallest vector counts, wherever it lies.
+    twice = spark.createDataFrame([(0, [1, 5]), (0, [1, 2]), (0, [9, 9]), (7, [3, 1]), (8, [1, 3])], "vec_id long, v array<long>")
+    for parts in (1, 3):
+        assert [tuple(r) for r in V.exact_topk(twice.where("vec_id > 0"), twice.where("vec_id = 0").repartition(parts), 2).orderBy("rank").collect()] == [(0, 1, 8, 7), (0, 2, 7, 5)]
     got = sorted(map(tuple, V.exact_topk(v, v.where("vec_id in (0, 3, 5)"), 4).collect()))
     clip = lambda s: max(LONG_MIN, min(LONG_MAX, s))
     want = []
