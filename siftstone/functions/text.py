@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from siftstone.functions import markup
+
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{FFFE}\x{FFFF}]"
 QUERY_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 LOOKS_LIKE_HTML = r"<[a-zA-Z/][^>]{0,200}>"
@@ -61,11 +63,14 @@ def half_width(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class CleaningProfile:
-    """Patterns of one business that run before the default boilerplate patterns."""
+    """Patterns of one business that run before the default boilerplate patterns. repair_encoding undoes wrong decodings, which is a skipped step otherwise; tree_html takes
+    the text of pages by a tag state machine, without scripts and styles and with all entities, where the flat patterns leave these."""
 
     patterns: tuple[str, ...] = ()
     use_defaults: bool = True
     compose: bool = True
+    repair_encoding: bool = False
+    tree_html: bool = False
 
     FLAGS = {"IGNORECASE": "i", "MULTILINE": "m", "DOTALL": "s", "VERBOSE": "x", "UNICODE": "U", "ASCII": ""}
 
@@ -125,7 +130,15 @@ def clean(df: DataFrame, text: str = "raw_text", profile: CleaningProfile = Clea
     records = []
     for n, (op, rule) in enumerate(steps):
         old, new = F.col(f"_t{n}"), f"_t{n + 1}"
-        if op == "encoding_fix":
+        if op == "encoding_fix" and profile.repair_encoding:
+            df = df.withColumn(f"_t{n}_e", markup.repaired_encoding(old))
+            text_, places = F.col(f"_t{n}_e.text"), F.col(f"_t{n}_e.places")
+            detail = F.when(places > 0, F.format_string("repaired %d place(s)", places)).otherwise("")
+        elif op == "html_strip" and profile.tree_html:
+            df = df.withColumn(f"_t{n}_h", F.when(F.rlike(old, F.lit(LOOKS_LIKE_HTML)), markup.html_text(old)))
+            text_ = F.coalesce(f"_t{n}_h", old)
+            detail = F.when(F.col(f"_t{n}_h").isNotNull(), F.format_string("parsed HTML; %d chars removed", F.length(old) - F.length(text_))).otherwise("no HTML detected")
+        elif op == "encoding_fix":
             text_, detail = old, F.lit("ftfy not installed; skipped")
         elif op == "boilerplate_strip":
             patterns = [*profile.patterns, *(BOILERPLATE if profile.use_defaults else ())]

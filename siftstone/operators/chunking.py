@@ -10,7 +10,8 @@ table (two lines with a single pipe), list (its leading items, at least two) or
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,6 +50,8 @@ class Budget:
     levels: tuple[str, ...] = ("heading", "clause", "paragraph", "list_item", "table")
     #: Nodes over text_tokens go to semantic_split() as a whole; without it they are cut to their beginning, as in the reference.
     whole_nodes: bool = False
+    #: Likeness of neighbouring sentences under which a chunk is cut, where there is a model for their vectors; None packs sentences.
+    similarity: float | None = None
 
     @property
     def text_tokens(self) -> int:
@@ -264,14 +267,84 @@ def packed_whole(chunks: DataFrame, budget: int, least: int = MIN_PIECE) -> Data
     return found.mapInArrow(pack, found.schema)
 
 
-def semantic_split(chunks: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """Flagged chunks in pieces of whole sentences, a level deeper, with the chunk as parent; others, and those of one piece, stay with the flag cleared."""
+def best_pieces(places: list[tuple[int, int]], alike: list[float], cost: Callable[[int, int], int], budget: int, least: int, threshold: float) -> list[tuple[int, int]]:
+    """Sentences (start, end) joined to pieces of at most budget tokens so that the sum of (likeness less threshold) over the cuts is smallest.
+
+    alike[i] is how alike sentences i and i + 1 are. So a cut lies where likeness drops under the threshold, or, where the budget asks for one, at the least alike
+    neighbours. Pieces under `least` tokens are made only where nothing else fits; ties go to fewer cuts, then to the longer last piece. Sentences are within the budget.
+    """
+    n = len(places)
+    best: list[tuple[int, float, int, int]] = [(0, 0.0, 0, 0)] + [(n + 1, math.inf, 0, 0)] * n  # too small pieces, sum, cuts, start of the last piece
+    for j in range(1, n + 1):
+        for i in range(j - 1, -1, -1):
+            size = cost(places[i][0], places[j - 1][1])
+            if size > budget and i < j - 1:
+                break
+            small = best[i][0] + (size < least and not (i == 0 and j == n))
+            new = (small, round(best[i][1] + (alike[i - 1] - threshold if i else 0.0), 9), best[i][2] + (i > 0), i)
+            if new < best[j]:
+                best[j] = new
+    out, j = [], n
+    while j > 0:
+        i = best[j][3]
+        out.append((places[i][0], places[j - 1][1]))
+        j = i
+    return out[::-1]
+
+
+def _cost_of(text: str) -> Callable[[int, int], int]:
+    """Tokens of text[a:b]."""
+    cjk = np.concatenate([[0], np.cumsum([_is_cjk(c) for c in text])])
+    return lambda a, b: int(cjk[b] - cjk[a]) + (b - a - int(cjk[b] - cjk[a]) + 2) // 3
+
+
+def similar_pieces(chunks: DataFrame, budget: int, provider: Callable, threshold: float, least: int = MIN_PIECE) -> DataFrame:
+    """chunks with _pieces, an array<struct<start, end>>: cut where neighbouring sentences are least alike by the model's vectors (see best_pieces()).
+
+    The model is called once a batch, with the sentences of all its chunks. Where it fails, and where a sentence alone is over the budget, a chunk is packed as by packed_whole().
+    """
+    places = F.transform(sentences(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    found = chunks.withColumn("_pieces", places)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            ends = [[(s["start"], s["end"]) for s in row] for row in batch["_pieces"].to_pylist()]
+            said = [t[a:b] for t, row in zip(texts, ends) for a, b in row]
+            try:
+                v = np.array(provider(said), float).reshape(len(said), -1) if said else np.zeros((0, 1))
+                v = v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+                alike = np.append((v[:-1] * v[1:]).sum(axis=1), 0.0).round(6).tolist()
+            except Exception:  # noqa: BLE001  a model may fail in any way; the text is cut without it
+                alike = None
+            out, at = [], 0
+            for text, row in zip(texts, ends):
+                cost = _cost_of(text)
+                if alike is None or any(cost(a, b) > budget for a, b in row):
+                    pieces = _pieces_of(text, row, budget, least)
+                else:
+                    pieces = best_pieces(row, alike[at : at + len(row)], cost, budget, least, threshold)
+                at += len(row)
+                out.append([{"start": a, "end": b} for a, b in pieces])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, batch.schema.field("_pieces").type)], schema=batch.schema)
+
+    return found.mapInArrow(cut, found.schema)
+
+
+def semantic_split(chunks: DataFrame, budget: Budget = Budget(), provider: Callable | None = None) -> DataFrame:
+    """Flagged chunks in pieces of whole sentences, a level deeper, with the chunk as parent; others, and those of one piece, stay with the flag cleared.
+
+    With a provider and budget.similarity, flagged chunks are cut where likeness drops; else, as in the reference for that strategy, by packing.
+    """
     flagged = chunks.where("needs_semantic_split")
-    pieces = packed_whole(flagged, budget.text_tokens) if budget.whole_nodes else flagged.withColumn("_pieces", packed(F.col("text"), budget.text_tokens))
+    if provider is not None and budget.similarity is not None:
+        pieces = similar_pieces(flagged, budget.text_tokens, provider, budget.similarity)
+    else:
+        pieces = packed_whole(flagged, budget.text_tokens) if budget.whole_nodes else flagged.withColumn("_pieces", packed(F.col("text"), budget.text_tokens))
     rest = chunks.where("NOT needs_semantic_split").unionByName(pieces.where(F.size("_pieces") <= 1).drop("_pieces")).withColumn("needs_semantic_split", F.lit(False))
     many = pieces.where(F.size("_pieces") > 1).select("*", F.posexplode("_pieces").alias("_i", "_p"))
     body = F.substr("text", F.col("_p.start") + 1, F.col("_p.end") - F.col("_p.start"))
-    body = body if budget.whole_nodes else T.truncate_tokens(body, budget.text_tokens)
+    body = body if budget.whole_nodes or provider is not None and budget.similarity is not None else T.truncate_tokens(body, budget.text_tokens)
     prefix = T.prefix_of(F.col("context_text"), F.col("text"), F.col("heading_path"))
     parts = many.withColumn("_prefix", prefix).withColumn("parent_id", F.col("chunk_id")).withColumn("chunk_id", V.sub_chunk_id(F.col("parent_id"), F.col("_i")))
     parts = parts.withColumn("text", body).withColumn("context_text", T.with_prefix(F.col("_prefix"), F.col("text"))).withColumn("hierarchy_level", F.col("hierarchy_level") + 1).withColumn("position", F.col("_i"))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftstone.functions import markup
 from siftstone.functions import text as T
 from siftstone.functions import values as V
 from siftstone.operators import ann, bookkeeping, chunking, dense, fusion, lexical, replies, segment
@@ -223,6 +224,22 @@ def clean_log(spark, sf_dir):
     return done.select("page_id", F.posexplode("log").alias("n", "r")).select("page_id", "n", "r.op", "r.chars_before", "r.chars_after", "r.detail")
 
 
+def html_tree_text(spark, sf_dir):
+    """Pages by the tag state machine: no scripts and styles, all entities."""
+    done = T.clean(_t(spark, sf_dir, "pages").select("page_id", "html"), "html", T.CleaningProfile(use_defaults=False, compose=False, tree_html=True), out="clean")
+    parsed = F.element_at("log", 4)
+    return done.select("page_id", F.md5("clean").alias("digest"), parsed["chars_after"].alias("chars"))
+
+
+def encoding_repair(spark, sf_dir):
+    """Documents of which two thirds are damaged here, once or twice: read as Latin-1 though they are UTF-8. All come back as they were."""
+    wrong = lambda t: F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
+    damage = F.when(F.col("doc_id") % 3 == 0, wrong(F.col("text"))).when(F.col("doc_id") % 3 == 1, wrong(wrong(F.col("text")))).otherwise(F.col("text"))
+    seen = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole"), damage.alias("text"))
+    done = seen.withColumn("r", markup.repaired_encoding(F.col("text")))
+    return done.select("doc_id", F.md5("r.text").alias("digest"), (F.col("r.places") > 0).alias("repaired"))
+
+
 def strip_html(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.md5(T._html(F.col("html"))[0]).alias("digest"))
 
@@ -501,7 +518,7 @@ def segmented_parts(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     hybrid_bm25_topk, bm25_filtered, term_statistics, field_statistics, dense_cosine_topk, ann_topk, ann_recall, weighted_rrf, plain_rrf, candidate_counts, rerank_min_score, context_blocks, parent_backfill,
-    eval_items, eval_report, regression_gate, clean_documents, clean_log, strip_html, query_normalisation, token_budget, identities, versions_text, unit_vectors, structure_nodes, structural_chunks,
+    eval_items, eval_report, regression_gate, clean_documents, clean_log, html_tree_text, encoding_repair, strip_html, query_normalisation, token_budget, identities, versions_text, unit_vectors, structure_nodes, structural_chunks,
     upsert_orders, reconcile_counts, reconcile_drift, digest_drift, quarantine_outcomes, retry_outcomes, indexed_by_document, failure_modes, pending_documents, latest_reviews, audit_prompts, ungroupable_chunks, date_filter, daily_events, deletion_counts,
     audit_verdicts, self_evaluations, enhancement_replies, rerank_by_index, round_merge, bm25_multi_field, highlights, discovered_words, segmented_parts,
 )}
@@ -554,6 +571,9 @@ x AS (SELECT id, expected_empty,
 
 _HTML = r"""regexp_replace(regexp_replace({0}, '(?i)<(?:p|div|br|li|tr|h[1-6]|blockquote)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')"""
 _HTML = "CASE WHEN regexp_matches({0}, '<[a-zA-Z/][^>]{{0,200}}>') THEN " + reduce(lambda s, e: f"replace({s}, '{e[0]}', '{e[1].replace(chr(39), chr(39) * 2)}')", T.ENTITIES, _HTML) + " ELSE {0} END"
+#: Silent elements and comments go first, then tags; the entities of the pages, also without their semicolon.
+_TREE = r"regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->|<![^>]*>', '', 'g'), '(?i)<(?:p|div|br|li|tr|h[1-6]|blockquote)(?:\s[^>]*)?>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+_TREE = reduce(lambda s, e: f"regexp_replace({s}, '&{e[0]};?', '{e[1]}', 'g')", [("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")], _TREE)
 _STRIP = r"regexp_replace({0}, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')"
 _SPACES = _STRIP.format(r"regexp_replace(regexp_replace(regexp_replace({0}, '\r\n|\r', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
 _PUNCT = reduce(lambda s, c: f"regexp_replace({s}, '[{c}]{{{{3,}}}}', '{c[-1]}', 'g')", ["!", "?", "~", "`", "@", "#", "$", "%", "&", "*", "\\^", "_", "+", "=", "|", "<", ">"], "{0}")
@@ -630,6 +650,8 @@ ORACLE_SQL = {
     "segmented_parts": "WITH d AS (SELECT DISTINCT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part), p AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS coarse, lower(replace(p_name || p_type, ' ', '')) AS s FROM part) SELECT p_partkey, coarse, sum(len(list_filter(range(1, length(s) + 1), lambda i: s[i:i + length(w) - 1] = w)))::INT AS n_fine FROM p, d GROUP BY ALL",
     "bm25_multi_field": f"WITH {_PART_TOP} SELECT * FROM top",
     "highlights": f"WITH {_PART_TOP}, h AS (SELECT query_id, t.p_partkey, p.p_name, list_intersect(regexp_extract_all(lower(p.p_name), '[a-z0-9]+'), regexp_extract_all(lower(o.p_name), '[a-z0-9]+')) AS w FROM top t JOIN part p USING (p_partkey) JOIN part o ON o.p_partkey = query_id) SELECT query_id, p_partkey, CASE WHEN len(w) > 0 THEN regexp_replace(p_name, '(?i)\\b(' || array_to_string(w, '|') || ')\\b', '<em>\\1</em>', 'g') END AS highlight FROM h",
+    "html_tree_text": "WITH t AS (SELECT page_id, " + _TREE.format("html") + " AS t FROM pages) SELECT page_id, md5(" + _PUNCT.format(_SPACES.format("t")) + ") AS digest, length(t)::INT AS chars FROM t",
+    "encoding_repair": "SELECT doc_id, md5(text) AS digest, doc_id % 3 < 2 AND regexp_matches(text, '[^\\x00-\\x7F]') AS repaired FROM documents",
     "quarantine_outcomes": "SELECT source, CASE WHEN text IS NULL OR doc_id IS NULL THEN 'validate' WHEN contains(text, 'AKIA') THEN 'embed' END AS stage, CASE WHEN text IS NULL OR doc_id IS NULL THEN 'no id or no text' WHEN contains(text, 'AKIA') THEN 'refused' END AS error_msg, count(*) AS n FROM documents GROUP BY ALL",
     "deletion_counts": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS deleted, count(*) FILTER (o_orderstatus <> 'F') AS kept FROM orders GROUP BY 1",
 }

@@ -119,7 +119,7 @@ def parse_config(data: dict) -> Config:
         raise ConfigError(f"retrieval.fusion.method: unknown {fusion['method']!r}")
     return Config(
         version=data["version"], fields=tuple(declared), embeddings=tuple(models), retrievers=tuple(retrievers),
-        budget=Budget(length["max_tokens"], length.get("overlap_tokens", 0), length.get("context_preservation_tokens", 0), semantic.get("enabled", False), semantic.get("min_trigger_tokens", 256), tuple(structural.get("levels", Budget().levels)), structural.get("whole_nodes", True)),
+        budget=Budget(length["max_tokens"], length.get("overlap_tokens", 0), length.get("context_preservation_tokens", 0), semantic.get("enabled", False), semantic.get("min_trigger_tokens", 256), tuple(structural.get("levels", Budget().levels)), structural.get("whole_nodes", True), semantic.get("similarity_threshold", 0.3) if semantic.get("strategy") == "similarity_drop" else None),
         fusion_method=fusion.get("method", "weighted_rrf"), fusion_k=fusion.get("k", 60), rerank_enabled=rerank.get("enabled", True), min_score=rerank.get("min_score"),
         ladder=Ladder(**data["retrieval"].get("top_k_ladder", {})), enhancement=data.get("enhancement", {}),
     )

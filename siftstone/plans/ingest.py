@@ -53,12 +53,12 @@ def enhance(docs: DataFrame, model: Callable | None, wanted: tuple[str, ...] = (
     return docs.withColumn("enhanced", fine).drop("_m", "_v")
 
 
-def build_chunks(docs: DataFrame, budget: Budget = Budget(), config_version: str = "", profile: T.CleaningProfile = T.CleaningProfile(), model: Callable | None = None) -> DataFrame:
+def build_chunks(docs: DataFrame, budget: Budget = Budget(), config_version: str = "", profile: T.CleaningProfile = T.CleaningProfile(), model: Callable | None = None, provider: Callable | None = None) -> DataFrame:
     """Originals (doc_id, raw_text, business_type, source_metadata) to chunks. The cleaned and enhanced documents are a table of their own, as several steps read them."""
     cleaned = T.clean(docs.withColumn("doc_id", F.col("doc_id").cast("string")), "raw_text", profile)
     ready = materialised(enhance(cleaned, model), "enhanced")
     nodes = chunking.parse(ready.where(F.length(T.strip(F.col("text"))) > 0), budget.levels)
-    return chunking.semantic_split(chunking.chunk(nodes, ready, budget, config_version), budget)
+    return chunking.semantic_split(chunking.chunk(nodes, ready, budget, config_version), budget, provider)
 
 
 def with_vectors(chunks: DataFrame, providers: dict[str, tuple[Callable, int, str]]) -> DataFrame:
@@ -186,7 +186,7 @@ class Engine:
 
     def _chunks(self, docs: DataFrame) -> DataFrame:
         """The chunks of valid documents with their vectors, and error where a provider failed on one."""
-        chunks = with_vectors(build_chunks(docs.where(~invalid(docs)), self.budget, self.config_version, self.profile, self.model), self.providers)
+        chunks = with_vectors(build_chunks(docs.where(~invalid(docs)), self.budget, self.config_version, self.profile, self.model, next((p for p, _, _ in self.providers.values()), None)), self.providers)
         if self.late:
             chunks = materialised(chunks, "chunks")
             for name, (provider, dimension, version, max_seq_len) in self.late.items():
