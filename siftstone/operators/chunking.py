@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import text as T
 from siftstone.functions import values as V
+from siftstone.sources.tables import materialised
 
 #: The patterns of headings with their levels, of list items, steps and table lines.
 HEADINGS = (
@@ -353,26 +354,38 @@ def semantic_split(chunks: DataFrame, budget: Budget = Budget(), provider: Calla
     return rest.unionByName(parts.select(*chunks.columns))
 
 
-def late_chunk_vectors(chunks: DataFrame, provider, dimension: int, max_seq_len: int) -> DataFrame:
+def late_chunk_vectors(chunks: DataFrame, provider: Callable, dimension: int, max_seq_len: int) -> DataFrame:
     """(chunk_id, vector, fallback): each chunk's vector is the mean of its tokens' vectors in the text of its whole group.
 
-    provider(texts) gives for each text (offsets [(start, end)], token vectors). A chunk falls back to a vector of its own context where it has no
-    group, the group is longer than 4 * max_seq_len characters, or its tokens can't be found or pooled.
+    provider(texts) gives for each text (offsets [(start, end)], token vectors); it is called once a batch of groups, and once a batch of chunks that fall back. A chunk falls back to the
+    mean of its own context's tokens where it has no group, the group is longer than 4 * max_seq_len characters (the limit of the design that is replaced), or its tokens
+    can't be found or pooled. So only groups within that limit are gathered.
     """
-    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position", kind="stable")
-        group, out = "\n".join(pdf["text"]), []
-        fits = pdf["lc_group_id"].notna().all() and 0 < len(group) <= 4 * max_seq_len
-        offsets, vectors = provider([group])[0] if fits else ([], [])
-        for r in pdf.itertuples():
-            hit = [i for i, (a, b) in enumerate(offsets) if b > a and r.char_end == r.char_end and a < (r.char_end or 0) and b > (r.char_start or 0)]
-            part = np.asarray(vectors[hit[0] : hit[-1] + 1], float) if hit else None
-            fallback = part is None or part.ndim != 2 or part.shape[1] != dimension
-            v = np.mean(provider([r.context_text])[0][1] or [[0.0] * dimension], axis=0) if fallback else part.mean(axis=0)
-            n = np.linalg.norm(v)
-            out.append((r.chunk_id, (v / n if n else v).tolist(), fallback))
-        return pd.DataFrame(out, columns=["chunk_id", "vector", "fallback"])
-
-    key = F.coalesce("lc_group_id", F.concat(F.lit("alone:"), F.col("chunk_id")))
-    rows = chunks.select(key.alias("g"), "chunk_id", "lc_group_id", "position", "text", "context_text", "char_start", "char_end")
-    return rows.groupBy("g").applyInPandas(pool, "chunk_id string, vector array<double>, fallback boolean")
+    matrix = "struct<offsets:array<struct<start:int,end:int>>,vectors:array<array<double>>>"
+
+    @F.pandas_udf("offsets array<struct<start:int,end:int>>, vectors array<array<double>>")
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            found = provider([t or "" for t in s]) if len(s) else []
+            offsets = pd.Series([[{"start": a, "end": b} for a, b in o] for o, _ in found], dtype="object")
+            yield pd.DataFrame({"offsets": offsets, "vectors": pd.Series([[[float(x) for x in v] for v in m] for _, m in found], dtype="object")})
+
+    rows = chunks.select("chunk_id", "lc_group_id", "position", "text", "context_text", "char_start", "char_end")
+    length = rows.where("lc_group_id IS NOT NULL").groupBy("lc_group_id").agg((F.sum(F.length("text") + 1) - 1).alias("chars"))
+    fits = length.where((F.col("chars") > 0) & (F.col("chars") <= 4 * max_seq_len)).select("lc_group_id")
+    members = F.array_sort(F.collect_list(F.struct("position", "chunk_id", "text", "char_start", "char_end")))
+    groups = rows.join(fits, "lc_group_id", "left_semi").groupBy("lc_group_id").agg(members.alias("members"))
+    body = F.array_join(F.transform("members", lambda m: m["text"]), "\n")
+    seen = groups.withColumn("m", tokens.asNondeterministic()(body).cast(matrix))
+
+    def pooled(member: Column) -> Column:
+        at = V.token_range(member["char_start"], member["char_end"], F.col("m.offsets"))
+        return F.struct(member["chunk_id"].alias("chunk_id"), V.mean_pooled(F.col("m.vectors"), at["first"], at["end"]).alias("pooled"))
+
+    of_groups = seen.select(F.inline(F.transform("members", pooled))).where(F.size("pooled") == dimension)
+    joined = materialised(rows.join(of_groups, "chunk_id", "left").select("chunk_id", "context_text", "pooled"), "pooled")
+    own = joined.where("pooled IS NULL").withColumn("m", tokens.asNondeterministic()(F.col("context_text")).cast(matrix))
+    zeros = F.array_repeat(F.lit(0.0), dimension)
+    alone = own.select("chunk_id", F.coalesce(V.mean_pooled(F.col("m.vectors"), F.lit(0), F.size("m.vectors")), zeros).alias("pooled"), F.lit(True).alias("fallback"))
+    found = joined.where("pooled IS NOT NULL").select("chunk_id", "pooled", F.lit(False).alias("fallback")).unionByName(alone)
+    return found.select("chunk_id", V.l2_normalized(F.col("pooled")).alias("vector"), "fallback")

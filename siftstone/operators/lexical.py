@@ -113,20 +113,28 @@ def bm25_topk(index: DataFrame, queries: DataFrame, k: int, boosts: dict[str, fl
     terms = materialised(query_terms(queries, tokens=tokens), "query-terms")
     asked = terms.select("term").distinct()
     wanted = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
-    hits = index.join(wanted, "term", "left_semi")
-    stats = F.broadcast(field_stats(index) if stats is None else stats)  # a row a field
+    hits = index.select("field", "chunk_id", "term", "tf", "dl").join(wanted, "term", "left_semi")
+    rows = (field_stats(index) if stats is None else stats).orderBy("field").collect()  # a row a field
+    if not rows:
+        return ranked(terms.select("query_id", F.lit(None).cast(index.schema["chunk_id"].dataType).alias("chunk_id"), F.lit(0.0).alias("score")).limit(0), k)
+    of = index.sparkSession.createDataFrame([(r.field, n, r.n_docs, r.avgdl) for n, r in enumerate(rows)], "field string, field_no int, n_docs long, avgdl double")
+    # Terms of a field get a number, so that what is joined below is slim.
+    vocabulary = materialised(term_stats(hits).join(F.broadcast(of), "field").withColumn("t", F.monotonically_increasing_id()), "vocabulary")
+    few = F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_TERMS else vocabulary
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * _boost(boosts or BOOSTS)
-    weighed = hits.join(term_stats(hits), ["field", "term"]).join(stats, "field").select("field", "term", "chunk_id", maxscore.block_of("chunk_id", "n_docs").alias("blk"), part.alias("part"))
+    blk = maxscore.block_of(F.col("field_no"), F.col("dl"), F.col("chunk_id"), F.col("n_docs"))
+    weighed = hits.join(few, ["field", "term"]).select("t", blk.alias("blk"), "chunk_id", part.alias("part"))
     if allowed is not None:
         weighed = weighed.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return ranked(maxscore.topk(materialised(weighed, "impacts"), terms, k, digits), k)
+    numbered = materialised(terms.join(vocabulary.select("term", "t"), "term").select("query_id", "t"), "numbered-terms")
+    return ranked(maxscore.topk(materialised(weighed, "impacts"), numbered, k, digits), k)
 
 
 def search(text: DataFrame, queries: DataFrame, k: int, tokens: Callable[[Column], Column] = lexical_tokens, **options) -> DataFrame:
     """bm25_topk() over tokenised() text that has no index: only the postings of the queries' terms are made."""
     asked = query_terms(queries, tokens=tokens).select("term").distinct()
-    return bm25_topk(postings_of(text, only=asked), queries, k, stats=field_stats(text), tokens=tokens, **options)
+    return bm25_topk(materialised(postings_of(text, only=asked), "postings"), queries, k, stats=field_stats(text), tokens=tokens, **options)
 
 
 def _boost(boosts: dict[str, float]) -> Column:

@@ -1,10 +1,12 @@
 """Exact top k of summed impacts for many queries at once, without scoring every document that holds a term.
 
-An impact is what a term adds to a document's score in a field; a score is the sum over a query's terms, a document's score that of its best field.
-The impacts of a term lie in blocks of documents with the largest impact of each, and a term's bound is the largest of all.
+An impact is what a term of a field adds to a document's score in it; a score is the sum over a query's terms in a field, a document's score that of its
+best field. Documents of like length in a field make a zone, as length decides how large impacts can be; zones are cut into blocks. A term has a bound in
+each zone, its largest impact there, and a largest impact in each block.
 
 1. Each query's bar: the k best documents among the k largest impacts of its terms, scored in full, give a score that k documents reach.
-2. Terms in the order of their bounds: those whose bounds together stay under the bar can't lift a document over it alone. The others are essential.
+2. In each zone, terms in the order of their bounds: those whose bounds together stay under the bar can't lift a document over it alone. The others are
+   essential; a zone without an essential term isn't looked at.
 3. Of an essential term only the blocks are opened whose largest impacts, with the bounds of the rest, reach the bar; only what stands in
    them becomes a candidate, with its essential terms' sum.
 4. A candidate whose sum and the rest's bounds reach the bar gets the impacts of the other terms, looked up by term and document.
@@ -14,58 +16,71 @@ So a term that stands everywhere, or that every query has, adds no candidates: w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.sources.tables import materialised
 
-#: Documents of a block, about.
-BLOCK_ROWS = 256
+#: Documents of a block, about; zones a doubling of the length; bits of a block's number within its zone.
+BLOCK_ROWS, ZONES, BLOCK_BITS = 256, 2, 32
 
 
-def block_of(chunk_id: str, n_docs: str):
-    """The block of a document in a field of n_docs documents."""
-    return F.pmod(F.xxhash64(chunk_id), F.greatest(F.lit(1), F.ceil(F.col(n_docs) / BLOCK_ROWS)).cast("long"))
+def block_of(field_no: Column, length: Column, chunk_id: Column, n_docs: Column) -> Column:
+    """The number of a document's block: field, zone by length, and a hash for zones of many documents."""
+    zone = F.least(F.lit(63), F.floor(ZONES * F.log2(F.greatest(F.lit(1), length))).cast("int"))
+    within = F.pmod(F.xxhash64(chunk_id), F.ceil(n_docs / (8 * BLOCK_ROWS)).cast("long"))
+    return F.shiftleft((field_no * 64 + zone).cast("long"), BLOCK_BITS) + within
+
+
+def _zone(block: Column | str) -> Column:
+    return F.shiftright(block, BLOCK_BITS)
+
+
+def _field(zone: Column | str) -> Column:
+    return F.shiftright(zone, 6)
 
 
 def _full(pairs: DataFrame, impacts: DataFrame) -> DataFrame:
-    """(query_id, field, chunk_id, s): the sums over pairs (query_id, field, term, chunk_id)."""
-    return pairs.join(impacts.select("field", "term", "chunk_id", "part"), ["field", "term", "chunk_id"]).groupBy("query_id", "field", "chunk_id").agg(F.sum("part").alias("s"))
+    """(query_id, field, chunk_id, s): the sums over pairs (query_id, t, chunk_id)."""
+    found = pairs.join(impacts.select("t", "chunk_id", "blk", "part"), ["t", "chunk_id"])
+    return found.groupBy("query_id", _field(_zone("blk")).alias("field"), "chunk_id").agg(F.sum("part").alias("s"))
 
 
 def topk(impacts: DataFrame, terms: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score): each query's k best documents, with all that share the last place and some below it.
 
-    impacts: (field, term, chunk_id, blk, part), a table that is read several times; parts are above 0. terms: (query_id, term), each once. With digits, scores are rounded.
+    impacts: (t, blk, chunk_id, part), a table that is read several times: t numbers a term of a field, blk is block_of(), parts are above 0. terms: (query_id, t), each once. With
+    digits, scores are rounded.
     """
     slack = 10.0 ** -(digits if digits is not None else 9)
-    fields = ["field", "term"]
-    asked = materialised(terms.join(impacts.groupBy(*fields).agg(F.max("part").alias("bound")), "term"), "asked")
+    zoned = impacts.withColumn("zone", _zone("blk"))
+    asked = materialised(terms.join(zoned.groupBy("t", "zone").agg(F.max("part").alias("bound")), "t"), "asked")
 
     # The bar.
-    best = Window.partitionBy(*fields).orderBy(F.desc("part"), "chunk_id")
-    champions = impacts.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select(*fields, "chunk_id", "part")
-    met = asked.join(champions, fields).groupBy("query_id", "field", "chunk_id").agg(F.sum("part").alias("s")).groupBy("query_id", "chunk_id").agg(F.max("s").alias("s"))
+    best = Window.partitionBy("t").orderBy(F.desc("part"), "chunk_id")
+    champions = zoned.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("t", _field("zone").alias("field"), "chunk_id", "part")
+    met = terms.join(champions, "t").groupBy("query_id", "field", "chunk_id").agg(F.sum("part").alias("s")).groupBy("query_id", "chunk_id").agg(F.max("s").alias("s"))
     seeds = met.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "chunk_id"))).where(F.col("n") <= k)
-    reached = _full(seeds.select("query_id", "chunk_id").join(asked.drop("bound"), "query_id"), impacts).groupBy("query_id", "chunk_id").agg(F.max("s").alias("s"))
+    reached = _full(seeds.select("query_id", "chunk_id").join(terms, "query_id"), impacts).groupBy("query_id", "chunk_id").agg(F.max("s").alias("s"))
     bars = reached.groupBy("query_id").agg(F.min("s").alias("bar"), F.count("*").alias("n")).where(F.col("n") == k).select("query_id", (F.col("bar") - 2 * slack).alias("bar"))
 
-    # Essential terms, and the bounds of the others.
-    rising = Window.partitionBy("query_id", "field").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Essential terms of each zone, and the bounds of the others.
+    in_zone = Window.partitionBy("query_id", "zone")
+    rising = in_zone.orderBy("bound", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = asked.join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0))).withColumn("essential", F.sum("bound").over(rising) >= F.col("bar"))
-    rest = F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("bound"))).over(Window.partitionBy("query_id", "field"))
+    rest = F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("bound"))).over(in_zone)
     ranked = materialised(ranked.withColumn("rest", rest), "essential-terms")
     essential, other = (ranked.where(c) for c in ("essential", "NOT essential"))
 
     # Blocks that may hold a document over the bar.
-    blocks = impacts.groupBy(*fields, "blk").agg(F.max("part").alias("most"))
-    opened = essential.join(blocks, fields).withColumn("reach", F.sum("most").over(Window.partitionBy("query_id", "field", "blk"))).where(F.col("reach") + F.col("rest") >= F.col("bar"))
+    blocks = zoned.groupBy("t", "zone", "blk").agg(F.max("part").alias("most"))
+    opened = essential.join(blocks, ["t", "zone"]).withColumn("reach", F.sum("most").over(Window.partitionBy("query_id", "blk"))).where(F.col("reach") + F.col("rest") >= F.col("bar"))
 
     # Their documents, and what the other terms add.
-    found = opened.select("query_id", *fields, "blk", "bar", "rest").join(impacts, [*fields, "blk"])
-    found = found.groupBy("query_id", "field", "chunk_id").agg(F.sum("part").alias("s"), F.first("bar").alias("bar"), F.first("rest").alias("rest"))
-    found = materialised(found.where(F.col("s") + F.col("rest") >= F.col("bar")).select("query_id", "field", "chunk_id", "s"), "candidates")
-    more = _full(found.select("query_id", "field", "chunk_id").join(other.select("query_id", *fields), ["query_id", "field"]), impacts)
-    sums = found.unionByName(more).groupBy("query_id", "field", "chunk_id").agg(F.sum("s").alias("s"))
+    found = opened.select("query_id", "t", "blk", "zone", "bar", "rest").join(impacts, ["t", "blk"])
+    found = found.groupBy("query_id", "zone", "chunk_id").agg(F.sum("part").alias("s"), F.first("bar").alias("bar"), F.first("rest").alias("rest"))
+    found = materialised(found.where(F.col("s") + F.col("rest") >= F.col("bar")).select("query_id", "zone", "chunk_id", "s"), "candidates")
+    more = _full(found.select("query_id", "zone", "chunk_id").join(other.select("query_id", "zone", "t"), ["query_id", "zone"]).select("query_id", "t", "chunk_id"), impacts)
+    sums = found.select("query_id", _field("zone").alias("field"), "chunk_id", "s").unionByName(more).groupBy("query_id", "field", "chunk_id").agg(F.sum("s").alias("s"))
     score = F.max("s") if digits is None else F.round(F.max("s"), digits)
     return sums.groupBy("query_id", "chunk_id").agg(score.alias("score"))

@@ -79,6 +79,16 @@ def isolated_failures(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return bad.distinct().unionByName(failed.select("doc_id", F.lit("embed").alias("stage"), "error_msg"))
 
 
+def checked_request(docs: DataFrame, most: int = 50) -> DataFrame:
+    """docs as an interactive request may bring them: 1 to 50 rows, each with an id and a text of a character at least. Batch jobs have no such limits; add() takes any number."""
+    n, bad = docs.limit(most + 1).agg(F.count("*"), F.count_if(invalid(docs) | (F.length("raw_text") == 0))).first()
+    if not 1 <= n <= most:
+        raise ValueError(f"a request has 1 to {most} documents")
+    if bad:
+        raise ValueError("every document of a request needs an id and a text")
+    return docs
+
+
 def invalid(docs: DataFrame) -> Column:
     return F.col("doc_id").isNull() | (F.length(F.trim(F.col("doc_id").cast("string"))) == 0) | F.col("raw_text").isNull()
 
@@ -401,6 +411,22 @@ class Engine:
         change.commit()
         return n
 
+    def lexical_row(self, chunk_id: str) -> DataFrame:
+        """A chunk's lexical row, if it is there."""
+        return self.table("lexical").where(F.col("chunk_id") == chunk_id)
+
+    def pending(self) -> DataFrame:
+        """(records, chunks): open failure records and the chunks that they are of."""
+        return bookkeeping.pending_count(self.table("failures"))
+
+    def reviews(self, doc_id: str, limit: int = 20) -> DataFrame:
+        """A document's reviews, the newest first."""
+        return bookkeeping.reviews_of(self.table("reviews"), doc_id, limit)
+
+    def due_reviews(self, limit: int | None = 20) -> DataFrame:
+        """(doc_id) of documents that an audit would take next."""
+        return bookkeeping.pending_reviews(self.table("lexical"), self.table("reviews"), limit)
+
     def status(self) -> DataFrame:
         """(name, rows) of the tables."""
         there = self.warehouse.manifest()

@@ -100,6 +100,12 @@ def preprocess(queries: DataFrame, rewrite: Callable | None = None, query: str =
     return df.withColumn("rewrite_used", F.coalesce(used, F.lit(False))).withColumn("effective", T.effective_query(F.col("rewritten"), F.col("normalized"), F.col("rewrite_used")))
 
 
+def echoed(queries: DataFrame, filters: Filters, business_type: str | None = None) -> DataFrame:
+    """preprocess()'s rows with filters, a map of the filters that hold for them."""
+    held = filters.bound_to(business_type).echo()
+    return queries.withColumn("filters", F.create_map(*[F.lit(str(x)) for pair in held.items() for x in pair]) if held else F.create_map().cast("map<string,string>"))
+
+
 def retrieve(queries: DataFrame, corpus: Corpus, retrievers: list, models: Models, filters: Filters, top_k: int | None) -> DataFrame:
     """The pool of all retrievers' lists; top_k overrides theirs. One that fails gives no rows, one of an unsupported type is skipped with a warning."""
     asked = queries.select("query_id", F.col("effective").alias("query")).where(F.length("query") > 0)
@@ -164,9 +170,10 @@ def answers(queries: DataFrame, context: DataFrame, answer: Callable, query: str
 
 
 def run(queries: DataFrame, corpus: Corpus, retrievers: list, models: Models = Models(), **options) -> DataFrame:
-    """The whole pipeline for queries (query_id, query)."""
+    """The whole pipeline for queries (query_id, query). top_k, a dict of the ladder's steps, overrides these for this run."""
     asked = preprocess(queries, models.rewrite)
-    ladder = options.get("ladder", Ladder())
+    ladder = with_ladder(options.pop("ladder", Ladder()), **options.pop("top_k", None) or {})
+    options["ladder"] = ladder
     found = search(asked, corpus, retrievers, models, **options)
     chosen = fusion.backfilled(found, lexical.projected(corpus.chunks), ladder.context_top_k)
     return answers(asked, fusion.build_context(chosen, asked), models.answer)

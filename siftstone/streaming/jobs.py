@@ -44,8 +44,7 @@ def audit(chunks: DataFrame, model: Callable, now=None) -> DataFrame:
 
 def audit_sweep(engine: Engine, model: Callable, limit: int = 20) -> int:
     """One tick of the audit loop: reviews up to `limit` documents that have none; returns their number."""
-    reviews, chunks = engine.table("reviews"), engine.table("lexical")
-    due = bookkeeping.pending_reviews(chunks, reviews, limit)
+    chunks, due = engine.table("lexical"), engine.due_reviews(limit)
     n = due.count()
     if n:
         engine.add_reviews(audit(chunks.join(due, "doc_id", "left_semi"), model))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftstone import __main__ as cli
 from siftstone.operators import bookkeeping, dense
-from siftstone.plans import config, ingest
+from siftstone.plans import config, ingest, models
 from siftstone.sources import tables
 from siftstone.streaming import jobs
 
@@ -214,3 +214,51 @@ def test_config_files(tmp_path):
     (tmp_path / "bad.json").write_text("{")
     with pytest.raises(config.ConfigError, match="no JSON"):
         config.load_config(str(tmp_path / "bad.json"))
+
+
+def test_small_reads_of_an_engine(spark, engine):
+    engine.add(docs(spark, ("a", "alpha"), ("b", "beta")))
+    chunk = engine.chunks_of("a").first().chunk_id
+    assert engine.lexical_row(chunk).first().text == "alpha" and engine.lexical_row("none").count() == 0
+    engine.store("vectors").replace(engine.store("vectors").read().where("doc_id <> 'a'"), "bucket")
+    engine.reconcile()
+    assert tuple(engine.pending().first()) == (1, 1)
+    assert ids(engine.due_reviews()) == ids(engine.due_reviews(None)) == ["a", "b"]
+    good = lambda p: ['{"verdict": "ok", "affected_chunk_ids": []}'] * len(p)
+    assert jobs.audit_sweep(engine, good, 1) == 1 and engine.reviews("a").count() == 1 and ids(engine.due_reviews(None)) == ["b"]
+
+
+def test_requests_have_limits(spark):
+    assert ingest.checked_request(docs(spark, ("a", "x"))).count() == 1
+    for bad in (docs(spark), docs(spark, ("a", "")), docs(spark, (None, "x")), docs(spark, *[(str(n), "x") for n in range(51)])):
+        with pytest.raises(ValueError, match="request"):
+            ingest.checked_request(bad)
+
+
+def test_models_are_listed_and_tried(spark):
+    settings = config.Config("1", (), ({"id": "m1", "name": "n", "version": 2, "vector_name": "v1", "dimension": 8, "max_seq_len": 512, "normalize": True}, {"id": "m2", "vector_name": "v2", "dimension": 4}), ())
+    assert [(r.ord, r.id, r.version, r.dimension, r.normalize) for r in models.models(spark, settings).orderBy("ord").collect()] == [(0, "m1", "2", 8, True), (1, "m2", None, 4, None)]
+    texts = spark.createDataFrame([(n, f"t{n}") for n in range(3)], "n int, text string")
+    providers = {"m1": dense.hashing_provider(8), "m2": dense.hashing_provider(9)}
+    rows = models.embed_texts(texts, settings, providers).collect()
+    assert len(rows) == 6 and all((r.vector is None) == (r.model_id == "m2") and (r.error is None) == (r.model_id == "m1") for r in rows)
+    assert models.embed_texts(texts, settings, providers, "m1").count() == 3
+    with pytest.raises(KeyError, match="m1"):
+        models.embed_texts(texts, settings, providers, "m3")
+    with pytest.raises(ValueError, match="256"):
+        models.embed_texts(spark.range(257).selectExpr("int(id) AS n", "'t' AS text"), settings, providers)
+
+
+def test_models_of_late_chunks_are_called_by_batches(spark):
+    from siftstone.operators import chunking
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def provider(texts):
+        calls.add(1)
+        return [([(i, i + 1) for i in range(len(t))], [[float(ord(c)), 1.0] for c in t]) for t in texts]
+
+    rows = [(f"c{n}", f"g{n // 5}" if n % 7 else None, n % 5, "ab", "ab", 3 * (n % 5), 3 * (n % 5) + 2) for n in range(400)]
+    c = spark.createDataFrame(rows, "chunk_id string, lc_group_id string, position int, text string, context_text string, char_start int, char_end int")
+    out = chunking.late_chunk_vectors(c, provider, 2, 100).collect()
+    assert len(out) == 400 and calls.value <= 20 and all(len(r.vector) == 2 for r in out)
