@@ -3,7 +3,7 @@
 A coarse quantiser puts each vector into the cell of its nearest centre; what is left of it is cut into parts, each coded as the nearest of CODES
 points. Since q.x = q.centre + q.rest, a query needs one table of inner products for all cells. Rows lie by cell, so a search reads only the
 cells that its queries probe, by dynamic partition pruning, and of these first the codes: they rank a cell's rows for a query, the `keep` best of
-each slice become candidates, and the candidates' exact cosines rank the result as dense.cosine_topk does.
+each slice that reach the query's bar become candidates (the bar is the k-th best score of a sample, less the codes' error), and the candidates' exact cosines rank the result as dense.cosine_topk does.
 
 The quantiser is fitted on a sample of about SAMPLE_ROWS rows by hash; every row is indexed. The sample also tells how many cells to probe and how many
 candidates to keep for a recall of `target` against brute force. A cell of more than SLICE_ROWS rows is searched in slices, and one that more than QUERY_ROWS
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from siftstone.functions import values as V
 from siftstone.operators.lexical import ranked
 from siftstone.sources.tables import materialised
 
-SAMPLE_ROWS, MAX_CELLS, CODES, SLICE_ROWS, QUERY_ROWS, CALIBRATION, BROADCAST_ROWS = 20_000, 4096, 256, 50_000, 20_000, 200, 200_000
+SAMPLE_ROWS, MAX_CELLS, CODES, SLICE_ROWS, QUERY_ROWS, CALIBRATION, BAR_ROWS, BROADCAST_ROWS = 20_000, 4096, 256, 50_000, 20_000, 200, 2048, 200_000
 
 
 def _means(x: np.ndarray, k: int, unit: bool, rounds: int = 12) -> np.ndarray:
@@ -51,12 +51,15 @@ def _means(x: np.ndarray, k: int, unit: bool, rounds: int = 12) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Quantiser:
-    """Unit centres (cells, width), the parts' points (parts, codes, width / parts), and the probes and candidates that the sample asks for."""
+    """Unit centres (cells, width), the parts' points (parts, codes, width / parts), the probes and candidates that the sample asks for, some rows of it, and by how much at most
+    codes rank a neighbour too low, but for a hundredth of them."""
 
     centres: np.ndarray
     points: np.ndarray
     probes: int
     keep: int
+    sample: np.ndarray
+    error: float
 
     @property
     def width(self) -> int:
@@ -83,13 +86,13 @@ class Quantiser:
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, centres=self.centres, points=self.points, rest=np.array([self.probes, self.keep]))
+        np.savez(out, centres=self.centres, points=self.points, rest=np.array([self.probes, self.keep]), sample=self.sample, error=np.array([self.error]))
         return out.getvalue()
 
     @staticmethod
     def from_bytes(data: bytes) -> Quantiser:
         there = np.load(io.BytesIO(data))
-        return Quantiser(there["centres"], there["points"], *map(int, there["rest"]))
+        return Quantiser(there["centres"], there["points"], *map(int, there["rest"]), there["sample"], float(there["error"][0]))
 
 
 def _unit_rows(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +128,7 @@ def fit(vectors: DataFrame, cells: int | None = None, part_width: int = 4, targe
     parts = max(p for p in range(1, width + 1) if width % p == 0 and (p == 1 or width // p >= part_width))
     rest = (x - centres[(x @ centres.T).argmax(axis=1)]).reshape(len(x), parts, -1)
     points = np.stack([_means(rest[:, i], min(CODES, len(x)), unit=False, rounds=8) for i in range(parts)])
-    return _calibrated(Quantiser(centres, points, cells, len(x)), x, target, k)
+    return _calibrated(Quantiser(centres, points, cells, len(x), x[:BAR_ROWS], 0.0), x, target, k)
 
 
 def _calibrated(found: Quantiser, x: np.ndarray, target: float, k: int) -> Quantiser:
@@ -135,7 +138,7 @@ def _calibrated(found: Quantiser, x: np.ndarray, target: float, k: int) -> Quant
     score[np.arange(len(some)), np.arange(len(some))] = -np.inf
     k = min(k, len(x) - 1)
     if k < 1:
-        return Quantiser(found.centres, found.points, 1, 1)
+        return replace(found, probes=1, keep=1)
     want = np.argpartition(-score, k - 1, axis=1)[:, :k]
     cell = found.cells(x)
     near = np.argsort(-(some @ found.centres.T), axis=1, kind="stable")
@@ -150,7 +153,8 @@ def _calibrated(found: Quantiser, x: np.ndarray, target: float, k: int) -> Quant
     rank = np.stack([np.searchsorted(np.sort(-rough[i]), -mine[i]) for i in range(len(some))])  # rows that the codes place before
     met = turn < probes
     keep = next((r for r in (1 << i for i in range(20)) if r >= k and ((rank < r) & met).mean() >= target or r >= len(x)), len(x))
-    return Quantiser(found.centres, found.points, probes, keep)
+    error = float(np.quantile(np.take_along_axis(score, want, axis=1) - mine, 0.99))
+    return replace(found, probes=probes, keep=keep, error=max(0.0, error))
 
 
 @dataclass(frozen=True)
@@ -204,17 +208,22 @@ def search(index: AnnIndex, queries: DataFrame, k: int, probes: int | None = Non
     z = index.quantiser
     if z is None:
         return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("chunk_id"), F.lit(0.0).alias("score")).limit(0)
-    probes, keep = min(probes or z.probes, len(z.centres)), max(k, keep or z.keep)
+    # Who asks for candidates of their own gets them without a bar.
+    whole, probes, keep = keep is not None, min(probes or z.probes, len(z.centres)), max(k, keep or z.keep)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, q = _unit_rows(batch["vector"], z.width)
             near = np.argsort(-(q @ z.centres.T), axis=1, kind="stable")[:, :probes]
             again = pa.array(np.repeat(at, near.shape[1]))
+            # The k best of all rows score at least what the k best of the sample do.
+            score = q @ z.sample.T
+            bar = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] - z.error if len(q) and score.shape[1] >= k and not whole else np.full(len(q), -np.inf)
+            bars = pa.array(np.repeat(bar, near.shape[1]))
             flat = pa.array(np.repeat(q, near.shape[1], axis=0).tolist(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch["query_id"].take(again), flat, pa.array(near.ravel().astype(np.int32))], ["query_id", "q", "cell"])
+            yield pa.RecordBatch.from_arrays([batch["query_id"].take(again), flat, pa.array(near.ravel().astype(np.int32)), bars], ["query_id", "q", "cell", "bar"])
 
-    asked = materialised(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(probed, f"query_id {id_kind}, q array<double>, cell int"), "probes")
+    asked = materialised(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(probed, f"query_id {id_kind}, q array<double>, cell int, bar double"), "probes")
     slices, blocks = F.ceil(F.col("n") / SLICE_ROWS).cast("int"), F.ceil(F.col("asked") / QUERY_ROWS).cast("int")
     # A row a cell; the filter lets the scan of the rows be pruned by what this side gives.
     opened = asked.groupBy("cell").agg(F.count("*").alias("asked")).where("asked > 0").join(F.broadcast(index.sizes()), "cell").select("cell", slices.alias("slices"), blocks.alias("blocks"))
@@ -223,7 +232,7 @@ def search(index: AnnIndex, queries: DataFrame, k: int, probes: int | None = Non
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     own = F.pmod(F.xxhash64("chunk_id", F.monotonically_increasing_id()), "slices").cast("int")
     codes = pruned().select("cell", own.alias("slice"), upto("blocks").alias("block"), "chunk_id", "code")
-    pairs = asked.join(F.broadcast(opened), "cell").select("cell", upto("slices").alias("slice"), F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), "query_id", "q")
+    pairs = asked.join(F.broadcast(opened), "cell").select("cell", upto("slices").alias("slice"), F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), "query_id", "q", "bar")
     kind = codes.schema["chunk_id"].dataType.simpleString()
 
     def best_of(rows: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -233,13 +242,15 @@ def search(index: AnnIndex, queries: DataFrame, k: int, probes: int | None = Non
         out, ids = [], rows["chunk_id"].combine_chunks()
         if not len(rows) or not len(wanted):
             return pa.table([pa.array([], wanted["query_id"].type), pa.array([], pa.int32()), pa.array([], ids.type), pa.array([], pa.float64())], names)
+        bars = wanted["bar"].to_numpy()
         cell, whose = wanted["cell"][0].as_py(), wanted["query_id"].combine_chunks()
         for i in range(0, len(q), 256):
             rough = z.rough(z.tables(q[i : i + 256]), code) + (q[i : i + 256] @ z.centres[cell])[:, None]
             most = min(keep, len(rows))
             best = np.argpartition(-rough, most - 1, axis=1)[:, :most]
-            again = pa.array(np.repeat(np.arange(i, i + len(rough)), most))
-            out.append(pa.table([whose.take(again), pa.array(np.full(best.size, cell, np.int32)), ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(rough, best, axis=1).ravel())], names))
+            value = np.take_along_axis(rough, best, axis=1)
+            asker, place = np.nonzero(value >= bars[i : i + 256, None])
+            out.append(pa.table([whose.take(pa.array(asker + i)), pa.array(np.full(len(asker), cell, np.int32)), ids.take(pa.array(best[asker, place])), pa.array(value[asker, place])], names))
         return pa.concat_tables(out)
 
     rough = codes.groupBy("cell", "slice", "block").cogroup(pairs.groupBy("cell", "slice", "block")).applyInArrow(best_of, f"query_id {id_kind}, cell int, chunk_id {kind}, rough double")

@@ -153,18 +153,20 @@ def _holders(items: DataFrame, docs: DataFrame, doc_tokens: DataFrame) -> DataFr
     """
     tokens = items.select("item_id", lexical.lexical_tokens(F.col("text")).alias("t"))
     terms = tokens.where("size(t) > 2").select("item_id", F.explode(F.array_distinct(F.expr("slice(t, 2, size(t) - 2)"))).alias("term"))
-    index = materialised(lexical.postings_of(doc_tokens).select("term", F.col("chunk_id").alias("doc_id")), "postings")
+    index = materialised(lexical.postings_of(doc_tokens, only=terms.select("term").distinct()).select("term", F.col("chunk_id").alias("doc_id")), "postings")
     df = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rare = Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "term")
     keys = terms.join(df, "term", "left").withColumn("n", F.row_number().over(rare)).where(F.col("n") <= KEY_TERMS)
     keys = keys.select("item_id", "term", F.max("n").over(Window.partitionBy("item_id")).alias("n"))
     near = index.join(keys, "term").groupBy("item_id", "doc_id", "n").agg(F.count_distinct("term").alias("met")).where("met = n")
-    return near.select("item_id", "doc_id").unionByName(_short_holders(items, tokens, docs, index))
+    near = near.select("item_id", "doc_id")
+    return near.unionByName(_short_holders(items, tokens, docs, doc_tokens)) if tokens.where("size(t) <= 2").limit(1).count() else near
 
 
-def _short_holders(items: DataFrame, tokens: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
+def _short_holders(items: DataFrame, tokens: DataFrame, docs: DataFrame, doc_tokens: DataFrame) -> DataFrame:
     """_holders() of passages of two terms or fewer."""
-    longest = F.element_at(F.array_sort("t", lambda a, b: F.length(a) - F.length(b)), -1)
+    index = materialised(doc_tokens.select(F.col("chunk_id").alias("doc_id"), F.explode(F.array_distinct("tokens")).alias("term")), "all-terms")
+    longest = F.try_element_at(F.array_sort("t", lambda a, b: F.length(a) - F.length(b)), F.lit(-1))
     short = tokens.where("size(t) BETWEEN 1 AND 2").select("item_id", longest.alias("part")).withColumn("gram", F.substring("part", 1, 3))
     size = short.select(F.length("gram").alias("size"), "gram").distinct()
     # Of the vocabulary, not of the documents: each distinct term once with each of its parts of these sizes.
