@@ -66,8 +66,7 @@ def crc32_of(key: Column) -> Column:
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows and about BATCH_BYTES an Arrow batch, so that batches of long texts fit a Python worker. What is planned here may run later, so the session keeps these settings; smaller ones of its own stay."""
+    """At most so many rows and about BATCH_BYTES an Arrow batch, so that batches of long texts fit a Python worker. What is planned here may run later, so the session keeps these settings; a smaller number of rows of its own stays."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "-1")) < BATCH_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
