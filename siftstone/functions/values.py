@@ -59,10 +59,6 @@ def versions_text(versions: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
 
 
-def present(m: Column) -> Column:
-    return F.map_filter(m, lambda _, v: v.isNotNull())
-
-
 # --- vectors -------------------------------------------------------------------------------------------------------
 
 

@@ -62,11 +62,6 @@ def _block_topk(k: int, digits: int):
     return topk
 
 
-def parsed_points(hits: DataFrame, vector_name: str) -> DataFrame:
-    """hits with dense_scores, a map from the vector's name to the score."""
-    return hits.withColumn("dense_scores", F.create_map(F.lit(vector_name), F.col("score")))
-
-
 def embed(df: DataFrame, provider, dimension: int, text: str = "context_text", out: str = "vector") -> DataFrame:
     """df with provider's vectors. provider maps a list of texts to as many vectors; another number or width fails the task."""
 

@@ -257,3 +257,12 @@ def test_evaluation(spark):
     base = spark.createDataFrame([("recall", 3, 1.0), ("gone", 1, 0.5), ("same", 1, 0.5)], "metric string, k int, value double")
     now = spark.createDataFrame([("recall", 3, 0.9), ("same", 1, 0.49)], "metric string, k int, value double")
     assert {x.metric for x in evaluate.regressions(base, now).collect()} == {"recall", "gone"}
+
+
+def test_filters_are_echoed_and_the_ladder_is_overridden(spark, corpus):
+    asked_ = query.preprocess(asked(spark, "apple"))
+    told = query.echoed(asked_, Filters(category="c", extra={"k": "v"}), "news").first()
+    assert told.filters == {"business_type": "news", "category": "c", "k": "v"} and told.effective == "apple" and query.echoed(asked_, Filters()).first().filters == {}
+    full, one = (query.run(asked(spark, "apple"), corpus, [Retriever("lex", "lexical")], top_k=k).first() for k in (None, {"context_top_k": 1}))
+    assert len(full.citations) == 3 and len(one.citations) == 1
+    assert query.with_ladder(Ladder(), recall_top_k=None, rerank_top_k=3) == Ladder(rerank_top_k=3)
