@@ -4,18 +4,25 @@ An impact is what a term of a field adds to a document's score in it; a score is
 best field. Documents of like length in a field make a zone, as length decides how large impacts can be; zones are cut into blocks. A term has a bound in
 each zone, its largest impact there, and a largest impact in each block.
 
-1. Each query's bar: the k best documents among the k largest impacts of its terms, scored in full, give a score that k documents reach.
-2. In each zone, terms in the order of their bounds: those whose bounds together stay under the bar can't lift a document over it alone. The others are
+Each query has a bar: the k best documents among the k largest impacts of its terms, scored in full, give a score that k documents reach.
+
+Few queries (MOST_TERMS terms in all, which then travel to the tasks): a task takes the impacts of a block. A query whose terms' largest impacts there don't reach its bar
+together leaves the block unscored; for the others the block's documents are summed up and those that reach the bar leave the task, its k best of the block at most, with ties.
+
+Many queries, as joins:
+1. In each zone, terms in the order of their bounds: those whose bounds together stay under the bar can't lift a document over it alone. The others are
    essential; a zone without an essential term isn't looked at.
-3. Of an essential term only the blocks are opened whose largest impacts, with the bounds of the rest, reach the bar; only what stands in
+2. Of an essential term only the blocks are opened whose largest impacts, with the bounds of the rest, reach the bar; only what stands in
    them becomes a candidate, with its essential terms' sum.
-4. A candidate whose sum and the rest's bounds reach the bar gets the impacts of the other terms, looked up by term and document.
+3. A candidate whose sum and the rest's bounds reach the bar gets the impacts of the other terms, looked up by term and document.
 
 So a term that stands everywhere, or that every query has, adds no candidates: what is joined grows with the queries times k, and with what reaches a bar.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +30,14 @@ from siftstone.sources.tables import materialised
 
 #: Documents of a block, about; zones a doubling of the length; bits of a block's number within its zone.
 BLOCK_ROWS, ZONES, BLOCK_BITS = 256, 2, 32
+#: Query terms that travel to the tasks at most.
+MOST_TERMS = 200_000
 
 
 def block_of(field_no: Column, length: Column, chunk_id: Column, n_docs: Column) -> Column:
     """The number of a document's block: field, zone by length, and a hash for zones of many documents."""
     zone = F.least(F.lit(63), F.floor(ZONES * F.log2(F.greatest(F.lit(1), length))).cast("int"))
-    within = F.pmod(F.xxhash64(chunk_id), F.ceil(n_docs / (8 * BLOCK_ROWS)).cast("long"))
+    within = F.pmod(F.xxhash64(chunk_id), F.ceil(n_docs / (4 * BLOCK_ROWS)).cast("long"))
     return F.shiftleft((field_no * 64 + zone).cast("long"), BLOCK_BITS) + within
 
 
@@ -54,16 +63,61 @@ def topk(impacts: DataFrame, terms: DataFrame, k: int, digits: int | None = None
     """
     slack = 10.0 ** -(digits if digits is not None else 9)
     zoned = impacts.withColumn("zone", _zone("blk"))
-    asked = materialised(terms.join(zoned.groupBy("t", "zone").agg(F.max("part").alias("bound")), "t"), "asked")
-
-    # The bar.
     best = Window.partitionBy("t").orderBy(F.desc("part"), "chunk_id")
     champions = zoned.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("t", _field("zone").alias("field"), "chunk_id", "part")
     met = terms.join(champions, "t").groupBy("query_id", "field", "chunk_id").agg(F.sum("part").alias("s")).groupBy("query_id", "chunk_id").agg(F.max("s").alias("s"))
     seeds = met.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "chunk_id"))).where(F.col("n") <= k)
     reached = _full(seeds.select("query_id", "chunk_id").join(terms, "query_id"), impacts).groupBy("query_id", "chunk_id").agg(F.max("s").alias("s"))
     bars = reached.groupBy("query_id").agg(F.min("s").alias("bar"), F.count("*").alias("n")).where(F.col("n") == k).select("query_id", (F.col("bar") - 2 * slack).alias("bar"))
+    small = terms.count() <= MOST_TERMS
+    sums = _in_blocks(impacts, terms, bars, k, slack) if small else _by_joins(impacts, zoned, terms, bars)
+    score = F.max("s") if digits is None else F.round(F.max("s"), digits)
+    return sums.groupBy("query_id", "chunk_id").agg(score.alias("score"))
+
 
+def _in_blocks(impacts: DataFrame, terms: DataFrame, bars: DataFrame, k: int, slack: float) -> DataFrame:
+    """(query_id, chunk_id, s) of the documents that reach a query's bar, scored block by block."""
+    asked = terms.join(bars, "query_id", "left").select("query_id", "t", F.coalesce("bar", F.lit(0.0)).alias("bar")).orderBy("query_id", "t").toArrow().combine_chunks()
+    t = asked["t"].to_numpy()
+    whose = asked["query_id"].combine_chunks() if len(asked) else pa.array([], asked["query_id"].type)
+    number = whose.dictionary_encode()
+    ids, number = number.dictionary, number.indices.to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else np.zeros(0, int)
+    last, bar = np.append(first[1:], len(number)), asked["bar"].to_numpy()[first]
+
+    def score(block: pa.Table) -> pa.Table:
+        of, at = np.unique(np.asarray(block["t"]), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        part, chunks = block["part"].to_numpy()[order], block["chunk_id"].combine_chunks().dictionary_encode()
+        doc = chunks.indices.to_numpy(zero_copy_only=False)[order]
+        start = np.searchsorted(at[order], np.arange(len(of) + 1))
+        most = np.maximum.reduceat(part, start[:-1])
+        place = np.searchsorted(of, t)
+        there = of[np.minimum(place, len(of) - 1)] == t
+        # What a query could reach in the block.
+        reach = np.add.reduceat(np.where(there, most[np.minimum(place, len(of) - 1)], 0.0), first) if len(first) else np.zeros(0)
+        out_q, out_doc, out_s = [], [], []
+        for q in np.flatnonzero((reach >= bar) & (reach > 0)):
+            mine = place[first[q] : last[q]][there[first[q] : last[q]]]
+            n = start[mine + 1] - start[mine]
+            rows = np.repeat(start[mine] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            s = np.bincount(doc[rows], part[rows], minlength=len(chunks.dictionary))
+            hit = np.flatnonzero((s >= bar[q]) & (s > 0))
+            if len(hit) > k:
+                hit = hit[s[hit] >= np.partition(s[hit], len(hit) - k)[len(hit) - k] - 2 * slack]
+            out_q.append(np.full(len(hit), q))
+            out_doc.append(hit)
+            out_s.append(s[hit])
+        q, d, s = (np.concatenate(x) if x else np.zeros(0, int) for x in (out_q, out_doc, out_s))
+        return pa.table([ids.take(pa.array(q)), chunks.dictionary.take(pa.array(d)), pa.array(s.astype(float))], ["query_id", "chunk_id", "s"])
+
+    kinds = terms.schema["query_id"].dataType.simpleString(), impacts.schema["chunk_id"].dataType.simpleString()
+    return impacts.groupBy("blk").applyInArrow(score, f"query_id {kinds[0]}, chunk_id {kinds[1]}, s double")
+
+
+def _by_joins(impacts: DataFrame, zoned: DataFrame, terms: DataFrame, bars: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, s) of the documents that may reach a query's bar, each with its full sums."""
+    asked = materialised(terms.join(zoned.groupBy("t", "zone").agg(F.max("part").alias("bound")), "t"), "asked")
     # Essential terms of each zone, and the bounds of the others.
     in_zone = Window.partitionBy("query_id", "zone")
     rising = in_zone.orderBy("bound", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -81,6 +135,4 @@ def topk(impacts: DataFrame, terms: DataFrame, k: int, digits: int | None = None
     found = found.groupBy("query_id", "zone", "chunk_id").agg(F.sum("part").alias("s"), F.first("bar").alias("bar"), F.first("rest").alias("rest"))
     found = materialised(found.where(F.col("s") + F.col("rest") >= F.col("bar")).select("query_id", "zone", "chunk_id", "s"), "candidates")
     more = _full(found.select("query_id", "zone", "chunk_id").join(other.select("query_id", "zone", "t"), ["query_id", "zone"]).select("query_id", "t", "chunk_id"), impacts)
-    sums = found.select("query_id", _field("zone").alias("field"), "chunk_id", "s").unionByName(more).groupBy("query_id", "field", "chunk_id").agg(F.sum("s").alias("s"))
-    score = F.max("s") if digits is None else F.round(F.max("s"), digits)
-    return sums.groupBy("query_id", "chunk_id").agg(score.alias("score"))
+    return found.select("query_id", _field("zone").alias("field"), "chunk_id", "s").unionByName(more).groupBy("query_id", "field", "chunk_id").agg(F.sum("s").alias("s"))

@@ -110,8 +110,10 @@ def test_the_last_dense_score_decides_ties_of_rounds(spark):
     assert [r.chunk_id for r in merged] == ["b", "a", "c"]
 
 
-def test_pruned_search_equals_scoring_everything(spark):
-    """Queries of common and rare terms over documents of a few words, against sums over all postings."""
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_pruned_search_equals_scoring_everything(spark, monkeypatch, most):
+    """Queries of common and rare terms over documents of a few words, against sums over all postings; by blocks and by joins."""
+    monkeypatch.setattr(lexical.maxscore, "MOST_TERMS", most)
     import math
     import random
 
@@ -151,10 +153,11 @@ def test_pruned_search_equals_scoring_everything(spark):
         assert {q: v for q, v in want.items() if v} == got
 
 
-def test_pruning_opens_few_blocks(spark):
+def test_pruning_opens_few_blocks(spark, monkeypatch):
     """A term that all documents and queries hold adds no candidates: rows grow with the queries, not with queries times documents."""
     from siftstone.operators import maxscore
 
+    monkeypatch.setattr(maxscore, "MOST_TERMS", 0)
     chunks = spark.range(20_000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("all of them hold own"), "id").alias("text"))
     queries = spark.range(200).select(F.col("id").alias("query_id"), F.concat(F.lit("all hold own"), "id").alias("query"))
     seen = []
