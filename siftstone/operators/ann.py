@@ -7,7 +7,7 @@ each slice that reach the query's bar become candidates (the bar is the k-th bes
 
 The quantiser is fitted on a sample of about SAMPLE_ROWS rows by hash; every row is indexed. The sample also tells how many cells to probe and how many
 candidates to keep for a recall of `target` against brute force. A cell of more than SLICE_ROWS rows is searched in slices, and one that more than QUERY_ROWS
-queries probe in blocks of these, so that copies of one vector don't gather in a task. Bounds: MAX_CELLS centres and the parts' points are what the driver and the tasks hold of the quantiser.
+queries probe in blocks of these, so that copies of one vector don't gather in a task. Bounds: MAX_CELLS centres and the parts' points are what the driver and the tasks hold of the quantiser, and BAR_ROWS rows of the sample.
 
 Null, empty, zero and non-finite vectors, and those of another width than the sample's most frequent one, are in no cell and never found. Ids are
 any type that orders; rows that share an id are rows of their own.
@@ -28,7 +28,7 @@ from siftstone.functions import values as V
 from siftstone.operators.lexical import ranked
 from siftstone.sources.tables import materialised
 
-SAMPLE_ROWS, MAX_CELLS, CODES, SLICE_ROWS, QUERY_ROWS, CALIBRATION, BAR_ROWS, BROADCAST_ROWS = 20_000, 4096, 256, 50_000, 20_000, 200, 2048, 200_000
+SAMPLE_ROWS, MAX_CELLS, CODES, SLICE_ROWS, QUERY_ROWS, CALIBRATION, BAR_ROWS, BROADCAST_ROWS = 20_000, 4096, 256, 50_000, 20_000, 200, 16_384, 200_000
 
 
 def _means(x: np.ndarray, k: int, unit: bool, rounds: int = 12) -> np.ndarray:
@@ -128,7 +128,7 @@ def fit(vectors: DataFrame, cells: int | None = None, part_width: int = 4, targe
     parts = max(p for p in range(1, width + 1) if width % p == 0 and (p == 1 or width // p >= part_width))
     rest = (x - centres[(x @ centres.T).argmax(axis=1)]).reshape(len(x), parts, -1)
     points = np.stack([_means(rest[:, i], min(CODES, len(x)), unit=False, rounds=8) for i in range(parts)])
-    return _calibrated(Quantiser(centres, points, cells, len(x), x[:BAR_ROWS], 0.0), x, target, k)
+    return _calibrated(Quantiser(centres, points, cells, len(x), x[:BAR_ROWS].astype(np.float32), 0.0), x, target, k)
 
 
 def _calibrated(found: Quantiser, x: np.ndarray, target: float, k: int) -> Quantiser:
