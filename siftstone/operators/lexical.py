@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from siftstone.functions.text import lexical_tokens
 from siftstone.functions.values import let
 from siftstone.operators import maxscore
-from siftstone.sources.tables import materialised
+from siftstone.sources.tables import discard, materialised
 
 K1, B = 1.2, 0.75
 #: Field boosts of the multi-field search.
@@ -134,7 +134,10 @@ def bm25_topk(index: DataFrame, queries: DataFrame, k: int, boosts: dict[str, fl
 def search(text: DataFrame, queries: DataFrame, k: int, tokens: Callable[[Column], Column] = lexical_tokens, **options) -> DataFrame:
     """bm25_topk() over tokenised() text that has no index: only the postings of the queries' terms are made."""
     asked = query_terms(queries, tokens=tokens).select("term").distinct()
-    return bm25_topk(materialised(postings_of(text, only=asked), "postings"), queries, k, stats=field_stats(text), tokens=tokens, **options)
+    index = materialised(postings_of(text, only=asked), "postings")
+    found = bm25_topk(index, queries, k, stats=field_stats(text), tokens=tokens, **options)
+    discard(index)  # what found still reads are tables of their own
+    return found
 
 
 def _boost(boosts: dict[str, float]) -> Column:

@@ -61,6 +61,14 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the folder of a materialised() table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_json_originals(spark: SparkSession, path: str) -> DataFrame:
     """Originals from a folder of JSON files, one a document; files that don't parse are left out. The id is the file's stem where the record has none."""
     schema = T.StructType([*ORIGINALS.fields, T.StructField("_corrupt", _TEXT)])
