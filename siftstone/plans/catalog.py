@@ -35,7 +35,7 @@ def _tokens(spark, sf_dir) -> DataFrame:
 
 def _bm25(spark, sf_dir, k=10, allowed=None, tokens=None) -> DataFrame:
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return lexical.search(tokens or _tokens(spark, sf_dir), asked, k, allowed=allowed, digits=6)
+    return lexical.search(tokens if tokens is not None else _tokens(spark, sf_dir), asked, k, allowed=allowed, digits=6)
 
 
 def hybrid_bm25_topk(spark, sf_dir):
@@ -179,10 +179,10 @@ def _short_holders(items: DataFrame, tokens: DataFrame, docs: DataFrame, doc_tok
     return by_part.unionByName(signs.join(bare, "sign").select("item_id", "doc_id").distinct())
 
 
-def _golden(spark, sf_dir, tokens: DataFrame) -> DataFrame:
+def _golden(spark, sf_dir, tokens: DataFrame | None = None) -> DataFrame:
     """Relevant are the documents that hold a passage; passages that none holds are negatives."""
     items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
-    pairs = _holders(items, docs, tokens).join(items, "item_id").join(docs.select("doc_id", F.col("text").alias("body")), "doc_id")
+    pairs = _holders(items, docs, tokens if tokens is not None else _tokens(spark, sf_dir)).join(items, "item_id").join(docs.select("doc_id", F.col("text").alias("body")), "doc_id")
     held = pairs.where(F.contains("body", F.col("text"))).groupBy("item_id").agg(F.array_sort(F.collect_set("doc_id")).alias("relevant_doc_ids"))
     none = F.array().cast("array<bigint>")
     return items.select("item_id").join(held, "item_id", "left").select(F.col("item_id").alias("id"), F.coalesce("relevant_doc_ids", none).alias("relevant_doc_ids"), F.col("relevant_doc_ids").isNull().alias("expected_empty"))
