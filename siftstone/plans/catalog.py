@@ -14,7 +14,7 @@ from siftstone.functions import values as V
 from siftstone.operators import ann, bookkeeping, chunking, dense, fusion, lexical, replies, segment
 from siftstone.operators.lexical import Filters
 from siftstone.plans import evaluate, ingest
-from siftstone.sources.tables import FAILURES, delete_where, materialised, shared_folder, upsert
+from siftstone.sources.tables import FAILURES, delete_where, discard, materialised, shared_folder, upsert
 from siftstone.streaming.jobs import event_windows
 
 
@@ -35,7 +35,12 @@ def _tokens(spark, sf_dir) -> DataFrame:
 
 def _bm25(spark, sf_dir, k=10, allowed=None, tokens=None) -> DataFrame:
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return lexical.search(tokens if tokens is not None else _tokens(spark, sf_dir), asked, k, allowed=allowed, digits=6)
+    if tokens is not None:
+        return lexical.search(tokens, asked, k, allowed=allowed, digits=6)
+    tokens = _tokens(spark, sf_dir)
+    found = lexical.search(tokens, asked, k, allowed=allowed, digits=6)
+    discard(tokens)  # search() has read them
+    return found
 
 
 def hybrid_bm25_topk(spark, sf_dir):
