@@ -10,54 +10,67 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.operators.lexical import ranked
 
-GROUP_ROWS, QUERY_ROWS = 50_000, 512
+#: Rows of a group, queries of a block, and scores that a task holds at a time.
+GROUP_ROWS, QUERY_ROWS, SCORES = 16_384, 2048, 1 << 20
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, rank, chunk_id, score): the k rows of vectors (chunk_id, vector) most similar to each of queries (query_id, vector).
 
     Null, zero and non-finite vectors take no part. Vectors of another width than the query's don't meet it. Scores are rounded to `digits`, ties go
-    to the smaller chunk id.
+    to the smaller chunk id. A task holds a group, a block and SCORES scores, whatever the number of rows and queries.
     """
     n, n_queries = vectors.count(), queries.count()
     groups, blocks = max(1, -(-n // GROUP_ROWS)), max(1, -(-n_queries // QUERY_ROWS))
     left = vectors.select("chunk_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("chunk_id"), F.lit(groups)).cast("int").alias("grp"))
     right = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
     c_type, q_type = (d.schema[c].dataType.simpleString() for d, c in ((vectors, "chunk_id"), (queries, "query_id")))
-    found = left.groupBy("grp", "block").cogroup(right.groupBy("grp", "block")).applyInPandas(_block_topk(k, digits), f"query_id {q_type}, chunk_id {c_type}, score double")
+    found = left.groupBy("grp", "block").cogroup(right.groupBy("grp", "block")).applyInArrow(_block_topk(k, digits), f"query_id {q_type}, chunk_id {c_type}, score double")
     return ranked(found, k)
 
 
-def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are usable, and these as unit vectors."""
-    x = np.stack([np.asarray(v, float) for v in vectors]) if len(vectors) else np.zeros((0, 0))
-    length = np.linalg.norm(x, axis=1) if x.size else np.zeros(len(x))
-    fine = np.isfinite(length) & (length > 0)
-    return fine, x[fine] / length[fine, None] if x.size else x
+def _by_width(table: pa.Table, name: str) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """By width: the ids of the usable vectors, ascending, and these as unit vectors."""
+    ids, vectors = (table[c].combine_chunks() if len(table) else pa.array([], table.schema.field(c).type) for c in (name, "vector"))
+    order = pc.sort_indices(ids)
+    ids, vectors = ids.take(order), vectors.take(order)
+    widths, out = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False), {}
+    for width in np.unique(widths[widths > 0]).tolist():
+        at = np.flatnonzero(widths == width)
+        # A null component becomes NaN, and so does the length.
+        x = np.array(vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), float).reshape(len(at), width)
+        length = np.linalg.norm(x, axis=1)
+        fine = np.isfinite(length) & (length > 0)
+        if fine.any():
+            out[width] = ids.take(pa.array(at[fine])), x[fine] / length[fine, None]
+    return out
 
 
 def _block_topk(k: int, digits: int):
-    def topk(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})]
-        usable = lambda d: d[d["vector"].map(lambda v: v is not None and len(v) > 0 and all(c is not None for c in v))]
-        rows, asked = usable(rows), usable(asked)
-        for width, some in asked.groupby(asked["vector"].map(len)):
-            same = rows[rows["vector"].map(len) == width]
-            if not len(same):
+    def topk(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        of, out = _by_width(rows, "chunk_id"), []
+        for width, (query_ids, q) in _by_width(asked, "query_id").items():
+            if width not in of:
                 continue
-            (keep, x), (ask, q) = _unit(same["vector"]), _unit(some["vector"])
-            ids = same["chunk_id"].to_numpy()[keep]
-            order = np.argsort(ids, kind="stable")
-            scores = np.round(q @ x[order].T, digits) + 0.0
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            for qid, s, b in zip(some["query_id"].to_numpy()[ask], scores, best):
-                out.append(pd.DataFrame({"query_id": qid, "chunk_id": ids[order][b], "score": s[b]}))
-        return pd.concat(out[1:] or out, ignore_index=True)
+            ids, x = of[width]
+            step, most = max(1, SCORES // len(ids)), min(k, len(ids))
+            for start in range(0, len(q), step):
+                scores = np.round(q[start : start + step] @ x.T, digits) + 0.0
+                # All above the last place's score, and of those with it the first.
+                last = np.partition(scores, len(ids) - most, axis=1)[:, len(ids) - most, None]
+                tie = scores == last
+                room = most - (scores > last).sum(axis=1, keepdims=True)
+                query, row = np.nonzero((scores > last) | (tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= room)))
+                out.append(pa.table([query_ids.take(pa.array(query + start)), ids.take(pa.array(row)), pa.array(scores[query, row])], ["query_id", "chunk_id", "score"]))
+        kinds = asked.schema.field("query_id").type, rows.schema.field("chunk_id").type
+        return pa.concat_tables(out) if out else pa.table([pa.array([], kind) for kind in (*kinds, pa.float64())], ["query_id", "chunk_id", "score"])
 
     return topk
 
