@@ -12,6 +12,11 @@ from siftstone.llm.common import written
 LEAST_SLOPE = 1e-3
 
 
+def part_of(doc_id: str) -> Column:
+    """A number in [0, 1) for an id, always the same."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(12)), F.lit(1 << 20)) / float(1 << 20)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, rows: int) -> DataFrame:
     """(doc_id, text, label int, part double): the texts of at most `rows` labelled documents that aren't held out.
 
@@ -26,8 +31,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
         .orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "label")
         .limit(rows)
     )
-    part = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(1 << 20)) / float(1 << 20)
-    return written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", part.alias("part")), "sample")
+    return written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", part_of("doc_id").alias("part")), "sample")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:

@@ -86,6 +86,31 @@ def test_ratio_and_threshold_equal_brute_force(spark, docs):
         assert r.kept == (not r.base_failed and r.llr >= model.threshold) and r.kept == (r.doc_id < 40)
 
 
+def test_every_trusted_text_counts(spark, docs, monkeypatch):
+    assert not hasattr(R, "SAMPLE")
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(300)], 30)) for _ in range(300)]
+    df, labels = docs(*texts), spark.createDataFrame([(n, 1) for n in range(200)], "doc_id long, quality int")
+    monkeypatch.setattr(R, "BARS", 4)
+    model = R.train(df, labels, share=0.4)
+    raw = np.bincount([b for t in texts for b in brute_buckets(t)], minlength=R.BUCKETS)
+    folds = {r.doc_id: r.fold for r in R.trusted_folds(labels).collect()}
+    target = np.array([np.bincount([b for n, f in folds.items() if f == k for b in brute_buckets(texts[n])], minlength=R.BUCKETS) for k in range(R.FOLDS)])
+    assert np.array_equal(model.ratio, R.ratios(target.sum(axis=0), raw))
+    own = sorted(np.mean(R.ratios(target.sum(axis=0) - target[f], raw)[brute_buckets(texts[n])]) for n, f in folds.items())
+    assert model.threshold == pytest.approx(own[80], abs=1e-12) and own[79] < own[80] < own[81]
+    # A shuffle join gives the same.
+    monkeypatch.setattr(R, "BROADCAST_IDS", 0)
+    assert R.train(df, labels, share=0.4).threshold == model.threshold
+
+
+@pytest.mark.parametrize("values", [[1.0], [2.0] * 50, [-1.7e308, 1.7e308, 0.0, 0.0, 5e-324], [float(x) for x in np.random.default_rng(1).normal(size=500).round(1)]])
+def test_nth_smallest(spark, monkeypatch, values):
+    monkeypatch.setattr(R, "BARS", 4)
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [R.nth_smallest(df, n) for n in range(0, len(values), 1 + len(values) // 6)] == sorted(values)[:: 1 + len(values) // 6]
+
+
 def test_tables_without_rows_or_labels(spark, docs):
     df = docs("word " * 5, " ".join(map(str, range(30))))
     none = spark.createDataFrame([], "doc_id long, quality int")
