@@ -88,36 +88,40 @@ class CleaningProfile:
         return cls(tuple(out), not data.get("disable_default_boilerplate", False))
 
 
-def _control(t: Column) -> tuple[Column, Column]:
-    n = F.regexp_count(t, F.lit(CONTROL))
-    return F.regexp_replace(t, CONTROL, ""), F.when(n > 0, F.format_string("removed %d control chars", n)).otherwise("")
+#: What a rule says of the text before and after it, both columns that are there already: a rule's text is computed once.
+Detail = Callable[[Column, Column], Column]
 
 
-def _unicode(t: Column, compose: bool) -> tuple[Column, Column]:
-    new = half_width(nfc(t) if compose else t)
-    gone = F.length(t) - F.length(new)
-    return new, F.when(gone == 0, "").otherwise(F.format_string("normalised %d chars", gone))
+def _control(t: Column) -> tuple[Column, Detail]:
+    gone = lambda old, new: F.length(old) - F.length(new)
+    return F.regexp_replace(t, CONTROL, ""), lambda old, new: F.when(gone(old, new) > 0, F.format_string("removed %d control chars", gone(old, new))).otherwise("")
 
 
-def _html(t: Column) -> tuple[Column, Column]:
+def _unicode(t: Column, compose: bool) -> tuple[Column, Detail]:
+    gone = lambda old, new: F.length(old) - F.length(new)
+    return half_width(nfc(t) if compose else t), lambda old, new: F.when(gone(old, new) == 0, "").otherwise(F.format_string("normalised %d chars", gone(old, new)))
+
+
+def _html(t: Column) -> tuple[Column, Detail]:
     bare = F.regexp_replace(F.regexp_replace(t, BLOCK_TAG, "\n"), ANY_TAG, "")
     for entity, char in ENTITIES:
         bare = F.replace(bare, F.lit(entity), F.lit(char))
-    tagged = F.rlike(t, F.lit(LOOKS_LIKE_HTML))
-    new = F.when(tagged, bare).otherwise(t)
-    return new, F.when(tagged, F.format_string("regex stripped HTML; %d chars removed", F.length(t) - F.length(new))).otherwise("no HTML detected")
+    tagged = lambda x: F.rlike(x, F.lit(LOOKS_LIKE_HTML))
+    detail = lambda old, new: F.when(tagged(old), F.format_string("regex stripped HTML; %d chars removed", F.length(old) - F.length(new))).otherwise("no HTML detected")
+    return F.when(tagged(t), bare).otherwise(t), detail
 
 
-def _whitespace(t: Column) -> tuple[Column, Column]:
+def _whitespace(t: Column) -> tuple[Column, Detail]:
     new = strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\r\n|\r", "\n"), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
-    gone = F.length(t) - F.length(new)
-    return new, F.when(gone == 0, "").otherwise(F.format_string("%d chars normalised", gone))
+    gone = lambda old, new: F.length(old) - F.length(new)
+    return new, lambda old, new: F.when(gone(old, new) == 0, "").otherwise(F.format_string("%d chars normalised", gone(old, new)))
 
 
-def _punctuation(t: Column) -> tuple[Column, Column]:
+def _punctuation(t: Column) -> tuple[Column, Detail]:
     new = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, REPEATED, "$1"), DOTS, "…"), DASHES, "—")
-    n = F.regexp_count(t, F.lit(f"{REPEATED}|{DOTS}|{DASHES}"))
-    return new, F.when(n > 0, F.format_string("collapsed %d punct run(s)", n)).otherwise("")
+    n = lambda old: F.regexp_count(old, F.lit(f"{REPEATED}|{DOTS}|{DASHES}"))
+    # Each run that goes shortens the text, so runs are counted only in texts that got shorter.
+    return new, lambda old, new: F.when(F.length(old) > F.length(new), F.format_string("collapsed %d punct run(s)", n(old))).otherwise("")
 
 
 def clean(df: DataFrame, text: str = "raw_text", profile: CleaningProfile = CleaningProfile(), out: str = "text") -> DataFrame:
@@ -125,7 +129,7 @@ def clean(df: DataFrame, text: str = "raw_text", profile: CleaningProfile = Clea
 
     Each rule adds its text as a column, so later rules and the log read it instead of computing it again. A null text is an empty one.
     """
-    steps: list[tuple[str, Callable[[Column], tuple[Column, Column]] | None]] = list(zip(OPERATIONS, (None, _control, lambda t: _unicode(t, profile.compose), _html, None, _whitespace, _punctuation)))
+    steps: list[tuple[str, Callable[[Column], tuple[Column, Detail]] | None]] = list(zip(OPERATIONS, (None, _control, lambda t: _unicode(t, profile.compose), _html, None, _whitespace, _punctuation)))
     df = df.withColumn("_t0", F.coalesce(F.col(text), F.lit("")))
     records = []
     for n, (op, rule) in enumerate(steps):
@@ -145,12 +149,15 @@ def clean(df: DataFrame, text: str = "raw_text", profile: CleaningProfile = Clea
             count = F.lit(0)
             for k, pattern in enumerate(patterns):
                 at = old if not k else F.col(f"_t{n}_{k}")
-                count = count + F.regexp_count(at, F.lit(pattern))
+                matches = F.regexp_count(at, F.lit(pattern))
+                # The default patterns match no empty text: what they leave as it is has no match to count.
+                count = count + (matches if k < len(profile.patterns) else F.when(F.col(f"_t{n}_{k + 1}") == at, 0).otherwise(matches))
                 df = df.withColumn(f"_t{n}_{k + 1}", F.regexp_replace(at, pattern, ""))
             text_ = F.col(f"_t{n}_{len(patterns)}") if patterns else old
             detail = F.when(count > 0, F.format_string("removed %d boilerplate match(es)", count)).otherwise("") if patterns else F.lit("no patterns active")
         else:
-            text_, detail = rule(old)
+            text_, of = rule(old)
+            detail = of(old, F.col(new))
         df = df.withColumn(new, text_)
         records.append(F.struct(F.lit(op).alias("op"), F.length(old).alias("chars_before"), F.length(new).alias("chars_after"), detail.alias("detail")))
     last = f"_t{len(steps)}"

@@ -110,3 +110,17 @@ def test_fences_and_metrics(spark):
 def test_nfc_equals_python(spark):
     text = "ÅﬁÁ"
     assert one(spark, T.nfc(F.col("t")), t=text) == unicodedata.normalize("NFC", text)
+
+
+def test_each_rule_is_computed_once(spark):
+    texts = ["a\x00b!!!  c\r\n\n\n\nd", "<p>x&amp;y</p>", "Page 3 of 9\nbody", "---...", "", None, "Ａ fine text"]
+    df = spark.createDataFrame([(t,) for t in texts], "raw_text string")
+    cleaned = T.clean(df)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("blockquote") == 1 and plan.count(r"\r\n|\r") == 1 and plan.count("translate(") == 1
+    log = {r.raw_text: [(x.op, x.chars_before - x.chars_after, x.detail) for x in r.log] for r in cleaned.collect()}
+    assert log[texts[0]][1] == ("control_char_strip", 1, "removed 1 control chars") and log[texts[0]][5:] == [("whitespace_norm", 4, "4 chars normalised"), ("repeated_punct_fix", 2, "collapsed 1 punct run(s)")]
+    assert log[texts[1]][3] == ("html_strip", 10, "regex stripped HTML; 10 chars removed") and log[texts[2]][4] == ("boilerplate_strip", 11, "removed 1 boilerplate match(es)")
+    assert log[texts[3]][6][2] == "collapsed 2 punct run(s)" and log[texts[6]][2][2] == "" and log[None] == log[""] and all(d == 0 for _, d, _ in log[""])
