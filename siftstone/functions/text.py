@@ -41,9 +41,18 @@ NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 OPERATIONS = ("encoding_fix", "control_char_strip", "unicode_norm", "html_strip", "boilerplate_strip", "whitespace_norm", "repeated_punct_fix")
 
 
+#: White space as (?U)\\s has it.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Both ends without white space of any kind."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+", ""), r"(?U)[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(SPACES + "\x1c\x1d\x1e\x1f"))
+
+
+def is_blank(text: Column) -> Column:
+    """Whether strip() would leave nothing."""
+    return ~F.rlike(text, F.lit(r"(?U)[^\s\x1c-\x1f]"))
 
 
 @F.pandas_udf(StringType())
@@ -189,7 +198,8 @@ def effective_query(rewritten: Column, normalized: Column, used: Column) -> Colu
 
 
 def token_count(text: Column) -> Column:
-    cjk = F.regexp_count(text, F.lit(CJK))
+    # Texts of single bytes have no CJK characters to look for.
+    cjk = F.when(F.octet_length(text) == F.length(text), 0).otherwise(F.regexp_count(text, F.lit(CJK)))
     return cjk + F.floor((F.length(text) - cjk + 2) / 3).cast("int")
 
 

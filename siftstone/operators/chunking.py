@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ HEADINGS = (
     (r"^\d+(?:\.\d+){0,3}\s+[^\d].+", None),
 )
 ITEM = r"^\s*(?:[•\-\*\x{ff65}\x{30fb}◆◇○●▪▸►]\s+|\d+[.)）]\s+|[①②③④⑤⑥⑦⑧⑨⑩]\s*)"
+#: How a line may begin that is a heading of any kind; other lines needn't meet the patterns.
+HEADING_STARTS = r"(?U)^[#第一二三四五六七八九十（\daAsSſ]"
 STEP = r"(?i)^(?:步骤|Step|操作|Action)\s*\d+[：:.]\s*"
 PIPE = r"(?<!\|)\|(?!\|)"
 SENTENCE_END = r"(?<=[。！？…\?!])|(?<=\.)\s+(?=[A-Z\x{4e00}-\x{9fff}])|(?<=\n\n)"
@@ -68,7 +71,7 @@ def heading_level(line: Column) -> Column:
         else:
             found = F.lit(level)
         out = F.when(F.rlike(line, F.lit("(?U)" + pattern)), found).otherwise(out)
-    return out
+    return F.when(F.rlike(F.substring(line, 1, 1), F.lit(HEADING_STARTS)), out)
 
 
 def parse(docs: DataFrame, levels: tuple[str, ...] = LEVELS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,13 +80,13 @@ def parse(docs: DataFrame, levels: tuple[str, ...] = LEVELS, doc_id: str = "doc_
     level = heading_level(F.col("line")) if {"heading", "clause"} & set(levels) else F.lit(None).cast("int")
     step = F.rlike("line", F.lit("(?U)" + STEP)) if "step" in levels else F.lit(False)
     by_doc = Window.partitionBy("doc_id").orderBy("at")
-    seen = lines.withColumn("blank", F.length(T.strip(F.col("line"))) == 0).withColumn("level", F.when(~F.col("blank"), level)).withColumn("step", step & F.col("level").isNull())
+    seen = lines.withColumn("blank", T.is_blank(F.col("line"))).withColumn("level", F.when(~F.col("blank"), level)).withColumn("step", step & F.col("level").isNull())
     # A block opens after a blank line or heading, and at headings and steps.
     opens = F.col("level").isNotNull() | F.col("step") | F.coalesce(F.lag("blank").over(by_doc), F.lit(True)) | F.lag("level").over(by_doc).isNotNull()
     item = F.rlike("line", F.lit("(?U)" + ITEM)) if "list_item" in levels else F.lit(False)
     in_block = seen.withColumn("opens", opens).where("NOT blank").withColumn("block", F.sum(F.col("opens").cast("int")).over(by_doc)).withColumn("item", item)
     of_block = Window.partitionBy("doc_id", "block")
-    pipes = F.sum(F.rlike("line", F.lit(PIPE)).cast("int")).over(of_block)
+    pipes = F.sum((F.contains("line", F.lit("|")) & F.rlike("line", F.lit(PIPE))).cast("int")).over(of_block)
     # The leading items of a block, with their indented continuations, are a list; what follows is another block.
     leading = F.min((F.col("item") | F.startswith("line", F.lit("  "))).cast("int")).over(of_block.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) == 1
     first_item = F.first("item").over(of_block.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -126,31 +129,36 @@ def chunk(nodes: DataFrame, docs: DataFrame, budget: Budget = Budget(), config_v
     known = {c: docs[c] for c in ("context_padding", "business_type", "source_metadata", "keywords", "entities", "potential_questions") if c in docs.columns}
     out = out.join(docs.select("doc_id", *known), "doc_id")
     blurb = F.col("context_padding") if "context_padding" in known else F.lit(None).cast("string")
-    over = T.token_count(F.col("text")) > budget.text_tokens
+    out = out.withColumn("_tokens", T.token_count(F.col("text")))
+    over = F.col("_tokens") > budget.text_tokens
     if budget.whole_nodes:
         out = out.withColumn("truncated", F.lit(False))
     else:
-        out = out.withColumn("truncated", over).withColumn("text", T.truncate_tokens(F.col("text"), budget.text_tokens))
-    out = out.withColumn("context_text", T.with_prefix(T.context_prefix(blurb, F.col("heading_path"), budget.context_tokens), F.col("text")))
+        out = out.withColumn("truncated", over).withColumn("text", T.truncate_tokens(F.col("text"), budget.text_tokens)).withColumn("_tokens", T.token_count(F.col("text")))
     siblings = Window.partitionBy("doc_id", "parent_id", "level").orderBy("number")
     group = F.when(~F.col("truncated"), F.coalesce("parent_id", F.col("doc_id").cast("string")))
     out = out.withColumn("lc_group_id", group).withColumn("position", F.row_number().over(siblings) - 1)
     upto = Window.partitionBy("doc_id", "lc_group_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     start = F.when(F.col("lc_group_id").isNotNull(), F.coalesce(F.sum(F.length("text") + 1).over(upto), F.lit(0)).cast("int"))
     out = out.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length("text"))
-    split = F.lit(budget.semantic) & (T.token_count(F.col("text")) > budget.min_trigger_tokens) | F.lit(budget.whole_nodes) & over
+    out = out.withColumn("context_text", T.with_prefix(T.context_prefix(blurb, F.col("heading_path"), budget.context_tokens), F.col("text")))
+    split = F.lit(budget.semantic) & (F.col("_tokens") > budget.min_trigger_tokens) | F.lit(budget.whole_nodes) & over
     out = out.withColumn("needs_semantic_split", split).withColumn("token_count", T.token_count(F.col("context_text")))
     rest = [c for c in ("business_type", "source_metadata", "keywords", "entities", "potential_questions") if c in known]
     out = out.select("chunk_id", "doc_id", "number", "parent_id", F.col("level").alias("hierarchy_level"), "position", "node_type", "text", "context_text", "heading_path", F.lit(config_version).alias("config_version"), "needs_semantic_split", "token_count", "lc_group_id", "char_start", "char_end", *rest)
     return overlapped(out, budget) if budget.overlap_tokens > 0 else out
 
 
-def _is_cjk(c: str) -> bool:
-    return "一" <= c <= "鿿" or "㐀" <= c <= "䶿" or "豈" <= c <= "﫿" or "\U00020000" <= c <= "\U0002a6df"
+def _are_cjk(text: str) -> np.ndarray:
+    """Of each character of a text whether it is CJK."""
+    if text.isascii():
+        return np.zeros(len(text), bool)
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return (c >= 0x4E00) & (c <= 0x9FFF) | (c >= 0x3400) & (c <= 0x4DBF) | (c >= 0xF900) & (c <= 0xFAFF) | (c >= 0x20000) & (c <= 0x2A6DF)
 
 
 def _tokens(t: str) -> int:
-    cjk = sum(map(_is_cjk, t))
+    cjk = int(_are_cjk(t).sum())
     return cjk + (len(t) - cjk + 2) // 3
 
 
@@ -171,35 +179,40 @@ def overlapped(chunks: DataFrame, budget: Budget) -> DataFrame:
     """
     names = ("doc_id", "parent_id", "hierarchy_level", "needs_semantic_split", "text", "context_text", "token_count")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
-        for pdf in batches:
+        for batch in batches:
             changed, texts, contexts, counts = [], [], [], []
-            for doc, parent, level, split, text, context, n in zip(*(pdf[c].to_numpy() for c in names)):
+            for doc, parent, level, split, text, context, n in zip(*(batch[c].to_pylist() for c in names)):
                 place = (doc, parent or None, level)
                 end = _suffix(before[1], budget.overlap_tokens) if before and before[0] == place and level > 1 and not split else ""
                 new = f"{end}\n{text}".strip() if end else text
                 whole = (context.replace(text, new, 1) if text in context else new) if end else context
-                fits = bool(end) and _tokens(whole) <= budget.max_tokens
+                fits = bool(end) and (size := _tokens(whole)) <= budget.max_tokens
                 if fits:
-                    text, context, n = new, whole, _tokens(whole)
+                    text, context, n = new, whole, size
                 before = (place, text)
                 changed.append(fits)
                 texts.append(text)
                 contexts.append(context)
                 counts.append(n)
-            pdf = pdf.assign(text=texts, context_text=contexts, token_count=pd.array(counts, "int32"))
-            for c in ("char_start", "char_end"):
-                pdf[c] = pdf[c].astype("Int32").mask(changed)
-            pdf["lc_group_id"] = pdf["lc_group_id"].mask(changed, None)
-            yield pdf
+            new_of = {"text": texts, "context_text": contexts, "token_count": counts}
+            columns = {f.name: pa.array(new_of[f.name], f.type) if f.name in new_of else batch[f.name] for f in batch.schema}
+            for c in ("char_start", "char_end", "lc_group_id"):
+                columns[c] = pc.if_else(pa.array(changed, pa.bool_()), pa.scalar(None, columns[c].type), columns[c])
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return chunks.repartition("doc_id").sortWithinPartitions("doc_id", "number").mapInArrow(fold, chunks.schema)
+
 
-    return chunks.repartition("doc_id").sortWithinPartitions("doc_id", "number").mapInPandas(fold, chunks.schema)
+def _parts(text: Column) -> Column:
+    """A text cut behind its sentence ends."""
+    return F.split(F.regexp_replace(text, SENTENCE_END, "$0\x00"), "\x00", -1)
 
 
 def sentences(text: Column) -> Column:
     """array<struct<text, start, end>>: trimmed sentences and their place; white space alone is left out."""
-    parts = F.split(F.regexp_replace(text, SENTENCE_END, "$0\x00"), "\x00", -1)
+    parts = _parts(text)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -234,7 +247,7 @@ def packed(text: Column, budget: int, least: int = MIN_PIECE) -> Column:
 
 def _pieces_of(text: str, ends: list[tuple[int, int]], budget: int, least: int) -> list[tuple[int, int]]:
     """Places of pieces of at most budget tokens that hold all sentences: these packed in order, longer ones cut into consecutive pieces."""
-    cjk = np.concatenate([[0], np.cumsum([_is_cjk(c) for c in text])])
+    cjk = np.concatenate([[0], np.cumsum(_are_cjk(text))])
     cost = lambda a, b: int(cjk[b] - cjk[a]) + (b - a - int(cjk[b] - cjk[a]) + 2) // 3
     out: list[tuple[int, int]] = []
     for a, b in ends:
@@ -254,18 +267,38 @@ def _pieces_of(text: str, ends: list[tuple[int, int]], budget: int, least: int)
     return out
 
 
-def packed_whole(chunks: DataFrame, budget: int, least: int = MIN_PIECE) -> DataFrame:
-    """chunks with _pieces, an array<struct<start, end>>: as of packed(), but the pieces hold the whole text and fit."""
-    places = F.transform(sentences(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    found = chunks.withColumn("_pieces", places)
+def _with_pieces(chunks: DataFrame, cut: Callable[[list[str], list[list[tuple[int, int]]]], list[list[tuple[int, int]]]]) -> DataFrame:
+    """chunks with _pieces, an array<struct<start, end>> of the flagged ones and null for others: cut(texts, places of their sentences) gives them, a batch at a time.
+
+    Spark cuts the sentences and measures them; their places are sums of these lengths, made in the task, so the work grows with the text.
+    """
+    sizes = F.transform(_parts(F.col("text")), lambda p: F.struct(F.length(p).alias("n"), (F.length(p) - F.length(F.ltrim(p, F.lit(T.SPACES)))).alias("lead"), F.length(T.strip(p)).alias("bare")))
+    names = chunks.columns
+    measured = chunks.withColumn("_sizes", F.when(F.col("needs_semantic_split"), sizes))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch["text"].to_pylist(), batch["_pieces"].to_pylist())
-            pieces = [[{"start": a, "end": b} for a, b in _pieces_of(t, [(s["start"], s["end"]) for s in found], budget, least)] for t, found in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pieces, batch.schema.field("_pieces").type)], schema=batch.schema)
+            sizes = batch["_sizes"]
+            flagged = np.flatnonzero(sizes.is_valid().to_numpy(zero_copy_only=False))
+            n, lead, bare = (x.to_numpy(zero_copy_only=False) for x in sizes.flatten().flatten())
+            last = np.cumsum(sizes.take(pa.array(flagged)).value_lengths().to_numpy(zero_copy_only=False))
+            places = []
+            for a, b in zip(np.append(0, last[:-1]), last):
+                start = np.cumsum(n[a:b]) - n[a:b] + lead[a:b]
+                some = bare[a:b] > 0
+                places.append(list(zip(start[some].tolist(), (start + bare[a:b])[some].tolist())))
+            pieces = [None] * len(batch)
+            for row, found in zip(flagged, cut(batch["text"].take(pa.array(flagged)).to_pylist(), places)):
+                pieces[row] = [{"start": a, "end": b} for a, b in found]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], pa.array(pieces, kind)], [*names, "_pieces"])
+
+    return measured.mapInArrow(pack, chunks.withColumn("_pieces", F.lit(None).cast("array<struct<start:int,end:int>>")).schema)
 
-    return found.mapInArrow(pack, found.schema)
+
+def packed_whole(chunks: DataFrame, budget: int, least: int = MIN_PIECE) -> DataFrame:
+    """chunks with _pieces: as of packed(), but the pieces hold the whole text and fit. Chunks that aren't flagged have null."""
+    return _with_pieces(chunks, lambda texts, places: [_pieces_of(t, found, budget, least) for t, found in zip(texts, places)])
 
 
 def best_pieces(places: list[tuple[int, int]], alike: list[float], cost: Callable[[int, int], int], budget: int, least: int, threshold: float) -> list[tuple[int, int]]:
@@ -295,63 +328,64 @@ def best_pieces(places: list[tuple[int, int]], alike: list[float], cost: Callabl
 
 def _cost_of(text: str) -> Callable[[int, int], int]:
     """Tokens of text[a:b]."""
-    cjk = np.concatenate([[0], np.cumsum([_is_cjk(c) for c in text])])
+    cjk = np.concatenate([[0], np.cumsum(_are_cjk(text))])
     return lambda a, b: int(cjk[b] - cjk[a]) + (b - a - int(cjk[b] - cjk[a]) + 2) // 3
 
 
 def similar_pieces(chunks: DataFrame, budget: int, provider: Callable, threshold: float, least: int = MIN_PIECE) -> DataFrame:
-    """chunks with _pieces, an array<struct<start, end>>: cut where neighbouring sentences are least alike by the model's vectors (see best_pieces()).
+    """chunks with _pieces, null for those that aren't flagged: cut where neighbouring sentences are least alike by the model's vectors (see best_pieces()).
 
-    The model is called once a batch, with the sentences of all its chunks. Where it fails, and where a sentence alone is over the budget, a chunk is packed as by packed_whole().
+    The model is called once a batch, with the sentences of all its flagged chunks. Where it fails, and where a sentence alone is over the budget, a chunk is packed as by packed_whole().
     """
-    places = F.transform(sentences(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    found = chunks.withColumn("_pieces", places)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            ends = [[(s["start"], s["end"]) for s in row] for row in batch["_pieces"].to_pylist()]
-            said = [t[a:b] for t, row in zip(texts, ends) for a, b in row]
-            try:
-                v = np.array(provider(said), float).reshape(len(said), -1) if said else np.zeros((0, 1))
-                v = v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
-                alike = np.append((v[:-1] * v[1:]).sum(axis=1), 0.0).round(6).tolist()
-            except Exception:  # noqa: BLE001  a model may fail in any way; the text is cut without it
-                alike = None
-            out, at = [], 0
-            for text, row in zip(texts, ends):
-                cost = _cost_of(text)
-                if alike is None or any(cost(a, b) > budget for a, b in row):
-                    pieces = _pieces_of(text, row, budget, least)
-                else:
-                    pieces = best_pieces(row, alike[at : at + len(row)], cost, budget, least, threshold)
-                at += len(row)
-                out.append([{"start": a, "end": b} for a, b in pieces])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, batch.schema.field("_pieces").type)], schema=batch.schema)
-
-    return found.mapInArrow(cut, found.schema)
+    def cut(texts: list[str], ends: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
+        said = [t[a:b] for t, row in zip(texts, ends) for a, b in row]
+        try:
+            v = np.array(provider(said), float).reshape(len(said), -1) if said else np.zeros((0, 1))
+            v = v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+            alike = np.append((v[:-1] * v[1:]).sum(axis=1), 0.0).round(6).tolist()
+        except Exception:  # noqa: BLE001  a model may fail in any way; the text is cut without it
+            alike = None
+        out, at = [], 0
+        for text, row in zip(texts, ends):
+            cost = _cost_of(text)
+            if alike is None or any(cost(a, b) > budget for a, b in row):
+                out.append(_pieces_of(text, row, budget, least))
+            else:
+                out.append(best_pieces(row, alike[at : at + len(row)], cost, budget, least, threshold))
+            at += len(row)
+        return out
+
+    return _with_pieces(chunks, cut)
 
 
 def semantic_split(chunks: DataFrame, budget: Budget = Budget(), provider: Callable | None = None) -> DataFrame:
     """Flagged chunks in pieces of whole sentences, a level deeper, with the chunk as parent; others, and those of one piece, stay with the flag cleared.
 
-    With a provider and budget.similarity, flagged chunks are cut where likeness drops; else, as in the reference for that strategy, by packing.
+    With a provider and budget.similarity, flagged chunks are cut where likeness drops; else, as in the reference for that strategy, by packing. chunks are read once:
+    a row passes as it is or as its pieces.
     """
-    flagged = chunks.where("needs_semantic_split")
-    if provider is not None and budget.similarity is not None:
-        pieces = similar_pieces(flagged, budget.text_tokens, provider, budget.similarity)
+    alike = provider is not None and budget.similarity is not None
+    if alike:
+        found = similar_pieces(chunks, budget.text_tokens, provider, budget.similarity)
+    elif budget.whole_nodes:
+        found = packed_whole(chunks, budget.text_tokens)
     else:
-        pieces = packed_whole(flagged, budget.text_tokens) if budget.whole_nodes else flagged.withColumn("_pieces", packed(F.col("text"), budget.text_tokens))
-    rest = chunks.where("NOT needs_semantic_split").unionByName(pieces.where(F.size("_pieces") <= 1).drop("_pieces")).withColumn("needs_semantic_split", F.lit(False))
-    many = pieces.where(F.size("_pieces") > 1).select("*", F.posexplode("_pieces").alias("_i", "_p"))
+        found = chunks.withColumn("_pieces", F.when(F.col("needs_semantic_split"), F.transform(packed(F.col("text"), budget.text_tokens), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))))
+    many = F.size("_pieces") > 1
+    whole = F.array(F.lit(None).cast("struct<start:int,end:int>"))
+    prefix = F.when(many, T.prefix_of(F.col("context_text"), F.col("text"), F.col("heading_path")))
+    rows = found.select(*chunks.columns, prefix.alias("_prefix"), F.posexplode(F.when(many, F.col("_pieces")).otherwise(whole)).alias("_i", "_p"))
+    piece = F.col("_p").isNotNull()
     body = F.substr("text", F.col("_p.start") + 1, F.col("_p.end") - F.col("_p.start"))
-    body = body if budget.whole_nodes or provider is not None and budget.similarity is not None else T.truncate_tokens(body, budget.text_tokens)
-    prefix = T.prefix_of(F.col("context_text"), F.col("text"), F.col("heading_path"))
-    parts = many.withColumn("_prefix", prefix).withColumn("parent_id", F.col("chunk_id")).withColumn("chunk_id", V.sub_chunk_id(F.col("parent_id"), F.col("_i")))
-    parts = parts.withColumn("text", body).withColumn("context_text", T.with_prefix(F.col("_prefix"), F.col("text"))).withColumn("hierarchy_level", F.col("hierarchy_level") + 1).withColumn("position", F.col("_i"))
-    parts = parts.withColumn("lc_group_id", F.concat(F.lit("sem:"), F.col("parent_id"))).withColumn("char_start", F.col("_p.start")).withColumn("char_end", F.col("_p.start") + F.length("text"))
-    parts = parts.withColumn("token_count", T.token_count(F.col("context_text"))).withColumn("needs_semantic_split", F.lit(False))
-    return rest.unionByName(parts.select(*chunks.columns))
+    body = body if budget.whole_nodes or alike else T.truncate_tokens(body, budget.text_tokens)
+    rows = rows.withColumn("text", F.when(piece, body).otherwise(F.col("text"))).withColumn("context_text", F.when(piece, T.with_prefix(F.col("_prefix"), F.col("text"))).otherwise(F.col("context_text")))
+    new = {
+        "parent_id": F.col("chunk_id"), "chunk_id": V.sub_chunk_id(F.col("chunk_id"), F.col("_i")), "hierarchy_level": F.col("hierarchy_level") + 1, "position": F.col("_i"), "lc_group_id": F.concat(F.lit("sem:"), F.col("chunk_id")),
+        "char_start": F.col("_p.start"), "char_end": F.col("_p.start") + F.length("text"), "token_count": T.token_count(F.col("context_text")),
+    }
+    out = {c: F.when(piece, new[c]).otherwise(F.col(c)) if c in new else F.col(c) for c in chunks.columns} | {"needs_semantic_split": F.lit(False)}
+    return rows.select(*[value.alias(c) for c, value in out.items()])
 
 
 def late_chunk_vectors(chunks: DataFrame, provider: Callable, dimension: int, max_seq_len: int) -> DataFrame:

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from siftstone.functions import text
 from siftstone.operators import chunking
 from siftstone.operators.chunking import Budget
 
@@ -120,3 +121,30 @@ def test_late_chunks_pool_and_fall_back(spark):
 def test_blank_documents_give_no_chunks(spark, text):
     docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
     assert chunking.parse(docs.where(F.length(F.trim("text")) > 0)).count() == 0
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_a_split_reads_its_chunks_once(spark, whole):
+    b = Budget(max_tokens=130, overlap_tokens=0, semantic=True, min_trigger_tokens=20, whole_nodes=whole)
+    body = "A short one.\n\n" + "One sentence. " * 40 + "\n\n" + "é中 word! " * 60
+    docs = spark.createDataFrame([("d", body)], "doc_id string, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    chunks = chunking.chunk(chunking.parse(docs), docs, b)
+    rows = chunking.semantic_split(chunks.mapInArrow(counted, chunks.schema), b).collect()
+    assert seen.value == 3 and len({r.chunk_id for r in rows}) == len(rows) > 3
+    assert not any(r.needs_semantic_split for r in rows) and "A short one." in {r.text for r in rows}
+
+
+def test_ends_of_texts_lose_white_space_of_any_kind(spark):
+    odd = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000] + ["﻿", "᠎", "\U0001d7ce"]
+    df = spark.createDataFrame([(c, f"{c}{c}a{c}b{c}{c}") for c in odd], "c string, t string")
+    old = F.regexp_replace(F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+", ""), r"(?U)[\s\x1c-\x1f]+$", "")
+    assert df.where(text.strip(F.col("t")) != old).count() == 0
+    gone = F.length(F.regexp_replace("c", r"(?U)[\s\x1c-\x1f]+", "")) == 0
+    assert df.where(text.is_blank(F.col("c")) != gone).count() == 0
