@@ -245,10 +245,10 @@ def prefix_of(context: Column, text: Column, heading_path: Column) -> Column:
 
 def lexical_tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits; of CJK runs the overlapping pairs, or the character where it is alone."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"({CJK[:-1]}]+)", " $1 ")
-    words = F.regexp_extract_all(spaced, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    small = F.lower(F.coalesce(text, F.lit("")))
+    runs = lambda t, pattern=r"[\p{L}\p{N}]+": F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    words = runs(F.regexp_replace(small, f"({CJK[:-1]}]+)", " $1 "))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))
-    return F.when(
-        F.rlike(spaced, F.lit(CJK)),
-        F.flatten(F.transform(words, lambda w: F.when(F.rlike(w, F.lit(f"^{CJK}{{2,}}$")), pairs(w)).otherwise(F.array(w)))),
-    ).otherwise(words)
+    paired = F.flatten(F.transform(words, lambda w: F.when(F.rlike(w, F.lit(f"^{CJK}{{2,}}$")), pairs(w)).otherwise(F.array(w))))
+    # Texts of single bytes have neither CJK characters nor other letters and digits than these.
+    return F.when(F.octet_length(small) == F.length(small), runs(small, "[a-z0-9]+")).when(F.rlike(small, F.lit(CJK)), paired).otherwise(runs(small))

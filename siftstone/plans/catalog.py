@@ -30,7 +30,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _tokens(spark, sf_dir) -> DataFrame:
-    return materialised(lexical.tokenised(_t(spark, sf_dir, "documents"), "doc_id"), "tokens")
+    return materialised(lexical.with_digest(lexical.tokenised(_t(spark, sf_dir, "documents"), "doc_id")), "tokens")
 
 
 def _bm25(spark, sf_dir, k=10, allowed=None, tokens=None) -> DataFrame:

@@ -290,3 +290,14 @@ def test_filters_are_echoed_and_the_ladder_is_overridden(spark, corpus):
     full, one = (query.run(asked(spark, "apple"), corpus, [Retriever("lex", "lexical")], top_k=k).first() for k in (None, {"context_top_k": 1}))
     assert len(full.citations) == 3 and len(one.citations) == 1
     assert query.with_ladder(Ladder(), recall_top_k=None, rerank_top_k=3) == Ladder(rerank_top_k=3)
+
+
+def test_copies_are_told_by_the_digest_of_the_table_of_tokens(spark):
+    chunks = spark.createDataFrame([(n, "ten equal words") for n in range(10)] + [(10, "another one"), (11, "Kelvin K İx"), (12, "café 中文字 a1")], "chunk_id long, text string")
+    plain = lexical.tokenised(chunks)
+    table = lexical.with_digest(plain)
+    read = lexical._few_of_copies(table.withColumn("tokens", F.lit(None).cast("array<string>")), 3).select("chunk_id", "copies").orderBy("chunk_id").collect()
+    assert [tuple(r) for r in read] == [(0, 8), (1, 1), (2, 1), (10, 1), (11, 1), (12, 1)]
+    assert lexical._few_of_copies(table, 3).columns == lexical._few_of_copies(plain, 3).columns
+    of = {r.chunk_id: r.tokens for r in plain.collect()}
+    assert of[0] == ["ten", "equal", "words"] and of[11][:2] == ["kelvin", "k"] and of[12] == ["café", "中文", "文字", "a1"]
