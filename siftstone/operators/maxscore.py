@@ -9,20 +9,17 @@ Each query has a bar: the k best documents among the k largest impacts of its te
 Few queries (MOST_TERMS terms in all, which then travel to the tasks): a task takes the impacts of a block. A query whose terms' largest impacts there don't reach its bar
 together leaves the block unscored; for the others the block's documents are summed up and those that reach the bar leave the task, its k best of the block at most, with ties.
 
-Many queries, as joins:
-1. In each zone, terms in the order of their bounds: those whose bounds together stay under the bar can't lift a document over it alone. The others are
-   essential; a zone without an essential term isn't looked at.
-2. Of an essential term only the blocks are opened whose largest impacts, with the bounds of the rest, reach the bar; only what stands in
-   them becomes a candidate, with its essential terms' sum.
-3. A candidate whose sum and the rest's bounds reach the bar gets the impacts of the other terms, looked up by term and document.
-
-So a term that stands everywhere, or that every query has, adds no candidates: what is joined grows with the queries times k, and with what reaches a bar.
+Many queries: cells of a slice of the queries and a share of the blocks, each a group of bounded size that both sides are shuffled to (_in_cells()). In a cell the documents of a
+zone are taken in the order of their ids, some at a time (a piece). Queries with the same terms in a piece are scored there together, and a query leaves a piece out whose
+largest impacts can't reach its bar, or can only tie with k documents of smaller ids. Bars rise as documents are found. A cell gives a query k documents, and those within the slack of
+the last: what leaves it grows with the queries times k, whatever ties or frequent terms there are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +29,8 @@ from siftstone.sources.tables import materialised
 BLOCK_ROWS, ZONES, BLOCK_BITS = 256, 2, 32
 #: Query terms that travel to the tasks at most.
 MOST_TERMS = 200_000
+#: Query terms and impacts of a cell, about, and cells at least; documents of a piece; scores and impacts that are summed up at once; rows that a cell collects before it cuts them.
+SLICE_TERMS, SHARE_ROWS, CELLS, PIECE_ROWS, AT_ONCE, PENDING = 200_000, 1_000_000, 64, 1024, 2_000_000, 200_000
 
 
 def block_of(field_no: Column, length: Column, chunk_id: Column, n_docs: Column) -> Column:
@@ -70,7 +69,7 @@ def topk(impacts: DataFrame, terms: DataFrame, k: int, digits: int | None = None
     reached = _full(seeds.select("query_id", "chunk_id").join(terms, "query_id"), impacts).groupBy("query_id", "chunk_id").agg(F.max("s").alias("s"))
     bars = reached.groupBy("query_id").agg(F.min("s").alias("bar"), F.count("*").alias("n")).where(F.col("n") == k).select("query_id", (F.col("bar") - 2 * slack).alias("bar"))
     small = terms.count() <= MOST_TERMS
-    sums = _in_blocks(impacts, terms, bars, k, slack) if small else _by_joins(impacts, zoned, terms, bars)
+    sums = _in_blocks(impacts, terms, bars, k, slack) if small else _in_cells(impacts, terms, bars, k, slack)
     score = F.max("s") if digits is None else F.round(F.max("s"), digits)
     return sums.groupBy("query_id", "chunk_id").agg(score.alias("score"))
 
@@ -115,24 +114,149 @@ def _in_blocks(impacts: DataFrame, terms: DataFrame, bars: DataFrame, k: int, sl
     return impacts.groupBy("blk").applyInArrow(score, f"query_id {kinds[0]}, chunk_id {kinds[1]}, s double")
 
 
-def _by_joins(impacts: DataFrame, zoned: DataFrame, terms: DataFrame, bars: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, s) of the documents that may reach a query's bar, each with its full sums."""
-    asked = materialised(terms.join(zoned.groupBy("t", "zone").agg(F.max("part").alias("bound")), "t"), "asked")
-    # Essential terms of each zone, and the bounds of the others.
-    in_zone = Window.partitionBy("query_id", "zone")
-    rising = in_zone.orderBy("bound", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = asked.join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0))).withColumn("essential", F.sum("bound").over(rising) >= F.col("bar"))
-    rest = F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("bound"))).over(in_zone)
-    ranked = materialised(ranked.withColumn("rest", rest), "essential-terms")
-    essential, other = (ranked.where(c) for c in ("essential", "NOT essential"))
-
-    # Blocks that may hold a document over the bar.
-    blocks = zoned.groupBy("t", "zone", "blk").agg(F.max("part").alias("most"))
-    opened = essential.join(blocks, ["t", "zone"]).withColumn("reach", F.sum("most").over(Window.partitionBy("query_id", "blk"))).where(F.col("reach") + F.col("rest") >= F.col("bar"))
-
-    # Their documents, and what the other terms add.
-    found = opened.select("query_id", "t", "blk", "zone", "bar", "rest").join(impacts, ["t", "blk"])
-    found = found.groupBy("query_id", "zone", "chunk_id").agg(F.sum("part").alias("s"), F.first("bar").alias("bar"), F.first("rest").alias("rest"))
-    found = materialised(found.where(F.col("s") + F.col("rest") >= F.col("bar")).select("query_id", "zone", "chunk_id", "s"), "candidates")
-    more = _full(found.select("query_id", "zone", "chunk_id").join(other.select("query_id", "zone", "t"), ["query_id", "zone"]).select("query_id", "t", "chunk_id"), impacts)
-    return found.select("query_id", _field("zone").alias("field"), "chunk_id", "s").unionByName(more).groupBy("query_id", "field", "chunk_id").agg(F.sum("s").alias("s"))
+def _in_cells(impacts: DataFrame, terms: DataFrame, bars: DataFrame, k: int, slack: float) -> DataFrame:
+    """_in_blocks() of any number of queries."""
+    asked = materialised(terms.join(bars, "query_id", "left").select("query_id", "t", F.coalesce("bar", F.lit(0.0)).alias("bar")), "asked")
+    n_terms, n_impacts = max(1, asked.count()), max(1, impacts.count())
+    # Terms go to each share and impacts to each slice: of the ways to get the cells, about the one that copies the fewest rows.
+    slices = max(-(-n_terms // SLICE_TERMS), min(CELLS, round((CELLS * n_terms / n_impacts) ** 0.5)), 1)
+    shares = max(-(-n_impacts // SHARE_ROWS), -(-CELLS // slices))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = impacts.select(every(slices).alias("slice"), F.pmod(F.xxhash64("blk"), F.lit(shares)).cast("int").alias("share"), "t", _zone("blk").alias("zone"), "chunk_id", "part")
+    right = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int").alias("slice"), every(shares).alias("share"), "query_id", "t", "bar")
+    kinds = terms.schema["query_id"].dataType.simpleString(), impacts.schema["chunk_id"].dataType.simpleString()
+    left, right = (df.repartition(2 * slices * shares, "slice", "share").groupBy("slice", "share") for df in (left, right))
+    cells = left.cogroup(right).applyInArrow(lambda docs, queries: _cell(docs, queries, k, slack), f"query_id {kinds[0]}, chunk_id {kinds[1]}, s double")
+    return materialised(cells, "candidates")
+
+
+def _cell(docs: pa.Table, queries: pa.Table, k: int, slack: float) -> pa.Table:
+    """(query_id, chunk_id, s): of docs (t, zone, chunk_id, part) what queries (query_id, t, bar) may have among their k best."""
+    whose = queries["query_id"].combine_chunks().dictionary_encode()
+    q, ask, by_term = whose.indices.to_numpy(zero_copy_only=False), queries["t"].to_numpy(), np.argsort(queries["t"].to_numpy(), kind="stable")
+    kept = _Best(len(whose.dictionary), k, slack)
+    kept.bar[q] = queries["bar"].to_numpy()
+    q, ask = q[by_term], ask[by_term]
+    # Documents by zone and id, terms in order.
+    names = docs["chunk_id"].combine_chunks().dictionary_encode()
+    in_order = pc.array_sort_indices(names.dictionary)
+    doc = np.empty(len(in_order), np.int64)
+    doc[in_order.to_numpy()] = np.arange(len(in_order))
+    doc = doc[names.indices.to_numpy(zero_copy_only=False)]
+    t, zone = docs["t"].to_numpy(), docs["zone"].to_numpy()
+    wanted = np.flatnonzero(np.isin(t, ask))
+    wanted = wanted[np.lexsort((t[wanted], doc[wanted], zone[wanted]))]
+    t, zone, doc, part = t[wanted], zone[wanted], doc[wanted], docs["part"].to_numpy()[wanted]
+    other_zone = _changes(zone)
+    nth = np.cumsum(_changes(doc) | other_zone) - 1
+    begin = np.flatnonzero(other_zone)
+    piece = (nth - np.repeat(nth[begin], np.diff(np.append(begin, len(nth))))) // PIECE_ROWS
+    edges = np.append(np.flatnonzero(_changes(piece) | other_zone), len(piece))
+    # The first pieces of all zones come first, as their small ids are the ones that win ties.
+    for e in np.argsort(piece[edges[:-1]], kind="stable"):
+        rows = slice(edges[e], edges[e + 1])
+        _piece(t[rows], nth[rows] - nth[rows.start], doc[rows], part[rows], q, ask, kept)
+    q, d, s = kept.rows()
+    return pa.table([whose.dictionary.take(pa.array(q)), names.dictionary.take(in_order).take(pa.array(d)), pa.array(s)], ["query_id", "chunk_id", "s"])
+
+
+def _piece(t: np.ndarray, column: np.ndarray, doc: np.ndarray, part: np.ndarray, q: np.ndarray, ask: np.ndarray, kept: _Best) -> None:
+    """Gives kept the documents of a piece (numbered by column, in the order of their ids doc) for the queries q with the terms ask, which are in order."""
+    by_term = np.argsort(t, kind="stable")
+    t, column_of, part = t[by_term], column[by_term], part[by_term]
+    start = np.flatnonzero(_changes(t))
+    held, most = np.diff(np.append(start, len(t))), np.maximum.reduceat(part, start)
+    first = np.searchsorted(ask, t[start])
+    asking = np.searchsorted(ask, t[start], "right") - first
+    who, term = q[_ranges(first, asking)], np.repeat(np.arange(len(start)), asking)
+    # Sums go by rising terms here and below, so no sum of a document is above the reach.
+    reach = np.bincount(who, most[term], len(kept.bar))
+    go = np.flatnonzero((reach > 0) & (reach >= kept.bar) & ((reach > kept.least) | (doc[0] <= kept.last)))
+    if not len(go):
+        return
+    # Queries with the same terms here: the sums of two random numbers of 40 bits a term are whole, so exact, and told apart up to a chance of 2^-80.
+    marks = [np.bincount(who, np.random.default_rng(seed).integers(1 << 40, size=len(start)).astype(float)[term], len(kept.bar))[go] for seed in (1, 2)]
+    _, sample, alike = np.unique(marks[0] + 1j * marks[1], return_index=True, return_inverse=True)
+    low = np.full(len(sample), np.inf)
+    np.minimum.at(low, alike, kept.bar[go])
+    row = np.full(len(kept.bar), -1)
+    row[go[sample]] = np.arange(len(sample))
+    mine = np.flatnonzero(row[who] >= 0)
+    mine = mine[np.argsort(row[who[mine]], kind="stable")]
+    row, term = row[who[mine]], term[mine]
+    width, doc = column[-1] + 1, doc[np.flatnonzero(_changes(column))]
+    load = np.cumsum(np.bincount(row, held[term], len(sample)) + width) // AT_ONCE
+    ends = np.append(np.flatnonzero(np.diff(load)) + 1, len(sample))
+    out = []
+    for a, b in zip(np.append(0, ends[:-1]), ends):
+        part_of = slice(*np.searchsorted(row, (a, b)))
+        n = held[term[part_of]]
+        at = _ranges(start[term[part_of]], n)
+        s = np.bincount(np.repeat(row[part_of] - a, n) * width + column_of[at], part[at], (b - a) * width).reshape(b - a, width)
+        floor = low[a:b] if width <= kept.k else np.maximum(low[a:b], np.partition(s, width - kept.k, axis=1)[:, width - kept.k] - 2 * kept.slack)
+        r, c = np.nonzero((s >= floor[:, None]) & (s > 0))
+        s = s[r, c]
+        order = np.lexsort((c, -s, r))
+        r, c, s = r[order], c[order], s[order]
+        # Of equal scores the k of the smallest ids.
+        few = _place(_changes(r) | _changes(s)) < kept.k
+        out.append((r[few] + a, doc[c[few]], s[few]))
+    r, d, s = (np.concatenate(x) for x in zip(*out))
+    found = np.bincount(r, minlength=len(sample))
+    at = _ranges((np.cumsum(found) - found)[alike], found[alike])
+    kept.add(np.repeat(go, found[alike]), d[at], s[at])
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.append(np.full(min(1, len(x)), True), x[1:] != x[:-1])
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .. of n[0] numbers, and so on for the others."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+def _place(begins: np.ndarray) -> np.ndarray:
+    """The place of each element in its run, from 0."""
+    at = np.flatnonzero(begins)
+    return np.arange(len(begins)) - np.repeat(at, np.diff(np.append(at, len(begins))))
+
+
+class _Best:
+    """What n queries have found so far: documents d, numbered in the order of their ids, with scores s.
+
+    A row goes if k other documents reach its score with smaller ids, or pass it by more than the slack: after rounding they are still before it. A document may come with
+    several scores, of its fields; the best one counts.
+    """
+
+    def __init__(self, n: int, k: int, slack: float):
+        self.k, self.slack = k, slack
+        #: The score to reach; the least score of the k best and their largest id.
+        self.bar, self.least, self.last = np.zeros(n), np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max)
+        self.found, self.pending, self.size = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+
+    def add(self, q: np.ndarray, d: np.ndarray, s: np.ndarray) -> None:
+        on = (s >= self.bar[q]) & ((s > self.least[q]) | (d <= self.last[q]))
+        self.pending.append((q[on], d[on], s[on]))
+        self.size += int(on.sum())
+        if self.size > max(PENDING, len(self.found[0]) // 2):
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(q, d, s), cut to what may be among the k best."""
+        q, d, s = (np.concatenate(x) for x in zip(self.found, *self.pending))
+        order = np.lexsort((-s, d, q))
+        q, d, s = q[order], d[order], s[order]
+        one = _changes(q) | _changes(d)
+        q, d, s = q[one], d[one], s[one]
+        order = np.lexsort((d, -s, q))
+        q, d, s = q[order], d[order], s[order]
+        place = _place(_changes(q))
+        kth = np.flatnonzero(place == self.k - 1)
+        self.least[q[kth]] = s[kth]
+        self.bar[q[kth]] = np.maximum(self.bar[q[kth]], s[kth] - 2 * self.slack)
+        self.last[q[kth]] = np.maximum.reduce([d[kth - n] for n in range(self.k)]) if len(kth) else 0
+        on = (s >= self.bar[q]) & (_place(_changes(q) | _changes(s)) < self.k) & ((s > self.least[q]) | (d <= self.last[q]))
+        self.found, self.pending, self.size = (q[on], d[on], s[on]), [], 0
+        return self.found

@@ -192,6 +192,71 @@ def test_pruning_opens_few_blocks(spark, monkeypatch):
     assert dict(seen)["candidates"].count() < 5_000 < 200 * 20_000
 
 
+def test_ties_and_frequent_terms_leave_a_cell_k_times(spark, monkeypatch):
+    """Texts that differ, but tie for every query: what the tasks give back grows with the queries times k, not times the ties (2,000 here)."""
+    from siftstone.operators import maxscore
+
+    monkeypatch.setattr(maxscore, "MOST_TERMS", 0)
+    monkeypatch.setattr(maxscore, "CELLS", 6, raising=False)
+    chunks = spark.range(2_000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("large ring own"), "id").alias("text"))
+    queries = spark.range(0, 2_000, 20).select(F.col("id").alias("query_id"), F.concat(F.lit("large ring own"), "id").alias("query"))
+    seen = []
+    kept = maxscore.materialised
+    monkeypatch.setattr(maxscore, "materialised", lambda df, name: (seen.append((name, kept(df, name))), seen[-1][1])[1])
+    found = {}
+    for r in lexical.search(lexical.tokenised(chunks), queries, 3, digits=6).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.chunk_id)
+    assert found == {q: [q, *[n for n in range(3) if n != q][:2]] for q in range(0, 2_000, 20)}
+    assert dict(seen)["candidates"].count() <= 6 * 3 * 100 < 100 * 2_000
+
+
+@pytest.mark.parametrize("names", ["int", "str"])
+def test_a_cell_equals_scoring_everything(monkeypatch, names):
+    """Random impacts with many ties and near ties in several zones, in small pieces, against plain sums; and cells without documents or queries."""
+    import random
+
+    import pyarrow as pa
+
+    from siftstone.operators import maxscore
+
+    for name, value in (("PIECE_ROWS", 7), ("AT_ONCE", 60), ("PENDING", 10)):
+        monkeypatch.setattr(maxscore, name, value)
+    rng = random.Random(3)
+    name = (lambda n: n) if names == "int" else (lambda n: f"d{n}")
+    kind = pa.int64() if names == "int" else pa.string()
+    for trial in range(60):
+        k, digits, terms = rng.choice([1, 2, 5]), 6, rng.choice([3, 12])
+        # Zones 0 and 1 are of a field with terms below 100, zone 64 of another one. Parts of halves tie, those with 3e-8 only after rounding.
+        docs = [(t + 100 * (z > 1), z, name(d), rng.choice([0.5, 1.0, 1.5, 1.5 + 3e-8])) for d in range(40) for z in {rng.choice([0, 1]), 64} for t in range(terms) if rng.random() < 0.4]
+        asked = {q: [t + f for t in range(terms) if rng.random() < 0.5 for f in (0, 100)] for q in range(15)}
+        want, rows = {}, []
+        for q, ts in asked.items():
+            sums = {}
+            for t, z, d, part in sorted(docs):
+                if t in ts:
+                    sums[z, d] = sums.get((z, d), 0.0) + part
+            best = {}
+            for (_, d), s in sums.items():
+                best[d] = max(best.get(d, 0.0), round(s, digits))
+            want[q] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+            # A bar is the score of some k documents less the slack.
+            some = sorted(rng.sample(sorted(best.values()), k))[0] - 2e-6 if rng.random() < 0.5 and len(best) >= k else 0.0
+            rows += [(q, t, some) for t in ts]
+        rng.shuffle(docs)
+        rng.shuffle(rows)
+        table = lambda rows, fields: pa.table([pa.array([r[n] for r in rows], of) for n, (_, of) in enumerate(fields)], [f for f, _ in fields])
+        left = table(docs, [("t", pa.int64()), ("zone", pa.int64()), ("chunk_id", kind), ("part", pa.float64())])
+        right = table(rows, [("query_id", pa.int64()), ("t", pa.int64()), ("bar", pa.float64())])
+        got = {q: {} for q in asked}
+        for r in maxscore._cell(left, right, k, 1e-6).to_pylist():
+            of = got[r["query_id"]]
+            of[r["chunk_id"]] = max(of.get(r["chunk_id"], 0.0), round(r["s"], digits))
+        assert {q: sorted(of.items(), key=lambda x: (-x[1], x[0]))[:k] for q, of in got.items()} == want
+        for a, b in ((left.slice(0, 0), right), (left, right.slice(0, 0)), (left.slice(0, 0), right.slice(0, 0))):
+            none = maxscore._cell(a, b, k, 1e-6)
+            assert len(none) == 0 and none.schema.field("chunk_id").type == kind
+
+
 def test_fusion_sums_and_merges(spark):
     pooled = fusion.pool([("lex", "lexical", hits(spark, (1, 1, "x", 3.0), (1, 2, "y", 2.0))), ("den", "dense", hits(spark, (1, 1, "y", 0.9), (1, 2, "z", 0.8)))])
     rows = fusion.fuse(pooled, 60, {"lex": 1.0, "den": 0.5}).orderBy("pos").collect()
